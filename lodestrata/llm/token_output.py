@@ -28,6 +28,9 @@ from lodestrata.llm.tokens import encoder
 #: Ids after which a block is closed; a single longer document makes a longer block.
 BLOCK_TOKENS = 2_000_000
 
+#: Vocabularies up to this size are counted in an array, larger ids by sorting.
+COUNTED = 1 << 22
+
 BLOCKS = "part int, seq int, n_docs long, n_tokens long, doc_ids array<long>, doc_lens array<long>, ranked binary, control binary, data binary"
 DOCS = "part int, seq int, doc_id long, in_block long, n_tokens long, ids_crc32 long"
 
@@ -38,11 +41,16 @@ MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 
 def encode_block(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
     """ids (uint32) → rank table, control bytes, data bytes."""
-    values, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    if ids.max(initial=0) < COUNTED:
+        counts = np.bincount(ids)
+        values = np.flatnonzero(counts).astype(np.uint32)
+        counts, places = counts[values], ids
+    else:
+        values, places, counts = np.unique(ids, return_inverse=True, return_counts=True)
     order = np.lexsort((values, -counts))
-    rank_of = np.empty(len(values), np.uint32)
-    rank_of[order] = np.arange(len(values), dtype=np.uint32)
-    ranks = rank_of[inverse]
+    rank_of = np.zeros(int(places.max(initial=0)) + 1, np.uint32)
+    rank_of[values[order] if places is ids else order] = np.arange(len(values), dtype=np.uint32)
+    ranks = rank_of[places]
     lens = (1 + (ranks > 0xFF) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)).astype(np.uint8)
     codes = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
     codes[: len(ranks)] = lens - 1

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 
 #: Words whose ids a worker keeps; beyond it, new words are encoded again for each slice of texts.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
 #: Words encoded in one call. A mark that no such word holds, or the blank itself, shows where each begins.
 JOINED_WORDS, MARK = 2000, "\x01"
 #: Characters of text turned into ids at a time.
@@ -66,8 +67,9 @@ class Encoder:
     def _parts(self, text: str) -> list:
         if not self.keeps_space:
             return text.replace("\n", " ").split(" ")
-        first, *rest = text.split(" ")
-        return [(first,), *rest]
+        words: list = text.split(" ")
+        words[0] = (words[0],)
+        return words
 
     def _unsafe(self, part) -> bool:
         if not self.keeps_space:
@@ -92,11 +94,12 @@ class Encoder:
         for i, text in enumerate(texts):
             parts += self._parts(text)
             ends[i + 1] = len(parts)
-        found = list(map(self.slots.get, parts))
+        slot = np.fromiter(map(self.slots.get, parts, repeat(-1)), np.int64, len(parts))
         starts, lens, flat = self.starts, self.lens, self.flat
-        missing = list(dict.fromkeys(p for p, s in zip(parts, found) if s is None))
-        extra: dict = {}
-        if missing:
+        unknown = np.flatnonzero(slot < 0)
+        if len(unknown):
+            asked = [parts[i] for i in unknown.tolist()]
+            missing = list(dict.fromkeys(asked))
             unsafe = list(map(self._unsafe, missing))
             first = [p for p, u in zip(missing, unsafe) if not u and isinstance(p, tuple)]
             plain = [p for p, u in zip(missing, unsafe) if not u and not isinstance(p, tuple)]
@@ -112,8 +115,7 @@ class Encoder:
             if len(lens) <= CACHE_WORDS:
                 self.slots.update(extra)
                 self.starts, self.lens, self.flat = starts, lens, flat
-            found = [extra[p] if s is None else s for p, s in zip(parts, found)]
-        slot = np.fromiter(found, np.int64, len(found))
+            slot[unknown] = np.fromiter(map(extra.__getitem__, asked), np.int64, len(asked))
         n = lens[slot]
         if (n < 0).any():
             return self._mixed(texts, slot, ends, starts, lens, flat)
