@@ -8,8 +8,9 @@ them, and a line goes when an earlier one (smaller doc_id, then line number) is
 * Replaced word: both lines give the same variant at the same place. All lines under such a key are near each other,
   so the earliest under it stands for all: no pairs within a group. Inserted word: the longer line's variant is the
   shorter line itself.
-* Before the variants, an exact filter: with one edit in a line of `min_words` or more, its first or its last
-  `edge_words` words are untouched. A line that shares neither with another line has no partner and gives no keys.
+* Before the variants, an exact filter: one edit leaves the first or the last half of a line untouched. A line of n
+  words is counted under its first and last n // 2 and (n - 1) // 2 words, so that lines whose lengths differ by one
+  meet; one that shares none of these with another line has no partner and gives no keys.
 * Lines with fewer than `min_words` words (blank ones too) are always kept. With 5 words one edit is a similarity of
   0.8.
 
@@ -26,13 +27,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestrata.llm.store import written
 
 MIN_WORDS = 5
-EDGE_WORDS = 2
+#: Up to so many rows of hashes, a table is broadcast instead of moving the larger side to it.
+BROADCAST_ROWS = 200_000
 
-_SCHEMA = "row_id long, line_no int, h long, head long, tail long"
+_SCHEMA = "row_id long, doc_id long, text_hash long, line_no int, h long, edges array<long>"
 
 
 def _signed(x: int) -> int:
@@ -55,48 +58,57 @@ def within_one(a: list, b: list) -> bool:
     return a[i:] == b[i + 1 :] if len(a) < len(b) else a[i + 1 :] == b[i + 1 :]
 
 
-def _lines(min_words: int, edge_words: int):
-    """One row a line long enough: its hash, and those of its first and last words."""
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+def _edges(words: list[bytes]) -> list[int]:
+    halves = {len(words) // 2, (len(words) - 1) // 2}
+    return [_hash([b"first", *words[:k]]) for k in halves] + [_hash([b"last", *words[-k:]]) for k in halves]
+
+
+def _lines(min_words: int):
+    """One row a line long enough: its place, its hash, and those of its first and last halves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            rows, numbers, hashes, edges = [], [], [], []
+            for row, text in enumerate(batch.column(3)):
                 for no, line in enumerate((text.as_py() or "").encode("utf-8", "surrogatepass").split(b"\n")):
                     words = line.split()
                     if len(words) >= min_words:
-                        for column, x in zip(out, (row, no, _hash(words), _hash(words[:edge_words]), _hash(words[-edge_words:]))):
-                            column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["row_id", "line_no", "h", "head", "tail"])
+                        rows.append(row)
+                        numbers.append(no)
+                        hashes.append(_hash(words))
+                        edges.append(_edges(words))
+            at = pa.array(rows, pa.int64())
+            own = [batch.column(i).take(at) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(numbers, pa.int32()), pa.array(hashes, pa.int64()), pa.array(edges, pa.list_(pa.int64()))], names=["row_id", "doc_id", "text_hash", "line_no", "h", "edges"])
 
     return run
 
 
 def _texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(wanted line numbers, text) → one row a line: h, its words as one string."""
+    """(doc_id, text_hash, wanted line numbers, text) → one row a line: its place, h, its words as one string."""
     for batch in batches:
-        h, line = [], []
-        for numbers, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+        rows, no, h, line = [], [], [], []
+        for row, (numbers, text) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3))):
             lines = text.as_py().encode("utf-8", "surrogatepass").split(b"\n")
-            for no in numbers:
-                words = lines[no].split()
+            for n in numbers:
+                words = lines[n].split()
+                rows.append(row)
+                no.append(n)
                 h.append(_hash(words))
                 line.append(b" ".join(words))
-        yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(line, pa.binary())], names=["h", "line"])
+        at = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(no, pa.int32()), pa.array(h, pa.int64()), pa.array(line, pa.binary())], names=["doc_id", "text_hash", "line_no", "h", "line"])
 
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, line) → (h, key, place): the whole line (place -1), each one-word deletion at its place, and again as -1.
-
-    The whole line and a deletion meet under place -1, two deletions only at the same place.
-    """
+    """One row a variant: each one-word deletion at its place, and the whole line (place -1)."""
     for batch in batches:
-        for h, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for row, (h, line) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())):
             words = line.split()
             keys = [_hash(words[:i] + words[i + 1 :]) for i in range(len(words))]
-            places = list(range(len(words))) + [-1] * len(words) + [-2]
-            yield pa.RecordBatch.from_arrays([pa.array([h] * len(places), pa.int64()), pa.array([*keys, *keys, h], pa.int64()), pa.array(places, pa.int32())], names=["h", "key", "place"])
+            at = pa.array([row] * (len(keys) + 1), pa.int64())
+            own = [batch.column(i).take(at) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array([*keys, h], pa.int64()), pa.array([*range(len(keys)), -1], pa.int32())], names=["doc_id", "text_hash", "line_no", "h", "key", "place"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,86 +117,90 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64())], names=["h"])
 
 
-def repeated_lines(rows: DataFrame, *, min_words: int = MIN_WORDS, edge_words: int = EDGE_WORDS) -> tuple[DataFrame, DataFrame]:
-    """rows: written table (row_id, doc_id, text_hash, text). Returns every long line, and h of the lines that go whole.
+def _small(table: DataFrame) -> DataFrame:
+    """The written table, broadcast if it has few rows of bounded width; else Spark joins it as it sees fit."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def repeated_lines(rows: DataFrame, *, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
+    """rows: (row_id, doc_id, text_hash, text). Returns every long line, and h of the lines that go whole.
 
     The first result has (row_id, line_no, h, first): `first` if it is the earliest of its exact copies; the second
     holds the hashes whose earliest copy has an earlier near line.
     """
-    lines = written(rows.select("row_id", "text").mapInArrow(_lines(min_words, edge_words), _SCHEMA), "lines")
-    ids = rows.select("row_id", "doc_id", "text_hash")
-    placed = lines.join(ids, "row_id")
-    pos = F.struct(F.col("doc_id"), F.col("text_hash"), F.col("line_no"))
-    distinct = written(placed.groupBy("h").agg(F.min(pos).alias("pos"), F.min_by("row_id", pos).alias("row_id"), F.first("head").alias("head"), F.first("tail").alias("tail")), "lines-distinct")
-
-    shared = None
-    for edge in ("head", "tail"):
-        often = distinct.groupBy(edge).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(edge)
-        found = distinct.join(written(often, f"lines-{edge}"), edge, "left_semi").select("h", "pos", "row_id")
-        shared = found if shared is None else shared.union(found)
-    near = shared.groupBy("h").agg(F.first("pos").alias("pos"), F.first("row_id").alias("row_id"))
-    wanted = near.groupBy("row_id").agg(F.collect_list(F.col("pos.line_no")).alias("numbers"))
-    texts = written(rows.select("row_id", "text").join(wanted, "row_id").select("numbers", "text").mapInArrow(_texts_of, "h long, line binary"), "lines-texts")
-
-    keys = texts.mapInArrow(_variants, "h long, key long, place int").join(distinct.select("h", "pos"), "h")
-    keys = written(keys.select("h", "pos", "key", "place"), "lines-keys")
-    order = F.struct("pos", "h")
-    best = keys.where("place >= 0").groupBy("key", "place").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "place", F.col("best.pos").alias("best_pos"), F.col("best.h").alias("best_h"))
-    replaced = keys.where("place >= 0").join(best, ["key", "place"]).where(F.col("best_pos") < F.col("pos")).select("h", F.col("best_h").alias("other"))
-    whole = keys.where("place = -2").select("key", F.col("h").alias("short"), F.col("pos").alias("short_pos"))
-    longer = keys.where("place = -1").join(whole, "key")
+    lines = written(rows.select("row_id", "doc_id", "text_hash", "text").mapInArrow(_lines(min_words), _SCHEMA), "lines")
+    pos = F.struct("doc_id", "text_hash", "line_no")
+    distinct = written(lines.groupBy("h").agg(F.min(F.struct(pos.alias("pos"), F.col("row_id"), F.col("edges"))).alias("x")).select("h", "x.pos", "x.row_id", "x.edges"), "lines-distinct")
+
+    ends = distinct.select("h", F.explode("edges").alias("edge"))
+    often = _small(written(ends.groupBy("edge").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("edge"), "lines-edges"))
+    near = _small(written(ends.join(often, "edge", "left_semi").select("h").distinct(), "lines-shared"))
+    wanted = distinct.join(near, "h", "left_semi").groupBy("row_id").agg(F.collect_list(F.col("pos.line_no")).alias("numbers"))
+    found = rows.join(_small(written(wanted, "lines-wanted")), "row_id").select("doc_id", "text_hash", "numbers", "text")
+    texts = written(found.mapInArrow(_texts_of, "doc_id long, text_hash long, line_no int, h long, line binary"), "lines-texts")
+
+    keys = texts.mapInArrow(_variants, "doc_id long, text_hash long, line_no int, h long, key long, place int")
+    keys = written(keys.select("h", pos.alias("pos"), "key", "place"), "lines-keys")
+    cut, whole = keys.where("place >= 0"), keys.where("place = -1").select("key", F.col("h").alias("short"), F.col("pos").alias("short_pos"))
+    best = cut.groupBy("key", "place").agg(F.min(F.struct("pos", "h")).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    best = _small(written(best.select("key", "place", F.col("best.pos").alias("best_pos"), F.col("best.h").alias("other")), "lines-replaced"))
+    replaced = cut.join(best, ["key", "place"]).where(F.col("best_pos") < F.col("pos")).select("h", "other")
+    longer = written(cut.join(_small(whole), "key").select("h", "pos", "short", "short_pos"), "lines-inserted")
     inserted = longer.where(F.col("short_pos") < F.col("pos")).select("h", F.col("short").alias("other"))
     first_longer = longer.where(F.col("pos") < F.col("short_pos")).groupBy("short").agg(F.min_by("h", "pos").alias("other")).select(F.col("short").alias("h"), "other")
     pairs = replaced.union(inserted).union(first_longer).distinct()
     left, right = texts.select("h", F.col("line").alias("a")), texts.select(F.col("h").alias("other"), F.col("line").alias("b"))
     gone = pairs.join(left, "h").join(right, "other").select("h", "a", "b").mapInArrow(_verify, "h long").distinct()
     first = distinct.select(F.col("h").alias("of"), F.col("pos").alias("first_pos"))
-    marked = placed.withColumn("pos", pos).join(first, placed["h"] == first["of"]).select("row_id", "line_no", "h", (F.col("pos") == F.col("first_pos")).alias("first"))
+    marked = lines.withColumn("pos", pos).join(first, lines["h"] == first["of"]).select("row_id", "line_no", "h", F.col("pos").eqNullSafe(F.col("first_pos")).alias("first"))
     return marked, written(gone, "lines-near")
 
 
-def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row_id, text, numbers of the lines that go) → row_id, text, removed, left."""
-    for batch in batches:
-        texts, removed, left = [], [], []
-        for text, gone in zip(batch.column(1), batch.column(2).to_pylist()):
-            text = text.as_py()
-            if gone:
-                drop = set(gone)
-                lines = [x for i, x in enumerate(text.split("\n")) if i not in drop]
-                texts.append("\n".join(lines))
-                left.append(any(x.strip() for x in lines))
-            else:
+def _rebuild(text_at: int, gone_at: int, report: bool):
+    """Texts without the lines that go. Rows with nothing left leave, or, for the report, get a null text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, removed, left = [], [], []
+            for text, gone in zip(batch.column(text_at), batch.column(gone_at).to_pylist()):
+                text = text.as_py()
+                stays = True
+                if gone:
+                    drop = set(gone)
+                    lines = [x for i, x in enumerate(text.split("\n")) if i not in drop]
+                    stays = any(x.strip() for x in lines)
+                    text = "\n".join(lines) if stays else None
                 texts.append(text)
-                left.append(True)
-            removed.append(len(gone or ()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(removed, pa.int32()), pa.array(left, pa.bool_())], names=["row_id", "text", "removed", "left"])
+                removed.append(len(gone or ()))
+                left.append(stays)
+            columns, names = list(batch.columns), list(batch.schema.names)
+            columns[text_at] = pa.array(texts, pa.string())
+            columns[gone_at], names[gone_at] = pa.array(removed, pa.int32()), "removed" if report else "__gone"
+            out = pa.RecordBatch.from_arrays(columns, names=names)
+            yield out if report else out.filter(pa.array(left, pa.bool_()))
+
+    return run
 
 
-def deduped_rows(rows: DataFrame, **options) -> DataFrame:
-    """row_id, text without its repeated lines, removed (their number), left (whether anything is left) of every row."""
+def _with_lost(tagged: DataFrame, id_col: str, text_col: str, options: dict) -> DataFrame:
+    """tagged with the numbers of each row's lost lines as its last column; the texts move once."""
+    rows = tagged.select(F.col("__row").alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
     marked, near = repeated_lines(rows, **options)
     near = near.select(F.col("h").alias("of"), F.lit(True).alias("near"))
     lost = marked.join(near, marked["h"] == near["of"], "left").where("near OR NOT first")
-    numbers = lost.groupBy("row_id").agg(F.collect_list("line_no").alias("gone"))
-    return rows.select("row_id", "text").join(numbers, "row_id", "left").mapInArrow(_rebuild, "row_id long, text string, removed int, left boolean")
-
-
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
+    numbers = lost.groupBy(F.col("row_id").alias("__row")).agg(F.collect_list("line_no").alias("__gone"))
+    return tagged.join(numbers, "__row", "left")
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs without their repeated lines; rows with nothing left go. All columns stay, in order."""
-    names = docs.columns
-    tagged = docs.withColumn("__row", F.monotonically_increasing_id())
-    rows = tagged.select(F.col("__row").alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
-    new = deduped_rows(rows, **options).where("left").select(F.col("row_id").alias("__row"), F.col("text").alias("__text"))
-    return tagged.drop(text_col).join(new, "__row").withColumnRenamed("__text", text_col).select(*names)
+    found = _with_lost(docs.withColumn("__row", F.monotonically_increasing_id()), id_col, text_col, options).select(*docs.columns, "__gone")
+    schema = T.StructType([*docs.schema.fields, T.StructField("__gone", T.IntegerType())])
+    return found.mapInArrow(_rebuild(docs.columns.index(text_col), len(docs.columns), False), schema).select(*docs.columns)
 
 
 def line_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """doc_id, removed lines, and the text that stays (null where nothing does) of every row."""
-    rows = _rows(docs, id_col, text_col)
-    new = deduped_rows(rows, **options)
-    return rows.select("row_id", "doc_id").join(new, "row_id").select("doc_id", "removed", F.when(F.col("left"), F.col("text")).alias("text"))
+    tagged = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("__row"))
+    found = _with_lost(tagged, "doc_id", "text", options).select("doc_id", "text", "__gone")
+    return found.mapInArrow(_rebuild(1, 2, True), "doc_id long, text string, removed int").select("doc_id", "removed", "text")
