@@ -27,8 +27,8 @@ from lodestrata.llm.store import written
 PRIMES = (2147483647, 2147483629, 2147483587, 2147483579)
 WEIGHTS = (5.0, 2.0, 1.0)
 BLOCK_WORDS = 64
-SHARD_WORDS = 4_000_000
-SHARD_DOCS = 50_000
+SHARD_WORDS = 1_000_000
+SHARD_DOCS = 2_000
 
 
 def word_count(text: Column) -> Column:
@@ -55,19 +55,30 @@ def fill(sizes: np.ndarray, weights: np.ndarray, total: float, most: float) -> n
 def sainte_lague(weights: list[float], seats: int) -> list[int]:
     """Seats by the highest quotients w / (2s + 1), ties to the earlier.
 
-    Seats that any list holding at least the lower quota must get are given at once, so the work is that of the
-    number of lists, not of seats.
+    Rounding the exact shares gives the seats for some number near the wanted one; the quotients then add or take
+    back the few that are left, so the work is that of the number of lists, not of seats.
     """
-    total = sum(map(Fraction, weights))
+    exact = [Fraction(w) for w in weights]
+    total = sum(exact)
     if not total:
         return [0] * len(weights)
-    got = [max(0, int(Fraction(w) * seats / total) - len(weights)) for w in weights]
-    queue = [(-Fraction(w) / (2 * s + 1), i) for i, (w, s) in enumerate(zip(weights, got)) if w > 0]
-    heapq.heapify(queue)
-    for _ in range(seats - sum(got)):
-        _, i = heapq.heappop(queue)
-        got[i] += 1
-        heapq.heappush(queue, (-Fraction(weights[i]) / (2 * got[i] + 1), i))
+    got = [int(w * seats / total + Fraction(1, 2)) for w in exact]
+    short = seats - sum(got)
+    if short > 0:
+        queue = [(-w / (2 * s + 1), i) for i, (w, s) in enumerate(zip(exact, got)) if w > 0]
+        heapq.heapify(queue)
+        for _ in range(short):
+            _, i = heapq.heappop(queue)
+            got[i] += 1
+            heapq.heappush(queue, (-exact[i] / (2 * got[i] + 1), i))
+    elif short < 0:
+        queue = [(w / (2 * s - 1), -i) for i, (w, s) in enumerate(zip(exact, got)) if s > 0]
+        heapq.heapify(queue)
+        for _ in range(-short):
+            _, i = heapq.heappop(queue)
+            got[-i] -= 1
+            if got[-i]:
+                heapq.heappush(queue, (exact[-i] / (2 * got[-i] - 1), i))
     return got
 
 
