@@ -7,7 +7,7 @@ each is calibrated on held-out labels (Platt scaling), and a logistic combinatio
 scores every document.
 
 Fitting is bounded: at most `max_labelled` labelled and `max_pool` unlabelled documents, the ones with the smallest
-hash of their id, whose feature rows (some hundred floats each) come to the driver. Scoring covers every document.
+hash of their id, whose feature rows (0.6 kB each) come to the driver. Scoring covers every document.
 
 A document is rejected when its probability of good quality is below the threshold, which is set on the held-out
 labels so that at most `max_loss` of the good ones are lost. Documents with conflicting labels don't train. With no
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.store import written
 
-MAX_LABELLED = 20_000
-MAX_POOL = 20_000
+MAX_LABELLED = 10_000
+MAX_POOL = 5_000
 ROUNDS = 4
 HASHED = 64
 META = 64
@@ -183,9 +183,8 @@ def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.nda
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         key, text, source, lang, n = (batch.column(i) for i in range(5))
-        t = [text_features(x.as_py()).tolist() for x in text]
-        m = [meta_features(a, b, c).tolist() for a, b, c in zip(source.to_pylist(), lang.to_pylist(), n.to_pylist())]
-        yield pa.RecordBatch.from_arrays([key, pa.array(t, pa.list_(pa.float64())), pa.array(m, pa.list_(pa.float64()))], names=["y", "t", "m"])
+        rows = [np.r_[text_features(t.as_py()), meta_features(a, b, c)].astype("<f4").tobytes() for t, a, b, c in zip(text, source.to_pylist(), lang.to_pylist(), n.to_pylist())]
+        yield pa.RecordBatch.from_arrays([key, pa.array(rows, pa.binary())], names=["y", "x"])
 
 
 def _columns(docs: DataFrame, text_col: str, source_col: str, lang_col: str, length_col: str) -> list:
@@ -202,13 +201,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     pool = rows.select("__id").join(known, "__id", "left_anti").orderBy(*order).limit(max_pool).distinct()
     chosen = written(taken.union(pool.select("__id", F.lit(None).cast("double"))), "quality-sample")
     found = rows.join(chosen, "__id").select("y", "text", "source", "lang", "n", "__id")
-    kept = written(found.select("y", "text", "source", "lang", "n").mapInArrow(_features, "y double, t array<double>, m array<double>"), "quality-features")
-    data = kept.toPandas()
-    if not len(data):
+    kept = written(found.select("y", "text", "source", "lang", "n").mapInArrow(_features, "y double, x binary"), "quality-features")
+    data = kept.toArrow()
+    if not data.num_rows:
         return Model()
-    t, m = np.array(data["t"].tolist()), np.array(data["m"].tolist())
-    order_ = np.lexsort((*t.T[:20], *m.T[:4]))
-    t, m, y = t[order_], m[order_], data["y"].to_numpy()[order_]
+    # Equal rows are interchangeable, so sorting by the features makes the order, and the model, the same each time.
+    pairs = sorted((b, -1.0 if label is None else label) for b, label in zip(data["x"].to_pylist(), data["y"].to_pylist()))
+    x = np.frombuffer(b"".join(b for b, _ in pairs), "<f4").reshape(len(pairs), -1)
+    t, m = x[:, : 20 + HASHED].astype(float), x[:, 20 + HASHED :].astype(float)
+    y = np.array([label for _, label in pairs])
+    y[y < 0] = np.nan
     seen = ~np.isnan(y)
     mixed = np.random.default_rng(5).permutation(int(seen.sum()))
     return cotrain(t[seen][mixed], m[seen][mixed], y[seen][mixed], t[~seen], m[~seen], **options)
