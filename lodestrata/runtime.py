@@ -10,9 +10,13 @@ from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
 
+#: Rows in one Arrow batch to Python: texts can be long, and a worker holds a batch or two.
+BATCH_ROWS = 1000
+
 
 def ship(spark: SparkSession) -> SparkSession:
     """Send this package to the executors once an application (Spark's own file server carries it)."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         package = os.path.dirname(os.path.abspath(__file__))
