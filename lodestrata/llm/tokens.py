@@ -9,11 +9,11 @@ from itertools import repeat
 import numpy as np
 
 #: Words whose ids a worker keeps; beyond it, new words are encoded again for each slice of texts.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 #: Words encoded in one call. A mark that no such word holds, or the blank itself, shows where each begins.
 JOINED_WORDS, MARK = 2000, "\x01"
 #: Characters of text turned into ids at a time.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
