@@ -26,7 +26,7 @@ from lodestrata.llm.store import written
 from lodestrata.llm.tokens import encoder
 
 #: Ids after which a block is closed; a single longer document makes a longer block.
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 500_000
 
 #: Vocabularies up to this size are counted in an array, larger ids by sorting.
 COUNTED = 1 << 22
