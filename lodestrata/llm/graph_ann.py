@@ -204,7 +204,8 @@ def nearest(vectors: DataFrame, every: int, k: int, *, id_col: str = "vec_id", v
     asked = asked.select(F.struct("dim", "part").alias("place"), F.lit(True).alias("asks"), F.col("vec_id").alias("query_id"), "v", F.lit(None).cast("array<long>").alias("ids"))
     shards = max(1, sizes.agg(F.sum("shards")).first()[0] or 1)
     both = base.union(asked).select((F.col("place.dim").cast("long") * F.lit(1 << 32) + F.col("place.part")).alias("shard"), "asks", "query_id", "v", "ids")
-    dealt = both.repartition(int(shards), "shard").sortWithinPartitions("shard", "asks", F.xxhash64("v"), "query_id")
+    # More tasks than shards, so that few get two; one that does answers them one after another.
+    dealt = both.repartition(4 * int(shards), "shard").sortWithinPartitions("shard", "asks", F.xxhash64("v"), "query_id")
     found = dealt.mapInPandas(_answer(k, beam, degree, build_beam, alpha), _OUT)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
