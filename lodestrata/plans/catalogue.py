@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.plans import facts
+from lodestrata.plans import counts, facts
 
-MODULES = (facts,)
+MODULES = (facts, counts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
