@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.plans import counts, facts
+from lodestrata.plans import claims, counts, events, facts, retrieval, text
 
-MODULES = (facts, counts)
+MODULES = (facts, claims, counts, retrieval, text, events)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,4 +16,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: text for module in MODULES for name, text in module.ORACLES.items()}
+    return {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
