@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.plans import claims, counts, events, facts, retrieval, text
+from lodestrata.plans import claims, counts, events, facts, retrieval, rules, text
 
-MODULES = (facts, claims, counts, retrieval, text, events)
+MODULES = (facts, claims, counts, retrieval, text, events, rules)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
