@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.plans import claims, counts, events, facts, retrieval, rules, text
+from lodestrata.plans import claims, counts, events, facts, retrieval, rules, text, writes
 
-MODULES = (facts, claims, counts, retrieval, text, events, rules)
+MODULES = (facts, claims, counts, retrieval, text, events, rules, writes)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -24,7 +24,7 @@ def evidence_view(spark: SparkSession, d: str) -> DataFrame:
 def entity_touch_counts(spark: SparkSession, d: str) -> DataFrame:
     """Claims touching each entity, as part or as supplier, by type."""
     li = table(spark, d, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("subject"), F.concat(F.lit("p"), F.col("l_partkey")).alias("object"))
-    return R.touching(li, ["subject", "object"], "entity").groupBy("entity").agg(F.count(F.lit(1)).alias("n")).where("n >= 30")
+    return R.touching(li, ["subject", "object"], "entity").groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
 
 
 def revalidate_reasons(spark: SparkSession, d: str) -> DataFrame:
@@ -126,16 +126,16 @@ def narrower_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def facet_with_partners(spark: SparkSession, d: str) -> DataFrame:
-    """Documents of one source that are toxic, and all with the same text: both sides travel together."""
-    docs = table(spark, d, "documents").select("doc_id", "source", F.sha2("text", 256).alias("h"))
-    hit = docs.join(table(spark, d, "labels").where("toxic = 1").select("doc_id"), "doc_id").where("source < 'src15'")
+    """Documents of one language that are toxic, and all with the same text: both sides travel together."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "lang", F.sha2("text", 256).alias("h"))
+    hit = docs.join(table(spark, d, "labels").where("toxic = 1").select("doc_id"), "doc_id").where("lang = 'en'")
     return docs.join(hit.select("h").distinct(), "h", "left_semi").select("doc_id", "source")
 
 
 def one_hop(spark: SparkSession, d: str) -> DataFrame:
-    """Suppliers one hop from part 1 to 10, over both directions of the supply edges."""
+    """Suppliers one hop from each part, with the claims behind the edge and the newest."""
     li = table(spark, d, "lineitem")
-    return li.where("l_partkey <= 10").groupBy("l_partkey", "l_suppkey").agg(F.count(F.lit(1)).alias("claims"), F.max("l_shipdate").alias("valid_at"))
+    return li.groupBy("l_partkey", "l_suppkey").agg(F.count(F.lit(1)).alias("claims"), F.max("l_shipdate").alias("valid_at"))
 
 
 def rivals(spark: SparkSession, d: str) -> DataFrame:
@@ -182,7 +182,7 @@ _LI = "SELECT *, l_partkey * 10 + l_linenumber AS claim FROM lineitem"
 
 ORACLES = {
     "evidence_view": "SELECT s_name AS source, count(*) AS claims, count(p_size) AS statistics FROM lineitem JOIN supplier ON s_suppkey = l_suppkey LEFT JOIN part ON p_partkey = l_partkey AND p_size > 10 GROUP BY 1",
-    "entity_touch_counts": "SELECT entity, count(*) AS n FROM (SELECT 's' || l_suppkey AS entity FROM lineitem UNION ALL SELECT 'p' || l_partkey FROM lineitem) GROUP BY 1 HAVING count(*) >= 30",
+    "entity_touch_counts": "SELECT entity, count(*) AS n FROM (SELECT 's' || l_suppkey AS entity FROM lineitem UNION ALL SELECT 'p' || l_partkey FROM lineitem) GROUP BY 1",
     "revalidate_reasons": "SELECT CASE WHEN n_chars < 50 THEN 'not_stored' WHEN lang <> 'en' THEN 'other_city' WHEN source IN ('src0', 'src1') THEN 'other_run' WHEN toxic = 1 THEN 'status' WHEN quality = 0 THEN 'no_supported_verdict' ELSE 'kept' END AS reason, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1",
     "as_of_facts": f"SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_shipdate <= TIMESTAMP '{AS_OF}' AND (l_linestatus <> 'F' OR l_shipdate + INTERVAL 90 DAY > TIMESTAMP '{AS_OF}')",
     "latest_per_slot": "SELECT o_custkey, o_orderpriority, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate DESC NULLS LAST, o_orderkey) AS rn FROM orders) WHERE rn = 1",
@@ -198,8 +198,8 @@ ORACLES = {
     "supersede_edges": "SELECT o_custkey, o_orderkey, o_orderdate AS valid_from, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS valid_to FROM orders",
     "latest_observation": "SELECT l_suppkey, l_returnflag AS flag, l_shipdate AS since FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate DESC, l_orderkey, l_linenumber) AS rn FROM lineitem WHERE l_returnflag <> 'R') WHERE rn = 1",
     "narrower_rows": "SELECT o_custkey, o_orderkey FROM orders o WHERE o_totalprice <= 200000 OR NOT EXISTS (SELECT 1 FROM orders n WHERE n.o_custkey = o.o_custkey AND n.o_totalprice <= 200000)",
-    "facet_with_partners": "SELECT doc_id, source FROM documents WHERE text IN (SELECT text FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 AND source < 'src15')",
-    "one_hop": "SELECT l_partkey, l_suppkey, count(*) AS claims, max(l_shipdate) AS valid_at FROM lineitem WHERE l_partkey <= 10 GROUP BY 1, 2",
+    "facet_with_partners": "SELECT doc_id, source FROM documents WHERE text IN (SELECT text FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 AND lang = 'en')",
+    "one_hop": "SELECT l_partkey, l_suppkey, count(*) AS claims, max(l_shipdate) AS valid_at FROM lineitem GROUP BY 1, 2",
     "rivals": "SELECT l_partkey, l_linestatus, count(DISTINCT l_suppkey) AS suppliers, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(DISTINCT l_suppkey) > 1",
     "city_latest_runs": "SELECT c_custkey, c_name, o_orderkey FROM customer LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) ON o_custkey = c_custkey AND rn = 1 ORDER BY o_orderdate DESC NULLS LAST, c_custkey LIMIT 40",
     "source_slots": "SELECT l_suppkey, string_agg(s, ',' ORDER BY s) AS slots FROM (SELECT DISTINCT l_suppkey, l_returnflag || l_linestatus AS s FROM lineitem) GROUP BY 1",

@@ -69,8 +69,8 @@ def eval_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 def _changed_customers(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer")
-    changed = F.when(F.col("c_custkey") % 7 == 0, F.lit("CHANGED")).otherwise(F.col("c_mktsegment"))
-    shifted = F.when(F.col("c_custkey") % 11 == 0, -F.col("c_custkey")).otherwise(F.col("c_custkey"))
+    changed = F.when(F.col("c_acctbal") < 0, F.lit("CHANGED")).otherwise(F.col("c_mktsegment"))
+    shifted = F.when(F.col("c_mktsegment") == "BUILDING", -F.col("c_custkey")).otherwise(F.col("c_custkey"))
     return c.select(shifted.alias("c_custkey"), "c_name", changed.alias("c_mktsegment"))
 
 
@@ -113,7 +113,7 @@ def usage_ratio(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (status_counts, outcome_counts, zero_filled_counts, day_counts, prefix_pivot, coverage_rollup, fold_repeats, top_reasons, eval_metrics, sync_changeset, sync_counts, busy_by_stage, run_compare, priced_by_prefix, usage_ratio)}
 
-_CHANGED = "SELECT CASE WHEN c_custkey % 11 = 0 THEN -c_custkey ELSE c_custkey END AS k, c_name, CASE WHEN c_custkey % 7 = 0 THEN 'CHANGED' ELSE c_mktsegment END AS seg FROM customer"
+_CHANGED = "SELECT CASE WHEN c_mktsegment = 'BUILDING' THEN -c_custkey ELSE c_custkey END AS k, c_name, CASE WHEN c_acctbal < 0 THEN 'CHANGED' ELSE c_mktsegment END AS seg FROM customer"
 _CHANGES = f"""SELECT * FROM (SELECT coalesce(o.c_custkey, n.k) AS c_custkey, CASE WHEN o.c_custkey IS NULL THEN 'inserted' WHEN n.k IS NULL THEN 'deleted'
     WHEN o.c_name IS DISTINCT FROM n.c_name OR o.c_mktsegment IS DISTINCT FROM n.seg THEN 'updated' END AS change
     FROM customer o FULL OUTER JOIN ({_CHANGED}) n ON o.c_custkey = n.k) WHERE change IS NOT NULL"""

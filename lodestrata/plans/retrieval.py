@@ -10,15 +10,18 @@ from lodestrata.operators import fusion, ranking
 from lodestrata.operators import relational as R
 from lodestrata.sources.tables import table
 
-#: The stated query set of the vector routes: so many first ids. It doesn't grow with the table.
-QUESTIONS = 5
+#: The stated query set of the searches: every row whose id is divisible by this.
+EVERY = 20
 
 
 def _similar(spark: SparkSession, d: str) -> DataFrame:
-    """Cosine of every vector to each of the few question vectors, which are broadcast (QUESTIONS rows)."""
+    """Cosine of every vector to each vector of the query set, exact: the set meets all rows in blocks.
+
+    Nothing is hinted: Spark broadcasts the query side while its size allows, and else pairs blocks of both sides.
+    """
     e = table(spark, d, "embeddings").select("vec_id", "embedding", "label")
-    q = e.where(F.col("vec_id") < QUESTIONS).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return e.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", "label", F.round(V.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
+    q = e.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return e.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", "label", F.round(V.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
 
 
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -40,8 +43,10 @@ def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
     """Two routes per question (by cosine, and by same label in id order) fused by reciprocal rank."""
     vector = vector_topk(spark, d).select("query_id", "vec_id", "rank")
     e = table(spark, d, "embeddings").select("vec_id", "label")
-    q = e.where(F.col("vec_id") < QUESTIONS).select(F.col("vec_id").alias("query_id"), F.col("label").alias("of"))
-    same = e.join(F.broadcast(q), (F.col("label") == F.col("of")) & (F.col("vec_id") != F.col("query_id")))
+    # The first eleven of each label hold the first ten others for any question of that label.
+    first = ranking.top_k(e, ["label"], [F.col("vec_id")], 11).drop("rank")
+    q = e.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("label").alias("of"))
+    same = first.join(q, (F.col("label") == F.col("of")) & (F.col("vec_id") != F.col("query_id")))
     structured = ranking.top_k(same, ["query_id"], [F.col("vec_id")], 10).select("query_id", "vec_id", "rank")
     keyed = vector.union(structured).withColumn("item", F.struct("query_id", "vec_id"))
     return fusion.reciprocal_rank_fusion(keyed, "item", "rank").select("item.query_id", "item.vec_id", "score")
@@ -85,24 +90,16 @@ def keyword_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 def trigram_similarity(spark: SparkSession, d: str) -> DataFrame:
-    """Part names near the names of parts 1 to 20, by the Jaccard index of trigrams; blocked on shared trigrams.
+    """For each part of the query set: how many others have the same name, and how many a near one (Jaccard of trigrams).
 
-    The question side has 20 rows at every size, so it is broadcast; each part is compared with it once.
+    Names are compared once each, however many parts bear them; the copies are counted, not expanded.
     """
-    p = table(spark, d, "part").select("p_partkey", V.trigrams(F.col("p_name")).alias("g"))
-    q = p.where("p_partkey <= 20").select(F.col("p_partkey").alias("query_key"), F.col("g").alias("qg"))
-    near = p.join(F.broadcast(q), (F.col("p_partkey") != F.col("query_key")) & F.arrays_overlap("g", "qg"))
-    return near.select("query_key", "p_partkey", F.round(V.jaccard(F.col("g"), F.col("qg")), 6).alias("similarity")).where("similarity >= 0.5")
-
-
-def exact_then_fuzzy(spark: SparkSession, d: str) -> DataFrame:
-    """Exact matches of a name first, then the fuzzy ones that aren't exact."""
-    p = table(spark, d, "part").select("p_partkey", "p_name")
-    wanted = F.broadcast(p.where("p_partkey = 1").select(F.col("p_name").alias("q")))
-    both = p.join(wanted)
-    exact = both.where("p_name = q").select("p_partkey", F.lit("exact").alias("kind"), F.lit(1.0).alias("score"))
-    fuzzy = both.where("p_name <> q").select("p_partkey", F.lit("fuzzy").alias("kind"), F.round(V.jaccard(V.trigrams(F.col("p_name")), V.trigrams(F.col("q"))), 6).alias("score")).where("score >= 0.4")
-    return exact.unionByName(fuzzy)
+    p = table(spark, d, "part").select("p_partkey", F.lower("p_name").alias("name"))
+    names = p.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("p_partkey") % EVERY == 0).alias("asked")).withColumn("g", V.trigrams(F.col("name")))
+    q = names.where("asked > 0").select(F.col("name").alias("q"), F.col("g").alias("qg"))
+    near = names.join(q, F.arrays_overlap("g", "qg")).where((F.col("name") == F.col("q")) | (V.jaccard(F.col("g"), F.col("qg")) >= 0.5))
+    found = near.groupBy("q").agg(F.sum(F.when(F.col("name") == F.col("q"), F.col("n") - 1).otherwise(0)).alias("exact"), F.sum(F.when(F.col("name") != F.col("q"), F.col("n")).otherwise(0)).alias("fuzzy"))
+    return p.where(F.col("p_partkey") % EVERY == 0).join(found, F.col("name") == F.col("q")).select("p_partkey", "exact", "fuzzy")
 
 
 def first_seen_citations(spark: SparkSession, d: str) -> DataFrame:
@@ -152,16 +149,16 @@ def passages_without_quote(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(held, "doc_id", "left_anti").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_filtered, nearest_pair_review, rrf_fuse, anchor_inject, bundle_cap, spread_domains, select_urls, keyword_match, trigram_similarity, exact_then_fuzzy, first_seen_citations, budget_prefix, blocked_minus, keyset_page, offset_page, last_turn, prev_turn, passages_without_quote)}
+QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_filtered, nearest_pair_review, rrf_fuse, anchor_inject, bundle_cap, spread_domains, select_urls, keyword_match, trigram_similarity, first_seen_citations, budget_prefix, blocked_minus, keyset_page, offset_page, last_turn, prev_turn, passages_without_quote)}
 
-_SIM = f"SELECT q.vec_id AS query_id, e.vec_id, e.label, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score FROM embeddings e JOIN embeddings q ON q.vec_id < {QUESTIONS} AND q.vec_id <> e.vec_id"
+_SIM = f"SELECT q.vec_id AS query_id, e.vec_id, e.label, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score FROM embeddings e JOIN embeddings q ON q.vec_id % {EVERY} = 0 AND q.vec_id <> e.vec_id"
 _TOP = f"SELECT query_id, vec_id, label, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM ({_SIM})"
 _URL = """lower(regexp_extract(b, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' || regexp_replace(lower(regexp_extract(b, '^[^:]+://([^/?]*)', 1)), '\\.$', '') ||
     CASE WHEN regexp_extract(b, '^[^:]+://[^/?]*(/[^?]*)', 1) = '' THEN '/' ELSE regexp_extract(b, '^[^:]+://[^/?]*(/[^?]*)', 1) END ||
     CASE WHEN k = '' THEN '' ELSE '?' || k END"""
 CANONICAL = f"""SELECT page_id, {_URL} AS address FROM (SELECT page_id, b, array_to_string(list_filter(string_split(regexp_extract(b, '\\?(.*)$', 1), '&'),
     lambda x: x <> '' AND NOT regexp_matches(x, '(?i)^(utm_[^=]*|gclid|fbclid|msclkid|mc_cid|mc_eid|ref)(=|$)')), '&') AS k FROM (SELECT page_id, regexp_replace(url, '#.*$', '') AS b FROM pages))"""
-_GRAMS = "(SELECT p_partkey, p_name, list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))) AS g FROM part)"
+_GRAMS = "SELECT lower(p_name) AS name, count(*) AS n, list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))) AS g FROM part GROUP BY 1, 3"
 _JACC = "len(list_intersect(a.g, b.g)) / greatest(len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)), 1)"
 
 ORACLES = {
@@ -169,7 +166,7 @@ ORACLES = {
     "vector_topk_filtered": f"SELECT query_id, vec_id, score, CAST(rk AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rk FROM ({_TOP}) WHERE rank <= 30 AND label < 7) WHERE rk <= 10",
     "nearest_pair_review": f"SELECT query_id, vec_id, score FROM ({_TOP}) WHERE rank = 1 AND score >= 0.3",
     "rrf_fuse": f"""WITH v AS (SELECT query_id, vec_id, rank FROM ({_TOP}) WHERE rank <= 10),
-        s AS (SELECT q.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY e.vec_id) AS rank FROM embeddings e JOIN embeddings q ON q.vec_id < {QUESTIONS} AND e.label = q.label AND e.vec_id <> q.vec_id)
+        s AS (SELECT q.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY e.vec_id) AS rank FROM embeddings e JOIN embeddings q ON q.vec_id % {EVERY} = 0 AND e.label = q.label AND e.vec_id <> q.vec_id)
         SELECT query_id, vec_id, round(sum(CAST(1.0 AS DOUBLE) / (60 + rank)), 6) AS score FROM (SELECT * FROM v UNION ALL SELECT * FROM s WHERE rank <= 10) GROUP BY 1, 2""",
     "anchor_inject": """WITH f AS (SELECT o_custkey, o_orderkey FROM orders WHERE o_totalprice > 300000),
         b AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders)
@@ -179,8 +176,8 @@ ORACLES = {
         FROM (SELECT page_id, lower(regexp_extract(url, '^[^:]+://([^/?#:]*)', 1)) AS host FROM pages)) ORDER BY place LIMIT 30""",
     "select_urls": f"SELECT address, min(page_id) AS page_id, CASE WHEN address LIKE 'https%' THEN 0 ELSE 1 END AS tier FROM ({CANONICAL}) GROUP BY 1 ORDER BY tier, page_id LIMIT 50",
     "keyword_match": "SELECT doc_id, CAST(hits AS INT) AS hits FROM (SELECT doc_id, len(list_intersect(list_distinct(regexp_split_to_array(lower(text), '[^a-z]+')), ['the', 'with', 'from', 'this', 'which'])) AS hits FROM documents) WHERE hits > 0 ORDER BY hits DESC, doc_id LIMIT 100",
-    "trigram_similarity": f"SELECT * FROM (SELECT b.p_partkey AS query_key, a.p_partkey, round({_JACC}, 6) AS similarity FROM {_GRAMS} a JOIN {_GRAMS} b ON b.p_partkey <= 20 AND a.p_partkey <> b.p_partkey) WHERE similarity >= 0.5",
-    "exact_then_fuzzy": f"SELECT p_partkey, 'exact' AS kind, CAST(1.0 AS DOUBLE) AS score FROM part WHERE p_name = (SELECT p_name FROM part WHERE p_partkey = 1) UNION ALL SELECT * FROM (SELECT a.p_partkey, 'fuzzy', round({_JACC}, 6) AS s FROM {_GRAMS} a JOIN {_GRAMS} b ON b.p_partkey = 1 AND a.p_name <> b.p_name) WHERE s >= 0.4",
+    "trigram_similarity": f"""WITH g AS ({_GRAMS}), f AS (SELECT b.name, CAST(sum(CASE WHEN a.name = b.name THEN a.n - 1 ELSE 0 END) AS BIGINT) AS exact, CAST(sum(CASE WHEN a.name <> b.name THEN a.n ELSE 0 END) AS BIGINT) AS fuzzy
+        FROM g a JOIN g b ON a.name = b.name OR {_JACC} >= 0.5 GROUP BY 1) SELECT p_partkey, exact, fuzzy FROM part JOIN f ON name = lower(p_name) WHERE p_partkey % {EVERY} = 0""",
     "first_seen_citations": "SELECT source, f AS first_doc, CAST(row_number() OVER (ORDER BY f, source) AS INT) AS number FROM (SELECT source, min(doc_id) AS f FROM documents GROUP BY 1)",
     "budget_prefix": "SELECT conv_id, turn, CAST(used AS BIGINT) AS used FROM (SELECT conv_id, turn, sum(len(regexp_split_to_array(trim(text), '[ \\t\\n\\r]+'))) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS used FROM conversations) WHERE used <= 300",
     "blocked_minus": "SELECT source, count(*) FILTER (l.doc_id IS NULL) AS kept, count(l.doc_id) AS removed FROM documents d LEFT JOIN (SELECT doc_id FROM labels WHERE toxic = 1) l USING (doc_id) GROUP BY 1",
