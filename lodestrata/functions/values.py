@@ -101,8 +101,12 @@ def jaccard(a: Column, b: Column) -> Column:
     return common / F.greatest(F.size(a) + F.size(b) - common, F.lit(1))
 
 
+def dot(a: Column, b: Column) -> Column:
+    """Inner product in double precision."""
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine in double precision, 0 when a norm is 0."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     norms = F.sqrt(dot(a, a) * dot(b, b))
     return F.when(norms > 0, dot(a, b) / norms).otherwise(0.0)
