@@ -29,13 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestrata.llm.store import written
+from lodestrata.llm.store import ROW, numbered, written
 
 MIN_WORDS = 5
 #: Up to so many rows of hashes, a table is broadcast instead of moving the larger side to it.
 BROADCAST_ROWS = 200_000
 
-_SCHEMA = "row_id long, doc_id long, text_hash long, line_no int, h long, edges array<long>"
+_SCHEMA = f"row_id {ROW}, doc_id long, text_hash long, line_no int, h long, edges array<long>"
 
 
 def _signed(x: int) -> int:
@@ -194,13 +194,13 @@ def _with_lost(tagged: DataFrame, id_col: str, text_col: str, options: dict) ->
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs without their repeated lines; rows with nothing left go. All columns stay, in order."""
-    found = _with_lost(docs.withColumn("__row", F.monotonically_increasing_id()), id_col, text_col, options).select(*docs.columns, "__gone")
+    found = _with_lost(numbered(docs, "__row"), id_col, text_col, options).select(*docs.columns, "__gone")
     schema = T.StructType([*docs.schema.fields, T.StructField("__gone", T.IntegerType())])
     return found.mapInArrow(_rebuild(docs.columns.index(text_col), len(docs.columns), False), schema).select(*docs.columns)
 
 
 def line_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """doc_id, removed lines, and the text that stays (null where nothing does) of every row."""
-    tagged = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("__row"))
+    tagged = numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "__row")
     found = _with_lost(tagged, "doc_id", "text", options).select("doc_id", "text", "__gone")
     return found.mapInArrow(_rebuild(1, 2, True), "doc_id long, text string, removed int").select("doc_id", "removed", "text")

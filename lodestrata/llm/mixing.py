@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm.store import written
+from lodestrata.llm.store import numbered, written
 
 #: Primes above any number of blocks of a shard: multiplying by one permutes the blocks. Fixed values.
 PRIMES = (2147483647, 2147483629, 2147483587, 2147483579)
@@ -122,8 +122,8 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     return mix_sizes(written(rows, "mix-sizes"), seed=seed, weights=weights, share=share, max_epochs=max_epochs, block_words=block_words, shard_words=shard_words, shard_docs=shard_docs)
 
 
-def mix_sizes(rows: DataFrame, *, seed: int = 7, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, max_epochs: int = 2, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, shard_docs: int = SHARD_DOCS) -> DataFrame:
-    """As `mix`, for a written table with doc_id, source and size; its other columns stay."""
+def mix_sizes(rows: DataFrame, *, seed: int = 7, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, max_epochs: int = 2, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, shard_docs: int = SHARD_DOCS, ties: tuple[str, ...] = ()) -> DataFrame:
+    """As `mix`, for a written table with doc_id, source and size; its other columns stay, `ties` order rows of equal id and size."""
     goals = written(targets(rows, weights=weights, share=share, max_epochs=max_epochs, block_words=block_words, shard_words=shard_words, shard_docs=shard_docs), "mix-targets")
     t = goals.withColumnRenamed("source", "of")
     dealt = rows.join(t, rows["source"].eqNullSafe(t["of"])).drop("of")
@@ -131,7 +131,7 @@ def mix_sizes(rows: DataFrame, *, seed: int = 7, weights: tuple[float, ...] = WE
     cells = dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("blocks").alias("blocks"))
     quotas = written(shard_quotas(cells), "mix-quotas")
     q = quotas.select(F.col("source").alias("of"), F.col("shard").alias("at"), "shard_size", "quota")
-    stream = Window.partitionBy("source", "shard").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    stream = Window.partitionBy("source", "shard").orderBy("order", "doc_id", "size", *ties).rowsBetween(Window.unboundedPreceding, 0)
     placed = dealt.withColumn("end", F.sum("size").over(stream)).withColumn("begin", F.col("end") - F.col("size"))
     found = placed.join(q, placed["source"].eqNullSafe(q["of"]) & (placed["shard"] == q["at"]))
     prime = F.element_at(F.array(*[F.lit(p) for p in PRIMES]), (F.pmod(F.xxhash64("source", "shard", F.lit(seed)), F.lit(len(PRIMES))) + 1).cast("int"))
@@ -152,7 +152,7 @@ def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     A document that the picked blocks cover by half or more is taken, else left; texts are never cut. A document
     without words is kept once.
     """
-    tagged = docs.withColumn("__row", F.monotonically_increasing_id())
+    tagged = numbered(docs, "__row")
     rows = written(tagged.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), "__row"), "mix-sizes")
-    copies = mix_sizes(rows, **options).select("__row", F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + F.lit(0.5))).cast("int").alias("__copies")).where("__copies > 0")
+    copies = mix_sizes(rows, ties=("__row",), **options).select("__row", F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + F.lit(0.5))).cast("int").alias("__copies")).where("__copies > 0")
     return tagged.join(copies, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__row", "__copies", "__copy")

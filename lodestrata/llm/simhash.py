@@ -22,11 +22,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.llm.components import components
-from lodestrata.llm.store import written
+from lodestrata.llm.store import ROW, numbered, written
 
 SEED = 42
 MAX_DISTANCE = 3
@@ -63,8 +63,12 @@ def _fingerprints(shingle: int):
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(doc_id, fp) of every row."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
+    return _printed(docs, F.col(id_col).cast("long"), text_col, shingle, "long")
+
+
+def _printed(docs: DataFrame, key: Column, text_col: str, shingle: int, kind: str) -> DataFrame:
+    rows = docs.select(key.alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(_fingerprints(shingle), f"doc_id {kind}, fp long")
 
 
 def _keys(prints: DataFrame) -> DataFrame:
@@ -130,8 +134,8 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
 
     Rows with a null id stay only in a group that has no other, the first by text. All columns stay.
     """
-    tagged = docs.withColumn("__row", F.monotonically_increasing_id())
-    prints = written(fingerprints(tagged, id_col="__row", text_col=text_col, shingle=shingle), "simhash-rows")
+    tagged = numbered(docs, "__row")
+    prints = written(_printed(tagged, F.col("__row"), text_col, shingle, ROW), "simhash-rows")
     ids = tagged.select(F.col("__row").alias("doc_id"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("h"))
     order = F.struct(F.col("id").isNull(), "id", "h", "doc_id")
     groups = _groups(prints, hot_key).withColumnRenamed("component_id", "group")

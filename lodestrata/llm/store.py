@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _CONF = "spark.checkpoint.dir"
 _own: dict[str, str] = {}
@@ -32,3 +34,36 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     path = f"{shared_dir(spark)}/lodestrata/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Type of the row identity that `numbered` adds.
+ROW = "struct<file:bigint,at:bigint>"
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a column that names each physical row: its file (hashed) and its place in it.
+
+    The value is the same in every scan. A number made from partitions is not: how files are split into partitions
+    follows the cores at hand, so it changes when executors come or go between two scans. Anything but plain Parquet
+    files under projections and filters is written to the shared folder first.
+    """
+    place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    if _plain_scan(docs):
+        try:
+            return docs.withColumn(name, place)
+        except AnalysisException:  # not Parquet: no row numbers
+            pass
+    plain = [f"c{i}" for i in range(len(docs.columns))]
+    kept = written(docs.toDF(*plain), "rows").withColumn("row", place)
+    return kept.toDF(*docs.columns, name)
+
+
+def _plain_scan(docs: DataFrame) -> bool:
+    """Whether docs is a table of files with nothing but projections and filters above it, each row once."""
+    frame = getattr(docs, "_jdf", None)
+    if frame is None or "_metadata" in (c.lower() for c in docs.columns):
+        return False
+    plan = frame.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.getClass().getSimpleName() == "LogicalRelation"
