@@ -17,6 +17,8 @@ from lodestrata.runtime import ship
 
 #: The table's columns, where a stage has to name them.
 TEXT, LENGTH = "text", "n_chars"
+#: What near-duplicates share: words of a shingle, Jaccard index.
+SHINGLE, LIKENESS = 5, 0.8
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,9 +37,9 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: that of the smallest id."""
+    """One document of each group of sets of five-word shingles with a Jaccard index of 0.8: that of the smallest id."""
     ship(spark)
-    return simhash.dedup(docs)
+    return simhash.dedup(docs, shingle=SHINGLE, likeness=LIKENESS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,10 +13,15 @@ which links the same components.
 Nulls, empty texts and ties: a text with no words (or null) has fingerprint zero and is linked like any other; a
 component's id is the smallest doc_id in it (null only if all are); repeated rows keep their own rows. An empty
 table gives an empty result. Extra columns are left out of `fingerprints` and `near_duplicates`, kept in `dedup`.
+
+`dedup` with a likeness links by the exact Jaccard index of the sets of shingles instead: no bound on the bits is
+wide enough to hold all such pairs and narrow enough to index, so the fingerprints only bring the closest together.
+All other pairs meet on a shared shingle of their prefixes (see `_like_links`), none is lost.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,19 +37,33 @@ SEED = 42
 MAX_DISTANCE = 3
 #: Distinct fingerprints under one key up to which they are joined pair by pair.
 HOT_KEY = 3000
-
-
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """Signed 64-bit SimHash over lower-cased (A-Z) words and their XXH64; repeats count."""
+#: For comparing products of a likeness and a count.
+SLACK = 1e-9
+#: Sets of a key that all others under it meet at a time, and how many times, before those still apart meet each other.
+HUBS, HUB_TURNS = 4, 2
+#: Prefixes that a shingle is in, beyond which it comes last in the order.
+COMMON = 30
+#: Up to so many rows of hashes, a table is broadcast instead of moving the larger side to it.
+BROADCAST_ROWS = 200_000
+
+
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of each shingle of lower-cased (A-Z) words; fewer words are one shingle, no words none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
     if len(words) < shingle:
-        shingles: Iterator[bytes] | list[bytes] = [b" ".join(words)]
+        shingles: Iterator[bytes] | list[bytes] = [b" ".join(words)] if words else []
     else:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(s, SEED) for s in shingles], "<u8")
+    return np.array([digest(s, SEED) for s in shingles], "<u8")
+
+
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """Signed 64-bit SimHash over the shingles of a text; repeats count."""
+    return _majority(shingle_hashes(text, shingle))
+
+
+def _majority(hashes: np.ndarray) -> int:
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)]
@@ -129,15 +148,149 @@ def _groups(prints: DataFrame, hot_key: int) -> DataFrame:
     return written(alone.union(linked.join(least, "label").select("fp", "component_id")), "simhash-groups")
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, hot_key: int = HOT_KEY) -> DataFrame:
+def _sets(shingle: int, likeness: float):
+    """(row, text) → row, node (hash of the set), fp, size of the set, its prefix: the smallest hashes.
+
+    A set at least so like shares `least` elements of this one, so it shares one of any n - least + 1 that come first
+    in an order common to all sets.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, prints, sizes, prefixes = [], [], [], []
+            for text in batch.column(1):
+                hashes = shingle_hashes(text.as_py(), shingle)
+                own = np.unique(hashes)
+                least = math.ceil(likeness * len(own) - SLACK)
+                nodes.append(int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)).view("<i8")))
+                prints.append(_majority(hashes))
+                sizes.append(len(own))
+                prefixes.append(own[: len(own) - least + 1].view("<i8"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "node", "fp", "n", "prefix"])
+
+    return run
+
+
+def _elements(shingle: int, likeness: float):
+    """(node, text) → node, size of the set, length of its prefix, key: one row an element."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, text in zip(batch.column(0), batch.column(1)):
+                own = np.unique(shingle_hashes(text.as_py(), shingle))
+                n = len(own)
+                columns = [pa.array(np.full(n, x, kind)) for x, kind in ((node.as_py(), "<i8"), (n, "<i4"), (n - math.ceil(likeness * n - SLACK) + 1, "<i4"))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(own.view("<i8"))], names=["node", "n", "take", "key"])
+
+    return run
+
+
+def _prefix_keys(nodes: DataFrame, texts: DataFrame, shingle: int, likeness: float, common: int) -> DataFrame:
+    """(key, node, n, place) of the prefixes' shingles that two sets have in theirs.
+
+    The order common to all sets is by hash, with the shingles that more than `common` prefixes hold after all others,
+    so that a passage in very many texts brings none of them together that are otherwise different.
+    """
+    counts = nodes.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("times"))
+    often = written(counts.where(F.col("times") > common).select("key"), "like-common")
+    often = F.broadcast(often) if often.count() <= BROADCAST_ROWS else often
+    moved = nodes.select("node", "doc_id", F.explode("prefix").alias("key")).join(often, "key", "left_semi").select("node", "doc_id").distinct()
+    moved = written(moved, "like-moved")
+    # Hashes are compared without a sign, as in `_sets`.
+    order = Window.partitionBy("node").orderBy("late", F.col("key") < 0, "key")
+    own = texts.join(moved, "doc_id").select("node", "text").mapInArrow(_elements(shingle, likeness), "node long, n int, take int, key long")
+    own = own.join(often.withColumn("late", F.lit(True)), "key", "left").withColumn("late", F.coalesce("late", F.lit(False)))
+    own = own.withColumn("place", F.row_number().over(order) - 1).where("place < take").select("key", "node", "n", "place")
+    rest = nodes.join(moved.select("node"), "node", "left_anti").select("node", "n", F.posexplode("prefix").alias("place", "key"))
+    keys = written(own, "like-own").union(rest.select("key", "node", "n", "place"))
+    shared = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("key"), "like-shared")
+    return written(keys.join(shared, "key", "left_semi"), "like-keys")
+
+
+def _whole_sets(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), shingle)).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "s"])
+
+    return run
+
+
+def _like(likeness: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common >= likeness * (len(x) + len(y) - common) - SLACK)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _like_links(nodes: DataFrame, texts: DataFrame, shingle: int, likeness: float, hot_key: int, common: int) -> DataFrame:
+    """(a, b): pairs of nodes at least so like that connect all such pairs. nodes: node, doc_id, fp, n, prefix.
+
+    First sets meet that the fingerprints bring together, then each set meets a few sets (hubs) of each of its keys:
+    pairs linear in the keys, after which copies with small edits are one component. Last, all sets of different
+    components under a key meet, so only sets that stay apart cost pairs. A pair is tried under a key only if what comes before
+    it in both prefixes, as if nothing of it were shared, leaves room for the likeness; the first shared key does.
+    """
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "like-pairs")
+        wanted = nodes.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi").select("node", "doc_id")
+        sets = written(texts.join(wanted, "doc_id").select("node", "text").mapInArrow(_whole_sets(shingle), "node long, s binary"), "like-sets")
+        met = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+        return written(met.select("a", "b", "x", "y").mapInArrow(_like(likeness), "a long, b long"), "like-links")
+
+    keys = _prefix_keys(nodes, texts, shingle, likeness, common)
+    room = F.lit(1) + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1) >= F.lit(likeness / (1 + likeness)) * (F.col("na") + F.col("nb")) - SLACK
+
+    of_print = nodes.groupBy("fp").agg(F.min("node").alias("a"))
+    close = links(nodes.select("fp"), hot_key).toDF("fa", "fb").join(of_print.toDF("fa", "a"), "fa").join(of_print.toDF("fb", "b"), "fb").select("a", "b")
+    same = nodes.select("fp", F.col("node").alias("b")).join(of_print, "fp").select("a", "b")
+    found = verified(close.union(same))
+    for turn in range(HUB_TURNS + 1):
+        labels = components(found)
+        placed = keys.join(labels, "node", "left").select("key", "node", "n", "place", F.coalesce("label", "node").alias("label"))
+        apart = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+        placed = written(placed.join(apart, "key", "left_semi"), "like-apart")
+        left, right = placed.toDF("key", "a", "na", "pa", "la"), placed.toDF("key", "b", "nb", "pb", "lb")
+        if turn < HUB_TURNS:
+            chosen = [F.min(F.struct(F.xxhash64("node", F.lit(HUBS * turn + k)).alias("r"), "node", "n", "place", "label")) for k in range(HUBS)]
+            left = placed.groupBy("key").agg(F.array(*chosen).alias("hubs")).select("key", F.explode("hubs").alias("hub")).selectExpr("key", "hub.node", "hub.n", "hub.place", "hub.label").toDF("key", "a", "na", "pa", "la")
+        elif placed.isEmpty():
+            break
+        met = left.join(right, "key").where("la <> lb").where(room)
+        found = written(found.union(verified(met.where("a < b").select("a", "b") if turn == HUB_TURNS else met.select("a", "b"))), "like-found")
+    return found
+
+
+def _like_groups(rows: DataFrame, texts: DataFrame, shingle: int, likeness: float, hot_key: int, common: int) -> DataFrame:
+    """(row, group) of every row."""
+    parts = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.first("prefix").alias("prefix"))
+    nodes = written(parts, "like-nodes")
+    labels = components(_like_links(nodes, texts, shingle, likeness, hot_key, common))
+    return rows.select("doc_id", "node").join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("group"))
+
+
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, likeness: float | None = None, hot_key: int = HOT_KEY, common: int = COMMON) -> DataFrame:
     """The rows of docs with one document kept of each group: that of the smallest id, one row of it if repeated.
 
+    Groups connect fingerprints within 3 bits, or, with a likeness, sets of shingles whose Jaccard index reaches it.
     Rows with a null id stay only in a group that has no other, the first by text. All columns stay.
     """
     tagged = numbered(docs, "__row")
-    prints = written(_printed(tagged, F.col("__row"), text_col, shingle, ROW), "simhash-rows")
     ids = tagged.select(F.col("__row").alias("doc_id"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("h"))
     order = F.struct(F.col("id").isNull(), "id", "h", "doc_id")
-    groups = _groups(prints, hot_key).withColumnRenamed("component_id", "group")
-    keep = prints.join(groups, "fp").join(ids, "doc_id").groupBy("group").agg(F.min(order).alias("best")).select(F.col("best.doc_id").alias("__row"))
+    if likeness is None:
+        prints = written(_printed(tagged, F.col("__row"), text_col, shingle, ROW), "simhash-rows")
+        grouped = prints.join(_groups(prints, hot_key).withColumnRenamed("component_id", "group"), "fp")
+    else:
+        texts = tagged.select(F.col("__row").alias("doc_id"), F.col(text_col).alias("text"))
+        rows = written(texts.mapInArrow(_sets(shingle, likeness), f"doc_id {ROW}, node long, fp long, n int, prefix array<long>"), "like-rows")
+        grouped = _like_groups(rows, texts, shingle, likeness, hot_key, common)
+    keep = grouped.join(ids, "doc_id").groupBy("group").agg(F.min(order).alias("best")).select(F.col("best.doc_id").alias("__row"))
     return tagged.join(keep, "__row", "left_semi").drop("__row")

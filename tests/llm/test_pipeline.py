@@ -1,7 +1,8 @@
+import random
 from collections import Counter
 
 import corpus_pipeline
-from lodestrata.llm import queries
+from lodestrata.llm import queries, simhash
 from lodestrata.llm.store import written
 from tests.llm.common import empty_docs
 
@@ -31,5 +32,36 @@ def test_stages_on_an_empty_table(spark, data):
         assert stage(spark, empty_docs(spark), data).count() == 0
 
 
+def near_kept(docs):
+    """Smallest ids of the groups that five-word Jaccard >= 0.8 connects, by comparing every pair."""
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").encode().lower().split()) else set() for i, t in docs}
+    group = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and group[a] != group[b] and (sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])):
+                low, high = sorted((group[a], group[b]))
+                group = {i: low if g == high else g for i, g in group.items()}
+    return sorted(set(group.values()))
+
+
+def test_near_dedup_against_all_pairs(spark, data):
+    r, docs = random.Random(4), []
+    for base in range(30):
+        words = [f"w{r.randrange(3000)}" for _ in range(r.choice([3, 5, 9, 30, 80, 200]))]
+        for _ in range(r.randint(1, 8)):
+            own = list(words)
+            for _ in range(r.choice([0, 1, 2, 3])):
+                own[r.randrange(len(own))] = f"n{r.randrange(50)}"
+            docs.append((len(docs), " ".join(own)))
+    docs += [(len(docs), ""), (len(docs) + 1, None), (len(docs) + 2, "A b c d e f"), (len(docs) + 3, "a b c d e f")]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    kept = sorted(x.doc_id for x in corpus_pipeline.simhash_stage(spark, table, data).collect())
+    assert kept == near_kept(docs)
+    passage = " ".join(f"p{k}" for k in range(40))
+    shared = docs + [(len(docs) + k, " ".join(f"q{r.randrange(900)}" for _ in range(30)) + f" {passage}" + " x" * (k % 3)) for k in range(20)]
+    table = spark.createDataFrame(shared, "doc_id long, text string")
+    assert sorted(x.doc_id for x in simhash.dedup(table, shingle=5, likeness=0.8, common=2).collect()) == near_kept(shared)
+
+
 def test_every_operator_has_its_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
