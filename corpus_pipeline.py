@@ -30,7 +30,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier one has; one with nothing left goes. n_chars follows the new text."""
     ship(spark)
-    kept = line_dedup.dedup_lines(docs)
+    kept = line_dedup.dedup_lines(docs, short=True)
     if LENGTH in docs.columns:
         kept = kept.withColumn(LENGTH, F.length(TEXT).cast(docs.schema[LENGTH].dataType))
     return kept.select(*docs.columns)

@@ -11,8 +11,9 @@ them, and a line goes when an earlier one (smaller doc_id, then line number) is
 * Before the variants, an exact filter: one edit leaves the first or the last half of a line untouched. A line of n
   words is counted under its first and last n // 2 and (n - 1) // 2 words, so that lines whose lengths differ by one
   meet; one that shares none of these with another line has no partner and gives no keys.
-* Lines with fewer than `min_words` words (blank ones too) are always kept. With 5 words one edit is a similarity of
-  0.8.
+* Lines with fewer than `min_words` words give no variants: one edit is too much of them. With 5 words it is a
+  similarity of 0.8. With `short`, exact copies of such lines go like any other, and a line that is mostly written in a
+  script without blanks counts by its characters instead of words. Without it, they are always kept. Blank lines stay.
 
 Documents whose lines have all gone leave; a document that had no line to lose stays as it is. A null text stays
 null; rows with a null doc_id come first in the order. Rows repeated with the same id and text are one document to
@@ -21,6 +22,7 @@ the order, so they keep the same lines. An empty table gives an empty result. Ot
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,6 +37,11 @@ MIN_WORDS = 5
 #: Up to so many rows of hashes, a table is broadcast instead of moving the larger side to it.
 BROADCAST_ROWS = 200_000
 
+#: Letters of scripts that put no blanks between words (Thai, Lao, Myanmar, Khmer, kana, Chinese), and
+#: characters that `split` takes for white space.
+_UNSPACED = re.compile("[\u0e01-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U000323af]")
+_SPACES = frozenset(" \t\n\x0b\x0c\r")
+
 _SCHEMA = f"row_id {ROW}, doc_id long, text_hash long, line_no int, h long, edges array<long>"
 
 
@@ -63,20 +70,30 @@ def _edges(words: list[bytes]) -> list[int]:
     return [_hash([b"first", *words[:k]]) for k in halves] + [_hash([b"last", *words[-k:]]) for k in halves]
 
 
-def _lines(min_words: int):
-    """One row a line long enough: its place, its hash, and those of its first and last halves."""
+def _units(line: bytes, min_words: int, short: bool) -> list[bytes]:
+    """The words of a line, or its characters where it has few words and most of it is of a script without blanks."""
+    words = line.split()
+    if short and 0 < len(words) < min_words and not line.isascii():
+        text = b"".join(words).decode("utf-8", "surrogatepass")
+        if 2 * len(_UNSPACED.findall(text)) > len(text):
+            return [c.encode("utf-8", "surrogatepass") for c in text if c not in _SPACES]
+    return words
+
+
+def _lines(min_words: int, short: bool):
+    """One row a line that can go: its place, its hash, and those of its first and last halves if it is long enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, numbers, hashes, edges = [], [], [], []
             for row, text in enumerate(batch.column(3)):
                 for no, line in enumerate((text.as_py() or "").encode("utf-8", "surrogatepass").split(b"\n")):
-                    words = line.split()
-                    if len(words) >= min_words:
+                    words = _units(line, min_words, short)
+                    if len(words) >= min_words or (short and words):
                         rows.append(row)
                         numbers.append(no)
                         hashes.append(_hash(words))
-                        edges.append(_edges(words))
+                        edges.append(_edges(words) if len(words) >= min_words else [])
             at = pa.array(rows, pa.int64())
             own = [batch.column(i).take(at) for i in range(3)]
             yield pa.RecordBatch.from_arrays([*own, pa.array(numbers, pa.int32()), pa.array(hashes, pa.int64()), pa.array(edges, pa.list_(pa.int64()))], names=["row_id", "doc_id", "text_hash", "line_no", "h", "edges"])
@@ -84,20 +101,24 @@ def _lines(min_words: int):
     return run
 
 
-def _texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _texts_of(min_words: int, short: bool):
     """(doc_id, text_hash, wanted line numbers, text) → one row a line: its place, h, its words as one string."""
-    for batch in batches:
-        rows, no, h, line = [], [], [], []
-        for row, (numbers, text) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3))):
-            lines = text.as_py().encode("utf-8", "surrogatepass").split(b"\n")
-            for n in numbers:
-                words = lines[n].split()
-                rows.append(row)
-                no.append(n)
-                h.append(_hash(words))
-                line.append(b" ".join(words))
-        at = pa.array(rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(no, pa.int32()), pa.array(h, pa.int64()), pa.array(line, pa.binary())], names=["doc_id", "text_hash", "line_no", "h", "line"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, no, h, line = [], [], [], []
+            for row, (numbers, text) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3))):
+                lines = text.as_py().encode("utf-8", "surrogatepass").split(b"\n")
+                for n in numbers:
+                    words = _units(lines[n], min_words, short)
+                    rows.append(row)
+                    no.append(n)
+                    h.append(_hash(words))
+                    line.append(b" ".join(words))
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(no, pa.int32()), pa.array(h, pa.int64()), pa.array(line, pa.binary())], names=["doc_id", "text_hash", "line_no", "h", "line"])
+
+    return run
 
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,13 +143,13 @@ def _small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
-def repeated_lines(rows: DataFrame, *, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
-    """rows: (row_id, doc_id, text_hash, text). Returns every long line, and h of the lines that go whole.
+def repeated_lines(rows: DataFrame, *, min_words: int = MIN_WORDS, short: bool = False) -> tuple[DataFrame, DataFrame]:
+    """rows: (row_id, doc_id, text_hash, text). Returns every line that can go, and h of the lines that go whole.
 
     The first result has (row_id, line_no, h, first): `first` if it is the earliest of its exact copies; the second
     holds the hashes whose earliest copy has an earlier near line.
     """
-    lines = written(rows.select("row_id", "doc_id", "text_hash", "text").mapInArrow(_lines(min_words), _SCHEMA), "lines")
+    lines = written(rows.select("row_id", "doc_id", "text_hash", "text").mapInArrow(_lines(min_words, short), _SCHEMA), "lines")
     pos = F.struct("doc_id", "text_hash", "line_no")
     distinct = written(lines.groupBy("h").agg(F.min(F.struct(pos.alias("pos"), F.col("row_id"), F.col("edges"))).alias("x")).select("h", "x.pos", "x.row_id", "x.edges"), "lines-distinct")
 
@@ -137,7 +158,7 @@ def repeated_lines(rows: DataFrame, *, min_words: int = MIN_WORDS) -> tuple[Data
     near = _small(written(ends.join(often, "edge", "left_semi").select("h").distinct(), "lines-shared"))
     wanted = distinct.join(near, "h", "left_semi").groupBy("row_id").agg(F.collect_list(F.col("pos.line_no")).alias("numbers"))
     found = rows.join(_small(written(wanted, "lines-wanted")), "row_id").select("doc_id", "text_hash", "numbers", "text")
-    texts = written(found.mapInArrow(_texts_of, "doc_id long, text_hash long, line_no int, h long, line binary"), "lines-texts")
+    texts = written(found.mapInArrow(_texts_of(min_words, short), "doc_id long, text_hash long, line_no int, h long, line binary"), "lines-texts")
 
     keys = texts.mapInArrow(_variants, "doc_id long, text_hash long, line_no int, h long, key long, place int")
     keys = written(keys.select("h", pos.alias("pos"), "key", "place"), "lines-keys")

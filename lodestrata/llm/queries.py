@@ -59,7 +59,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestrata.llm.line_dedup import line_report
 
-    return line_report(_table(spark, sf_dir, "documents"))
+    return line_report(_table(spark, sf_dir, "documents"), short=True)
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,3 +81,10 @@ def test_odd_rows(spark):
     assert line_dedup.dedup_lines(empty_docs(spark)).count() == 0
     same = spark.createDataFrame([(1, "one two three four five six")] * 3, "doc_id long, text string")
     assert line_dedup.dedup_lines(same).count() == 3
+
+
+def test_copies_of_short_lines_go(spark):
+    chinese = "\u6211\u4eec\u5728\u6cb3\u8fb9\u770b\u89c1\u4e00\u53ea\u732b"
+    docs = spark.createDataFrame([(1, f"Read more\n\n{chinese}\nx1"), (2, f"own\nRead  more\n\n{chinese}"), (3, f"Read less\n{chinese[:4]}\u72d7{chinese[5:]}\nx2\n{chinese[::-1]}"), (4, "x1")], "doc_id long, text string")
+    rows = {r.doc_id: (r.removed, r.text) for r in line_dedup.line_report(docs, short=True).collect()}
+    assert rows == {1: (0, f"Read more\n\n{chinese}\nx1"), 2: (2, "own\n"), 3: (1, f"Read less\nx2\n{chinese[::-1]}"), 4: (1, None)}
