@@ -29,6 +29,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 BLOCK_WORDS = 64
 SHARD_WORDS = 1_000_000
 SHARD_DOCS = 2_000
+#: Shards apportioned in one task.
+GROUP_SHARDS = 4096
 
 
 def word_count(text: Column) -> Column:
@@ -105,29 +107,47 @@ def targets(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: flo
     return sums.mapInPandas(one, "source string, source_size long, target double, blocks long, shards long")
 
 
-def shard_quotas(cells: DataFrame) -> DataFrame:
-    """Splits each source's blocks among its shards by their words. cells: source, shard, shard_size, blocks."""
+def shard_quotas(cells: DataFrame, group_shards: int = GROUP_SHARDS) -> DataFrame:
+    """Splits each source's blocks among its shards by their words. cells: source, shard, shard_size, blocks.
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("shard")
-        got = sainte_lague(rows["shard_size"].astype(float).tolist(), int(rows["blocks"].iloc[0]))
-        return rows.assign(quota=np.array(got, np.int64))[["source", "shard", "shard_size", "quota"]]
+    A source's blocks go to groups of shards first and then to the shards of each group, so no task holds more than
+    `group_shards` shards, or the groups of one source, however large a source is.
+    """
+    cells = cells.withColumn("part", F.floor(F.col("shard") / group_shards))
+    parts = cells.groupBy("source", "part").agg(F.sum("shard_size").alias("size"), F.first("blocks").alias("blocks"))
+    quotas = _apportioned(parts.withColumn("part2", F.lit(0)), ["source", "part2"], "part").drop("part2")
+    quotas = quotas.select(F.col("source").alias("of"), F.col("part").alias("at"), F.col("quota").alias("blocks"))
+    dealt = cells.drop("blocks").join(quotas, cells["source"].eqNullSafe(quotas["of"]) & (cells["part"] == quotas["at"]))
+    found = _apportioned(dealt.select("source", "part", "shard", F.col("shard_size").alias("size"), "blocks"), ["source", "part"], "shard")
+    return found.select("source", "shard", F.col("size").alias("shard_size"), "quota")
+
+
+def _apportioned(rows: DataFrame, group: list[str], item: str) -> DataFrame:
+    """group, item, size, quota: the blocks of each group among its items by their sizes."""
 
-    return cells.groupBy("source").applyInPandas(one, "source string, shard long, shard_size long, quota long")
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(item)
+        got = sainte_lague(part["size"].astype(float).tolist(), int(part["blocks"].iloc[0]))
+        return part.assign(quota=np.array(got, np.int64))[[*group, item, "size", "quota"]]
+
+    return rows.groupBy(*group).applyInPandas(one, f"{group[0]} string, {group[1]} long, {item} long, size long, quota long")
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, max_epochs: int = 2, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """doc_id, source, size, source_size, target, taken of every row."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
-    return mix_sizes(written(rows, "mix-sizes"), seed=seed, weights=weights, share=share, max_epochs=max_epochs, block_words=block_words, shard_words=shard_words, shard_docs=shard_docs)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("text_hash"))
+    return mix_sizes(written(rows, "mix-sizes"), seed=seed, weights=weights, share=share, max_epochs=max_epochs, block_words=block_words, shard_words=shard_words, shard_docs=shard_docs).select("doc_id", "source", "size", "source_size", "target", "taken")
+
 
+def mix_sizes(rows: DataFrame, *, seed: int = 7, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, max_epochs: int = 2, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, shard_docs: int = SHARD_DOCS, ties: tuple[str, ...] = ("text_hash",)) -> DataFrame:
+    """As `mix`, for a written table with doc_id, source, size and text_hash, with the shard and order of each row added.
 
-def mix_sizes(rows: DataFrame, *, seed: int = 7, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, max_epochs: int = 2, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, shard_docs: int = SHARD_DOCS, ties: tuple[str, ...] = ()) -> DataFrame:
-    """As `mix`, for a written table with doc_id, source and size; its other columns stay, `ties` order rows of equal id and size."""
+    Other columns stay; `ties` order rows of equal id and size. The text's hash deals rows of one id (or none) to shards.
+    """
     goals = written(targets(rows, weights=weights, share=share, max_epochs=max_epochs, block_words=block_words, shard_words=shard_words, shard_docs=shard_docs), "mix-targets")
     t = goals.withColumnRenamed("source", "of")
     dealt = rows.join(t, rows["source"].eqNullSafe(t["of"])).drop("of")
-    dealt = dealt.withColumn("order", F.xxhash64(F.lit(seed), "doc_id")).withColumn("shard", F.pmod(F.xxhash64("order", F.lit(seed + 1)), "shards"))
+    dealt = dealt.withColumn("order", F.xxhash64(F.lit(seed), "doc_id", "text_hash")).withColumn("shard", F.pmod(F.xxhash64("order", F.lit(seed + 1)), "shards"))
     cells = dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("blocks").alias("blocks"))
     quotas = written(shard_quotas(cells), "mix-quotas")
     q = quotas.select(F.col("source").alias("of"), F.col("shard").alias("at"), "shard_size", "quota")
@@ -142,17 +162,25 @@ def mix_sizes(rows: DataFrame, *, seed: int = 7, weights: tuple[float, ...] = WE
         aggregate(sequence(begin div {block_words}, (end - 1) div {block_words}), 0L, (sum, j) -> sum
           + IF(pmod(j * prime + shift, n) < rest, least(end, (j + 1) * {block_words}) - greatest(begin, j * {block_words}), 0L)) END"""
     )
-    extra = [c for c in rows.columns if c not in ("doc_id", "source", "size")]
+    extra = ["shard", "order", *(c for c in rows.columns if c not in ("doc_id", "source", "size"))]
     return found.select("doc_id", "source", "size", "source_size", "target", (F.col("passes") * F.col("size") + covered).alias("taken"), *extra)
 
 
 def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The rows of docs as the mix takes them, whole: as often as the nearest integer to taken / size says.
+    """The rows of docs as the mix takes them, whole; texts are never cut.
 
-    A document that the picked blocks cover by half or more is taken, else left; texts are never cut. A document
-    without words is kept once.
+    A document that the mix takes r = taken / size times stays floor(r) or ceil(r) times. What the roundings leave is
+    carried from each document of a shard to the next, from the smallest to the largest from a seeded start, so the
+    words of a source come near its target however long its documents are. One without words is kept once.
     """
+    seed = options.get("seed", 7)
     tagged = numbered(docs, "__row")
-    rows = written(tagged.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), "__row"), "mix-sizes")
-    copies = mix_sizes(rows, ties=("__row",), **options).select("__row", F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + F.lit(0.5))).cast("int").alias("__copies")).where("__copies > 0")
+    rows = written(tagged.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("text_hash"), "__row"), "mix-sizes")
+    mixed = mix_sizes(rows, ties=("text_hash", "__row"), **options)
+    ratio = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size") * (1 << 20)).cast("long")).otherwise(0)
+    start = F.pmod(F.xxhash64(F.lit(seed + 2), "source", "shard"), F.lit(1 << 20))
+    line = Window.partitionBy("source", "shard").orderBy("size", "order", "doc_id", "text_hash", "__row").rowsBetween(Window.unboundedPreceding, 0)
+    carried = mixed.withColumn("ratio", ratio).withColumn("sum", F.sum("ratio").over(line) + start)
+    times = F.shiftright("sum", 20) - F.shiftright(F.col("sum") - F.col("ratio"), 20)
+    copies = carried.select("__row", F.when(F.col("size") == 0, 1).otherwise(times).cast("int").alias("__copies")).where("__copies > 0")
     return tagged.join(copies, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__row", "__copies", "__copy")

@@ -85,3 +85,29 @@ def test_mixed_documents_come_near_the_targets(spark):
         got[r.source] += len(r.text.split())
     for s, goal in goals.items():
         assert abs(got[s] - goal) < 0.05 * goal
+
+
+@pytest.mark.parametrize("options", [{}, {"shard_docs": 50}])
+def test_long_documents_come_near_the_targets(spark, options):
+    rng = np.random.default_rng(2)
+    rows = [(i, "w " * int(rng.integers(1500, 2500)), "en", "abc"[i % 3], 1) for i in range(960)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    goals = {r.source: r.target for r in mixing.mix(docs).collect()}
+    got, times = defaultdict(int), defaultdict(int)
+    for r in mixing.mixed_documents(docs, **options).collect():
+        got[r.source] += len(r.text.split())
+        times[r.doc_id] += 1
+    assert max(times.values()) <= 2
+    for s, goal in goals.items():
+        assert abs(got[s] - goal) < 0.02 * goal
+
+
+def test_shard_quotas_in_groups(spark):
+    rows = [(s, i, 100 + (i * 37) % 50, 3 * 40) for s in ("a", None) for i in range(40)]
+    cells = spark.createDataFrame(rows, "source string, shard long, shard_size long, blocks long")
+    for size in (1000, 7):
+        found = mixing.shard_quotas(cells, size).collect()
+        assert len(found) == 80
+        for s in ("a", None):
+            assert sum(r.quota for r in found if r.source == s) == 120
+            assert all(2 <= r.quota <= 4 for r in found)
