@@ -3,7 +3,8 @@
 Documents are tokenized, closed with an end id and cut into pieces only where they are longer than a sequence.
 Pieces are dealt to shards of bounded size; in a shard, best-fit decreasing fills the bins and a local search
 moves a piece, exchanges one for one or two for one between underfull bins, each step raising the sum of squared
-fills, until bins run empty. Every piece is placed, and the cost of sharding is at most one open bin a shard.
+fills, until bins run empty and no step is left, or a lower bound of the number of bins is met. Every piece is placed,
+and the cost of sharding is at most one open bin a shard.
 
 Nulls and ties: a null text is an empty one (its end id alone); repeated rows and rows with a null id are packed
 like any other. An empty table gives an empty result. Extra columns are ignored.
@@ -12,6 +13,7 @@ like any other. An empty table gives an empty result. Extra columns are ignored.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +27,6 @@ from lodestrata.llm.tokens import encoder
 
 #: Pieces in a shard, and so in the memory of one task.
 SHARD_PIECES = 40_000
-#: How many of the emptiest bins of a shard the local search tries to empty.
-SEARCH_BINS = 64
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -110,56 +110,132 @@ class _Bins:
         self._put(b)
 
 
-def _search(bins: _Bins, size: np.ndarray, tries: int) -> None:
-    """Local search from the emptiest bins on; each change raises the sum of squared fills."""
-    cap = bins.capacity
-    order = sorted((b for b in range(len(bins.items)) if bins.free[b] > 0), key=lambda b: (-bins.free[b], b))
-    for b in order[:tries]:
-        moved = True
-        while moved and bins.items[b]:
-            moved = False
-            for x in sorted(bins.items[b], key=lambda i: (-size[i], i)):
-                sx = int(size[x])
-                if (c := bins.best(sx, b)) >= 0 and cap - bins.free[c] + sx > cap - bins.free[b]:
-                    bins.change(b, [x], [], size)
-                    bins.change(c, [], [x], size)
-                    moved = True
-                    break
-                found = _exchange(bins, size, b, sx, order)
-                if found:
-                    c, back = found
-                    bins.change(b, [x], back, size)
-                    bins.change(c, back, [x], size)
-                    moved = True
-                    break
-
-
-def _exchange(bins: _Bins, size: np.ndarray, b: int, sx: int, order: list[int]) -> tuple[int, list[int]] | None:
-    """A bin and one or two of its pieces, together smaller than sx, that leave it room for sx: the fullest result."""
-    best, found = -1, None
-    for c in order:
-        f = bins.free[c]
-        if c == b or not bins.items[c] or not f or f > bins.free[b]:
-            continue
-        own = [(int(size[i]), i) for i in bins.items[c]]
-        for k, (y, i) in enumerate(own):
-            if sx - f <= y < sx and f - (sx - y) == 0:
-                return c, [i]
-            if sx - f <= y < sx and (fill := bins.capacity - f + sx - y) > best:
-                best, found = fill, (c, [i])
-            for z, j in own[k + 1 :]:
-                if sx - f <= y + z < sx and (fill := bins.capacity - f + sx - y - z) > best:
-                    best, found = fill, (c, [i, j])
-    return found
-
-
-def pack(sizes: np.ndarray, capacity: int, tries: int = SEARCH_BINS) -> tuple[np.ndarray, np.ndarray]:
+class _Swaps:
+    """What underfull bins could give up, one piece or two, under the room that this leaves and their free room now."""
+
+    def __init__(self, bins: _Bins, size: np.ndarray):
+        self.bins, self.size = bins, size
+        self.cells: dict[tuple[int, int], set[int]] = {}
+        self.rooms, self.frees = 0, [0] * (bins.capacity + 1)
+        for b in range(len(bins.items)):
+            self.put(b)
+
+    def _gifts(self, b: int) -> set[int]:
+        """Sizes of its pieces and sums of two; a bin holds few different sizes, however many pieces."""
+        own = Counter(int(self.size[i]) for i in self.bins.items[b])
+        kinds = list(own)
+        return set(kinds).union(y + z for k, y in enumerate(kinds) for z in kinds[k + (own[y] == 1) :])
+
+    def put(self, b: int) -> None:
+        f = self.bins.free[b]
+        for v in self._gifts(b) if f else ():
+            self.cells.setdefault((v + f, f), set()).add(b)
+            self.frees[v + f] |= 1 << f
+            self.rooms |= 1 << (v + f)
+
+    def take(self, b: int) -> None:
+        f = self.bins.free[b]
+        for v in self._gifts(b) if f else ():
+            cell = self.cells[v + f, f]
+            cell.discard(b)
+            if not cell:
+                del self.cells[v + f, f]
+                self.frees[v + f] &= ~(1 << f)
+                if not self.frees[v + f]:
+                    self.rooms &= ~(1 << (v + f))
+
+    def find(self, b: int, need: int) -> tuple[int, int] | None:
+        """A bin at least as full as b, and the size it gives up, less than `need`, for `need`: the fullest result."""
+        m, below = self.rooms >> need, (2 << self.bins.free[b]) - 1
+        while m:
+            spare = (m & -m).bit_length() - 1
+            frees = self.frees[need + spare] & below & -(2 << spare)
+            while frees:
+                f = (frees & -frees).bit_length() - 1
+                for c in self.cells[need + spare, f]:
+                    if c != b:
+                        return c, need + spare - f
+                frees &= frees - 1
+            m &= m - 1
+        return None
+
+    def pieces(self, c: int, total: int) -> list[int]:
+        """One or two pieces of a bin of that total size."""
+        seen: dict[int, int] = {}
+        for i in self.bins.items[c]:
+            y = int(self.size[i])
+            if y == total:
+                return [i]
+            if total - y in seen:
+                pair = [seen[total - y], i]
+            seen[y] = i
+        return pair
+
+    def move(self, b: int, c: int, x: int, back: list[int]) -> None:
+        """Piece x from b to c, and `back` from c to b."""
+        self.take(b)
+        self.take(c)
+        self.bins.change(b, [x], back, self.size)
+        self.bins.change(c, back, [x], self.size)
+        self.put(b)
+        self.put(c)
+
+
+def least_bins(size: np.ndarray, capacity: int) -> int:
+    """A lower bound of the number of bins: pieces over half a bin meet no other such, and smaller ones fill what they leave."""
+    down = np.sort(np.asarray(size, np.int64))
+    total = np.concatenate([[0], np.cumsum(down)])
+    best = -(-int(total[-1]) // capacity)
+    at = lambda x, side: np.searchsorted(down, x, side)
+    small = np.unique(down[down <= capacity // 2])
+    half, wide, low = at(capacity // 2, "right"), at(capacity - small, "right"), at(small, "left")
+    big = np.maximum(wide, half)
+    alone, shared = len(down) - big, big - half
+    room = shared * capacity - (total[big] - total[half])
+    over = np.maximum(0, -(-(total[half] - total[low] - room) // capacity))
+    return max(best, int((alone + shared + over).max(initial=0)), len(down) - int(half))
+
+
+def _search(bins: _Bins, size: np.ndarray, least: int) -> None:
+    """Local search over all underfull bins, emptiest first, until no change is left or no fewer bins are possible.
+
+    Each change raises the sum of squared fills, a whole number with an upper bound, so the search ends.
+    """
+    open_ = sum(map(bool, bins.items))
+    if open_ <= least:
+        return
+    swaps, moved = _Swaps(bins, size), True
+
+    def step(b: int) -> bool:
+        for x in sorted({int(size[i]): i for i in bins.items[b]}.items(), reverse=True):
+            sx, i = x
+            c = bins.best(sx, b)
+            if c >= 0 and sx - bins.free[c] > -bins.free[b]:
+                swaps.move(b, c, i, [])
+                return True
+            if found := swaps.find(b, sx):
+                swaps.move(b, found[0], i, swaps.pieces(*found))
+                return True
+        return False
+
+    while moved and open_ > least:
+        moved = False
+        for b in sorted((b for b in range(len(bins.items)) if bins.items[b] and bins.free[b] > 0), key=lambda b: (-bins.free[b], b)):
+            while bins.items[b] and bins.free[b] and step(b):
+                moved = True
+            open_ -= not bins.items[b]
+            if open_ <= least:
+                break
+
+
+def pack(sizes: np.ndarray, capacity: int, search: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Bin and offset of each piece."""
     size = np.asarray(sizes, np.int64)
     bins = _Bins(capacity)
     for x in np.lexsort((np.arange(len(size)), -size)):
         bins.add(int(x), size)
-    _search(bins, size, tries)
+    if search:
+        _search(bins, size, least_bins(size, capacity))
     where, offset = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
     n = 0
     for items in bins.items:
@@ -171,14 +247,14 @@ def pack(sizes: np.ndarray, capacity: int, tries: int = SEARCH_BINS) -> tuple[np
     return where, offset
 
 
-def pack_pieces(pieces: DataFrame, capacity: int, *, shard_pieces: int = SHARD_PIECES, tries: int = SEARCH_BINS) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int, *, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """Adds sequence_id and offset. The pieces are written once, so that their number and order hold."""
     pieces = written(pieces, "pieces")
     shards = max(1, -(-pieces.count() // shard_pieces))
     dealt = pieces.withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)))
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        where, offset = pack(rows["length"].to_numpy(), capacity, tries)
+        where, offset = pack(rows["length"].to_numpy(), capacity)
         return rows.assign(sequence_id=(int(rows["shard"].iloc[0]) << 32) + where, offset=offset).drop(columns="shard")
 
     return dealt.groupBy("shard").applyInPandas(one, f"{PIECES}, sequence_id long, offset long")
