@@ -23,7 +23,8 @@ class Encoder:
 
     A byte-level BPE splits before each blank that stands between two other characters, and a word BPE
     that drops white space splits at every blank, so the parts between blanks can be encoded on their own.
-    Where that isn't certain (runs of white space in the byte-level kind), the whole text is encoded.
+    Where that isn't certain (runs of white space in the byte-level kind, added tokens such as an end mark written
+    out in a text), the whole text is encoded.
     """
 
     def __init__(self, path: str, keeps_space: bool):
@@ -31,7 +32,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.keeps_space = keeps_space
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.opens = np.zeros(max(vocab.values()) + 1, bool)
@@ -42,6 +43,8 @@ class Encoder:
             (mark_id,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
             self.opens[mark_id] = True
             self.mark, self.joint = MARK, f" {MARK} "
+        # A text with an added token has a part with each of the token's own.
+        self.added_parts = [max(t.lower().split() or [t.lower()], key=len) for t in self.added if t.strip()]
         self.slots: dict = {}
         self.starts = np.zeros(0, np.int64)
         self.lens = np.zeros(0, np.int64)
@@ -72,9 +75,11 @@ class Encoder:
         return words
 
     def _unsafe(self, part) -> bool:
+        word = part[0] if isinstance(part, tuple) else part
+        if any(t in word.lower() for t in self.added_parts):
+            return True
         if not self.keeps_space:
             return MARK in part
-        word = part[0] if isinstance(part, tuple) else part
         return (not word and not isinstance(part, tuple)) or word[:1].isspace() or word[-1:].isspace()
 
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
