@@ -12,8 +12,10 @@ them, and a line goes when an earlier one (smaller doc_id, then line number) is
   words is counted under its first and last n // 2 and (n - 1) // 2 words, so that lines whose lengths differ by one
   meet; one that shares none of these with another line has no partner and gives no keys.
 * Lines with fewer than `min_words` words give no variants: one edit is too much of them. With 5 words it is a
-  similarity of 0.8. With `short`, exact copies of such lines go like any other, and a line that is mostly written in a
-  script without blanks counts by its characters instead of words. Without it, they are always kept. Blank lines stay.
+  similarity of 0.8. Exact copies of such lines go like any other. A line that is mostly written in a script without
+  blanks counts by its characters instead of words. Blank lines stay.
+* The hash of a line without its ith word is made from those of the words before and after it, so all variants of a
+  line cost time in proportion to its length.
 
 Documents whose lines have all gone leave; a document that had no line to lose stays as it is. A null text stays
 null; rows with a null doc_id come first in the order. Rows repeated with the same id and text are one document to
@@ -25,6 +27,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -37,6 +40,12 @@ MIN_WORDS = 5
 #: Up to so many rows of hashes, a table is broadcast instead of moving the larger side to it.
 BROADCAST_ROWS = 200_000
 
+#: Multiplier of the polynomial hash, any odd number, and its powers as far as they were needed.
+BASE = 0x9E3779B97F4A7C15
+_powers = np.ones(1, np.uint64)
+#: Variants in one Arrow batch, beyond which it ends with its line.
+VARIANT_ROWS = 50_000
+
 #: Letters of scripts that put no blanks between words (Thai, Lao, Myanmar, Khmer, kana, Chinese), and
 #: characters that `split` takes for white space.
 _UNSPACED = re.compile("[\u0e01-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U000323af]")
@@ -70,17 +79,17 @@ def _edges(words: list[bytes]) -> list[int]:
     return [_hash([b"first", *words[:k]]) for k in halves] + [_hash([b"last", *words[-k:]]) for k in halves]
 
 
-def _units(line: bytes, min_words: int, short: bool) -> list[bytes]:
+def _units(line: bytes, min_words: int) -> list[bytes]:
     """The words of a line, or its characters where it has few words and most of it is of a script without blanks."""
     words = line.split()
-    if short and 0 < len(words) < min_words and not line.isascii():
+    if 0 < len(words) < min_words and not line.isascii():
         text = b"".join(words).decode("utf-8", "surrogatepass")
         if 2 * len(_UNSPACED.findall(text)) > len(text):
             return [c.encode("utf-8", "surrogatepass") for c in text if c not in _SPACES]
     return words
 
 
-def _lines(min_words: int, short: bool):
+def _lines(min_words: int):
     """One row a line that can go: its place, its hash, and those of its first and last halves if it is long enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,8 +97,8 @@ def _lines(min_words: int, short: bool):
             rows, numbers, hashes, edges = [], [], [], []
             for row, text in enumerate(batch.column(3)):
                 for no, line in enumerate((text.as_py() or "").encode("utf-8", "surrogatepass").split(b"\n")):
-                    words = _units(line, min_words, short)
-                    if len(words) >= min_words or (short and words):
+                    words = _units(line, min_words)
+                    if words:
                         rows.append(row)
                         numbers.append(no)
                         hashes.append(_hash(words))
@@ -101,7 +110,7 @@ def _lines(min_words: int, short: bool):
     return run
 
 
-def _texts_of(min_words: int, short: bool):
+def _texts_of(min_words: int):
     """(doc_id, text_hash, wanted line numbers, text) → one row a line: its place, h, its words as one string."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +119,7 @@ def _texts_of(min_words: int, short: bool):
             for row, (numbers, text) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3))):
                 lines = text.as_py().encode("utf-8", "surrogatepass").split(b"\n")
                 for n in numbers:
-                    words = _units(lines[n], min_words, short)
+                    words = _units(lines[n], min_words)
                     rows.append(row)
                     no.append(n)
                     h.append(_hash(words))
@@ -121,15 +130,40 @@ def _texts_of(min_words: int, short: bool):
     return run
 
 
+def _deletions(words: list[bytes]) -> np.ndarray:
+    """Hash of the words without each one, then that of all: polynomials in an odd number over their XXH64, modulo 2**64."""
+    n = len(words)
+    while len(_powers) <= n:
+        _powers.resize(2 * len(_powers), refcheck=False)
+        half = len(_powers) // 2
+        _powers[half:] = _powers[:half] * _powers[half - 1] * np.uint64(BASE)
+    own = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n) * _powers[:n]
+    before = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own)])
+    keys = np.append(before[:-1] + (before[-1] - before[1:]) * np.uint64(pow(BASE, -1, 1 << 64)), before[-1])
+    # The high half of a polynomial depends on more of each word than its low half, by which Spark deals out keys.
+    return (keys ^ (keys >> np.uint64(32))).view(np.int64)
+
+
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row a variant: each one-word deletion at its place, and the whole line (place -1)."""
+
+    def out(batch: pa.RecordBatch, rows: list[int], keys: list[np.ndarray]) -> pa.RecordBatch:
+        sizes = [len(k) for k in keys]
+        at = pa.array(np.repeat(np.array(rows, np.int64), sizes))
+        places = np.concatenate([np.append(np.arange(n - 1, dtype=np.int32), np.int32(-1)) for n in sizes])
+        return pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(4)), pa.array(np.concatenate(keys)), pa.array(places)], names=["doc_id", "text_hash", "line_no", "h", "key", "place"])
+
     for batch in batches:
-        for row, (h, line) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())):
-            words = line.split()
-            keys = [_hash(words[:i] + words[i + 1 :]) for i in range(len(words))]
-            at = pa.array([row] * (len(keys) + 1), pa.int64())
-            own = [batch.column(i).take(at) for i in range(4)]
-            yield pa.RecordBatch.from_arrays([*own, pa.array([*keys, h], pa.int64()), pa.array([*range(len(keys)), -1], pa.int32())], names=["doc_id", "text_hash", "line_no", "h", "key", "place"])
+        rows, keys, waiting = [], [], 0
+        for row, line in enumerate(batch.column(4)):
+            rows.append(row)
+            keys.append(_deletions(line.as_py().split()))
+            waiting += len(keys[-1])
+            if waiting >= VARIANT_ROWS:
+                yield out(batch, rows, keys)
+                rows, keys, waiting = [], [], 0
+        if rows:
+            yield out(batch, rows, keys)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,22 +177,26 @@ def _small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
-def repeated_lines(rows: DataFrame, *, min_words: int = MIN_WORDS, short: bool = False) -> tuple[DataFrame, DataFrame]:
+def repeated_lines(rows: DataFrame, *, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
     """rows: (row_id, doc_id, text_hash, text). Returns every line that can go, and h of the lines that go whole.
 
     The first result has (row_id, line_no, h, first): `first` if it is the earliest of its exact copies; the second
     holds the hashes whose earliest copy has an earlier near line.
     """
-    lines = written(rows.select("row_id", "doc_id", "text_hash", "text").mapInArrow(_lines(min_words, short), _SCHEMA), "lines")
+    lines = written(rows.select("row_id", "doc_id", "text_hash", "text").mapInArrow(_lines(min_words), _SCHEMA), "lines")
     pos = F.struct("doc_id", "text_hash", "line_no")
     distinct = written(lines.groupBy("h").agg(F.min(F.struct(pos.alias("pos"), F.col("row_id"), F.col("edges"))).alias("x")).select("h", "x.pos", "x.row_id", "x.edges"), "lines-distinct")
 
     ends = distinct.select("h", F.explode("edges").alias("edge"))
     often = _small(written(ends.groupBy("edge").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("edge"), "lines-edges"))
-    near = _small(written(ends.join(often, "edge", "left_semi").select("h").distinct(), "lines-shared"))
+    near = written(ends.join(often, "edge", "left_semi").select("h").distinct(), "lines-shared")
+    few = near.count() <= BROADCAST_ROWS
+    near = F.broadcast(near) if few else near
     wanted = distinct.join(near, "h", "left_semi").groupBy("row_id").agg(F.collect_list(F.col("pos.line_no")).alias("numbers"))
-    found = rows.join(_small(written(wanted, "lines-wanted")), "row_id").select("doc_id", "text_hash", "numbers", "text")
-    texts = written(found.mapInArrow(_texts_of(min_words, short), "doc_id long, text_hash long, line_no int, h long, line binary"), "lines-texts")
+    # Its lists hold as many numbers together as `near` has rows.
+    wanted = written(wanted, "lines-wanted").hint("broadcast" if few else "merge")
+    found = rows.join(wanted, "row_id").select("doc_id", "text_hash", "numbers", "text")
+    texts = written(found.mapInArrow(_texts_of(min_words), "doc_id long, text_hash long, line_no int, h long, line binary"), "lines-texts")
 
     keys = texts.mapInArrow(_variants, "doc_id long, text_hash long, line_no int, h long, key long, place int")
     keys = written(keys.select("h", pos.alias("pos"), "key", "place"), "lines-keys")

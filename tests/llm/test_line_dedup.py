@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -17,14 +18,17 @@ def distance(a, b):
 
 def plain(docs):
     """Compares each line with all earlier ones."""
-    earlier, out = [], []
+    earlier, short, out = [], [], []
     for doc_id, text in sorted(docs):
         kept = []
         for line in text.split("\n"):
             words = line.encode().split()
-            gone = len(words) >= 5 and any(abs(len(words) - len(e)) <= 1 and distance(words, e) <= 1 for e in earlier)
+            gone = words in short
             if len(words) >= 5:
+                gone = any(abs(len(words) - len(e)) <= 1 and distance(words, e) <= 1 for e in earlier)
                 earlier.append(words)
+            elif words:
+                short.append(words)
             if not gone:
                 kept.append(line)
         n = text.count("\n") + 1 - len(kept)
@@ -86,5 +90,24 @@ def test_odd_rows(spark):
 def test_copies_of_short_lines_go(spark):
     chinese = "\u6211\u4eec\u5728\u6cb3\u8fb9\u770b\u89c1\u4e00\u53ea\u732b"
     docs = spark.createDataFrame([(1, f"Read more\n\n{chinese}\nx1"), (2, f"own\nRead  more\n\n{chinese}"), (3, f"Read less\n{chinese[:4]}\u72d7{chinese[5:]}\nx2\n{chinese[::-1]}"), (4, "x1")], "doc_id long, text string")
-    rows = {r.doc_id: (r.removed, r.text) for r in line_dedup.line_report(docs, short=True).collect()}
+    rows = {r.doc_id: (r.removed, r.text) for r in line_dedup.line_report(docs).collect()}
     assert rows == {1: (0, f"Read more\n\n{chinese}\nx1"), 2: (2, "own\n"), 3: (1, f"Read less\nx2\n{chinese[::-1]}"), 4: (1, None)}
+
+
+def test_long_lines_in_linear_time(spark):
+    """A line of 300,000 words with a near twin of each kind, and one of one word over and over."""
+    words = [f"w{i * 7919 % 100003}" for i in range(300_000)]
+    lines = [words, [*words[:1000], "new", *words[1000:]], [*words[:299_000], "other", *words[299_001:]], words[:150_000] + words[150_001:], ["a"] * 100_000, ["a"] * 100_001, words[::-1]]
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(lines)], "doc_id long, text string")
+    start = time.time()
+    rows = {r.doc_id: r.removed for r in line_dedup.line_report(docs).select("doc_id", "removed").collect()}
+    assert rows == {0: 0, 1: 1, 2: 1, 3: 1, 4: 0, 5: 1, 6: 0}
+    assert time.time() - start < 120
+
+
+def test_deletions_equal_the_shorter_line():
+    words = [b"a", b"b", b"a", b"c", b"c"]
+    keys = line_dedup._deletions(words)
+    for i in range(5):
+        assert keys[i] == line_dedup._deletions(words[:i] + words[i + 1 :])[-1]
+    assert keys[3] == keys[4] and len(set(keys.tolist())) == 5
