@@ -3,12 +3,10 @@
 A 64-bit fingerprint is cut into two halves. Of two fingerprints that differ in at most 3 bits, one half differs
 in at most one bit. So each distinct fingerprint is indexed, for each half, under the half itself and under its 32
 one-wildcard variants (one bit left out); an equality join on these keys finds the candidates, and the bit count of
-their difference verifies them. A variant joins only the side with the wildcard bit 0 to the side with 1, so each
-pair meets once a half.
+their difference verifies them. A wildcard variant that only one side of the wildcard bit has is dropped.
 
-Equal fingerprints are one node, so copies make no pairs. A key shared by more than `hot_key` distinct fingerprints
-isn't joined with itself: its fingerprints go through an exact path of linear size instead (see `_ball_links`),
-which links the same components.
+Equal fingerprints are one node, so copies make no pairs. Near copies make few: a key is never joined with itself
+whole, its fingerprints are linked in a number linear in them that connects the same components (see `links`).
 
 Nulls, empty texts and ties: a text with no words (or null) has fingerprint zero and is linked like any other; a
 component's id is the smallest doc_id in it (null only if all are); repeated rows keep their own rows. An empty
@@ -35,8 +33,8 @@ from lodestrata.llm.store import ROW, numbered, written
 
 SEED = 42
 MAX_DISTANCE = 3
-#: Distinct fingerprints under one key up to which they are joined pair by pair.
-HOT_KEY = 3000
+#: Fingerprints of a key that all others under it meet, and pairs a fingerprint up to which the rest meet pair by pair.
+KEY_HUBS, CROSS = 4, 32
 #: For comparing products of a likeness and a count.
 SLACK = 1e-9
 #: Sets of a key that all others under it meet at a time, and how many times, before those still apart meet each other.
@@ -100,18 +98,42 @@ def _keys(prints: DataFrame) -> DataFrame:
     return rows.selectExpr("fp", "(bits & ~bit) | shiftleft(hole, 32) | shiftleft(half, 38) AS key", "IF(hole = 0, NULL, (bits & bit) <> 0) AS side")
 
 
-def links(prints: DataFrame, hot_key: int = HOT_KEY) -> DataFrame:
-    """(a, b), a < b: pairs of distinct fingerprints that connect all within 3 bits of each other."""
+def links(prints: DataFrame, cross: int = CROSS) -> DataFrame:
+    """(a, b), a < b: pairs of distinct fingerprints that connect all within 3 bits of each other.
+
+    Their number, and that of the pairs tried, is at most a constant times the keys, whatever shares a key: first
+    every fingerprint of a key meets a few (hubs) of it; then, where a key still holds several components, those of
+    different components meet if that is `cross` pairs a fingerprint at most, else they go through `_ball_links`.
+    """
     keys = _keys(prints.select("fp").distinct())
     counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("side").alias("low"), F.max("side").alias("high"))
-    shared = written(counts.where("n > 1 AND (low IS NULL OR low <> high)").select("key", "n"), "simhash-shared")
-    kept = written(keys.join(shared, "key"), "simhash-keys")
-    cool = kept.where(F.col("n") <= hot_key)
-    left = cool.where("side IS NULL OR NOT side").select("key", F.col("fp").alias("a"), F.col("side").isNull().alias("same"))
-    right = cool.where("side IS NULL OR side").select("key", F.col("fp").alias("b"))
-    near = left.join(right, "key").where((~F.col("same")) | (F.col("a") < F.col("b"))).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_DISTANCE)
-    pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return pairs.union(_ball_links(kept.where(F.col("n") > hot_key).select("fp").distinct())).distinct()
+    shared = written(counts.where("n > 1 AND (low IS NULL OR low <> high)").select("key"), "simhash-shared")
+    kept = written(keys.join(shared, "key").select("key", "fp"), "simhash-keys")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        near = pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_DISTANCE)
+        return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    hubs = kept.groupBy("key").agg(F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64("fp", F.lit(k)).alias("r"), "fp"))["fp"] for k in range(KEY_HUBS)])).alias("hubs"))
+    met = kept.select("key", F.col("fp").alias("b")).join(hubs.select("key", F.explode("hubs").alias("a")), "key").where("a <> b")
+    found = written(verified(met), "simhash-hubs")
+
+    labels = components(found)
+    placed = kept.join(labels, kept["fp"] == labels["node"], "left").select("key", "fp", F.coalesce("label", "fp").alias("label"))
+    apart = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    placed = written(placed.join(apart, "key", "left_semi"), "simhash-apart")
+    if placed.isEmpty():
+        return found
+    parts = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+    sums = parts.groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.max_by("label", F.struct("c", "label")).alias("main"))
+    sums = written(sums.select("key", "main", ((F.col("n") * F.col("n") - F.col("squares")) / 2 > cross * F.col("n")).alias("many")), "simhash-parts")
+    # One side without the largest component of a key: at most four times as many comparisons as pairs between components.
+    few = placed.join(sums.where("NOT many"), "key")
+    left = few.where("label <> main").select("key", F.col("fp").alias("a"), F.col("label").alias("la"))
+    right = few.select("key", F.col("fp").alias("b"), F.col("label").alias("lb"))
+    found = found.union(verified(left.join(right, "key").where("la <> lb")))
+    many = written(placed.join(sums.where("many"), "key", "left_semi").select("fp").distinct(), "simhash-many")
+    return found if many.isEmpty() else found.union(_ball_links(many))
 
 
 def _ball_links(prints: DataFrame) -> DataFrame:
@@ -130,17 +152,17 @@ def _ball_links(prints: DataFrame) -> DataFrame:
     return found.select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, hot_key: int = HOT_KEY) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, cross: int = CROSS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row."""
     prints = written(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "simhash")
-    groups = _groups(prints, hot_key)
+    groups = _groups(prints, cross)
     return prints.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _groups(prints: DataFrame, hot_key: int) -> DataFrame:
+def _groups(prints: DataFrame, cross: int) -> DataFrame:
     """(fp, component_id) of every distinct fingerprint."""
     first = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    labels = components(links(prints, hot_key))
+    labels = components(links(prints, cross))
     joined = first.join(labels, first["fp"] == labels["node"], "left").select("fp", "first", "label")
     linked = joined.where("label IS NOT NULL")
     least = linked.groupBy("label").agg(F.min("first").alias("component_id"))
@@ -229,7 +251,7 @@ def _like(likeness: float):
     return run
 
 
-def _like_links(nodes: DataFrame, texts: DataFrame, shingle: int, likeness: float, hot_key: int, common: int) -> DataFrame:
+def _like_links(nodes: DataFrame, texts: DataFrame, shingle: int, likeness: float, cross: int, common: int) -> DataFrame:
     """(a, b): pairs of nodes at least so like that connect all such pairs. nodes: node, doc_id, fp, n, prefix.
 
     First sets meet that the fingerprints bring together, then each set meets a few sets (hubs) of each of its keys:
@@ -249,7 +271,7 @@ def _like_links(nodes: DataFrame, texts: DataFrame, shingle: int, likeness: floa
     room = F.lit(1) + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1) >= F.lit(likeness / (1 + likeness)) * (F.col("na") + F.col("nb")) - SLACK
 
     of_print = nodes.groupBy("fp").agg(F.min("node").alias("a"))
-    close = links(nodes.select("fp"), hot_key).toDF("fa", "fb").join(of_print.toDF("fa", "a"), "fa").join(of_print.toDF("fb", "b"), "fb").select("a", "b")
+    close = links(nodes.select("fp"), cross).toDF("fa", "fb").join(of_print.toDF("fa", "a"), "fa").join(of_print.toDF("fb", "b"), "fb").select("a", "b")
     same = nodes.select("fp", F.col("node").alias("b")).join(of_print, "fp").select("a", "b")
     found = verified(close.union(same))
     for turn in range(HUB_TURNS + 1):
@@ -268,15 +290,15 @@ def _like_links(nodes: DataFrame, texts: DataFrame, shingle: int, likeness: floa
     return found
 
 
-def _like_groups(rows: DataFrame, texts: DataFrame, shingle: int, likeness: float, hot_key: int, common: int) -> DataFrame:
+def _like_groups(rows: DataFrame, texts: DataFrame, shingle: int, likeness: float, cross: int, common: int) -> DataFrame:
     """(row, group) of every row."""
     parts = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.first("prefix").alias("prefix"))
     nodes = written(parts, "like-nodes")
-    labels = components(_like_links(nodes, texts, shingle, likeness, hot_key, common))
+    labels = components(_like_links(nodes, texts, shingle, likeness, cross, common))
     return rows.select("doc_id", "node").join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("group"))
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, likeness: float | None = None, hot_key: int = HOT_KEY, common: int = COMMON) -> DataFrame:
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, likeness: float | None = None, cross: int = CROSS, common: int = COMMON) -> DataFrame:
     """The rows of docs with one document kept of each group: that of the smallest id, one row of it if repeated.
 
     Groups connect fingerprints within 3 bits, or, with a likeness, sets of shingles whose Jaccard index reaches it.
@@ -287,10 +309,10 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
     order = F.struct(F.col("id").isNull(), "id", "h", "doc_id")
     if likeness is None:
         prints = written(_printed(tagged, F.col("__row"), text_col, shingle, ROW), "simhash-rows")
-        grouped = prints.join(_groups(prints, hot_key).withColumnRenamed("component_id", "group"), "fp")
+        grouped = prints.join(_groups(prints, cross).withColumnRenamed("component_id", "group"), "fp")
     else:
         texts = tagged.select(F.col("__row").alias("doc_id"), F.col(text_col).alias("text"))
         rows = written(texts.mapInArrow(_sets(shingle, likeness), f"doc_id {ROW}, node long, fp long, n int, prefix array<long>"), "like-rows")
-        grouped = _like_groups(rows, texts, shingle, likeness, hot_key, common)
+        grouped = _like_groups(rows, texts, shingle, likeness, cross, common)
     keep = grouped.join(ids, "doc_id").groupBy("group").agg(F.min(order).alias("best")).select(F.col("best.doc_id").alias("__row"))
     return tagged.join(keep, "__row", "left_semi").drop("__row")

@@ -41,8 +41,8 @@ def test_fingerprint_against_plain(spark, data):
         assert simhash.fingerprint(t) & (2**64 - 1) == plain_print(t)
 
 
-@pytest.mark.parametrize("hot", [simhash.HOT_KEY, 2])
-def test_groups_against_all_pairs(spark, hot):
+@pytest.mark.parametrize("cross", [simhash.CROSS, 0])
+def test_groups_against_all_pairs(spark, cross):
     rng = np.random.default_rng(3)
     prints = []
     for _ in range(25):
@@ -52,10 +52,23 @@ def test_groups_against_all_pairs(spark, hot):
             prints.append(base ^ sum(1 << int(i) for i in flips))
     signed = [p - 2**64 if p >> 63 else p for p in prints]
     table = spark.createDataFrame([(i, p) for i, p in enumerate(signed)], "doc_id long, fp long")
-    groups = {r.fp: r.component_id for r in simhash._groups(table, hot).collect()}
+    groups = {r.fp: r.component_id for r in simhash._groups(table, cross).collect()}
     assert [groups[p] for p in signed] == plain_components(prints)
 
 
+@pytest.mark.parametrize("n", [500, 2000])
+def test_links_of_near_copies_are_linear(spark, n):
+    """One family within 3 bits of each other and one that shares a half without being near: pairs don't grow with n."""
+    rng = np.random.default_rng(n)
+    base = int(rng.integers(0, 2**62))
+    near = [base] + [base ^ sum(1 << int(i) for i in rng.choice(63, 1 + k % 2, replace=False)) for k in range(n)]
+    far = [(7 << 32) | int(x) for x in rng.integers(0, 2**31, n)]
+    table = spark.createDataFrame([(p,) for p in dict.fromkeys(near + far)], "fp long")
+    found = simhash.links(table).collect()
+    assert len(found) <= 40 * table.count()
+    assert {x for r in found for x in r} >= set(near)
+
+
 def test_query_on_documents(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     rows = {r.doc_id: r for r in simhash.near_duplicates(docs).collect()}
