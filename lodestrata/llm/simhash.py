@@ -37,12 +37,8 @@ MAX_DISTANCE = 3
 KEY_HUBS, CROSS = 4, 32
 #: For comparing products of a likeness and a count.
 SLACK = 1e-9
-#: Sets of a key that all others under it meet at a time, and how many times, before those still apart meet each other.
-HUBS, HUB_TURNS = 4, 2
-#: Prefixes that a shingle is in, beyond which it comes last in the order.
-COMMON = 30
-#: Up to so many rows of hashes, a table is broadcast instead of moving the larger side to it.
-BROADCAST_ROWS = 200_000
+#: Turns in which each set meets a hub before those still apart meet each other.
+HUB_TURNS = 2
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -170,25 +166,30 @@ def _groups(prints: DataFrame, cross: int) -> DataFrame:
     return written(alone.union(linked.join(least, "label").select("fp", "component_id")), "simhash-groups")
 
 
+def _least(n: int, likeness: float) -> int:
+    """Elements that a set at least so like shares with one of n."""
+    return math.ceil(likeness * n - SLACK)
+
+
 def _sets(shingle: int, likeness: float):
-    """(row, text) → row, node (hash of the set), fp, size of the set, its prefix: the smallest hashes.
+    """(row, text) → row, node (hash of the set), fp, size of the set, its prefix (smallest hashes), all its hashes.
 
-    A set at least so like shares `least` elements of this one, so it shares one of any n - least + 1 that come first
-    in an order common to all sets.
+    A set at least so like shares `_least` elements of this one, so it shares one of any n - least + 1 that come first
+    in an order common to all sets. The whole set is kept as 32 bits of each hash, in order, for comparing two.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, prints, sizes, prefixes = [], [], [], []
+            nodes, prints, sizes, prefixes, wholes = [], [], [], [], []
             for text in batch.column(1):
                 hashes = shingle_hashes(text.as_py(), shingle)
                 own = np.unique(hashes)
-                least = math.ceil(likeness * len(own) - SLACK)
                 nodes.append(int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)).view("<i8")))
                 prints.append(_majority(hashes))
                 sizes.append(len(own))
-                prefixes.append(own[: len(own) - least + 1].view("<i8"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "node", "fp", "n", "prefix"])
+                prefixes.append(own[: len(own) - _least(len(own), likeness) + 1].view("<i8"))
+                wholes.append(np.sort(own.astype("<u4")).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(wholes, pa.binary())], names=["doc_id", "node", "fp", "n", "prefix", "s"])
 
     return run
 
@@ -201,49 +202,18 @@ def _elements(shingle: int, likeness: float):
             for node, text in zip(batch.column(0), batch.column(1)):
                 own = np.unique(shingle_hashes(text.as_py(), shingle))
                 n = len(own)
-                columns = [pa.array(np.full(n, x, kind)) for x, kind in ((node.as_py(), "<i8"), (n, "<i4"), (n - math.ceil(likeness * n - SLACK) + 1, "<i4"))]
+                columns = [pa.array(np.full(n, x, kind)) for x, kind in ((node.as_py(), "<i8"), (n, "<i4"), (n - _least(n, likeness) + 1, "<i4"))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(own.view("<i8"))], names=["node", "n", "take", "key"])
 
     return run
 
 
-def _prefix_keys(nodes: DataFrame, texts: DataFrame, shingle: int, likeness: float, common: int) -> DataFrame:
-    """(key, node, n, place) of the prefixes' shingles that two sets have in theirs.
-
-    The order common to all sets is by hash, with the shingles that more than `common` prefixes hold after all others,
-    so that a passage in very many texts brings none of them together that are otherwise different.
-    """
-    counts = nodes.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("times"))
-    often = written(counts.where(F.col("times") > common).select("key"), "like-common")
-    often = F.broadcast(often) if often.count() <= BROADCAST_ROWS else often
-    moved = nodes.select("node", "doc_id", F.explode("prefix").alias("key")).join(often, "key", "left_semi").select("node", "doc_id").distinct()
-    moved = written(moved, "like-moved")
-    # Hashes are compared without a sign, as in `_sets`.
-    order = Window.partitionBy("node").orderBy("late", F.col("key") < 0, "key")
-    own = texts.join(moved, "doc_id").select("node", "text").mapInArrow(_elements(shingle, likeness), "node long, n int, take int, key long")
-    own = own.join(often.withColumn("late", F.lit(True)), "key", "left").withColumn("late", F.coalesce("late", F.lit(False)))
-    own = own.withColumn("place", F.row_number().over(order) - 1).where("place < take").select("key", "node", "n", "place")
-    rest = nodes.join(moved.select("node"), "node", "left_anti").select("node", "n", F.posexplode("prefix").alias("place", "key"))
-    keys = written(own, "like-own").union(rest.select("key", "node", "n", "place"))
-    shared = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("key"), "like-shared")
-    return written(keys.join(shared, "key", "left_semi"), "like-keys")
-
-
-def _whole_sets(shingle: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(t.as_py(), shingle)).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "s"])
-
-    return run
-
-
 def _like(likeness: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                x, y = np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(common >= likeness * (len(x) + len(y) - common) - SLACK)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -251,54 +221,99 @@ def _like(likeness: float):
     return run
 
 
-def _like_links(nodes: DataFrame, texts: DataFrame, shingle: int, likeness: float, cross: int, common: int) -> DataFrame:
-    """(a, b): pairs of nodes at least so like that connect all such pairs. nodes: node, doc_id, fp, n, prefix.
+def _room(likeness: float) -> Column:
+    """Whether two sets that meet at places pa and pb of their prefixes can be so like if they share nothing before.
 
-    First sets meet that the fingerprints bring together, then each set meets a few sets (hubs) of each of its keys:
-    pairs linear in the keys, after which copies with small edits are one component. Last, all sets of different
-    components under a key meet, so only sets that stay apart cost pairs. A pair is tried under a key only if what comes before
-    it in both prefixes, as if nothing of it were shared, leaves room for the likeness; the first shared key does.
+    The first key that two sets share passes if they are.
     """
+    left = F.lit(1) + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
+    return left >= F.lit(likeness / (1 + likeness)) * (F.col("na") + F.col("nb")) - SLACK
+
+
+def _apart(keys: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """keys with the component of each node, where a key still holds several."""
+    placed = keys.join(components(found), "node", "left").select("key", "node", "n", "place", F.coalesce("label", "node").alias("label"))
+    several = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    return written(placed.join(several, "key", "left_semi"), name)
+
+
+def _components_of_keys(placed: DataFrame) -> DataFrame:
+    """key, main (the label with most nodes), n, cross (pairs of nodes of different components) of every key."""
+    parts = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+    sums = parts.groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.max_by("label", F.struct("c", "label")).alias("main"))
+    return sums.select("key", "main", "n", ((F.col("n") * F.col("n") - F.col("squares")) / 2).alias("cross"))
+
+
+def _late(keys: DataFrame, many: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, likeness: float) -> DataFrame:
+    """keys in an order that has the shingles of `many` after all others: sets with one in their prefix get another."""
+    moved = written(keys.join(many, "key", "left_semi").select("node").distinct().join(nodes.select("node", "doc_id"), "node"), "like-moved")
+    # Hashes are compared without a sign, as in `_sets`.
+    order = Window.partitionBy("node").orderBy("late", F.col("key") < 0, "key")
+    own = texts.join(moved, "doc_id").select("node", "text").mapInArrow(_elements(shingle, likeness), "node long, n int, take int, key long")
+    own = own.join(many.withColumn("late", F.lit(True)), "key", "left").withColumn("late", F.coalesce("late", F.lit(False)))
+    own = own.withColumn("place", F.row_number().over(order) - 1).where("place < take").select("key", "node", "n", "place")
+    return written(own.union(keys.join(moved.select("node"), "node", "left_anti").select("key", "node", "n", "place")), "like-late")
+
+
+def _like_links(nodes: DataFrame, rows: DataFrame, texts: DataFrame, shingle: int, likeness: float, cross: int) -> DataFrame:
+    """(a, b): pairs of nodes at least so like that connect all such pairs. nodes: node, doc_id, fp, n.
+
+    First sets meet that the fingerprints bring together. Then each set meets one set (hub) of those of its keys, the
+    one it shares most keys with: after that, copies with small edits are one component, at a pair a set. Last, all
+    sets of different components under a key meet, so only sets that stay apart cost pairs; shingles under which
+    these are more than `cross` a set come last in the order first, so a passage in very many texts brings none of
+    them together that are otherwise different.
+    """
+    sets_of = rows.select("doc_id", "s")
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "like-pairs")
-        wanted = nodes.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi").select("node", "doc_id")
-        sets = written(texts.join(wanted, "doc_id").select("node", "text").mapInArrow(_whole_sets(shingle), "node long, s binary"), "like-sets")
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "doc_id"), "node")
+        sets = written(sets_of.join(wanted, "doc_id").select("node", "s"), "like-sets")
         met = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
         return written(met.select("a", "b", "x", "y").mapInArrow(_like(likeness), "a long, b long"), "like-links")
 
-    keys = _prefix_keys(nodes, texts, shingle, likeness, common)
-    room = F.lit(1) + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1) >= F.lit(likeness / (1 + likeness)) * (F.col("na") + F.col("nb")) - SLACK
-
     of_print = nodes.groupBy("fp").agg(F.min("node").alias("a"))
     close = links(nodes.select("fp"), cross).toDF("fa", "fb").join(of_print.toDF("fa", "a"), "fa").join(of_print.toDF("fb", "b"), "fb").select("a", "b")
     same = nodes.select("fp", F.col("node").alias("b")).join(of_print, "fp").select("a", "b")
     found = verified(close.union(same))
-    for turn in range(HUB_TURNS + 1):
-        labels = components(found)
-        placed = keys.join(labels, "node", "left").select("key", "node", "n", "place", F.coalesce("label", "node").alias("label"))
-        apart = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-        placed = written(placed.join(apart, "key", "left_semi"), "like-apart")
-        left, right = placed.toDF("key", "a", "na", "pa", "la"), placed.toDF("key", "b", "nb", "pb", "lb")
-        if turn < HUB_TURNS:
-            chosen = [F.min(F.struct(F.xxhash64("node", F.lit(HUBS * turn + k)).alias("r"), "node", "n", "place", "label")) for k in range(HUBS)]
-            left = placed.groupBy("key").agg(F.array(*chosen).alias("hubs")).select("key", F.explode("hubs").alias("hub")).selectExpr("key", "hub.node", "hub.n", "hub.place", "hub.label").toDF("key", "a", "na", "pa", "la")
-        elif placed.isEmpty():
-            break
-        met = left.join(right, "key").where("la <> lb").where(room)
-        found = written(found.union(verified(met.where("a < b").select("a", "b") if turn == HUB_TURNS else met.select("a", "b"))), "like-found")
-    return found
-
-
-def _like_groups(rows: DataFrame, texts: DataFrame, shingle: int, likeness: float, cross: int, common: int) -> DataFrame:
+
+    taken = rows.select("doc_id", "prefix").join(nodes.select("doc_id", "node", "n"), "doc_id")
+    keys = taken.select("node", "n", F.posexplode("prefix").alias("place", "key"))
+    several = keys.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("key")
+    keys = written(keys.join(several, "key", "left_semi").select("key", "node", "n", "place"), "like-keys")
+    placed = _apart(keys, found, "like-apart")
+    for turn in range(HUB_TURNS):
+        hub = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("r"), "node", "n", "place", "label")).alias("hub")
+        hubs = placed.groupBy("key").agg(hub).selectExpr("key", "hub.node", "hub.n", "hub.place", "hub.label").toDF("key", "a", "na", "pa", "la")
+        met = hubs.join(placed.toDF("key", "b", "nb", "pb", "lb"), "key").where("la <> lb").where(_room(likeness))
+        best = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a"))
+        found = written(found.union(verified(best)), "like-found")
+        placed = _apart(placed.select("key", "node", "n", "place"), found, "like-apart")
+
+    sums = written(_components_of_keys(placed), "like-parts")
+    many = written(sums.where(F.col("cross") > cross * F.col("n")).select("key"), "like-many")
+    if not many.isEmpty():
+        late = _late(keys, many, nodes, texts, shingle, likeness)
+        placed = _apart(late, found, "like-apart")
+        sums = written(_components_of_keys(placed), "like-parts")
+    if placed.isEmpty():
+        return found
+    # One side without the largest component of a key: at most four times as many comparisons as pairs between components.
+    left = placed.join(sums.select("key", "main"), "key").where("label <> main").select("key", "node", "n", "place", "label").toDF("key", "a", "na", "pa", "la")
+    met = left.join(placed.toDF("key", "b", "nb", "pb", "lb"), "key").where("la <> lb").where(_room(likeness))
+    return found.union(verified(met.select("a", "b")))
+
+
+def _like_groups(rows: DataFrame, texts: DataFrame, shingle: int, likeness: float, cross: int) -> DataFrame:
     """(row, group) of every row."""
-    parts = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.first("prefix").alias("prefix"))
+    parts = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp"), F.min("n").alias("n"))
     nodes = written(parts, "like-nodes")
-    labels = components(_like_links(nodes, texts, shingle, likeness, cross, common))
+    labels = components(_like_links(nodes, rows, texts, shingle, likeness, cross))
     return rows.select("doc_id", "node").join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("group"))
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, likeness: float | None = None, cross: int = CROSS, common: int = COMMON) -> DataFrame:
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, likeness: float | None = None, cross: int = CROSS) -> DataFrame:
     """The rows of docs with one document kept of each group: that of the smallest id, one row of it if repeated.
 
     Groups connect fingerprints within 3 bits, or, with a likeness, sets of shingles whose Jaccard index reaches it.
@@ -312,7 +327,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
         grouped = prints.join(_groups(prints, cross).withColumnRenamed("component_id", "group"), "fp")
     else:
         texts = tagged.select(F.col("__row").alias("doc_id"), F.col(text_col).alias("text"))
-        rows = written(texts.mapInArrow(_sets(shingle, likeness), f"doc_id {ROW}, node long, fp long, n int, prefix array<long>"), "like-rows")
-        grouped = _like_groups(rows, texts, shingle, likeness, cross, common)
+        rows = written(texts.mapInArrow(_sets(shingle, likeness), f"doc_id {ROW}, node long, fp long, n int, prefix array<long>, s binary"), "like-rows")
+        grouped = _like_groups(rows, texts, shingle, likeness, cross)
     keep = grouped.join(ids, "doc_id").groupBy("group").agg(F.min(order).alias("best")).select(F.col("best.doc_id").alias("__row"))
     return tagged.join(keep, "__row", "left_semi").drop("__row")
