@@ -1,19 +1,29 @@
 """Main text of HTML pages with a site style tree.
 
-The pages of one host are merged into a tree of styles: a node is an element's path, by tag names and first classes.
-For every node the tree knows in how many pages it stands and how often each content occurs in it. The importance of a
-content found in k of the node's m pages is 1 - log_m k, one minus the entropy of its spread over the pages; a node's
-importance is the mean over its contents. Menus, footers and notices repeat on every page and come near 0, articles
-stay near 1. Branches below `LEAST` that stand in at least `MIN_PAGES` pages are cut from each page of the host.
+The pages of one host are merged into a tree: a node is a place, the chain of tag names with first classes down to an
+element (inline elements without a class are none; below `DEPTH` all share the last place). For every node the tree
+knows in how many pages m it stands, which styles it has there (the sequence of its children, repeats as one), and which
+contents (its own texts). Importance comes from entropy:
+
+* of content: a text found in k of m pages has 1 - log_m k, one minus the entropy of its spread; a node the mean;
+* of presentation: the entropy, to base m, of the node's styles over its pages;
+* both are drawn towards 1 by few pages: 1 - (1 - importance) * (m - 1) / (m + 1);
+* composite: the mean over a node's branch, where a content weighs 1 and the presentation of a node 1 - `DAMPING` a page.
+
+A branch is noise when neither its node nor any node under it has a composite importance of `LEAST` or more: menus,
+footers and notices repeat on every page and come near 0, articles stay near 1, and five pages at least must agree.
+Noise branches are removed from each page of the host. Pages with equal main parts count once, so copies of an article
+on one host don't make it noise.
 
 What markup itself says goes first: scripts, styles, forms, navigation, headers, footers, asides, hidden parts, and
 elements whose class, id or role names a menu, advert, notice, sidebar or comment section are no content; and where a
 page has an article (else a main part) with text, the rest of the page is none. In an article, plain elements
-(paragraphs, headings, lists, tables) are always kept, so copies of an article on one host don't cost its text.
+(paragraphs, headings, lists, tables) are always kept, since near copies on one host repeat them too.
 
 Character references are decoded, white space in a block becomes one blank, blocks are joined by a newline. Nothing
 else is dropped or shortened. A null html or one without text gives ''. Pages with a null or odd url share the host
-''. Repeated rows count as pages of their own. An empty table gives an empty result. Extra columns are ignored.
+''. Repeated rows are copies. An empty table gives an empty result. Extra columns are ignored. Parsing takes time in
+proportion to the page, however deep its elements nest.
 """
 
 from __future__ import annotations
@@ -24,28 +34,30 @@ from html import unescape
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.store import written
 
 LEAST = 0.4
-MIN_PAGES = 5
+DAMPING = 0.9
+DEPTH = 48
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S)
 _ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 #: HTML element kinds.
-RAW = frozenset("script style textarea title noscript template iframe svg math object noembed noframes xmp canvas audio video".split())
+RAW = frozenset("script style textarea title noscript template iframe svg noembed noframes canvas audio video".split())
 DROPPED = RAW | frozenset("head nav aside form button select menu dialog footer fieldset datalist".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark output q ruby rb rp rt s samp small span strike strong sub sup time tt u var td th center img wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark output q ruby rb rp rt s samp small span strike strong sub sup time tt u var td th center img wbr math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mstyle mover munder mtable mtr mtd semantics".split())
 CLOSES_P = frozenset("address article aside blockquote center details div dl dt dd fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th figure figcaption section div header".split()) | INLINE
 
-#: Words of a class or id, and roles, that name what is no article text.
+#: Words of a class or id, and roles, that name what is no article text, and those of them that don't in an article.
 NOISE = frozenset("ad ads adv advert adverts advertisement advertising adsense banner cookie cookies consent gdpr popup popups modal overlay promo promotion sponsor sponsored sidebar widget widgets nav navbar navigation menu menus breadcrumb breadcrumbs footer masthead topbar toolbar comment comments disqus respond replies share sharing social related recommended recommendations newsletter subscribe subscription signup login notice notices alert alerts paywall pagination pager skip".split())
+OUTSIDE = frozenset("share sharing social related recommended recommendations alert alerts pagination pager skip login signup toolbar masthead topbar overlay banner header".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 _WORDS = re.compile(r"[a-z]+")
 
@@ -67,95 +79,142 @@ def _noise(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
         # A whole article may be a comment; the page itself isn't named by its class.
         named = attrs.get("class", "") if tag == "article" else ""
         return any(w in ("comment", "ad", "advert", "promo", "sponsored", "related") for w in _WORDS.findall(named.lower()))
-    return any(w in NOISE for key in ("class", "id") for w in _WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", attrs.get(key, "")).lower()))
+    named = NOISE - OUTSIDE if in_article else NOISE
+    return any(w in named for key in ("class", "id") for w in _WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", attrs.get(key, "")).lower()))
+
+
+class _Open:
+    """An open element: tag, node, the nodes above it, level, whether plain, and the style of its children so far."""
 
+    __slots__ = ("tag", "node", "above", "level", "plain", "owner", "style", "last")
 
-def blocks(html: str | None) -> list[tuple[str, str, int, bool]]:
-    """(path, text, level, plain) of each block with text in page order: level 0 outside, 1 in main, 2 in article.
+    def __init__(self, tag: str, node: int, above: tuple[int, ...], level: int, plain: bool, parent: _Open | None):
+        self.tag, self.node, self.above, self.level, self.plain = tag, node, above, level, plain
+        self.owner = self if parent is None or tag not in INLINE or level < 0 else parent.owner
+        self.style, self.last = 0, None
 
-    Parts that markup names as noise give no blocks of level 0 to 2 but of level -1.
+
+class Page:
+    """One pass over a page: its blocks of text, and the nodes of its tree.
+
+    blocks: (node, text, level, plain) of each block with text in page order; level 0 outside, 1 in main, 2 in article,
+    -1 in parts that markup names as noise. nodes: node -> (nodes above it, styles); paths: node -> place, if asked for.
     """
-    out: list[tuple[str, str, int, bool]] = []
-    html = html or ""
-    # Of open elements: tag, path, level, plain (only plain elements since the article began).
-    stack: list[tuple[str, str, int, bool]] = [("", "", 0, False)]
-    text: list[str] = []
-    owner = stack[0]
-
-    def close() -> None:
-        nonlocal text
-        if text and (joined := " ".join("".join(text).split())):
-            out.append((owner[1], joined, owner[2], owner[3]))
-        text = []
-
-    at, size = 0, len(html)
-    while at < size:
-        m = _TAG.search(html, at)
-        if m is None:
-            piece, at = html[at:], size
-        else:
-            piece, at = html[at : m.start()], m.end()
-        if piece:
-            if not text or not any(map(str.strip, text)):
-                for e in reversed(stack):
-                    if e[0] not in INLINE or e[2] < 0:
-                        owner = e
-                        break
-            text.append(unescape(piece))
-        if m is None:
-            break
-        if m[1]:
-            tag = m[1].lower()
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-            if not depth:
-                continue
-            if tag not in INLINE or any(e[0] not in INLINE for e in stack[depth:]) or stack[depth][2] != stack[depth - 1][2]:
-                close()
-            elif tag in ("td", "th"):
-                text.append(" ")
-            del stack[depth:]
-        elif m[2]:
-            tag = m[2].lower()
-            if tag in VOID:
+
+    def __init__(self, html: str | None, paths: bool = False):
+        self.html = html or ""
+        self.blocks: list[tuple[int, str, int, bool]] = []
+        self.nodes: dict[int, tuple[tuple[int, ...], set[int]]] = {}
+        self.paths: dict[int, str] | None = {0: ""} if paths else None
+        self.stack = [_Open("", 0, (), 0, False, None)]
+        #: Places in the stack of the open elements of each tag.
+        self.places: dict[str, list[int]] = {}
+        self.text: list[str] = []
+        self.blank = True
+        self.owner = self.stack[0]
+        self._read()
+
+    def _flush(self) -> None:
+        if not self.blank:
+            owner = self.owner
+            self.blocks.append((owner.node, " ".join("".join(self.text).split()), owner.level, owner.plain))
+        self.text, self.blank = [], True
+
+    def _add(self, piece: str) -> None:
+        if self.blank:
+            self.owner = self.stack[-1].owner
+        piece = unescape(piece)
+        self.text.append(piece)
+        self.blank = self.blank and not piece.strip()
+
+    def _at(self, *tags: str) -> int:
+        """Place in the stack of the innermost open element of these tags; 0 if none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def _cut(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            e = self.stack.pop()
+            self.places[e.tag].pop()
+            if e.node != self.stack[-1].node:
+                self.nodes.setdefault(e.node, (e.above, set()))[1].add(e.style)
+
+    def _push(self, tag: str, attrs: dict[str, str]) -> None:
+        parent = self.stack[-1]
+        noise = parent.level >= 0 and _noise(tag, attrs, parent.level > 0)
+        if tag not in INLINE or noise:
+            self._flush()
+        elif tag in ("td", "th"):
+            self._add(" ")
+        style = (attrs.get("class") or "").split()
+        level = -1 if noise or parent.level < 0 else 2 if tag == "article" else max(parent.level, 1) if tag == "main" else parent.level
+        plain = tag == "article" or tag == "main" or (parent.plain and tag in PLAIN and not style)
+        node, above = parent.node, parent.above
+        if (tag not in INLINE or style) and len(above) < DEPTH:
+            name = f"{tag}.{style[0]}" if style else tag
+            kind = _hash(name)
+            node, above = _mixed(node, kind), (*above, node)
+            if kind != parent.last:
+                parent.style, parent.last = _mixed(parent.style, kind), kind
+            if self.paths is not None:
+                self.paths[node] = f"{self.paths[parent.node]}/{name}"
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append(_Open(tag, node, above, level, plain, parent))
+
+    def _close(self, tag: str) -> None:
+        depth = self._at(tag)
+        if not depth:
+            return
+        if tag not in INLINE or self.stack[depth].level != self.stack[depth - 1].level or any(e.tag not in INLINE for e in self.stack[depth:]):
+            self._flush()
+        elif tag in ("td", "th"):
+            self._add(" ")
+        self._cut(depth)
+
+    def _implied(self, tag: str) -> None:
+        """Closes what a start tag ends: an open paragraph, list item, cell or row."""
+        if tag in CLOSES_P:
+            depth = self._at("p")
+            if depth and all(e.tag in INLINE for e in self.stack[depth + 1 :]):
+                self._flush()
+                self._cut(depth)
+        elif tag in SAME:
+            pair = next((x for x in (("td", "th"), ("dt", "dd")) if tag in x), (tag,))
+            depth = self._at(*pair)
+            if depth > self._at(*SAME[tag]):
+                if tag not in INLINE:
+                    self._flush()
+                self._cut(depth)
+
+    def _read(self) -> None:
+        html, at, size = self.html, 0, len(self.html)
+        while at < size:
+            m = _TAG.search(html, at)
+            piece = html[at : m.start()] if m else html[at:]
+            if piece:
+                self._add(piece)
+            if m is None:
+                break
+            at = m.end()
+            if m[1]:
+                self._close(m[1].lower())
+            elif m[2]:
+                tag = m[2].lower()
                 if tag == "hr":
-                    close()
+                    self._flush()
                 elif tag == "br":
-                    text.append(" ")
-                continue
-            attrs = _attributes(m[3])
-            if tag in CLOSES_P:
-                depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == "p"), 0)
-                if depth and all(e[0] in INLINE or e[0] == "p" for e in stack[depth:]):
-                    close()
-                    del stack[depth:]
-            elif tag in SAME:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in SAME[tag]:
-                        break
-                    if stack[i][0] == tag or {tag, stack[i][0]} <= {"td", "th"} or {tag, stack[i][0]} <= {"dt", "dd"}:
-                        if tag not in INLINE:
-                            close()
-                        del stack[i:]
-                        break
-            _, path, level, plain = stack[-1]
-            noise = level >= 0 and _noise(tag, attrs, level > 0)
-            if tag not in INLINE or noise:
-                close()
-            elif tag in ("td", "th"):
-                text.append(" ")
-            if tag in RAW:
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
-                at = end.end() if end else size
-                continue
-            if m[3].rstrip().endswith("/") and tag in ("path", "g"):
-                continue
-            style = (attrs.get("class") or "").split()
-            name = f"{tag}.{style[0]}" if style else tag
-            level = -1 if noise or level < 0 else 2 if tag == "article" else max(level, 1) if tag == "main" else level
-            plain = tag == "article" or tag == "main" or (plain and tag in PLAIN and not style)
-            stack.append((tag, path if tag in INLINE and not style else f"{path}/{name}", level, plain))
-    close()
-    return out
+                    self._add(" ")
+                if tag in VOID:
+                    continue
+                self._implied(tag)
+                if tag in RAW:
+                    if tag not in INLINE:
+                        self._flush()
+                    end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
+                    at = end.end() if end else size
+                else:
+                    self._push(tag, _attributes(m[3]))
+        self._flush()
+        self._cut(1)
 
 
 def page_host(url: str | None) -> str:
@@ -168,43 +227,77 @@ def _hash(text: str) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(url, html) → host, path, content hash, pages with it, and pages of the node counted at its first content.
+def _mixed(a: int, b: int) -> int:
+    x = xxhash.xxh64_intdigest(a.to_bytes(8, "little", signed=True) + b.to_bytes(8, "little", signed=True))
+    return x - (1 << 64) if x >> 63 else x
+
+
+#: What a row of the tree's table tells of a node in a page: that it is there, a style of it, a content of it.
+THERE, STYLE, CONTENT = 0, 1, 2
+_TREE = "host string, node long, kind int, value long, page long, above array<long>"
+
 
-    Counts are summed in the batch, so a notice on every page is one row.
+def _tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(url, html) -> one row for each node, style and content of a page; equal ones of equal pages once a batch.
+
+    A page is named by the hash of its main part: the blocks of the article or main part, else all.
     """
     for batch in batches:
-        count: dict[tuple[str, str, int], list[int]] = {}
+        found: dict[tuple, tuple[int, ...] | None] = {}
         for url, html in zip(batch.column(0).to_pylist(), batch.column(1)):
-            host, seen, nodes = page_host(url), set(), set()
-            for path, text, _, _ in blocks(html.as_py()):
-                key = (host, path, _hash(text))
-                if key in seen:
-                    continue
-                seen.add(key)
-                one = count.setdefault(key, [0, 0])
-                one[0] += 1
-                one[1] += path not in nodes
-                nodes.add(path)
-        keys = list(zip(*count)) or [[], [], []]
-        found = list(zip(*count.values())) or [[], []]
-        yield pa.RecordBatch.from_arrays([pa.array(keys[0], pa.string()), pa.array(keys[1], pa.string()), pa.array(keys[2], pa.int64()), pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], names=["host", "path", "content", "k", "first"])
-
-
-def style_tree(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, path, pages, importance of every node with content."""
-    found = pages.select(F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).mapInArrow(_contents, "host string, path string, content long, k long, first long")
-    contents = found.groupBy("host", "path", "content").agg(F.sum("k").alias("k"), F.sum("first").alias("first"))
-    log = F.log(F.col("k").cast("double"))
-    nodes = contents.groupBy("host", "path").agg(F.sum("first").alias("pages"), F.sum("k").alias("n"), F.sum(F.col("k") * log).alias("spread"))
-    share = F.col("spread") / F.col("n") / F.log(F.col("pages").cast("double"))
-    return nodes.select("host", "path", "pages", F.when(F.col("pages") > 1, F.lit(1.0) - share).otherwise(1.0).alias("importance"))
-
-
-def main_text(html: str | None, noise: frozenset[str] = frozenset()) -> str:
+            host, page = page_host(url), Page(html.as_py())
+            best = max((b[2] for b in page.blocks), default=0)
+            contents = [(node, _hash(text), level) for node, text, level, _ in page.blocks]
+            name = 0
+            for _, h, level in contents:
+                name = _mixed(name, h) if level == best else name
+            for node, (above, styles) in page.nodes.items():
+                found[host, node, THERE, 0, name] = above
+                for style in styles:
+                    found[host, node, STYLE, style, name] = None
+            for node, h, _ in contents:
+                found[host, node, CONTENT, h, name] = None
+        columns = list(zip(*found)) or [[]] * 5
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds)), pa.array(found.values(), pa.list_(pa.int64()))], names=["host", "node", "kind", "value", "page", "above"])
+
+
+def style_tree(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", damping: float = DAMPING) -> DataFrame:
+    """host, node, pages, content, presentation, importance (composite), best (that of the branch's most important node)."""
+    rows = pages.select(F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).mapInArrow(_tree_rows, _TREE)
+    once = rows.groupBy("host", "node", "kind", "value", "page").agg(F.max("above").alias("above"))
+    counts = once.groupBy("host", "node", "kind", "value").agg(F.count(F.lit(1)).cast("double").alias("k"), F.max("above").alias("above"))
+
+    def of(kind: int, x: Column) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("kind") == kind, x)), F.lit(0.0))
+
+    spread = F.col("k") * F.log("k")
+    nodes = counts.groupBy("host", "node").agg(
+        of(THERE, F.col("k")).alias("pages"), of(CONTENT, F.col("k")).alias("contents"), of(CONTENT, spread).alias("repeats"),
+        of(STYLE, F.col("k")).alias("styles"), of(STYLE, spread).alias("style_repeats"), F.max("above").alias("above"),
+    )
+    m = F.col("pages")
+    content = F.when((m > 1) & (F.col("contents") > 0), F.lit(1.0) - F.col("repeats") / F.col("contents") / F.log(m)).otherwise(1.0)
+    presentation = F.when((m > 1) & (F.col("styles") > 0), (F.log("styles") - F.col("style_repeats") / F.col("styles")) / F.log(m)).otherwise(1.0)
+
+    def drawn(x: Column) -> Column:
+        x = F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+        return F.lit(1.0) - (F.lit(1.0) - x) * F.greatest(m - 1, F.lit(0.0)) / (m + 1)
+
+    nodes = nodes.select("host", "node", "pages", "contents", drawn(content).alias("content"), drawn(presentation).alias("presentation"), F.coalesce("above", F.array().cast("array<bigint>")).alias("above"))
+    nodes = written(nodes, "html-nodes")
+    branch = F.explode(F.concat("above", F.array("node"))).alias("top")
+    shown = F.col("pages") * (1 - damping)
+    sums = nodes.select("host", branch, (F.col("contents") * F.col("content") + shown * F.col("presentation")).alias("x"), (F.col("contents") + shown).alias("w"))
+    composite = sums.groupBy("host", "top").agg((F.sum("x") / F.sum("w")).alias("importance"))
+    scored = written(nodes.join(composite.withColumnRenamed("top", "node"), ["host", "node"]), "html-composite")
+    best = scored.select("host", branch, "importance").groupBy("host", F.col("top").alias("node")).agg(F.max("importance").alias("best"))
+    return scored.join(best, ["host", "node"]).select("host", "node", "pages", "content", "presentation", "importance", "best")
+
+
+def main_text(html: str | None, noise: frozenset[int] = frozenset()) -> str:
     """The page's text without the branches that markup or the host's tree call noise."""
-    found = blocks(html)
-    kept = [b for b in found if b[2] >= 0 and (b[3] or not any(b[0] == n or b[0].startswith(n + "/") for n in noise))]
+    kept = [b for b in Page(html).blocks if b[2] >= 0 and (b[3] or b[0] not in noise)]
     best = max((b[2] for b in kept), default=0)
     return "\n".join(text for _, text, level, _ in kept if level == best)
 
@@ -215,10 +308,10 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
-def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: float = LEAST, min_pages: int = MIN_PAGES) -> DataFrame:
+def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: float = LEAST) -> DataFrame:
     """page_id, url, text, n_chars of every row."""
     tree = style_tree(pages, url_col=url_col, html_col=html_col)
-    noise = written(tree.where((F.col("pages") >= min_pages) & (F.col("importance") < least)).groupBy("host").agg(F.collect_set("path").alias("noise")), "html-noise")
+    noise = written(tree.where(F.col("best") < least).groupBy("host").agg(F.collect_set("node").alias("noise")), "html-noise")
     url = F.col(url_col).cast("string")
     host = F.coalesce(F.lower(F.regexp_extract(url, r"^(?s:.*?)://([^/?#]*)", 1)), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("of"))
