@@ -2,12 +2,12 @@
 
 Two classifiers see a document from two sides: its text (shape of words, punctuation, repetition, common words and
 hashed word endings), and its metadata (source, language, recorded length). Both start from the labelled documents.
-In each round each one labels the unlabelled documents it is surest of, and the other learns from them. At the end
-each is calibrated on held-out labels (Platt scaling), and a logistic combination of the two calibrated log-odds
+In each round both score all unlabelled documents, and each one's surest labels teach the other. At the end each is calibrated on held-out labels (Platt scaling), and a logistic combination of the two calibrated log-odds
 scores every document.
 
-Fitting is bounded: at most `max_labelled` labelled and `max_pool` unlabelled documents, the ones with the smallest
-hash of their id, whose feature rows (0.6 kB each) come to the driver. Scoring covers every document.
+The labelled sample is bounded: at most `max_labelled` documents, the ones with the smallest hash of their id, whose
+feature rows (0.6 kB each) come to the driver, and with them each view's surest rows of a round, `per_round` times as many. The
+unlabelled documents are all scored in every round, and every document at the end.
 
 A document is rejected when its probability of good quality is below the threshold, which is set on the held-out
 labels so that at most `max_loss` of the good ones are lost. Documents with conflicting labels don't train. With no
@@ -20,7 +20,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,8 +31,11 @@ from pyspark.sql import functions as F
 from lodestrata.llm.store import written
 
 MAX_LABELLED = 10_000
-MAX_POOL = 5_000
 ROUNDS = 4
+#: Documents that a view teaches the other in a round, as a share of the labelled ones.
+PER_ROUND = 0.02
+#: Tasks whose surest rows meet in one.
+GROUP_TASKS = 64
 HASHED = 64
 META = 64
 
@@ -142,35 +145,71 @@ class Model:
         return 1 / (1 + np.exp(-self.both.margin(views)))
 
 
-def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, *, rounds: int = ROUNDS, per_round: float = 0.05, sure: float = 0.9, max_loss: float = 0.01) -> Model:
-    """Every fourth labelled row is held out for calibration; rows come in a fixed order."""
+def split(rows: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two views of feature rows: the first `width` features, and the rest."""
+    x = np.frombuffer(b"".join(rows), "<f4").reshape(len(rows), -1).astype(float)
+    return x[:, :width], x[:, width:]
+
+
+class Confident:
+    """The rows that each view is surest of, for each label: at most `count` of a label, none below `sure`.
+
+    Equal rows count once; ties go to the smaller row. It can be fed rows in any order and any number of parts.
+    """
+
+    def __init__(self, learned: list[Logistic], width: int, sure: float, counts: tuple[int, int], skip: list[set[bytes]]):
+        self.learned, self.width, self.sure, self.counts, self.skip = learned, width, sure, counts, skip
+        self.best: dict[tuple[int, int], dict[bytes, float]] = {(k, label): {} for k in (0, 1) for label in (0, 1)}
+
+    def feed(self, rows: list[bytes]) -> Confident:
+        rows = list(dict.fromkeys(rows))
+        for k, view in enumerate(split(rows, self.width) if rows else ()):
+            p = 1 / (1 + np.exp(-self.learned[k].margin(view)))
+            for label, score in ((1, p), (0, 1 - p)):
+                self.keep((k, label), {rows[i]: float(score[i]) for i in np.flatnonzero(score >= self.sure) if rows[i] not in self.skip[1 - k]})
+        return self
+
+    def keep(self, key: tuple[int, int], found: dict[bytes, float]) -> None:
+        both = self.best[key] | found
+        if len(both) > self.counts[key[1]]:
+            both = dict(sorted(both.items(), key=lambda x: (-x[1], x[0]))[: self.counts[key[1]]])
+        self.best[key] = both
+
+
+def from_rows(pool: list[bytes]) -> Callable[[Confident], Confident]:
+    """A proposer for a pool in memory."""
+    return lambda asked: asked.feed(pool)
+
+
+def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, propose: Callable[[Confident], Confident], *, rounds: int = ROUNDS, per_round: float = PER_ROUND, sure: float = 0.98, max_loss: float = 0.01) -> Model:
+    """Every fourth labelled row is held out for calibration; rows come in a fixed order.
+
+    In each round `propose` lets both views score every unlabelled row; each view's surest rows, `per_round` times
+    the labelled ones and shared by the classes as these are, then teach the other view. A row teaches a view once.
+    """
     model = Model()
     held = np.arange(len(y)) % 4 == 3
     fit = ~held
     if len(set(y[fit].tolist())) < 2 or len(set(y[held].tolist())) < 2:
         return model
-    #: Pseudo-labels that each view has been given by the other: row of the pool → label.
-    given: list[dict[int, float]] = [{}, {}]
-    views, pools = (text, meta), (pool_text, pool_meta)
+    #: Pseudo-labels that each view has been given by the other.
+    given: list[dict[bytes, float]] = [{}, {}]
+    views, width = (text, meta), text.shape[1]
 
     def train(k: int) -> Logistic:
         rows = sorted(given[k])
-        x = np.r_[views[k][fit], pools[k][rows]] if rows else views[k][fit]
+        x = np.r_[views[k][fit], split(rows, width)[k]] if rows else views[k][fit]
         labels = np.r_[y[fit], [given[k][r] for r in rows]]
         return Logistic().fit(x, labels, np.r_[np.ones(fit.sum()), np.full(len(rows), 0.3)])
 
     base = y[fit].mean()
+    n = per_round * fit.sum()
+    counts = (max(1, int(n * (1 - base))), max(1, int(n * base)))
     for _ in range(rounds):
-        learned = [train(0), train(1)]
-        for k in (0, 1):
-            if not len(pool_text):
-                break
-            p = 1 / (1 + np.exp(-learned[k].margin(pools[k])))
-            n = max(1, int(per_round * len(p)))
-            for label, score, share in ((1.0, p, base), (0.0, 1 - p, 1 - base)):
-                for r in np.lexsort((np.arange(len(p)), -score))[: max(1, int(n * share))]:
-                    if score[r] >= sure:
-                        given[1 - k].setdefault(int(r), label)
+        asked = propose(Confident([train(0), train(1)], width, sure, counts, [set(g) for g in given]))
+        for (k, label), rows in asked.best.items():
+            for row in sorted(rows):
+                given[1 - k].setdefault(row, float(label))
     model.text, model.meta = train(0), train(1)
     margins = [model.text.margin(text[held])[:, None], model.meta.margin(meta[held])[:, None]]
     model.calibrated = (Logistic(0.1).fit(margins[0], y[held]), Logistic(0.1).fit(margins[1], y[held]))
@@ -180,60 +219,92 @@ def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.nda
     return model
 
 
+def feature_row(text: str | None, source: str | None, lang: str | None, n_chars: float | None) -> bytes:
+    return np.r_[text_features(text), meta_features(source, lang, n_chars)].astype("<f4").tobytes()
+
+
+def _rows_of(text: pa.Array, source: pa.Array, lang: pa.Array, n: pa.Array) -> list[bytes]:
+    return [feature_row(t.as_py(), a, b, c) for t, a, b, c in zip(text, source.to_pylist(), lang.to_pylist(), n.to_pylist())]
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        key, text, source, lang, n = (batch.column(i) for i in range(5))
-        rows = [np.r_[text_features(t.as_py()), meta_features(a, b, c)].astype("<f4").tobytes() for t, a, b, c in zip(text, source.to_pylist(), lang.to_pylist(), n.to_pylist())]
-        yield pa.RecordBatch.from_arrays([key, pa.array(rows, pa.binary())], names=["y", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_rows_of(*batch.columns[1:]), pa.binary())], names=["doc_id", "x"])
 
 
 def _columns(docs: DataFrame, text_col: str, source_col: str, lang_col: str, length_col: str) -> list:
     return [F.col(text_col).cast("string"), F.col(source_col).cast("string"), F.col(lang_col).cast("string"), F.col(length_col).cast("double")]
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", length_col: str = "n_chars", label_col: str = "quality", max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL, **options) -> Model:
-    """Learn from the labelled documents and a pool of unlabelled ones, both bounded and chosen by hash of the id."""
-    known = labels.where(f"{label_col} IS NOT NULL AND {id_col} IS NOT NULL").groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.min(label_col).alias("low"), F.max(label_col).alias("high"))
-    known = written(known.select("__id", F.when(F.col("low") == F.col("high"), F.col("low").cast("double")).alias("y")), "quality-labels")
-    order = [F.xxhash64("__id"), "__id"]
-    taken = known.where("y IS NOT NULL").orderBy(*order).limit(max_labelled)
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), *(c.alias(n) for c, n in zip(_columns(docs, text_col, source_col, lang_col, length_col), ("text", "source", "lang", "n"))))
-    pool = rows.select("__id").join(known, "__id", "left_anti").orderBy(*order).limit(max_pool).distinct()
-    chosen = written(taken.union(pool.select("__id", F.lit(None).cast("double"))), "quality-sample")
-    found = rows.join(chosen, "__id").select("y", "text", "source", "lang", "n", "__id")
-    kept = written(found.select("y", "text", "source", "lang", "n").mapInArrow(_features, "y double, x binary"), "quality-features")
-    data = kept.toArrow()
-    if not data.num_rows:
+def prepared(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", length_col: str = "n_chars", label_col: str = "quality") -> DataFrame:
+    """doc_id, x (features), y, labelled of every row of docs, written once: texts are read once, for fitting and scoring."""
+    known = labels.where(f"{label_col} IS NOT NULL AND {id_col} IS NOT NULL").groupBy(F.col(id_col).cast("long").alias("of")).agg(F.min(label_col).alias("low"), F.max(label_col).alias("high"))
+    known = written(known.select("of", F.when(F.col("low") == F.col("high"), F.col("low").cast("double")).alias("y")), "quality-labels")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *(c.alias(n) for c, n in zip(_columns(docs, text_col, source_col, lang_col, length_col), ("text", "source", "lang", "n"))))
+    found = rows.mapInArrow(_features, "doc_id long, x binary")
+    return written(found.join(known, found["doc_id"] == known["of"], "left").select("doc_id", "x", "y", F.col("of").isNotNull().alias("labelled")), "quality-features")
+
+
+def _proposals(asked: Confident):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Confident(asked.learned, asked.width, asked.sure, asked.counts, asked.skip)
+        for batch in batches:
+            own.feed(batch.column(0).to_pylist())
+        out = list({row for rows in own.best.values() for row in rows})
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["x"])
+
+    return run
+
+
+def from_table(pool: DataFrame) -> Callable[[Confident], Confident]:
+    """A proposer for a table of rows x: each task keeps its surest rows, groups of tasks theirs, the driver those of all."""
+
+    def propose(asked: Confident) -> Confident:
+        found = pool.select("x").mapInArrow(_proposals(asked), "x binary")
+        parts = len(pool.inputFiles()) // GROUP_TASKS
+        while parts:
+            found = found.repartition(parts).mapInArrow(_proposals(asked), "x binary")
+            parts //= GROUP_TASKS
+        return asked.feed(found.toArrow()["x"].to_pylist())
+
+    return propose
+
+
+def fit_prepared(table: DataFrame, *, max_labelled: int = MAX_LABELLED, **options) -> Model:
+    """Learn from `max_labelled` labelled rows, chosen by hash of their ids, and all the unlabelled ones."""
+    ids = table.where("y IS NOT NULL").select("doc_id", "y").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    chosen = written(ids, "quality-sample").select(F.col("doc_id").alias("of"))
+    sample = table.join(F.broadcast(chosen), table["doc_id"] == chosen["of"]).groupBy("doc_id").agg(F.min("x").alias("x"), F.min("y").alias("y")).toArrow()
+    if not sample.num_rows:
         return Model()
     # Equal rows are interchangeable, so sorting by the features makes the order, and the model, the same each time.
-    pairs = sorted((b, -1.0 if label is None else label) for b, label in zip(data["x"].to_pylist(), data["y"].to_pylist()))
-    x = np.frombuffer(b"".join(b for b, _ in pairs), "<f4").reshape(len(pairs), -1)
-    t, m = x[:, : 20 + HASHED].astype(float), x[:, 20 + HASHED :].astype(float)
+    pairs = sorted(zip(sample["x"].to_pylist(), sample["y"].to_pylist()))
+    t, m = split([x for x, _ in pairs], 20 + HASHED)
     y = np.array([label for _, label in pairs])
-    y[y < 0] = np.nan
-    seen = ~np.isnan(y)
-    mixed = np.random.default_rng(5).permutation(int(seen.sum()))
-    return cotrain(t[seen][mixed], m[seen][mixed], y[seen][mixed], t[~seen], m[~seen], **options)
+    mixed = np.random.default_rng(5).permutation(len(y))
+    return cotrain(t[mixed], m[mixed], y[mixed], from_table(table.where("NOT labelled")), **options)
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS, **columns: str) -> Model:
+    return fit_prepared(prepared(docs, labels, **columns), max_labelled=max_labelled, rounds=rounds)
 
 
-def _scores(model: Model):
+def scores_prepared(table: DataFrame, model: Model) -> DataFrame:
+    """doc_id, probability of good quality, accepted of every row of a prepared table."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, text, source, lang, n = (batch.column(i) for i in range(5))
-            t = np.array([text_features(x.as_py()) for x in text])
-            m = np.array([meta_features(a, b, c) for a, b, c in zip(source.to_pylist(), lang.to_pylist(), n.to_pylist())])
-            p = model.probability(t, m)
-            yield pa.RecordBatch.from_arrays([key, pa.array(p), pa.array(p >= model.threshold)], names=["doc_id", "probability", "accepted"])
+            if batch.num_rows:
+                p = model.probability(*split(batch.column(1).to_pylist(), 20 + HASHED))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array(p >= model.threshold)], names=["doc_id", "probability", "accepted"])
 
-    return run
+    return table.select("doc_id", "x").mapInArrow(run, "doc_id long, probability double, accepted boolean")
 
 
 def scores(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", length_col: str = "n_chars") -> DataFrame:
     """doc_id, probability of good quality, accepted of every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *_columns(docs, text_col, source_col, lang_col, length_col))
-    return rows.mapInArrow(_scores(model), "doc_id long, probability double, accepted boolean")
+    return scores_prepared(rows.mapInArrow(_features, "doc_id long, x binary"), model)
 
 
 def accepted(docs: DataFrame, model: Model, *, text_col: str = "text", source_col: str = "source", lang_col: str = "lang", length_col: str = "n_chars") -> DataFrame:
@@ -245,9 +316,7 @@ def accepted(docs: DataFrame, model: Model, *, text_col: str = "text", source_co
         for batch in batches:
             if not batch.num_rows:
                 continue
-            text, source, lang, n = (batch.column(i) for i in places)
-            t = np.array([text_features(x.as_py()) for x in text])
-            m = np.array([meta_features(a, b, c) for a, b, c in zip(source.to_pylist(), lang.to_pylist(), n.to_pylist())])
-            yield batch.filter(pa.array(model.probability(t, m) >= model.threshold))
+            p = model.probability(*split(_rows_of(*(batch.column(i) for i in places)), 20 + HASHED))
+            yield batch.filter(pa.array(p >= model.threshold))
 
     return docs.mapInArrow(run, docs.schema)

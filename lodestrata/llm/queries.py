@@ -50,10 +50,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lodestrata.llm.quality import fit, scores
+    from lodestrata.llm.quality import fit_prepared, prepared, scores_prepared
 
-    docs = _table(spark, sf_dir, "documents")
-    return scores(docs, fit(docs, _table(spark, sf_dir, "labels")))
+    table = prepared(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return scores_prepared(table, fit_prepared(table))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
