@@ -28,8 +28,9 @@ from lodestrata.llm.store import written
 #: Words looked at after an anchor for its chain.
 REACH = 8
 THRESHOLD = 0.8
-#: Documents in a range of ids, and the largest number of ranges (and so of cuts known to the driver).
-RANGE_ROWS, MAX_RANGES = 4000, 16384
+#: Documents in a range of ids, and the largest number of ranges: of cuts (8 MB) and of tasks that a job should have.
+#: Beyond 4 billion documents ranges grow, to 400 MB of texts of 2 kB for 200 billion.
+RANGE_ROWS, MAX_RANGES = 4000, 1_000_000
 
 #: Common words of English, French, German and Spanish, the anchors.
 ANCHORS = "the of and to in a is that for it with as was on are be by this from at or an have not he de la le les et des en un une du que qui est dans pour par sur au avec il pas ne se el los las y del por con para su lo al como más der die und das den von zu mit ist im ein eine dem nicht auf für als es auch sich".split()
@@ -40,9 +41,11 @@ def with_signatures(rows: DataFrame, text_col: str, out: str) -> DataFrame:
     """Adds the set of `text_col`, sorted, as column `out`."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = rows.withColumn("__w", F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
-    chain = f"xxhash64(x, array_join(slice(filter(slice(__w, i + 2, {REACH}), y -> y NOT IN ({_LISTED})), 1, 2), ' '))"
-    alone = f"NOT exists(slice(__w, greatest(1, i + 1 - {REACH}), least(i, {REACH})), y -> y IN ({_LISTED}))"
-    found = found.withColumn("__a", F.expr(f"filter(transform(__w, (x, i) -> IF(x IN ({_LISTED}), {chain}, IF({alone}, xxhash64(x), NULL))), h -> h IS NOT NULL)"))
+    # Common words are looked up once a word: in __g they are blank.
+    found = found.withColumn("__g", F.expr(f"transform(__w, x -> IF(x IN ({_LISTED}), '', x))"))
+    chain = f"xxhash64(x, array_join(slice(filter(slice(__g, i + 2, {REACH}), y -> y <> ''), 1, 2), ' '))"
+    alone = f"NOT array_contains(slice(__g, greatest(1, i + 1 - {REACH}), least(i, {REACH})), '')"
+    found = found.withColumn("__a", F.expr(f"filter(transform(__w, (x, i) -> IF(get(__g, i) = '', {chain}, IF({alone}, xxhash64(x), NULL))), h -> h IS NOT NULL)"))
     whole = F.when(F.length(text) > 0, F.array(F.xxhash64(text))).otherwise(F.array().cast("array<bigint>"))
     chosen = F.when(F.size("__w") > 0, F.col("__a")).otherwise(whole)
     found = found.withColumn("__s", F.array_sort(chosen))
@@ -51,7 +54,7 @@ def with_signatures(rows: DataFrame, text_col: str, out: str) -> DataFrame:
     steps = ", ".join(str(1 << k) for k in reversed(range(24)))
     first = f"aggregate(array({steps}), 0, (lo, s) -> IF(lo + s <= size(__s) AND get(__s, lo + s - 1) < x, lo + s, lo))"
     numbered = F.expr(f"transform(__s, (x, i) -> IF(i > 0 AND get(__s, i - 1) = x, xxhash64(x, i - {first}), x))")
-    return found.withColumn(out, F.array_sort(numbered)).drop("__w", "__a", "__s")
+    return found.withColumn(out, F.array_sort(numbered)).drop("__w", "__g", "__a", "__s")
 
 
 def digest(sigs: Column) -> Column:
@@ -66,12 +69,17 @@ def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
     return F.when(long_ == 0, F.lit(1.0)).when((short == 0) | (short < long_ * F.lit(least)), F.lit(0.0)).otherwise(common / (short + long_ - common)).cast("double")
 
 
+def _literal(values: list, kind: str) -> Column:
+    """An array as one constant, however long."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(kind)
+
+
 def _range_of(ids: Column, cuts: list[int]) -> Column:
     """Number of cuts at or below the id, by binary search in the literal list; 0 for null."""
     if not cuts:
         return F.lit(0)
     steps = [1 << k for k in reversed(range(len(cuts).bit_length()))]
-    literal, size = F.array(*[F.lit(c) for c in cuts]), len(cuts)
+    literal, size = _literal(cuts, "array<bigint>"), len(cuts)
     found = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda lo, s: F.when((lo + s <= size) & (F.get(literal, lo + s - 1) <= ids), lo + s).otherwise(lo))
     return F.coalesce(found, F.lit(0))
 
@@ -85,7 +93,9 @@ def ordered_ranges(docs: DataFrame, *, range_rows: int = RANGE_ROWS) -> DataFram
     ids = docs.select("doc_id")
     rows = ids.count()
     n = min(MAX_RANGES, max(1, math.ceil(rows / range_rows)))
-    cuts = ids.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n)).first()[0] if n > 1 else []
+    # Cuts only balance the ranges: an error of a range or two in where they fall changes no result.
+    shares = _literal([i / n for i in range(1, n)], "array<double>")
+    cuts = ids.agg(F.percentile_approx("doc_id", shares, min(10 * n, 1_000_000))).first()[0] if n > 1 else []
     placed = docs.withColumn("range", _range_of(F.col("doc_id"), sorted(set(cuts or []))))
     # One row a range from here on.
     firsts = placed.groupBy("range").agg(F.min(F.struct("doc_id")).alias("first"))
@@ -118,7 +128,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """doc_id, fingerprint, component_id (smallest id reachable), n_links (different texts' sets near its own).
 
     Sets of more common signatures than rare ones still meet only on their prefix: of a set of n, the
-    n - ceil(threshold * n) + 1 signatures that fewest sets have, one of which any near set shares.
+    n - ceil(threshold * n) + 1 signatures that fewest sets have, one of which any near set shares. In a length class
+    two sets that meet at places pa and pb of their prefixes are compared only if that leaves room for the threshold.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     prints = written(with_signatures(rows, "text", "sigs").select("doc_id", digest(F.col("sigs")).alias("fingerprint"), "sigs"), "spot-prints")
@@ -128,10 +139,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     ranked = sets.select("fingerprint", "n", "band", F.explode("sigs").alias("sig")).join(often, "sig")
     rare = Window.partitionBy("fingerprint").orderBy("times", "sig")
     prefix = ranked.withColumn("place", F.row_number().over(rare)).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - F.lit(1e-9)) + 1)
-    prefix = written(prefix.join(often.where("times > 1").select(F.col("sig")), "sig", "left_semi").select("fingerprint", "n", "band", "sig"), "spot-prefix")
-    left = prefix.select("sig", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("fingerprint").alias("a"), F.col("n").alias("na"))
-    right = prefix.select("sig", "band", F.col("fingerprint").alias("b"), F.col("n").alias("nb"))
-    near = left.join(right, ["sig", "band"]).where("a <> b AND na <= nb AND (na < nb OR a < b)").where(F.col("na") >= F.col("nb") * F.lit(threshold) - 1e-9).select("a", "b").distinct()
+    prefix = written(prefix.join(often.where("times > 1").select(F.col("sig")), "sig", "left_semi").select("fingerprint", "n", "band", "sig", "place"), "spot-prefix")
+    left = prefix.select("sig", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("fingerprint").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"))
+    right = prefix.select("sig", "band", F.col("fingerprint").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"))
+    # As many as the places leave, if nothing before is shared; the first signature that two near sets share passes.
+    room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + 1 >= F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-9
+    near = left.join(right, ["sig", "band"]).where("a <> b AND na <= nb AND (na < nb OR a < b)").where(F.col("na") >= F.col("nb") * F.lit(threshold) - 1e-9).where(room).select("a", "b").distinct()
     sa, sb = sets.select(F.col("fingerprint").alias("a"), F.col("sigs").alias("sa")), sets.select(F.col("fingerprint").alias("b"), F.col("sigs").alias("sb"))
     links = written(near.join(sa, "a").join(sb, "b").where(likeness(F.col("sa"), F.col("sb"), threshold) >= threshold - 1e-9).select("a", "b"), "spot-links")
     labels = components(links)
