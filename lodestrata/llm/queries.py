@@ -84,6 +84,34 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), 0, 2048)
 
 
+def spotsigs_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprints' similarity join over all documents: length classes, pruned Jaccard, one class id a document."""
+    from lodestrata.llm.spotsigs import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def spotsigs_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op3_spotsigs says of a document and its edited text that SQL can say as well."""
+    return op3_spotsigs(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def mixing_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sizes that op5_mixing works with."""
+    return op5_mixing(spark, sf_dir).select("doc_id", "size", "source_size")
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op8_url_filter says of an url before its models: host, path, the rule that fits."""
+    return op8_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule")
+
+
+def _rule_case() -> str:
+    """The rules as a CASE, longest first."""
+    whens = (f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}'" for h, p, _ in sorted(URL_RULES, key=lambda r: -len(r[0] + r[1])))
+    return f"CASE {' '.join(whens)} END"
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_graph_ann": op1_graph_ann,
@@ -96,9 +124,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filter": op8_url_filter,
         "op9_packing": op9_packing,
         "op10_line_dedup": op10_line_dedup,
+        "spotsigs_groups": spotsigs_groups,
+        "spotsigs_edits": spotsigs_edits,
+        "mixing_sizes": mixing_sizes,
+        "url_rules": url_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    """None of the ten can be expressed as SQL whole; tests/llm holds each against brute force instead."""
-    return {}
+    """None of the ten can be expressed as SQL whole; tests/llm holds each against brute force. Parts of three can."""
+    return {
+        "spotsigs_edits": """
+            WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n,
+                              coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id), first_value(coalesce(text, '')) OVER (ORDER BY doc_id)) AS following
+                       FROM documents)
+            SELECT doc_id, n::BIGINT AS n_chars, sha256(substring(text, 1, n - n // 4) || substring(following, 1, n // 4)) AS edited_sha256 FROM d""",
+        "mixing_sizes": r"""
+            WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents)
+            SELECT doc_id, size, (sum(size) OVER (PARTITION BY source))::BIGINT AS source_size FROM d""",
+        "url_rules": f"""
+            WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                              regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages)
+            SELECT page_id, host, path, {_rule_case()} AS rule FROM p""",
+    }
