@@ -1,14 +1,16 @@
 """Approximate nearest neighbours on a robust-pruned directed graph, one a shard.
 
-Vectors that are equal are one point, and points are dealt to shards of bounded size by hash. In a shard, points join
+Vectors of one direction are one point, and points are dealt to shards of bounded size by hash. In a shard, points join
 a directed graph in batches: a greedy search from the entry point proposes neighbours, and relaxed distance pruning
 keeps an edge only if no kept neighbour is `alpha` times closer to the candidate than the point is, so edges stay
 diverse; links go back as well and are pruned alike. Queries run a beam search in every shard, and the best of all
 shards are scored in double precision on the original vectors.
 
 A shard's points come to its task first and the queries after them in a stream, so a task holds one shard and one
-batch of queries, however many there are. Of equal vectors only as many ids as a result can hold (the smallest)
-are carried along: larger ones can't be among the nearest, so nothing is lost.
+batch of queries, however many there are. Queries meet every shard, so up to `SHARDS` of them shards grow with the
+table, from `SHARD_POINTS` points to what `SHARD_BYTES` of vectors hold. Vectors of one direction (equal to 12 places
+as unit vectors) are one point, which carries as many ids as a result can hold, the smallest, each with its own vector:
+larger ids can't be among the nearest but for rounding, so nothing is lost.
 
 Vectors that are null, zero or hold a null or non-finite component take no part, neither as query nor as candidate;
 a vector meets only those of its own length. A query whose candidates are fewer than `k` gets all of them. Repeated
@@ -26,7 +28,10 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.store import written
 
-SHARD_POINTS = 8192
+#: Points of a shard at least (where the table has them), shards of that size at most, and the bytes of a shard at most.
+SHARD_POINTS, SHARDS, SHARD_BYTES = 8192, 32, 1 << 28
+#: Bytes that mark the points visited by a batch of searches.
+SEEN_BYTES = 1 << 26
 DEGREE = 32
 #: Beams of the searches that build the graph and of those that answer.
 BUILD_BEAM, QUERY_BEAM = 48, 160
@@ -59,14 +64,18 @@ class Graph:
     def search(self, queries: np.ndarray, beam: int, expand: int = 4) -> tuple[np.ndarray, np.ndarray]:
         """Beam search of many queries at once: ids (-1: none) and similarities, best first."""
         m, n = len(queries), len(self.unit)
+        most = max(32, SEEN_BYTES // (n // 8 + 1))
+        if m > most:
+            parts = [self.search(queries[at : at + most], beam, expand) for at in range(0, m, most)]
+            return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         ids = np.full((m, beam), -1, np.int64)
         sims = np.full((m, beam), -np.inf, np.float32)
         done = np.ones((m, beam), bool)
         ids[:, 0] = self.entry
         sims[:, 0] = queries @ self.unit[self.entry]
         done[:, 0] = False
-        seen = np.zeros((m, n), bool)
-        seen[:, self.entry] = True
+        seen = np.zeros((m, n // 8 + 1), np.uint8)  # a bit a point
+        seen[:, self.entry >> 3] = 1 << (self.entry & 7)
         live = np.arange(m)
         while len(live):
             open_ = ~done[live]
@@ -81,10 +90,10 @@ class Graph:
             flat = near.reshape(-1)
             ok = flat >= 0
             rows, flat = rows[ok], flat[ok].astype(np.int64)
-            fresh = ~seen[live[rows], flat]
+            fresh = (seen[live[rows], flat >> 3] >> (flat & 7) & 1) == 0
             code = np.unique(rows[fresh] * n + flat[fresh])
             rows, flat = code // n, code % n
-            seen[live[rows], flat] = True
+            np.bitwise_or.at(seen, (live[rows], flat >> 3), (1 << (flat & 7)).astype(np.uint8))
             got = np.einsum("ij,ij->i", queries[live[rows]], self.unit[flat])
             count = np.bincount(rows, minlength=len(live))
             width = int(count.max(initial=0))
@@ -165,26 +174,29 @@ def _answer(k: int, beam: int, degree: int, build_beam: int, alpha: float):
                     shard, points, members, graph = key, [], [], None
                 if not asks:
                     points.append(np.array(part["v"].tolist(), float))
-                    members += part["ids"].tolist()
+                    members += [(np.array(ids), np.array(vs.tolist(), float)) for ids, vs in zip(part["ids"], part["vs"])]
                     continue
                 if not points:
                     continue
                 if graph is None:
-                    base = np.concatenate(points)
+                    graph = Graph(np.concatenate(points), degree=degree, beam=build_beam, alpha=alpha)
+                    count = np.array([len(ids) for ids, _ in members])
+                    start = np.cumsum(count) - count
+                    ids, base = np.concatenate([x for x, _ in members]), np.concatenate([x for _, x in members])
                     norms = np.linalg.norm(base, axis=1)
-                    graph = Graph(base, degree=degree, beam=build_beam, alpha=alpha)
                 for at in range(0, len(part), BATCH):
-                    ids, queries = part["query_id"].to_numpy()[at : at + BATCH], np.array(part["v"].tolist()[at : at + BATCH], float)
+                    asked, queries = part["query_id"].to_numpy()[at : at + BATCH], np.array(part["v"].tolist()[at : at + BATCH], float)
                     size = np.linalg.norm(queries, axis=1)
                     found, _ = graph.search((queries / size[:, None]).astype(np.float32), beam)
-                    # One more than k vectors, as the query's own may be among them, and some for rounding.
-                    found = found[:, : k + 8]
-                    out: list[tuple] = []
-                    for q, own, vector, length in zip(found, ids, queries, size):
+                    out: list[pd.DataFrame] = []
+                    for q, own, vector, length in zip(found, asked, queries, size):
                         near = q[q >= 0]
-                        score = (base[near] * vector).sum(1) / (norms[near] * length)
-                        out += [(own, m, s) for i, s in zip(near, score) for m in members[i] if m != own]
-                    yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+                        at_ = np.repeat(start[near] - (np.cumsum(count[near]) - count[near]), count[near]) + np.arange(int(count[near].sum()))
+                        at_ = at_[ids[at_] != own]
+                        score = (base[at_] * vector).sum(1) / (norms[at_] * length)
+                        best = np.lexsort((ids[at_], -score))[:k]
+                        out.append(pd.DataFrame({"query_id": own, "vec_id": ids[at_][best], "score": score[best]}))
+                    yield pd.concat(out).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     return run
 
@@ -192,18 +204,25 @@ def _answer(k: int, beam: int, degree: int, build_beam: int, alpha: float):
 def nearest(vectors: DataFrame, every: int, k: int, *, id_col: str = "vec_id", vector_col: str = "embedding", shard_points: int = SHARD_POINTS, degree: int = DEGREE, build_beam: int = BUILD_BEAM, beam: int = QUERY_BEAM, alpha: float = ALPHA) -> DataFrame:
     """The k nearest by cosine of every vector whose id is divisible by `every`: query_id, rank, vec_id, score."""
     rows = usable(vectors, id_col, vector_col)
-    smallest = Window.partitionBy("v").orderBy("vec_id")
-    members = rows.distinct().withColumn("place", F.row_number().over(smallest)).where(F.col("place") <= k + 1)
-    points = members.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("dim", F.size("v"))
-    points = written(points, "ann-points")
-    sizes = points.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / shard_points).cast("int").alias("shards"))
+    # The largest component first, so that no square overflows or vanishes.
+    top = F.array_max(F.transform("v", F.abs))
+    scaled = F.transform("v", lambda x: x / F.col("top"))
+    length = F.sqrt(F.aggregate("u", F.lit(0.0), lambda a, x: a + x * x))
+    unit = F.transform("u", lambda x: F.round(x / F.col("length"), 12) + F.lit(0.0))
+    placed = rows.distinct().withColumn("top", top).withColumn("u", scaled).withColumn("length", length).withColumn("u", unit)
+    smallest = Window.partitionBy("u").orderBy("vec_id", F.xxhash64("v"))
+    members = placed.withColumn("place", F.row_number().over(smallest)).where(F.col("place") <= k + 1)
+    points = members.groupBy("u").agg(F.array_sort(F.collect_list(F.struct("vec_id", "v"))).alias("of"))
+    points = written(points.select(F.col("u").alias("v"), F.col("of.vec_id").alias("ids"), F.col("of.v").alias("vs"), F.size("u").alias("dim")), "ann-points")
+    n, most = F.count(F.lit(1)), F.greatest(F.lit(1), F.floor(F.lit(SHARD_BYTES) / (F.col("dim") * 4)))
+    sizes = points.groupBy("dim").agg(F.greatest(F.least(F.ceil(n / shard_points), F.lit(SHARDS)), F.ceil(n / most)).cast("int").alias("shards"))
     sizes = written(sizes, "ann-sizes")
-    base = points.join(sizes, "dim").select(F.struct("dim", F.pmod(F.xxhash64("v"), "shards").cast("int").alias("part")).alias("place"), F.lit(False).alias("asks"), F.lit(None).cast("long").alias("query_id"), "v", "ids")
+    base = points.join(sizes, "dim").select(F.struct("dim", F.pmod(F.xxhash64("v"), "shards").cast("int").alias("part")).alias("place"), F.lit(False).alias("asks"), F.lit(None).cast("long").alias("query_id"), "v", "ids", "vs")
     asked = rows.where(F.col("vec_id") % every == 0).distinct().withColumn("dim", F.size("v")).join(sizes, "dim")
     asked = asked.select(F.col("dim"), F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("part"), "vec_id", "v")
-    asked = asked.select(F.struct("dim", "part").alias("place"), F.lit(True).alias("asks"), F.col("vec_id").alias("query_id"), "v", F.lit(None).cast("array<long>").alias("ids"))
+    asked = asked.select(F.struct("dim", "part").alias("place"), F.lit(True).alias("asks"), F.col("vec_id").alias("query_id"), "v", F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<array<double>>").alias("vs"))
     shards = max(1, sizes.agg(F.sum("shards")).first()[0] or 1)
-    both = base.union(asked).select((F.col("place.dim").cast("long") * F.lit(1 << 32) + F.col("place.part")).alias("shard"), "asks", "query_id", "v", "ids")
+    both = base.union(asked).select((F.col("place.dim").cast("long") * F.lit(1 << 32) + F.col("place.part")).alias("shard"), "asks", "query_id", "v", "ids", "vs")
     # More tasks than shards, so that few get two; one that does answers them one after another.
     dealt = both.repartition(4 * int(shards), "shard").sortWithinPartitions("shard", "asks", F.xxhash64("v"), "query_id")
     found = dealt.mapInPandas(_answer(k, beam, degree, build_beam, alpha), _OUT)

@@ -33,6 +33,34 @@ def test_recall_on_embeddings(spark, data):
         assert [s for _, s in near] == sorted((s for _, s in near), reverse=True)
 
 
+def test_recall_at_the_registered_setting(spark, data):
+    df = spark.read.parquet(f"{data.replace('sf0.001', 'sf0.1')}/embeddings.parquet")
+    want = exact([(r.vec_id, r.embedding) for r in df.collect()], 50, 5)
+    got = {}
+    for r in graph_ann.nearest(df, 50, 5).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert sum(len(got[q] & {i for i, _ in want[q]}) for q in want) / (5 * len(want)) >= 0.95
+
+
+def test_visited_marks_in_parts(monkeypatch):
+    v = np.random.default_rng(0).normal(size=(600, 8))
+    graph = graph_ann.Graph(v)
+    whole = graph.search(graph.unit[:100], 40)
+    monkeypatch.setattr(graph_ann, "SEEN_BYTES", 1)
+    parts = graph.search(graph.unit[:100], 40)
+    assert (whole[0] == parts[0]).all()
+
+
+def test_scaled_copies_of_one_direction(spark):
+    # 30 lengths of one direction and 300 others: the smallest ids of the direction are nearest.
+    rng = np.random.default_rng(1)
+    way = np.array([3.0, 4.0, 0.0, 0.0])
+    rows = [(i, (way * 2.0 ** (i % 30 - 15)).tolist(), 0) for i in range(30)] + [(1000 + i, rng.normal(size=4).tolist(), 0) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((r["rank"], r.vec_id) for r in graph_ann.nearest(df, 50, 5).where("query_id = 0").collect())
+    assert got == [(i, i) for i in range(1, 6)]
+
+
 def test_copies_ties_and_bad_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [1.0, 0.0], 0) for i in range(0, 40)] + [(50, [0.0, 1.0], 0), (51, [0.0, 2.0], 0), (100, [0.0, 0.0], 0), (150, None, 0), (200, [nan, 1.0], 0), (250, [inf, 1.0], 0), (300, [1.0, 2.0, 3.0], 0), (None, [1.0, 1.0], 0), (0, [1.0, 0.0], 0)]
