@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.plans import assembly, claims, counts, events, facts, judging, retrieval, rules, text, writes
+from lodestrata.plans import assembly, claims, counts, events, facts, grammar, judging, retrieval, rules, text, writes
 
-MODULES = (facts, claims, counts, retrieval, text, events, rules, writes, assembly, judging)
+MODULES = (facts, claims, counts, retrieval, text, events, rules, writes, assembly, judging, grammar)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
