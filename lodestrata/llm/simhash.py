@@ -37,8 +37,10 @@ MAX_DISTANCE = 3
 KEY_HUBS, CROSS = 4, 32
 #: For comparing products of a likeness and a count.
 SLACK = 1e-9
+#: Pairs a set of different components under a shingle beyond which it comes last in the order of shingles.
+LATE = 512
 #: Turns in which each set meets a hub before those still apart meet each other.
-HUB_TURNS = 2
+HUB_TURNS = 1
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -175,12 +177,13 @@ def _sets(shingle: int, likeness: float):
     """(row, text) → row, node (hash of the set), fp, size of the set, its prefix (smallest hashes), all its hashes.
 
     A set at least so like shares `_least` elements of this one, so it shares one of any n - least + 1 that come first
-    in an order common to all sets. The whole set is kept as 32 bits of each hash, in order, for comparing two.
+    in an order common to all sets. The whole set is kept as 32 bits of each hash, in order, for comparing two, and as
+    `_parity` for a bound.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, prints, sizes, prefixes, wholes = [], [], [], [], []
+            nodes, prints, sizes, prefixes, wholes, bits = [], [], [], [], [], []
             for text in batch.column(1):
                 hashes = shingle_hashes(text.as_py(), shingle)
                 own = np.unique(hashes)
@@ -189,7 +192,8 @@ def _sets(shingle: int, likeness: float):
                 sizes.append(len(own))
                 prefixes.append(own[: len(own) - _least(len(own), likeness) + 1].view("<i8"))
                 wholes.append(np.sort(own.astype("<u4")).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(wholes, pa.binary())], names=["doc_id", "node", "fp", "n", "prefix", "s"])
+                bits.append(_parity(own))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(wholes, pa.binary()), pa.array(bits, pa.binary())], names=["doc_id", "node", "fp", "n", "prefix", "s", "bits"])
 
     return run
 
@@ -208,6 +212,34 @@ def _elements(shingle: int, likeness: float):
     return run
 
 
+def _parity(own: np.ndarray) -> bytes:
+    """One bit for each place that hashes are dealt to, twice as many places as hashes: whether an odd number is there.
+
+    Places in which two sets differ are at most as many as the elements that only one of them has.
+    """
+    places = max(64, 1 << int(2 * len(own)).bit_length())
+    return np.packbits(np.bincount((own >> np.uint64(32)).astype(np.int64) % places, minlength=places) & 1, bitorder="little").tobytes()
+
+
+def _may_be_like(likeness: float):
+    """(a, b, na, nb, parities) -> the pairs whose sets can be so like, by their sizes and parities."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for na, nb, x, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
+                # The longer one folds onto half as many places until both have as many.
+                short, long_ = sorted((x, y), key=len)
+                p, q, size = int.from_bytes(short, "little"), int.from_bytes(long_, "little"), 8 * len(long_)
+                while size > 8 * len(short):
+                    size //= 2
+                    q = (q >> size) ^ (q & ((1 << size) - 1))
+                keep.append(na + nb - (p ^ q).bit_count() >= 2 * (likeness / (1 + likeness) * (na + nb) - SLACK))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _like(likeness: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -255,19 +287,23 @@ def _late(keys: DataFrame, many: DataFrame, nodes: DataFrame, texts: DataFrame,
     return written(own.union(keys.join(moved.select("node"), "node", "left_anti").select("key", "node", "n", "place")), "like-late")
 
 
-def _like_links(nodes: DataFrame, rows: DataFrame, texts: DataFrame, shingle: int, likeness: float, cross: int) -> DataFrame:
+def _like_links(nodes: DataFrame, rows: DataFrame, texts: DataFrame, shingle: int, likeness: float, cross: int, late: int) -> DataFrame:
     """(a, b): pairs of nodes at least so like that connect all such pairs. nodes: node, doc_id, fp, n.
 
     First sets meet that the fingerprints bring together. Then each set meets one set (hub) of those of its keys, the
     one it shares most keys with: after that, copies with small edits are one component, at a pair a set. Last, all
     sets of different components under a key meet, so only sets that stay apart cost pairs; shingles under which
-    these are more than `cross` a set come last in the order first, so a passage in very many texts brings none of
-    them together that are otherwise different.
+    these are more than `late` a set come last in the order first, so a passage in very many texts brings none of
+    them together that are otherwise different. Sets are compared only where a bound from their parities lets them be
+    so like.
     """
     sets_of = rows.select("doc_id", "s")
+    bits = written(rows.select("doc_id", "bits").join(nodes.select("doc_id", "node", "n"), "doc_id").select("node", "n", "bits"), "like-bits")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "like-pairs")
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+        bound = pairs.join(bits.toDF("a", "na", "x"), "a").join(bits.toDF("b", "nb", "y"), "b").select("a", "b", "na", "nb", "x", "y")
+        pairs = written(bound.mapInArrow(_may_be_like(likeness), "a long, b long"), "like-pairs")
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "doc_id"), "node")
         sets = written(sets_of.join(wanted, "doc_id").select("node", "s"), "like-sets")
         met = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
@@ -292,10 +328,9 @@ def _like_links(nodes: DataFrame, rows: DataFrame, texts: DataFrame, shingle: in
         placed = _apart(placed.select("key", "node", "n", "place"), found, "like-apart")
 
     sums = written(_components_of_keys(placed), "like-parts")
-    many = written(sums.where(F.col("cross") > cross * F.col("n")).select("key"), "like-many")
+    many = written(sums.where(F.col("cross") > late * F.col("n")).select("key"), "like-many")
     if not many.isEmpty():
-        late = _late(keys, many, nodes, texts, shingle, likeness)
-        placed = _apart(late, found, "like-apart")
+        placed = _apart(_late(keys, many, nodes, texts, shingle, likeness), found, "like-apart")
         sums = written(_components_of_keys(placed), "like-parts")
     if placed.isEmpty():
         return found
@@ -305,15 +340,15 @@ def _like_links(nodes: DataFrame, rows: DataFrame, texts: DataFrame, shingle: in
     return found.union(verified(met.select("a", "b")))
 
 
-def _like_groups(rows: DataFrame, texts: DataFrame, shingle: int, likeness: float, cross: int) -> DataFrame:
+def _like_groups(rows: DataFrame, texts: DataFrame, shingle: int, likeness: float, cross: int, late: int) -> DataFrame:
     """(row, group) of every row."""
     parts = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp"), F.min("n").alias("n"))
     nodes = written(parts, "like-nodes")
-    labels = components(_like_links(nodes, rows, texts, shingle, likeness, cross))
+    labels = components(_like_links(nodes, rows, texts, shingle, likeness, cross, late))
     return rows.select("doc_id", "node").join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("group"))
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, likeness: float | None = None, cross: int = CROSS) -> DataFrame:
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, likeness: float | None = None, cross: int = CROSS, late: int = LATE) -> DataFrame:
     """The rows of docs with one document kept of each group: that of the smallest id, one row of it if repeated.
 
     Groups connect fingerprints within 3 bits, or, with a likeness, sets of shingles whose Jaccard index reaches it.
@@ -327,7 +362,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
         grouped = prints.join(_groups(prints, cross).withColumnRenamed("component_id", "group"), "fp")
     else:
         texts = tagged.select(F.col("__row").alias("doc_id"), F.col(text_col).alias("text"))
-        rows = written(texts.mapInArrow(_sets(shingle, likeness), f"doc_id {ROW}, node long, fp long, n int, prefix array<long>, s binary"), "like-rows")
-        grouped = _like_groups(rows, texts, shingle, likeness, cross)
+        rows = written(texts.mapInArrow(_sets(shingle, likeness), f"doc_id {ROW}, node long, fp long, n int, prefix array<long>, s binary, bits binary"), "like-rows")
+        grouped = _like_groups(rows, texts, shingle, likeness, cross, late)
     keep = grouped.join(ids, "doc_id").groupBy("group").agg(F.min(order).alias("best")).select(F.col("best.doc_id").alias("__row"))
     return tagged.join(keep, "__row", "left_semi").drop("__row")

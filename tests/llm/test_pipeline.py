@@ -60,7 +60,7 @@ def test_near_dedup_against_all_pairs(spark, data):
     passage = " ".join(f"p{k}" for k in range(40))
     shared = docs + [(len(docs) + k, " ".join(f"q{r.randrange(900)}" for _ in range(30)) + f" {passage}" + " x" * (k % 3)) for k in range(20)]
     table = spark.createDataFrame(shared, "doc_id long, text string")
-    assert sorted(x.doc_id for x in simhash.dedup(table, shingle=5, likeness=0.8, cross=0).collect()) == near_kept(shared)
+    assert sorted(x.doc_id for x in simhash.dedup(table, shingle=5, likeness=0.8, cross=0, late=0).collect()) == near_kept(shared)
 
 
 def test_every_operator_has_its_query():
