@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.plans import assembly, claims, counts, events, facts, grammar, graph, judging, places, retrieval, rules, text, writes
+from lodestrata.plans import assembly, claims, counts, events, facts, grammar, graph, judging, places, retrieval, rules, text, upkeep, writes
 
-MODULES = (facts, claims, counts, retrieval, text, events, rules, writes, assembly, judging, grammar, places, graph)
+MODULES = (facts, claims, counts, retrieval, text, events, rules, writes, assembly, judging, grammar, places, graph, upkeep)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
