@@ -30,7 +30,7 @@ def plain_number(text: Column) -> Column:
 
 
 def canonical_url(url: Column) -> Column:
-    """Lower-case scheme and host, no fragment, default port, trailing host dot or tracking parameters, path `/` if none."""
+    """Lower-case scheme and host, no fragment, default port, trailing host dot or tracking parameters, path `/` if none; null without a scheme or host."""
     bare = F.regexp_replace(url, "#.*$", "")
     scheme = F.lower(F.regexp_extract(bare, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
     host = F.lower(F.regexp_extract(bare, r"^[^:]+://([^/?]*)", 1))
@@ -39,7 +39,8 @@ def canonical_url(url: Column) -> Column:
     path = F.regexp_extract(bare, r"^[^:]+://[^/?]*(/[^?]*)", 1)
     query = F.regexp_extract(bare, r"\?(.*)$", 1)
     kept = F.array_join(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(TRACKING)), "&")
-    return F.concat(scheme, F.lit("://"), host, F.when(path == "", "/").otherwise(path), F.when(kept == "", "").otherwise(F.concat(F.lit("?"), kept)))
+    whole = F.concat(scheme, F.lit("://"), host, F.when(path == "", "/").otherwise(path), F.when(kept == "", "").otherwise(F.concat(F.lit("?"), kept)))
+    return F.when((scheme != "") & (host != ""), whole)
 
 
 def url_host(url: Column) -> Column:

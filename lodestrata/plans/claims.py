@@ -51,9 +51,9 @@ def latest_per_slot(spark: SparkSession, d: str) -> DataFrame:
 def latest_unless_tied(spark: SparkSession, d: str) -> DataFrame:
     """Latest line of each part, none where two share the latest date."""
     li = table(spark, d, "lineitem").select("l_partkey", "l_shipdate", "l_quantity")
-    last = li.groupBy("l_partkey").agg(F.max(F.struct("l_shipdate", "l_quantity")).alias("x"), F.max("l_shipdate").alias("at"))
-    n = li.join(last.select("l_partkey", "at"), ["l_partkey"]).where("l_shipdate = at").groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n"))
-    return last.join(n, "l_partkey").where("n = 1").select("l_partkey", F.col("x.l_quantity").alias("value"))
+    days = li.groupBy("l_partkey", "l_shipdate").agg(F.count(F.lit(1)).alias("n"), F.max("l_quantity").alias("value"))
+    last = days.where("l_shipdate IS NOT NULL").groupBy("l_partkey").agg(F.max_by(F.struct("n", "value"), "l_shipdate").alias("x"))
+    return last.where("x.n = 1").select("l_partkey", F.col("x.value").alias("value"))
 
 
 LEVELS = {"1-URGENT": 0, "2-HIGH": 1, "3-MEDIUM": 2, "4-NOT SPECIFIED": 3, "5-LOW": 4}
@@ -121,8 +121,8 @@ def latest_observation(spark: SparkSession, d: str) -> DataFrame:
 def narrower_rows(spark: SparkSession, d: str) -> DataFrame:
     """Wide (over 200,000) orders leave where the customer has a narrower one."""
     o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
-    w = Window.partitionBy("o_custkey")
-    return o.withColumn("narrow", F.max(F.when(F.col("o_totalprice") <= 200000, 1).otherwise(0)).over(w)).where("o_totalprice <= 200000 OR narrow = 0").select("o_custkey", "o_orderkey")
+    narrow = o.where("o_totalprice <= 200000")
+    return narrow.union(o.where("o_totalprice > 200000 OR o_totalprice IS NULL").join(narrow.select("o_custkey").distinct(), "o_custkey", "left_anti")).select("o_custkey", "o_orderkey")
 
 
 def facet_with_partners(spark: SparkSession, d: str) -> DataFrame:
@@ -148,7 +148,7 @@ def city_latest_runs(spark: SparkSession, d: str) -> DataFrame:
     """Customers with their latest order, newest first, customers without one last: a page of 40."""
     last = ranking.latest_by(table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"], ["o_orderdate", "o_orderkey"])
     c = table(spark, d, "customer").select("c_custkey", "c_name")
-    return c.join(last, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "c_name", "o_orderkey").join(last.select(F.col("o_orderkey").alias("k"), "o_orderdate"), F.col("o_orderkey") == F.col("k"), "left").orderBy(F.col("o_orderdate").desc_nulls_last(), "c_custkey").limit(40).select("c_custkey", "c_name", "o_orderkey")
+    return c.join(last, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "c_name", "o_orderkey", "o_orderdate").orderBy(F.col("o_orderdate").desc_nulls_last(), "c_custkey").limit(40).select("c_custkey", "c_name", "o_orderkey")
 
 
 def source_slots(spark: SparkSession, d: str) -> DataFrame:

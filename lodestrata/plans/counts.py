@@ -39,12 +39,12 @@ def prefix_pivot(spark: SparkSession, d: str) -> DataFrame:
 
 
 def coverage_rollup(spark: SparkSession, d: str) -> DataFrame:
-    """Conditional counts per region, and the total (null region)."""
+    """Conditional counts per region, and the total, which a flag tells from a region without name."""
     n, r = table(spark, d, "nation"), table(spark, d, "region")
     c = table(spark, d, "customer").select("c_custkey", "c_nationkey")
     o = table(spark, d, "orders").select("o_custkey", "o_orderstatus", "o_totalprice")
     j = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
-    return j.rollup("r_name").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("answered"), F.count_if(F.col("o_orderstatus") == "P").alias("partial"), F.count_if(F.col("o_totalprice") > 200000).alias("wide"))
+    return j.rollup("r_name").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("answered"), F.count_if(F.col("o_orderstatus") == "P").alias("partial"), F.count_if(F.col("o_totalprice") > 200000).alias("wide"), (F.grouping("r_name") == 1).alias("total"))
 
 
 def fold_repeats(spark: SparkSession, d: str) -> DataFrame:
@@ -124,7 +124,7 @@ ORACLES = {
     "zero_filled_counts": "SELECT v.event_type, count(e.event_type) AS n FROM (VALUES " + ", ".join(f"('{w}')" for w in EVENT_TYPES) + ") v(event_type) LEFT JOIN events e USING (event_type) GROUP BY 1",
     "day_counts": "SELECT user_id, count(*) AS n FROM (SELECT user_id, ts, date_trunc('day', max(ts) OVER (PARTITION BY user_id)) AS d FROM events) WHERE ts >= d GROUP BY 1",
     "prefix_pivot": "SELECT split_part(o_orderpriority, '-', 1) AS bucket, count(*) FILTER (o_orderstatus = 'F') AS n_f, count(*) FILTER (o_orderstatus = 'O') AS n_o, count(*) FILTER (o_orderstatus = 'P') AS n_p FROM orders GROUP BY 1",
-    "coverage_rollup": "SELECT r_name, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS answered, count(*) FILTER (o_orderstatus = 'P') AS partial, count(*) FILTER (o_totalprice > 200000) AS wide FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name)",
+    "coverage_rollup": "SELECT r_name, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS answered, count(*) FILTER (o_orderstatus = 'P') AS partial, count(*) FILTER (o_totalprice > 200000) AS wide, grouping(r_name) = 1 AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name)",
     "fold_repeats": "SELECT sha256(trim(regexp_replace(lower(text), '[ \\t\\n\\r]+', ' ', 'g'))) AS key, min(doc_id) AS doc_id, count(*) AS repeats FROM documents GROUP BY 1",
     "top_reasons": "SELECT source, count(*) AS n FROM labels JOIN documents USING (doc_id) WHERE quality = 0 GROUP BY 1 ORDER BY n DESC, source LIMIT 3",
     "eval_metrics": "SELECT source, count(*) AS n, count(*) FILTER (n_chars >= 500 AND quality = 1) AS hits, round(count(*) FILTER (n_chars >= 500 AND quality = 1) / greatest(count(*) FILTER (quality = 1), 1), 6) AS recall, round(avg(CASE WHEN n_chars >= 500 THEN 1.0 ELSE 0.0 END), 6) AS survival FROM labels JOIN documents USING (doc_id) GROUP BY 1",

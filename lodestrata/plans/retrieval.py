@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import values as V
-from lodestrata.operators import fusion, ranking
+from lodestrata.operators import fusion, passages, ranking, vectors
 from lodestrata.operators import relational as R
 from lodestrata.sources.tables import table
 
@@ -14,32 +14,24 @@ from lodestrata.sources.tables import table
 EVERY = 20
 
 
-def _similar(spark: SparkSession, d: str) -> DataFrame:
-    """Cosine of every vector to each vector of the query set, exact: the set meets all rows in blocks; norms are made once a row.
-
-    Nothing is hinted: Spark broadcasts the query side while its size allows, and else pairs blocks of both sides.
-    """
-    v = F.col("embedding").cast("array<double>")
-    e = table(spark, d, "embeddings").select("vec_id", "label", v.alias("v"), F.sqrt(V.dot(v, v)).alias("norm"))
-    q = e.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("norm").alias("q_norm"))
-    norms = F.col("norm") * F.col("q_norm")
-    score = F.when(norms > 0, V.dot(F.col("v"), F.col("q")) / norms).otherwise(0.0)
-    return e.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", "label", F.round(score, 6).alias("score"))
+def _nearest(spark: SparkSession, d: str, k: int) -> DataFrame:
+    return vectors.nearest(table(spark, d, "embeddings").select("vec_id", "label", "embedding"), EVERY, k)
 
 
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.top_k(_similar(spark, d), ["query_id"], [F.col("score").desc(), F.col("vec_id")], 10)
+    """The ten nearest others of each question, exact."""
+    return _nearest(spark, d, 10)
 
 
 def vector_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
     """Over-fetch three times k, then filter by payload, then k."""
-    first = ranking.top_k(_similar(spark, d), ["query_id"], [F.col("score").desc(), F.col("vec_id")], 30, "r0")
+    first = _nearest(spark, d, 30).withColumnRenamed("rank", "r0")
     return ranking.top_k(first.where("label < 7"), ["query_id"], [F.col("r0")], 10).select("query_id", "vec_id", "score", "rank")
 
 
 def nearest_pair_review(spark: SparkSession, d: str) -> DataFrame:
     """Each question's nearest vector at or above a threshold: to review, never merged."""
-    return ranking.top_k(_similar(spark, d), ["query_id"], [F.col("score").desc(), F.col("vec_id")], 1).where("score >= 0.3").select("query_id", "vec_id", "score")
+    return _nearest(spark, d, 1).where("score >= 0.3").select("query_id", "vec_id", "score")
 
 
 def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
@@ -99,10 +91,12 @@ def trigram_similarity(spark: SparkSession, d: str) -> DataFrame:
     """
     p = table(spark, d, "part").select("p_partkey", F.lower("p_name").alias("name"))
     names = p.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("p_partkey") % EVERY == 0).alias("asked")).withColumn("g", V.trigrams(F.col("name")))
-    q = names.where("asked > 0").select(F.col("name").alias("q"), F.col("g").alias("qg"))
-    near = names.join(q, F.arrays_overlap("g", "qg")).where((F.col("name") == F.col("q")) | (V.jaccard(F.col("g"), F.col("qg")) >= 0.5))
-    found = near.groupBy("q").agg(F.sum(F.when(F.col("name") == F.col("q"), F.col("n") - 1).otherwise(0)).alias("exact"), F.sum(F.when(F.col("name") != F.col("q"), F.col("n")).otherwise(0)).alias("fuzzy"))
-    return p.where(F.col("p_partkey") % EVERY == 0).join(found, F.col("name") == F.col("q")).select("p_partkey", "exact", "fuzzy")
+    grams = names.select("name", "n", "asked", F.size("g").alias("size"), F.explode("g").alias("gram"))
+    q = grams.where("asked > 0").select(F.col("name").alias("q"), F.col("size").alias("q_size"), "gram")
+    met = grams.join(q, "gram").where("name <> q").groupBy("q", "name").agg(F.count(F.lit(1)).alias("common"), F.first("size").alias("size"), F.first("q_size").alias("q_size"), F.first("n").alias("n"))
+    near = met.where(F.col("common") / (F.col("size") + F.col("q_size") - F.col("common")) >= 0.5).groupBy("q").agg(F.sum("n").alias("fuzzy"))
+    asked = p.where(F.col("p_partkey") % EVERY == 0).join(names.select("name", (F.col("n") - 1).alias("exact")), "name")
+    return asked.join(near, F.col("name") == F.col("q"), "left").select("p_partkey", "exact", F.coalesce("fuzzy", F.lit(0)).cast("long").alias("fuzzy"))
 
 
 def first_seen_citations(spark: SparkSession, d: str) -> DataFrame:
@@ -139,27 +133,35 @@ def last_turn(spark: SparkSession, d: str) -> DataFrame:
 
 
 def prev_turn(spark: SparkSession, d: str) -> DataFrame:
-    """A turn without words of its own inherits the role of the one before."""
+    """Each turn with the role and number of the one before it in its conversation."""
     w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     return table(spark, d, "conversations").select("conv_id", "turn", "role", F.lag("role").over(w).alias("prev_role"), F.coalesce(F.lag("turn").over(w), F.lit(-1).cast("long")).alias("prev_turn"))
 
 
+def inherited_turns(spark: SparkSession, d: str) -> DataFrame:
+    """A turn that names no slots of its own takes those of the turn just before, if that has any."""
+    own = F.when(F.col("turn") % 3 != 1, F.concat(F.lit("s"), F.col("conv_id") % 5, F.lit(",s"), F.col("turn")))
+    before = F.lag(own).over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    return table(spark, d, "conversations").select("conv_id", "turn", "role", F.coalesce(own, before, F.lit("")).alias("slots"))
+
+
 def passages_without_quote(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold none of the quoted passages of their own source (every benchmark item, dealt by id)."""
     docs = table(spark, d, "documents").select("doc_id", "source", "text")
     quotes = table(spark, d, "benchmark").select(F.concat(F.lit("src"), F.col("item_id") % 20).alias("source"), F.col("text").alias("quote"))
-    held = docs.join(quotes, "source").where(F.instr(F.col("text"), F.col("quote")) > 0).select("doc_id")
+    pairs = passages.candidates(docs, quotes.withColumnRenamed("source", "of"), "text", "quote").where("source = of")
+    held = pairs.where(F.instr(F.col("text"), F.col("quote")) > 0).select("doc_id")
     return docs.join(held, "doc_id", "left_anti").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_filtered, nearest_pair_review, rrf_fuse, anchor_inject, bundle_cap, spread_domains, select_urls, keyword_match, trigram_similarity, first_seen_citations, budget_prefix, blocked_minus, keyset_page, offset_page, last_turn, prev_turn, passages_without_quote)}
+QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_filtered, nearest_pair_review, rrf_fuse, anchor_inject, bundle_cap, spread_domains, select_urls, keyword_match, trigram_similarity, first_seen_citations, budget_prefix, blocked_minus, keyset_page, offset_page, last_turn, prev_turn, inherited_turns, passages_without_quote)}
 
 _SIM = f"SELECT q.vec_id AS query_id, e.vec_id, e.label, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score FROM embeddings e JOIN embeddings q ON q.vec_id % {EVERY} = 0 AND q.vec_id <> e.vec_id"
 _TOP = f"SELECT query_id, vec_id, label, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM ({_SIM})"
 _URL = """lower(regexp_extract(b, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' || regexp_replace(lower(regexp_extract(b, '^[^:]+://([^/?]*)', 1)), '\\.$', '') ||
     CASE WHEN regexp_extract(b, '^[^:]+://[^/?]*(/[^?]*)', 1) = '' THEN '/' ELSE regexp_extract(b, '^[^:]+://[^/?]*(/[^?]*)', 1) END ||
     CASE WHEN k = '' THEN '' ELSE '?' || k END"""
-CANONICAL = f"""SELECT page_id, {_URL} AS address FROM (SELECT page_id, b, array_to_string(list_filter(string_split(regexp_extract(b, '\\?(.*)$', 1), '&'),
+CANONICAL = f"""SELECT page_id, CASE WHEN regexp_matches(b, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]') THEN {_URL} END AS address FROM (SELECT page_id, b, array_to_string(list_filter(string_split(regexp_extract(b, '\\?(.*)$', 1), '&'),
     lambda x: x <> '' AND NOT regexp_matches(x, '(?i)^(utm_[^=]*|gclid|fbclid|msclkid|mc_cid|mc_eid|ref)(=|$)')), '&') AS k FROM (SELECT page_id, regexp_replace(url, '#.*$', '') AS b FROM pages))"""
 _GRAMS = "SELECT lower(p_name) AS name, count(*) AS n, list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))) AS g FROM part GROUP BY 1, 3"
 _JACC = "len(list_intersect(a.g, b.g)) / greatest(len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)), 1)"
@@ -188,5 +190,7 @@ ORACLES = {
     "offset_page": "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC NULLS LAST, o_orderkey LIMIT 50 OFFSET 50",
     "last_turn": "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC) AS rn FROM conversations) WHERE rn = 1",
     "prev_turn": "SELECT conv_id, turn, role, lag(role) OVER w AS prev_role, coalesce(lag(turn) OVER w, -1) AS prev_turn FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)",
+    "inherited_turns": """WITH t AS (SELECT conv_id, turn, role, text, CASE WHEN turn % 3 <> 1 THEN 's' || (conv_id % 5) || ',s' || turn END AS own FROM conversations)
+        SELECT conv_id, turn, role, coalesce(own, lag(own) OVER (PARTITION BY conv_id ORDER BY turn, role, text), '') AS slots FROM t""",
     "passages_without_quote": "SELECT d.source, count(*) AS n FROM documents d WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE 'src' || (b.item_id % 20) = d.source AND contains(d.text, b.text)) GROUP BY 1",
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import values as V
 from lodestrata.functions.quotes import align_pairs
+from lodestrata.operators import passages
 from lodestrata.sources.tables import table
 
 #: Fixed values of the queries: path patterns (`*` any, `$` end), denied domains, and threshold rules in order.
@@ -19,8 +20,9 @@ def robots_rule(path: Column, rules: list[tuple[str, bool]]) -> Column:
     """Whether the longest matching pattern allows the path; allow wins ties, no match allows."""
     out = F.lit(True)
     for pattern, allowed in sorted(rules, key=lambda r: (len(r[0]), r[1])):
-        plain = "".join(".*" if c == "*" else "\\" + c if c in ".?+()[]{}|^" else c for c in pattern)
-        out = F.when(path.rlike("^" + plain), F.lit(allowed)).otherwise(out)
+        open_end = not pattern.endswith("$")
+        plain = "".join(".*" if c == "*" else "\\" + c if c in ".?+()[]{}|^$\\" else c for c in pattern.removesuffix("$"))
+        out = F.when(path.rlike(f"(?s)^{plain}" + ("" if open_end else "\\z")), F.lit(allowed)).otherwise(out)
     return out
 
 
@@ -71,19 +73,21 @@ def numbers_gate(spark: SparkSession, d: str) -> DataFrame:
 
 def table_spans(spark: SparkSession, d: str) -> DataFrame:
     """Maximal runs of consecutive lines with a bar, as half-open spans of code points, per document."""
-    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    w = Window.partitionBy("doc_id").orderBy("no")
-    at = F.coalesce(F.sum(F.length("line") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    marked = lines.withColumn("at", at).withColumn("no_bar", F.sum(F.when(F.instr("line", "|") > 0, 0).otherwise(1)).over(w)).where(F.instr("line", "|") > 0)
-    return marked.groupBy("doc_id", "no_bar").agg(F.min("at").cast("long").alias("span_start"), F.max(F.col("at") + F.length("line")).cast("long").alias("span_end"), F.count(F.lit(1)).alias("lines")).drop("no_bar")
+    # Runs and what lies between them come from one pattern each; offsets are sums over a document's few runs.
+    run = "(?md)^[^\n]*[|][^\n]*(?:\n[^\n]*[|][^\n]*)*"
+    t = table(spark, d, "documents").select("doc_id", F.regexp_extract_all("text", F.lit(run), F.lit(0)).alias("runs"), F.split("text", run, -1).alias("gaps")).where("size(runs) > 0")
+    t = t.select("doc_id", F.transform("runs", lambda r: F.struct(F.length(r).cast("long").alias("n"), (F.regexp_count(r, F.lit("\n")) + 1).cast("long").alias("lines"))).alias("runs"), F.transform("gaps", lambda g: F.length(g).cast("long")).alias("gaps"))
+    start = F.transform("runs", lambda r, i: F.struct((F.aggregate(F.slice("gaps", 1, i + 1), F.lit(0).cast("long"), lambda a, x: a + x) + F.aggregate(F.slice("runs", 1, i), F.lit(0).cast("long"), lambda a, x: a + x["n"])).alias("at"), r.alias("run")))
+    return t.select("doc_id", F.explode(start).alias("s")).select("doc_id", F.col("s.at").alias("span_start"), (F.col("s.at") + F.col("s.run.n")).alias("span_end"), F.col("s.run.lines").alias("lines"))
 
 
 def top_windows(spark: SparkSession, d: str) -> DataFrame:
     """Two windows of each document with most hits of a term, the earlier of equal ones, in document order."""
     size = 1000
     starts = F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(size))
-    w = table(spark, d, "documents").select("doc_id", "text", F.explode(starts).alias("start"))
-    hits = F.regexp_count(F.lower(F.substring("text", F.col("start") + 1, F.lit(size))), F.lit("[^a-z](the|la|der|el)[^a-z]"))
+    pieces = F.transform(starts, lambda s: F.struct(s.alias("start"), F.substring("text", s + 1, F.lit(size)).alias("piece")))
+    w = table(spark, d, "documents").select("doc_id", F.inline(pieces))
+    hits = F.regexp_count(F.lower("piece"), F.lit("[^a-z](the|la|der|el)[^a-z]"))
     best = Window.partitionBy("doc_id").orderBy(F.col("hits").desc(), "start")
     kept = w.select("doc_id", F.col("start").cast("long").alias("start"), hits.cast("long").alias("hits")).withColumn("rn", F.row_number().over(best)).where("rn <= 2")
     return kept.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("start"))).drop("rn")
@@ -135,11 +139,13 @@ def domain_spacing(spark: SparkSession, d: str) -> DataFrame:
 def quote_align(spark: SparkSession, d: str) -> DataFrame:
     """Passages found in documents through their normalised form, with exact spans in the text as it is.
 
-    A native containment of the collapsed forms finds the pairs; only those are aligned.
+    Pairs are those that share a run of three of the quote's words in plain letters (signs and marks apart), so that
+    typographic variants are among them; only these are aligned.
     """
-    docs = table(spark, d, "documents").select("doc_id", "text", V.collapse(F.col("text")).alias("flat"))
-    quotes = table(spark, d, "benchmark").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("quote"), V.collapse(F.col("text")).alias("flat_quote"))
-    return align_pairs(docs.join(quotes, F.instr(F.col("flat"), F.col("flat_quote")) > 0).select("doc_id", "item_id", "text", "quote"))
+    bare = lambda c: F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}\s]+", ""))
+    docs = table(spark, d, "documents").select("doc_id", "text", bare(F.col("text")).alias("flat"))
+    quotes = table(spark, d, "benchmark").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("quote"), bare(F.col("text")).alias("flat_quote"))
+    return align_pairs(passages.candidates(docs, quotes, "flat", "flat_quote").select("doc_id", "item_id", "text", "quote"))
 
 
 QUERIES = {f.__name__: f for f in (robots_decisions, denied_hosts, geography_fit, entity_resolution, initials, numbers_gate, table_spans, top_windows, partial_dates, gap_notes, threshold_rules, vocabulary, domain_spacing, quote_align)}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import values as V
 from lodestrata.functions.chunking import chunk_documents
+from lodestrata.operators import passages
 from lodestrata.plans.retrieval import CANONICAL
 from lodestrata.sources.tables import table
 
@@ -46,9 +47,9 @@ WINDOW, OVERLAP = 1200, 200
 def windows(spark: SparkSession, d: str) -> DataFrame:
     """Overlapping windows of each whole text with exact half-open spans of code points."""
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.length("text") - 1, F.lit(0)).cast("long"), F.lit(WINDOW - OVERLAP).cast("long"))
-    w = table(spark, d, "documents").select("doc_id", F.length("text").alias("n"), "text", F.explode(starts).alias("start"))
-    end = F.least(F.col("start") + WINDOW, F.col("n"))
-    return w.select("doc_id", "start", end.cast("long").alias("end"), F.sha2(F.substring("text", (F.col("start") + 1).cast("int"), F.lit(WINDOW)), 256).alias("digest"))
+    pieces = F.transform(starts, lambda s: F.struct(s.alias("start"), F.substring("text", (s + 1).cast("int"), F.lit(WINDOW)).alias("piece")))
+    w = table(spark, d, "documents").select("doc_id", F.inline(pieces))
+    return w.select("doc_id", "start", (F.col("start") + F.length("piece")).cast("long").alias("end"), F.sha2("piece", 256).alias("digest"))
 
 
 def chunk_docs(spark: SparkSession, d: str) -> DataFrame:
@@ -57,10 +58,11 @@ def chunk_docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def quote_locate(spark: SparkSession, d: str) -> DataFrame:
-    """Benchmark passages found in documents word for word, with 0-based offsets. The passage table is a fixed list."""
+    """Benchmark passages found in documents word for word, with 0-based offsets."""
     b, docs = table(spark, d, "benchmark"), table(spark, d, "documents")
     at = F.instr(F.col("text"), F.col("quote"))
-    return docs.select("doc_id", "text").join(b.select("item_id", F.col("text").alias("quote")), at > 0).select("doc_id", "item_id", (at - 1).cast("long").alias("span_start"), (at - 1 + F.length("quote")).cast("long").alias("span_end"))
+    met = passages.candidates(docs.select("doc_id", "text"), b.select("item_id", F.col("text").alias("quote")), "text", "quote")
+    return met.where(at > 0).select("doc_id", "item_id", (at - 1).cast("long").alias("span_start"), (at - 1 + F.length("quote")).cast("long").alias("span_end"))
 
 
 def entity_key(spark: SparkSession, d: str) -> DataFrame:
