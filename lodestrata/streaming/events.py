@@ -9,32 +9,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-#: Content ids remembered for each run. An id seen again after it was forgotten gets a new number; the watermark of
-#: the caller should end runs before that.
-REMEMBERED = 100_000
+def gapfree_sequences(events: DataFrame, run_col: str, id_col: str, order_col: str) -> DataFrame:
+    """run, id, seq: each new content id of a run gets the next number; an id that comes again is never numbered twice.
 
-
-def gapfree_sequences(events: DataFrame, run_col: str, id_col: str, order_col: str, remembered: int = REMEMBERED) -> DataFrame:
-    """run, id, seq: each new content id of a run gets the next number; an id that comes again is not numbered twice.
-
-    State per run is the next number and the ids in the order they came, up to `remembered`.
+    Two states: each id of each run by itself, so no list of ids is rewritten or cut, and the next number of each run.
+    Ids are kept for ever, as exactly-once asks; a store on disk (RocksDB) holds them. Within an Arrow batch rows are
+    numbered by `order_col`; a run's rows are never all in memory.
     """
 
     def number(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seq, ids = state.get if state.exists else (0, [])
-        known, out = dict.fromkeys(ids), []
-        rows = pd.concat(list(batches)).sort_values([order_col, id_col])
-        for i in rows[id_col].tolist():
-            if i not in known:
-                seq += 1
-                known[i] = None
-                out.append((key[0], i, seq))
-        state.update((seq, list(known)[-remembered:]))
-        yield pd.DataFrame(out, columns=[run_col, id_col, "seq"])
+        seq = state.get[0] if state.exists else 0
+        for rows in batches:
+            rows = rows.sort_values([order_col, id_col])
+            yield pd.DataFrame({run_col: key[0], id_col: rows[id_col].to_numpy(), "seq": range(seq + 1, seq + 1 + len(rows))})
+            seq += len(rows)
+        state.update((seq,))
 
     kinds = dict(events.dtypes)
     out = f"{run_col} {kinds[run_col]}, {id_col} {kinds[id_col]}, seq long"
-    return events.groupBy(run_col).applyInPandasWithState(number, out, f"seq long, ids array<{kinds[id_col]}>", "append", GroupStateTimeout.NoTimeout)
+    new = events.select(run_col, id_col, order_col).dropDuplicates([run_col, id_col])
+    return new.groupBy(run_col).applyInPandasWithState(number, out, "seq long", "append", GroupStateTimeout.NoTimeout)
 
 
 def windowed_counts(events: DataFrame, time_col: str, kind_col: str, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:

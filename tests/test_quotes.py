@@ -3,7 +3,13 @@ import unicodedata
 from hypothesis import assume, given
 from hypothesis import strategies as st
 
-from lodestrata.functions.quotes import align, normalise
+from lodestrata.functions.quotes import Bounds, Flat, align, match
+
+
+def normalise(text):
+    f = Flat(text)
+    return f.text, f.start, f.end
+
 
 TEXT = st.text(st.sampled_from("abAB é́­​“”’–•\n\t-.ﬁ…12"), max_size=60)
 
@@ -18,6 +24,26 @@ def test_typography_and_broken_words():
     assert align("text", "") is None
 
 
+def test_reasons_markers_and_values():
+    text = Flat("Report\n- the first item costs 1,204 euros\n* The second item\nthe first item again and the first item")
+    assert match(text, "") == "quote_length" and match(text, "a b c", bounds=Bounds(most=2)) == "quote_length"
+    assert match(text, "no such words here") == "quote_not_found"
+    assert match(text, "the first item") == "quote_not_unique"
+    assert match(text, "the first item costs 1,204 euros", "204") == "value_not_in_quote"
+    assert match(text, "the first item costs 1,204 euros", "1,204") == (9, 41)
+    assert match(text, "the second item") == (44, 59) and "- the" not in text.text and "* The" not in text.text
+    assert match(Flat("x cafe\u0301 ﬁne"), "café fine") == (2, 11)
+
+
+def test_quotes_meet_texts_by_a_key(spark):
+    from lodestrata.operators import passages
+
+    docs = spark.createDataFrame([(1, "so it was one two three four five six seven"), (2, "one two three"), (3, "two three four alone")], "doc_id long, text string")
+    quotes = spark.createDataFrame([(1, "one two three four five"), (2, "was one"), (3, "nine two three four ten")], "item_id long, quote string")
+    met = {(r.doc_id, r.item_id) for r in passages.candidates(docs, quotes, "text", "quote").collect()}
+    assert met == {(1, 1), (3, 1), (1, 3), (3, 3), (1, 2), (2, 2), (3, 2)}
+
+
 @given(TEXT)
 def test_offsets_cover_the_text_in_order(text):
     flat, start, end = normalise(text)

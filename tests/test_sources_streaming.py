@@ -56,3 +56,14 @@ def test_streams(spark, tmp_path):
     run(events.first_flights(stream, "at", ["id"], "1 day"), tmp_path, "flights")
     assert spark.table("flights").count() == 7
     spark.conf.set("spark.sql.shuffle.partitions", kept)
+
+
+def test_no_id_is_numbered_twice_however_many(spark, tmp_path):
+    """More ids of one run than an earlier bound of 100,000, all sent again later."""
+    df = spark.range(120_000).selectExpr("'r' AS run", "concat('e', id) AS id", "timestamp'2024-01-01' AS at")
+    for _ in range(2):
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    run(events.gapfree_sequences(stream, "run", "id", "at"), tmp_path, "many")
+    got = spark.table("many").selectExpr("count(*)", "count(DISTINCT id)", "min(seq)", "max(seq)").first()
+    assert tuple(got) == (120_000, 120_000, 1, 120_000)
