@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,16 +15,28 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where the setting is missing (tests)."""
+    """The folder named by spark.checkpoint.dir; a temporary one only where it is missing and all runs in one process."""
     named = spark.sparkContext.getConf().get(_CONF) or spark.conf.get(_CONF, None)
     if named:
         return named
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise ValueError(f"{_CONF} must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="lodestrata-")
     return _own[app]
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/lodestrata/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes the application's written tables. Results that still read from them must be stored elsewhere first."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write `df` once as Parquet in the shared folder and read it back.
 
@@ -31,7 +44,7 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     the reread table has exact size statistics: later joins broadcast it only if it is really small.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestrata/{name}-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -50,3 +50,27 @@ def test_numbers_are_unique_with_and_without_files(spark, docs):
         found = store.numbered(frame, "__row")
         assert found.columns == [*frame.columns, "__row"]
         assert found.select("__row").distinct().count() == found.count() == n
+
+
+def test_clear_removes_the_tables_of_the_application(spark):
+    table = store.written(spark.range(5), "gone")
+    assert table.count() == 5 and table.inputFiles()
+    store.clear(spark)
+    import os
+    from urllib.parse import urlparse
+
+    assert not any(os.path.exists(urlparse(f).path) for f in table.inputFiles())
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(spark):
+    class Context:
+        master, applicationId = "spark://host:7077", "app"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext, conf = Context(), {}
+
+    with pytest.raises(ValueError):
+        store.shared_dir(Session())
