@@ -45,6 +45,7 @@ class Encoder:
             self.mark, self.joint = MARK, f" {MARK} "
         # A text with an added token has a part with each of the token's own.
         self.added_parts = [max(t.lower().split() or [t.lower()], key=len) for t in self.added if t.strip()]
+        self.watch = True
         self.slots: dict = {}
         self.starts = np.zeros(0, np.int64)
         self.lens = np.zeros(0, np.int64)
@@ -76,7 +77,7 @@ class Encoder:
 
     def _unsafe(self, part) -> bool:
         word = part[0] if isinstance(part, tuple) else part
-        if any(t in word.lower() for t in self.added_parts):
+        if self.watch and any(t in word.lower() for t in self.added_parts):
             return True
         if not self.keeps_space:
             return MARK in part
@@ -105,6 +106,9 @@ class Encoder:
         if len(unknown):
             asked = [parts[i] for i in unknown.tolist()]
             missing = list(dict.fromkeys(asked))
+            # One look at all new parts together tells whether any may hold an added token.
+            joined = "\n".join(p[0] if isinstance(p, tuple) else p for p in missing).lower()
+            self.watch = any(t in joined for t in self.added_parts)
             unsafe = list(map(self._unsafe, missing))
             first = [p for p, u in zip(missing, unsafe) if not u and isinstance(p, tuple)]
             plain = [p for p, u in zip(missing, unsafe) if not u and not isinstance(p, tuple)]
