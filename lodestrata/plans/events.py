@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestrata.operators.sequencing import running
 from lodestrata.sources.tables import table
 
 
 def gapfree_seq(spark: SparkSession, d: str) -> DataFrame:
     """Sequence without gaps per user; a repeated event keeps its first place, so it is numbered once."""
     e = table(spark, d, "events").groupBy("user_id", "event_type", "ts", "props").agg(F.min("event_id").alias("event_id"))
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return e.select("user_id", "event_id", F.row_number().over(w).alias("seq"))
+    seq = running(e, ["user_id"], F.to_date("ts"), [F.col("ts"), F.col("event_id")], F.lit(1), "seq")
+    return seq.select("user_id", "event_id", F.col("seq").cast("int").alias("seq"))
 
 
 def rate_limit_window(spark: SparkSession, d: str) -> DataFrame:
@@ -23,8 +24,7 @@ def rate_limit_window(spark: SparkSession, d: str) -> DataFrame:
 
 def budget_first_crossing(spark: SparkSession, d: str) -> DataFrame:
     """The event with which each user's running value passes 85 % of a limit."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    spent = table(spark, d, "events").select("user_id", "event_id", "ts", F.sum(F.col("value").cast("decimal(18,4)")).over(w).alias("used")).where(F.col("used") >= F.lit("850").cast("decimal(18,4)"))
+    spent = running(table(spark, d, "events").select("user_id", "event_id", "ts", "value"), ["user_id"], F.to_date("ts"), [F.col("ts"), F.col("event_id")], F.col("value").cast("decimal(18,4)"), "used").where(F.col("used") >= F.lit("850").cast("decimal(18,4)"))
     return spent.groupBy("user_id").agg(F.min(F.struct("ts", "event_id")).alias("x")).select("user_id", F.col("x.event_id").alias("event_id"))
 
 
