@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import itertools
+import zipfile
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,11 +16,30 @@ PLACE_COLUMNS = {"place_id": 0, "name": 1, "ascii_name": 2, "alternates": 3, "la
 
 def _fields(spark: SparkSession, path: str) -> DataFrame:
     """Lines split at tabs; blank lines and comments are left out."""
-    return spark.read.text(path).where(~F.col("value").rlike(r"^\s*(#|$)")).select(F.split("value", "\t").alias("f"))
+    lines = _zipped_lines(spark, path) if path.endswith(".zip") else spark.read.text(path)
+    return lines.where(~F.col("value").rlike(r"^\s*(#|$)")).select(F.split("value", "\t").alias("f"))
+
+
+def _zipped_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of the one text file in each zip archive; a damaged archive is an error."""
+
+    def run(batches):
+        for batch in batches:
+            for content in batch.column(0):
+                with zipfile.ZipFile(io.BytesIO(content.as_py())) as archive:
+                    if bad := archive.testzip():
+                        raise ValueError(f"damaged archive member {bad}")
+                    (name,) = [n for n in archive.namelist() if n.endswith(".txt")]
+                    with archive.open(name) as file:
+                        lines = io.TextIOWrapper(file, "utf-8")
+                        while part := list(itertools.islice(lines, 10_000)):
+                            yield pa.RecordBatch.from_arrays([pa.array([x.rstrip("\r\n") for x in part])], names=["value"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "value string")
 
 
 def places(spark: SparkSession, path: str) -> DataFrame:
-    """One row a place; empty fields are null, alternates a list."""
+    """One row a place, from text or zipped text; empty fields are null, alternates a list."""
     f = _fields(spark, path)
     columns = {n: F.nullif(F.get("f", F.lit(i)), F.lit("")) for n, i in PLACE_COLUMNS.items()}
     numbers = {"lat": "double", "lon": "double", "population": "long"}
@@ -39,6 +63,11 @@ def known_places(place: DataFrame, country: DataFrame) -> DataFrame:
     return place.join(country.select(F.col("iso2").alias("country")), "country", "left_semi")
 
 
+def skipped_places(place: DataFrame, country: DataFrame) -> DataFrame:
+    """How many places were left out by each unknown country."""
+    return place.join(country.select(F.col("iso2").alias("country")), "country", "left_anti").groupBy("country").agg(F.count(F.lit(1)).alias("skipped"))
+
+
 def odata_values(spark: SparkSession, path: str) -> DataFrame:
     """Statistics as `value` lists: code, area, year, sex and the leading number of the shown text (empty if none)."""
     schema = "value array<struct<IndicatorCode string, SpatialDim string, TimeDim int, Dim1 string, Dim2Type string, Dim2 string, Value string>>"

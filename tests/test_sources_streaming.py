@@ -1,4 +1,5 @@
 import json
+import zipfile
 
 from lodestrata.sources import catalogues
 from lodestrata.streaming import events
@@ -19,6 +20,10 @@ def test_gazetteer(spark, tmp_path):
     assert rows["1"].alternates == ["Óstra", "Oster"] and rows["1"].population == 5000 and rows["2"].population is None and rows["1"].admin2 is None
     assert c.collect()[0].languages == ["en", "fr"]
     assert [r.place_id for r in catalogues.known_places(p, c).collect()] == ["1"]
+    assert [(r.country, r.skipped) for r in catalogues.skipped_places(p, c).collect()] == [("XB", 1)]
+    with zipfile.ZipFile(tmp_path / "p.zip", "w") as z:
+        z.write(tmp_path / "p.tsv", "places.txt")
+    assert sorted(map(str, catalogues.places(spark, str(tmp_path / "p.zip")).collect())) == sorted(map(str, p.collect()))
     (a,) = catalogues.admin1(spark, tsv(tmp_path / "a.tsv", [["XA.07", "North"]])).collect()
     assert (a.country, a.code, a.name) == ("XA", "07", "North")
 
