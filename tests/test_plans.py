@@ -39,3 +39,16 @@ def test_entry_and_guard(spark):
     assert entry.entry(spark).columns
     assert set(catalogue.queries()) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_hashed_vectors_against_plain(spark, data):
+    import re
+    import zlib
+
+    texts = {r.item_id: r.text for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()}
+    for r in catalogue.queries()["hashed_vectors"](spark, data).collect():
+        counts = [0] * 16
+        for w in re.findall("[a-z]+", texts[r.item_id].lower()):
+            counts[zlib.crc32(w.encode()) % 16] += 1
+        length = math.sqrt(sum(c * c for c in counts))
+        assert [float(x) for x in r.vector.split()] == pytest.approx([c / length for c in counts], abs=1e-4)
