@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,3 +30,31 @@ def running_budget(df: DataFrame, keys: list[str], order: list[Column], cost: Co
     """Rows of each key up to the first that overflows the budget, with `used` so far."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("used", F.sum(cost).over(w)).where(F.col("used") <= budget)
+
+
+def diverse(df: DataFrame, question: str, order: list[Column], slot: str, item: str, pair: str, anchored: str, per_slot: int, total: int) -> DataFrame:
+    """question, item, place: the best items with at most `per_slot` a slot and `total` a question, pairs whole or not at all.
+
+    Items come in order; anchored ones are exempt from the slot's bound. An item with a partner (`pair`, else null) brings
+    it along; where both no longer fit, neither comes. Only the first items of a question can matter, so what a task
+    holds is the best `4 * total` rows of each question besides the anchored ones.
+    """
+    w = Window.partitionBy(question).orderBy(*order)
+    ranked = df.select(question, F.col(slot).alias("slot"), F.col(item).alias("item"), F.col(pair).alias("pair"), F.col(anchored).alias("anchored"), F.row_number().over(w).alias("at"))
+    kinds = dict(df.dtypes)
+
+    def choose(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("at")
+        by = {r.item: r for r in rows.itertuples()}
+        taken, slots = [], Counter()
+        for r in rows.itertuples():
+            if r.item in taken:
+                continue
+            group = [r] + ([by[r.pair]] if not pd.isna(r.pair) and r.pair in by and r.pair not in taken and r.pair != r.item else [])
+            bound = Counter(g.slot for g in group if not g.anchored)
+            if len(taken) + len(group) <= total and all(slots[s] + n <= per_slot for s, n in bound.items()):
+                taken += [g.item for g in group]
+                slots += bound
+        return pd.DataFrame({question: rows[question].iloc[0], "item": taken, "place": range(1, len(taken) + 1)})
+
+    return ranked.where((F.col("at") <= 4 * total) | F.col("anchored")).groupBy(question).applyInPandas(choose, f"{question} {kinds[question]}, item {kinds[item]}, place int")
