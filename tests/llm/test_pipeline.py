@@ -4,7 +4,7 @@ from collections import Counter
 import corpus_pipeline
 from lodestrata.llm import queries, simhash
 from lodestrata.llm.store import written
-from tests.llm.common import empty_docs
+from tests.llm.common import empty_docs, odd_docs
 
 
 def test_stages_on_documents(spark, data):
@@ -32,6 +32,22 @@ def test_stages_on_an_empty_table(spark, data):
         assert stage(spark, empty_docs(spark), data).count() == 0
 
 
+def test_stages_in_sequence_on_odd_rows(spark, data):
+    """Nulls in every column, blank and long texts, repeated rows and clashing columns, through all stages."""
+    docs = odd_docs(spark)
+    names, sizes = docs.columns, [docs.count()]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, data), "odd-stage")
+        assert docs.columns == names, name
+        sizes.append(docs.count())
+    # No label is of these documents' ids alone, so none need be rejected; copies, near copies and repeats are gone.
+    assert sizes[0] >= sizes[1] >= sizes[2] >= sizes[3] > 0
+    kept = docs.collect()
+    assert any(r.text is None or not r.text.strip() for r in kept)
+    rows = corpus_pipeline.STAGES[-1][1](spark, docs, data).collect()
+    assert sum(r.piece == 0 for r in rows) == len(kept) and all(r.length <= 2048 for r in rows)
+
+
 def near_kept(docs):
     """Smallest ids of the groups that five-word Jaccard >= 0.8 connects, by comparing every pair."""
     sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").encode().lower().split()) else set() for i, t in docs}
