@@ -22,13 +22,21 @@ SHINGLE, LIKENESS = 5, 0.8
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier accepts; texts and rows stay as they are."""
+    """Documents that the co-trained classifier accepts; texts and rows stay as they are.
+
+    A null text, source, language or length is a value like any other; repeated rows get the same verdict. Without
+    labels of both classes nothing is rejected. An empty table stays empty; extra columns stay.
+    """
     ship(spark)
     return quality.accepted(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that an earlier one has; one with nothing left goes. n_chars follows the new text."""
+    """Documents without lines that an earlier one has; one with nothing left goes. n_chars follows the new text.
+
+    Earlier is a smaller doc_id (null first), then line number. Null and blank texts stay; rows equal in id and text
+    are one document and keep the same lines. An empty table stays empty; extra columns stay, whatever their names.
+    """
     ship(spark)
     kept = line_dedup.dedup_lines(docs)
     if LENGTH in docs.columns:
@@ -37,19 +45,31 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of sets of five-word shingles with a Jaccard index of 0.8: that of the smallest id."""
+    """One document of each group of sets of five-word shingles with a Jaccard index of 0.8: that of the smallest id.
+
+    Null, empty and blank texts have the empty set and are one group. Of repeated rows one stays; rows with a null id
+    stay only in a group without any id. An empty table stays empty; extra columns stay.
+    """
     ship(spark)
     return simhash.dedup(docs, shingle=SHINGLE, likeness=LIKENESS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents as often (0 to 2 times) as the source mix takes them."""
+    """Whole documents as often (0 to 2 times) as the source mix takes them.
+
+    A null source is a source of its own, the last. Documents without words (null texts too) stay once. Repeated rows
+    are documents of their own. An empty table stays empty; extra columns stay.
+    """
     ship(spark)
     return mixing.mixed_documents(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row a piece: its document, place in it, and place in a sequence of 2048 tokens."""
+    """One row a piece: its document, place in it, and place in a sequence of 2048 tokens.
+
+    A null text is an empty one: its end id alone. Rows with a null or repeated id are packed like any other. An empty
+    table gives none. Other columns aren't needed any more and go.
+    """
     ship(spark)
     return packing.best_fit(docs, tokenizer("word_bpe_49k.json"), 0, 2048)
 
