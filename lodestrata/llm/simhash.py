@@ -39,8 +39,9 @@ KEY_HUBS, CROSS = 4, 32
 SLACK = 1e-9
 #: Pairs a set of different components under a shingle beyond which it comes last in the order of shingles.
 LATE = 512
-#: Turns in which each set meets a hub before those still apart meet each other.
-HUB_TURNS = 1
+#: Turns at most in which each set meets a hub before those still apart meet each other, and the pairs a set of a key
+#: up to which they do so at once.
+HUB_TURNS, FEW = 6, 4
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -276,6 +277,12 @@ def _components_of_keys(placed: DataFrame) -> DataFrame:
     return sums.select("key", "main", "n", ((F.col("n") * F.col("n") - F.col("squares")) / 2).alias("cross"))
 
 
+def _crowded(sums: DataFrame) -> bool:
+    """Whether pairs of different components under keys are many for the sets under them."""
+    n, cross = sums.agg(F.sum("n"), F.sum("cross")).first()
+    return bool(n) and cross > FEW * n
+
+
 def _late(keys: DataFrame, many: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, likeness: float) -> DataFrame:
     """keys in an order that has the shingles of `many` after all others: sets with one in their prefix get another."""
     moved = written(keys.join(many, "key", "left_semi").select("node").distinct().join(nodes.select("node", "doc_id"), "node"), "like-moved")
@@ -284,14 +291,17 @@ def _late(keys: DataFrame, many: DataFrame, nodes: DataFrame, texts: DataFrame,
     own = texts.join(moved, "doc_id").select("node", "text").mapInArrow(_elements(shingle, likeness), "node long, n int, take int, key long")
     own = own.join(many.withColumn("late", F.lit(True)), "key", "left").withColumn("late", F.coalesce("late", F.lit(False)))
     own = own.withColumn("place", F.row_number().over(order) - 1).where("place < take").select("key", "node", "n", "place")
-    return written(own.union(keys.join(moved.select("node"), "node", "left_anti").select("key", "node", "n", "place")), "like-late")
+    both = written(own.union(keys.join(moved.select("node"), "node", "left_anti").select("key", "node", "n", "place")), "like-late")
+    several = both.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("key")
+    return both.join(several, "key", "left_semi")
 
 
 def _like_links(nodes: DataFrame, rows: DataFrame, texts: DataFrame, shingle: int, likeness: float, cross: int, late: int) -> DataFrame:
     """(a, b): pairs of nodes at least so like that connect all such pairs. nodes: node, doc_id, fp, n.
 
     First sets meet that the fingerprints bring together. Then each set meets one set (hub) of those of its keys, the
-    one it shares most keys with: after that, copies with small edits are one component, at a pair a set. Last, all
+    one it shares most keys with, for a few turns: after that, copies with small edits are one component, at a pair a
+    set and turn. Last, all
     sets of different components under a key meet, so only sets that stay apart cost pairs; shingles under which
     these are more than `late` a set come last in the order first, so a passage in very many texts brings none of
     them together that are otherwise different. Sets are compared only where a bound from their parities lets them be
@@ -318,16 +328,20 @@ def _like_links(nodes: DataFrame, rows: DataFrame, texts: DataFrame, shingle: in
     keys = taken.select("node", "n", F.posexplode("prefix").alias("place", "key"))
     several = keys.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("key")
     keys = written(keys.join(several, "key", "left_semi").select("key", "node", "n", "place"), "like-keys")
-    placed = _apart(keys, found, "like-apart")
-    for turn in range(HUB_TURNS):
+    placed, turn = _apart(keys, found, "like-apart"), 0
+    sums = written(_components_of_keys(placed), "like-parts")
+    while turn < HUB_TURNS and _crowded(sums):
         hub = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("r"), "node", "n", "place", "label")).alias("hub")
         hubs = placed.groupBy("key").agg(hub).selectExpr("key", "hub.node", "hub.n", "hub.place", "hub.label").toDF("key", "a", "na", "pa", "la")
         met = hubs.join(placed.toDF("key", "b", "nb", "pb", "lb"), "key").where("la <> lb").where(_room(likeness))
         best = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a"))
-        found = written(found.union(verified(best)), "like-found")
+        new, turn = verified(best), turn + 1
+        if new.isEmpty():
+            break
+        found = written(found.union(new), "like-found")
         placed = _apart(placed.select("key", "node", "n", "place"), found, "like-apart")
+        sums = written(_components_of_keys(placed), "like-parts")
 
-    sums = written(_components_of_keys(placed), "like-parts")
     many = written(sums.where(F.col("cross") > late * F.col("n")).select("key"), "like-many")
     if not many.isEmpty():
         placed = _apart(_late(keys, many, nodes, texts, shingle, likeness), found, "like-apart")
