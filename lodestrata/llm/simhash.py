@@ -37,8 +37,9 @@ MAX_DISTANCE = 3
 KEY_HUBS, CROSS = 4, 32
 #: For comparing products of a likeness and a count.
 SLACK = 1e-9
-#: Pairs a set of different components under a shingle beyond which it comes last in the order of shingles.
-LATE = 512
+#: Pairs a set of different components under a shingle beyond which it comes last in the order of shingles; up to so
+#: many of these (2 MB), tasks hold them all, else they are joined.
+LATE, LATE_KEYS = 64, 200_000
 #: Turns at most in which each set meets a hub before those still apart meet each other, and the pairs a set of a key
 #: up to which they do so at once.
 HUB_TURNS, FEW = 6, 4
@@ -175,16 +176,15 @@ def _least(n: int, likeness: float) -> int:
 
 
 def _sets(shingle: int, likeness: float):
-    """(row, text) → row, node (hash of the set), fp, size of the set, its prefix (smallest hashes), all its hashes.
+    """(row, text) → row, node (hash of the set), fp, size of the set, its prefix (smallest hashes), its `_parity`.
 
     A set at least so like shares `_least` elements of this one, so it shares one of any n - least + 1 that come first
-    in an order common to all sets. The whole set is kept as 32 bits of each hash, in order, for comparing two, and as
-    `_parity` for a bound.
+    in an order common to all sets.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, prints, sizes, prefixes, wholes, bits = [], [], [], [], [], []
+            nodes, prints, sizes, prefixes, bits = [], [], [], [], []
             for text in batch.column(1):
                 hashes = shingle_hashes(text.as_py(), shingle)
                 own = np.unique(hashes)
@@ -192,9 +192,8 @@ def _sets(shingle: int, likeness: float):
                 prints.append(_majority(hashes))
                 sizes.append(len(own))
                 prefixes.append(own[: len(own) - _least(len(own), likeness) + 1].view("<i8"))
-                wholes.append(np.sort(own.astype("<u4")).tobytes())
                 bits.append(_parity(own))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(wholes, pa.binary()), pa.array(bits, pa.binary())], names=["doc_id", "node", "fp", "n", "prefix", "s", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["doc_id", "node", "fp", "n", "prefix", "bits"])
 
     return run
 
@@ -213,6 +212,33 @@ def _elements(shingle: int, likeness: float):
     return run
 
 
+def _whole_sets(shingle: int):
+    """(node, text) → node, the hashes of its set in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), shingle)).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "s"])
+
+    return run
+
+
+def _late_prefixes(shingle: int, likeness: float, late: list[int]):
+    """(node, n, text) → key, node, n, place: the prefix of each set in the order that has the keys of `late` last."""
+    last = np.array(sorted(late), "<i8").view("<u8")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, n, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                own = np.unique(shingle_hashes(text.as_py(), shingle))
+                behind = np.isin(own, last)
+                keys = np.concatenate([own[~behind], own[behind]])[: n - _least(n, likeness) + 1]
+                columns = [pa.array(keys.view("<i8")), *(pa.array(np.full(len(keys), x, kind)) for x, kind in ((node, "<i8"), (n, "<i4"))), pa.array(np.arange(len(keys), dtype="<i4"))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "n", "place"])
+
+    return run
+
+
 def _parity(own: np.ndarray) -> bytes:
     """One bit for each place that hashes are dealt to, twice as many places as hashes: whether an odd number is there.
 
@@ -246,7 +272,7 @@ def _like(likeness: float):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")
+                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(common >= likeness * (len(x) + len(y) - common) - SLACK)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -285,12 +311,16 @@ def _crowded(sums: DataFrame) -> bool:
 
 def _late(keys: DataFrame, many: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, likeness: float) -> DataFrame:
     """keys in an order that has the shingles of `many` after all others: sets with one in their prefix get another."""
-    moved = written(keys.join(many, "key", "left_semi").select("node").distinct().join(nodes.select("node", "doc_id"), "node"), "like-moved")
-    # Hashes are compared without a sign, as in `_sets`.
-    order = Window.partitionBy("node").orderBy("late", F.col("key") < 0, "key")
-    own = texts.join(moved, "doc_id").select("node", "text").mapInArrow(_elements(shingle, likeness), "node long, n int, take int, key long")
-    own = own.join(many.withColumn("late", F.lit(True)), "key", "left").withColumn("late", F.coalesce("late", F.lit(False)))
-    own = own.withColumn("place", F.row_number().over(order) - 1).where("place < take").select("key", "node", "n", "place")
+    moved = written(keys.join(many, "key", "left_semi").select("node").distinct().join(nodes.select("node", "doc_id", "n"), "node"), "like-moved")
+    if many.count() <= LATE_KEYS:
+        found = texts.join(moved, "doc_id").select("node", "n", "text")
+        own = found.mapInArrow(_late_prefixes(shingle, likeness, [r.key for r in many.collect()]), "key long, node long, n int, place int")
+    else:
+        # Hashes are compared without a sign, as in `_sets`.
+        order = Window.partitionBy("node").orderBy("late", F.col("key") < 0, "key")
+        own = texts.join(moved, "doc_id").select("node", "text").mapInArrow(_elements(shingle, likeness), "node long, n int, take int, key long")
+        own = own.join(many.withColumn("late", F.lit(True)), "key", "left").withColumn("late", F.coalesce("late", F.lit(False)))
+        own = own.withColumn("place", F.row_number().over(order) - 1).where("place < take").select("key", "node", "n", "place")
     both = written(own.union(keys.join(moved.select("node"), "node", "left_anti").select("key", "node", "n", "place")), "like-late")
     several = both.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("key")
     return both.join(several, "key", "left_semi")
@@ -307,7 +337,6 @@ def _like_links(nodes: DataFrame, rows: DataFrame, texts: DataFrame, shingle: in
     them together that are otherwise different. Sets are compared only where a bound from their parities lets them be
     so like.
     """
-    sets_of = rows.select("doc_id", "s")
     bits = written(rows.select("doc_id", "bits").join(nodes.select("doc_id", "node", "n"), "doc_id").select("node", "n", "bits"), "like-bits")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -315,7 +344,7 @@ def _like_links(nodes: DataFrame, rows: DataFrame, texts: DataFrame, shingle: in
         bound = pairs.join(bits.toDF("a", "na", "x"), "a").join(bits.toDF("b", "nb", "y"), "b").select("a", "b", "na", "nb", "x", "y")
         pairs = written(bound.mapInArrow(_may_be_like(likeness), "a long, b long"), "like-pairs")
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "doc_id"), "node")
-        sets = written(sets_of.join(wanted, "doc_id").select("node", "s"), "like-sets")
+        sets = written(texts.join(wanted, "doc_id").select("node", "text").mapInArrow(_whole_sets(shingle), "node long, s binary"), "like-sets")
         met = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
         return written(met.select("a", "b", "x", "y").mapInArrow(_like(likeness), "a long, b long"), "like-links")
 
@@ -336,7 +365,8 @@ def _like_links(nodes: DataFrame, rows: DataFrame, texts: DataFrame, shingle: in
         met = hubs.join(placed.toDF("key", "b", "nb", "pb", "lb"), "key").where("la <> lb").where(_room(likeness))
         best = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a"))
         new, turn = verified(best), turn + 1
-        if new.isEmpty():
+        if new.count() < nodes.count() / 1000:
+            found = found.union(new)
             break
         found = written(found.union(new), "like-found")
         placed = _apart(placed.select("key", "node", "n", "place"), found, "like-apart")
@@ -376,7 +406,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
         grouped = prints.join(_groups(prints, cross).withColumnRenamed("component_id", "group"), "fp")
     else:
         texts = tagged.select(F.col("__row").alias("doc_id"), F.col(text_col).alias("text"))
-        rows = written(texts.mapInArrow(_sets(shingle, likeness), f"doc_id {ROW}, node long, fp long, n int, prefix array<long>, s binary, bits binary"), "like-rows")
+        rows = written(texts.mapInArrow(_sets(shingle, likeness), f"doc_id {ROW}, node long, fp long, n int, prefix array<long>, bits binary"), "like-rows")
         grouped = _like_groups(rows, texts, shingle, likeness, cross, late)
     keep = grouped.join(ids, "doc_id").groupBy("group").agg(F.min(order).alias("best")).select(F.col("best.doc_id").alias("__row"))
     return tagged.join(keep, "__row", "left_semi").drop("__row")
