@@ -84,6 +84,18 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), 0, 2048)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrata.llm.filter_audit import audit
+
+    return audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrata.llm.hard_negatives import hard_negatives
+
+    return hard_negatives(_table(spark, sf_dir, "embeddings"))
+
+
 def spotsigs_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fingerprints' similarity join over all documents: length classes, pruned Jaccard, one class id a document."""
     from lodestrata.llm.spotsigs import near_duplicates
@@ -124,6 +136,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filter": op8_url_filter,
         "op9_packing": op9_packing,
         "op10_line_dedup": op10_line_dedup,
+        "op11_filter_audit": op11_filter_audit,
+        "op13_hard_negatives": op13_hard_negatives,
         "spotsigs_groups": spotsigs_groups,
         "spotsigs_edits": spotsigs_edits,
         "mixing_sizes": mixing_sizes,
@@ -132,8 +146,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """None of the ten can be expressed as SQL whole; tests/llm holds each against brute force. Parts of three can."""
+    """Those that SQL can express, whole or in part; tests/llm holds the others against brute force."""
+    from lodestrata.llm import filter_audit, hard_negatives
+
     return {
+        "op11_filter_audit": filter_audit.SQL,
+        "op13_hard_negatives": hard_negatives.SQL,
         "spotsigs_edits": """
             WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n,
                               coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id), first_value(coalesce(text, '')) OVER (ORDER BY doc_id)) AS following
