@@ -90,6 +90,12 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrata.llm.shingle_join import joined
+
+    return joined(_table(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestrata.llm.hard_negatives import hard_negatives
 
@@ -137,6 +143,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_packing": op9_packing,
         "op10_line_dedup": op10_line_dedup,
         "op11_filter_audit": op11_filter_audit,
+        "op12_shingle_join": op12_shingle_join,
         "op13_hard_negatives": op13_hard_negatives,
         "spotsigs_groups": spotsigs_groups,
         "spotsigs_edits": spotsigs_edits,
@@ -151,6 +158,7 @@ def oracle_sql() -> dict[str, str]:
 
     return {
         "op11_filter_audit": filter_audit.SQL,
+        "op12_shingle_join": op12_shingle_join,
         "op13_hard_negatives": hard_negatives.SQL,
         "spotsigs_edits": """
             WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n,
