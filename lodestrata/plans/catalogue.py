@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.plans import answers, assembly, claims, counts, events, facts, grammar, graph, judging, panels, parsing, places, retrieval, rules, text, upkeep, writes
+from lodestrata.plans import answers, assembly, claims, counts, events, facts, fulltext, grammar, graph, judging, panels, parsing, places, retrieval, rules, text, upkeep, writes
 
-MODULES = (facts, claims, counts, retrieval, text, events, rules, writes, assembly, judging, grammar, places, graph, upkeep, answers, parsing, panels)
+MODULES = (facts, claims, counts, retrieval, text, events, rules, writes, assembly, judging, grammar, places, graph, upkeep, answers, parsing, panels, fulltext)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
