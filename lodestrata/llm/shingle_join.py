@@ -6,16 +6,17 @@ still hold every partner at least once. Those short lists are merged by heap, an
 of the one set is looked for in the other by binary search, until the required overlap is reached or out of reach.
 
 * Order of the elements: by hash, those with long lists last. Which are long is learnt from the lists themselves, in
-  turns: a list that would make more than `LATE` pairs a set goes last, its sets take their next element instead. All
-  sets use one order, so nothing is lost, whatever is said of an element: what tells tasks is a bitmap of fixed size, in
+  turns: one with sets of more than `LATE` components goes last, and its sets take their next element instead. All sets
+  use one order, so nothing is lost, whatever is said of an element: what tells tasks is a bitmap of fixed size, in
   which elements share bits.
 * Lists are cut by the length of sets, in steps of 1/16 of a natural logarithm. If the first element that two sets share
   has ra and rb elements of each from there on, at most min(ra, rb) are common, so sizes na <= nb fit only if na + nb <=
   min(ra, rb) * (100 + percent) / percent. The smaller set asks the lists of the lengths that this lets be, so it asks
   with a ninth of its elements at 80 percent, and mostly with fewer lengths. Lists are held in parts of `PART` entries.
-* Equal sets are one node. Groups of near copies would fill each other's lists, so in a few turns before each set meets
-  one other of its lists, the one it shares most of them with; what that links is one component from then on, and only
-  sets of different components meet. Links are those that connect the same documents as all links would.
+* Equal sets are one node. Groups of near copies would fill each other's lists, so first each set meets the least of
+  those with the same first (second, third) element, and later, in turns while lists are full, one other of its lists,
+  the one it shares most of them with. What that links is one component from then on, and only sets of different
+  components meet. Links are those that connect the same documents as all links would.
 * Before a pair is probed, a bit string of the parities of its hashes bounds the overlap from above; it drops no pair
   that reaches it and leaves about one other in a thousand. Whole sets are made from the texts of these alone, once.
 * Texts never move: those wanted are picked by a broadcast bitmap of their rows, of fixed size (2**26 bits), and what is
@@ -39,13 +40,14 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.components import components
 from lodestrata.llm.shingles import SEED, majority, shingle_hashes
-from lodestrata.llm.store import ROW, numbered, written
+from lodestrata.llm.store import ROW, discard, numbered, tidy, written
 
 SHINGLE, PERCENT = 5, 80
-#: Pairs a set of different components under an element from which its list is long; turns in which long ones are found.
-LATE, LATE_TURNS = 16, 4
-#: Turns at most in which each set meets one other, and the pairs a set under which they aren't needed.
-HUB_TURNS, FEW = 4, 2
+#: Components of a list from which on it is long; turns at most in which long ones are looked for.
+LATE, LATE_TURNS = 32, 3
+#: First elements by which sets meet the least of those with the same; turns at most in which each set meets one other
+#: of its lists, and the pairs a set under which they aren't needed.
+FIRSTS, HUB_TURNS, FEW = 3, 2, 4
 #: Entries of a part of a list, on the average; bits of the number of a bitmap's place.
 PART, PLACE_BITS = 1024, 26
 
@@ -69,8 +71,8 @@ def parities(own: np.ndarray) -> bytes:
     return np.packbits(np.bincount((own >> np.uint64(32)).astype(np.int64) % places, minlength=places) & 1, bitorder="little").tobytes()
 
 
-def _sets(shingle: int, percent: int):
-    """(row, text) → row, node (hash of the set), fp (SimHash), n, the n - T + 1 smallest hashes, parities."""
+def _sets(shingle: int, percent: int, printed: bool):
+    """(row, text) → row, node (hash of the set), fp (SimHash, if wanted), n, the n - T + 1 smallest hashes, parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,7 +81,7 @@ def _sets(shingle: int, percent: int):
                 hashes = shingle_hashes(text.as_py(), shingle)
                 own = np.unique(hashes)
                 nodes.append(int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)).view("<i8")))
-                prints.append(majority(hashes))
+                prints.append(majority(hashes) if printed else None)
                 sizes.append(len(own))
                 heads.append(own[: len(own) - least_shared(len(own), percent) + 1].view("<i8"))
                 bits.append(parities(own))
@@ -88,9 +90,9 @@ def _sets(shingle: int, percent: int):
     return run
 
 
-def sets(texts: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def sets(texts: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, printed: bool = False) -> DataFrame:
     """texts: doc_id (as `numbered` names rows), text. One row each, written: node, fp, n, heads, bits."""
-    return written(texts.mapInArrow(_sets(shingle, percent), f"doc_id {ROW}, node long, fp long, n int, heads array<long>, bits binary"), "like-rows")
+    return written(texts.mapInArrow(_sets(shingle, percent, printed), f"doc_id {ROW}, node long, fp long, n int, heads array<long>, bits binary"), "like-rows")
 
 
 def _heads(shingle: int, percent: int, late: pa.Table):
@@ -218,15 +220,17 @@ def _length(n: Column) -> Column:
 
 
 class Join:
-    """The tables of one join. rows as `sets` makes them, texts as it takes them."""
+    """The tables of one join. rows as `sets` makes them, which it takes over; texts as `sets` takes them."""
 
     def __init__(self, rows: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, late: int = LATE):
         self.shingle, self.percent, self.late = shingle, percent, late
         self.texts = texts.select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
-        first = F.min(F.struct("doc_id", "bits")).alias("x")
-        self.bits = written(rows.groupBy("node", "n").agg(F.min("fp").alias("fp"), first).select("node", "n", "fp", "x.doc_id", "x.bits"), "like-nodes")
-        self.nodes = self.bits.select("node", "n", "fp", "doc_id", F.xxhash64("doc_id").alias("h"))
-        self.first_heads = rows.select("doc_id", "heads").join(self.nodes.select("doc_id", "node", "n"), "doc_id").select("node", "n", "heads")
+        first = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+        self.whole = written(rows.join(first, ["node", "doc_id"]).dropDuplicates(["node"]).withColumn("h", F.xxhash64("doc_id")), "like-nodes")
+        #: doc_id, node, n of every row.
+        self.rows = written(rows.select("doc_id", "node", "n"), "like-members")
+        discard(rows)
+        self.nodes = self.whole.select("node", "n", "fp", "doc_id", "h")
         #: Heads of the sets that a later order has given others than their first.
         self.moved: DataFrame | None = None
         #: Whole sets made so far.
@@ -239,7 +243,7 @@ class Join:
     def verified(self, pairs: DataFrame) -> DataFrame:
         """(a, b), a < b: those of the pairs of nodes that are partners."""
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-        bits = self.bits.select("node", "n", "bits")
+        bits = self.whole.select("node", "n", "bits")
         bound = pairs.join(bits.toDF("a", "na", "x"), "a").join(bits.toDF("b", "nb", "y"), "b").select("a", "b", "na", "nb", "x", "y")
         pairs = written(bound.mapInArrow(may_reach(self.percent), "a long, b long"), "like-pairs")
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
@@ -254,37 +258,59 @@ class Join:
 
     def links(self, start: DataFrame | None = None) -> DataFrame:
         """(a, b): partners that connect all partners. start: pairs of nodes to try first."""
-        found = None if start is None else self.verified(start)
-        keys = _several(_postings(self.first_heads), "like-keys")
+        spark = self.texts.sparkSession
+        found = self.verified(self._firsts() if start is None else self._firsts().union(start))
+        keys = self._in_order(found)
         placed, sums = self._apart(keys, found)
         for turn in range(HUB_TURNS):
+            tidy(spark)
             n, cross = sums.agg(F.sum("n"), F.sum("cross")).first()
             if not n or cross <= FEW * n:
                 break
-            new = self.verified(self._hubs(placed, turn))
-            found = new if found is None else found.union(new)
+            found = found.union(self.verified(self._hubs(placed, turn)))
             placed, sums = self._apart(placed.select("key", "node", "n", "place"), found)
-        late = None
+        return found if placed.isEmpty() else found.union(self.verified(self._searched(placed, sums)))
+
+    def _firsts(self) -> DataFrame:
+        """Each set with the least of those that have the same first (second, third) element."""
+        at = self.whole.select("node", F.posexplode(F.slice("heads", 1, FIRSTS)).alias("place", "key"))
+        least = at.groupBy("place", "key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("times")).where("times > 1")
+        return at.join(least, ["place", "key"]).select("a", F.col("node").alias("b"))
+
+    def _heads_now(self) -> DataFrame:
+        first = self.whole.select("node", "n", "heads")
+        return first if self.moved is None else self.moved.union(first.join(self.moved.select("node"), "node", "left_anti"))
+
+    def _in_order(self, found: DataFrame) -> DataFrame:
+        """(key, node, n, place) of the elements by which sets can meet, those with long lists last.
+
+        In a turn the lists are counted, by one set of each component, and sets with a long one among their elements get
+        their elements in the new order. Only those can change: an order that has more places last leaves the others' as
+        they are.
+        """
+        late: DataFrame | None = None
+        others = written(components(found).where("node <> label").select("node"), "like-others")
         for _ in range(LATE_TURNS):
-            many = sums.where(F.col("cross") > self.late * F.col("n")).select(_place("key").alias("key")).distinct()
-            # Long ones stay long; what is last already can't be moved again.
-            many = written(many if late is None else many.join(late, "key", "left_anti"), "like-many")
-            if many.isEmpty():
+            postings = _postings(self._heads_now().join(others, "node", "left_anti"))
+            times = postings.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") > self.late)
+            places = times.select(_place("key").alias("key")).distinct()
+            new = written(places if late is None else places.join(late, "key", "left_anti"), "like-late")
+            if new.isEmpty():
                 break
-            late = many if late is None else late.union(many)
-            keys = self._reordered(keys, late, many)
-            placed, sums = self._apart(keys, found)
-        if placed.isEmpty():
-            return placed.selectExpr("node AS a", "node AS b").limit(0) if found is None else found
-        new = self.verified(self._searched(placed, sums))
-        return new if found is None else found.union(new)
-
-    def _apart(self, keys: DataFrame, found: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+            late = new if late is None else late.union(new)
+            changed = _picked(_postings(self._heads_now()), "key", _bitmap(new, "key")).select("node").distinct()
+            changed = written(self.nodes.join(changed, "node", "left_semi").select("node", "n", "doc_id", "h"), "like-changed")
+            made = self._texts_of(changed).mapInArrow(_heads(self.shingle, self.percent, _bitmap(late, "key").toArrow()), f"doc_id {ROW}, heads array<long>")
+            own = written(made.join(changed.select("doc_id", "node", "n"), "doc_id").select("node", "n", "heads"), "like-heads")
+            self.moved = own if self.moved is None else own.union(self.moved.join(own.select("node"), "node", "left_anti"))
+            tidy(self.texts.sparkSession)
+        keys = _postings(self._heads_now())
+        several = keys.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("key")
+        return written(keys.join(several, "key", "left_semi").select("key", "node", "n", "place"), "like-keys")
+
+    def _apart(self, keys: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
         """keys with the component of each node, where a key still holds several; and what each such key holds."""
-        labelled = keys.withColumn("label", F.col("node"))
-        if found is not None:
-            labelled = keys.join(components(found), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        labelled = labelled.select("key", "node", "n", "place", "label")
+        labelled = keys.join(components(found), "node", "left").select("key", "node", "n", "place", F.coalesce("label", "node").alias("label"))
         parts = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
         n, squares = F.sum("c"), F.sum(F.col("c") * F.col("c"))
         sums = parts.groupBy("key").agg(n.alias("n"), F.max_by("label", F.struct("c", "label")).alias("main"), ((n * n - squares) / 2).alias("cross"))
@@ -301,21 +327,6 @@ class Join:
         met = hubs.join(placed.toDF("key", "b", "nb", "pb", "lb"), "key").where("la <> lb").where(self._fits())
         return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a"))
 
-    def _reordered(self, keys: DataFrame, late: DataFrame, new: DataFrame) -> DataFrame:
-        """Postings of the keys that several sets have when all places of `late` come last.
-
-        Only sets with a key at one of the `new` places change. A key that they take up may have been another set's alone.
-        """
-        changed = keys.withColumn("at", _place("key")).join(new.withColumnRenamed("key", "at"), "at", "left_semi").select("node").distinct()
-        changed = written(changed.join(self.nodes.select("node", "n", "doc_id", "h"), "node"), "like-changed")
-        made = self._texts_of(changed).mapInArrow(_heads(self.shingle, self.percent, _bitmap(late, "key").toArrow()), f"doc_id {ROW}, heads array<long>")
-        own = written(made.join(changed.select("doc_id", "node", "n"), "doc_id").select("node", "n", "heads"), "like-heads")
-        before = self.moved
-        self.moved = own if before is None else own.union(before.join(own.select("node"), "node", "left_anti"))
-        heads = self.moved.union(self.first_heads.join(self.moved.select("node"), "node", "left_anti"))
-        asked = _bitmap(keys.select("key").union(own.select(F.explode("heads"))), "key")
-        return _several(_picked(_postings(heads), "key", asked), "like-late")
-
     def _searched(self, placed: DataFrame, sums: DataFrame) -> DataFrame:
         """(a, b): sets of different components that share a short list, fit each other's length and may reach the overlap."""
         p = self.percent
@@ -336,12 +347,6 @@ def _postings(heads: DataFrame) -> DataFrame:
     return heads.select("node", "n", F.posexplode("heads").alias("place", "key")).select("key", "node", "n", "place")
 
 
-def _several(keys: DataFrame, name: str) -> DataFrame:
-    """The keys that more than one set has."""
-    several = keys.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("key")
-    return written(keys.join(several, "key", "left_semi").select("key", "node", "n", "place"), name)
-
-
 def joined(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, late: int = LATE) -> DataFrame:
     """doc_id, n_shingles, component_id of every row: the smallest doc_id reachable by links, itself included.
 
@@ -351,12 +356,10 @@ def joined(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
     """
     tagged = numbered(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "row")
     texts = tagged.select(F.col("row").alias("doc_id"), "text")
-    rows = sets(texts, shingle, percent)
-    some = rows.where("n > 0")
-    labels = components(Join(some, texts, shingle, percent, late).links())
-    of = some.select("doc_id", "node").join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
+    join = Join(sets(texts, shingle, percent), texts, shingle, percent, late)
+    labels = components(join.links())
+    of = join.rows.join(labels, "node", "left").select("doc_id", "n", F.coalesce("label", "node").alias("label"))
     ids = tagged.select(F.col("row").alias("doc_id"), "id")
-    first = of.join(ids, "doc_id").groupBy("label").agg(F.min("id").alias("component_id"))
-    found = of.join(first, "label").select("doc_id", "component_id", F.lit(True).alias("set"))
-    both = rows.select("doc_id", "n").join(ids, "doc_id").join(found, "doc_id", "left")
-    return both.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("set"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    some = written(of.join(ids, "doc_id").select("id", "n", "label"), "like-labels")
+    first = some.where("n > 0").groupBy("label").agg(F.min("id").alias("component_id"))
+    return some.join(first, "label", "left").select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))

@@ -12,61 +12,32 @@ Nulls, empty texts and ties: a text with no words (or null) has fingerprint zero
 component's id is the smallest doc_id in it (null only if all are); repeated rows keep their own rows. An empty
 table gives an empty result. Extra columns are left out of `fingerprints` and `near_duplicates`, kept in `dedup`.
 
-`dedup` with a likeness links by the exact Jaccard index of the sets of shingles instead: no bound on the bits is
-wide enough to hold all such pairs and narrow enough to index, so the fingerprints only bring the closest together.
-All other pairs meet on a shared shingle of their prefixes (see `_like_links`), none is lost.
+`dedup` with `percent` links by the exact Jaccard index of the sets of shingles instead: no bound on the bits is wide
+enough to hold all such pairs and narrow enough to index, so the fingerprints bring the closest together, and what they
+leave apart meets in the search of `shingle_join`; none is lost.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.llm.components import components
+from lodestrata.llm.shingle_join import Join, sets
+from lodestrata.llm.shingles import majority, shingle_hashes
 from lodestrata.llm.store import ROW, numbered, written
 
-SEED = 42
 MAX_DISTANCE = 3
 #: Fingerprints of a key that all others under it meet, and pairs a fingerprint up to which the rest meet pair by pair.
 KEY_HUBS, CROSS = 4, 32
-#: For comparing products of a likeness and a count.
-SLACK = 1e-9
-#: Pairs a set of different components under a shingle beyond which it comes last in the order of shingles; up to so
-#: many of these (2 MB), tasks hold them all, else they are joined.
-LATE, LATE_KEYS = 64, 200_000
-#: Turns at most in which each set meets a hub before those still apart meet each other, and the pairs a set of a key
-#: up to which they do so at once.
-HUB_TURNS, FEW = 6, 4
-
-
-def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
-    """XXH64 of each shingle of lower-cased (A-Z) words; fewer words are one shingle, no words none."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if len(words) < shingle:
-        shingles: Iterator[bytes] | list[bytes] = [b" ".join(words)] if words else []
-    else:
-        shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
-    digest = xxhash.xxh64_intdigest
-    return np.array([digest(s, SEED) for s in shingles], "<u8")
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """Signed 64-bit SimHash over the shingles of a text; repeats count."""
-    return _majority(shingle_hashes(text, shingle))
-
-
-def _majority(hashes: np.ndarray) -> int:
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        part = hashes[at : at + (1 << 16)]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+    return majority(shingle_hashes(text, shingle))
 
 
 def _fingerprints(shingle: int):
@@ -170,243 +141,30 @@ def _groups(prints: DataFrame, cross: int) -> DataFrame:
     return written(alone.union(linked.join(least, "label").select("fp", "component_id")), "simhash-groups")
 
 
-def _least(n: int, likeness: float) -> int:
-    """Elements that a set at least so like shares with one of n."""
-    return math.ceil(likeness * n - SLACK)
-
-
-def _sets(shingle: int, likeness: float):
-    """(row, text) → row, node (hash of the set), fp, size of the set, its prefix (smallest hashes), its `_parity`.
-
-    A set at least so like shares `_least` elements of this one, so it shares one of any n - least + 1 that come first
-    in an order common to all sets.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes, prints, sizes, prefixes, bits = [], [], [], [], []
-            for text in batch.column(1):
-                hashes = shingle_hashes(text.as_py(), shingle)
-                own = np.unique(hashes)
-                nodes.append(int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)).view("<i8")))
-                prints.append(_majority(hashes))
-                sizes.append(len(own))
-                prefixes.append(own[: len(own) - _least(len(own), likeness) + 1].view("<i8"))
-                bits.append(_parity(own))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["doc_id", "node", "fp", "n", "prefix", "bits"])
-
-    return run
-
-
-def _elements(shingle: int, likeness: float):
-    """(node, text) → node, size of the set, length of its prefix, key: one row an element."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for node, text in zip(batch.column(0), batch.column(1)):
-                own = np.unique(shingle_hashes(text.as_py(), shingle))
-                n = len(own)
-                columns = [pa.array(np.full(n, x, kind)) for x, kind in ((node.as_py(), "<i8"), (n, "<i4"), (n - _least(n, likeness) + 1, "<i4"))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(own.view("<i8"))], names=["node", "n", "take", "key"])
-
-    return run
-
-
-def _whole_sets(shingle: int):
-    """(node, text) → node, the hashes of its set in order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(t.as_py(), shingle)).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "s"])
-
-    return run
-
-
-def _late_prefixes(shingle: int, likeness: float, late: list[int]):
-    """(node, n, text) → key, node, n, place: the prefix of each set in the order that has the keys of `late` last."""
-    last = np.array(sorted(late), "<i8").view("<u8")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for node, n, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                own = np.unique(shingle_hashes(text.as_py(), shingle))
-                behind = np.isin(own, last)
-                keys = np.concatenate([own[~behind], own[behind]])[: n - _least(n, likeness) + 1]
-                columns = [pa.array(keys.view("<i8")), *(pa.array(np.full(len(keys), x, kind)) for x, kind in ((node, "<i8"), (n, "<i4"))), pa.array(np.arange(len(keys), dtype="<i4"))]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "n", "place"])
-
-    return run
-
-
-def _parity(own: np.ndarray) -> bytes:
-    """One bit for each place that hashes are dealt to, twice as many places as hashes: whether an odd number is there.
-
-    Places in which two sets differ are at most as many as the elements that only one of them has.
-    """
-    places = max(64, 1 << int(2 * len(own)).bit_length())
-    return np.packbits(np.bincount((own >> np.uint64(32)).astype(np.int64) % places, minlength=places) & 1, bitorder="little").tobytes()
-
-
-def _may_be_like(likeness: float):
-    """(a, b, na, nb, parities) -> the pairs whose sets can be so like, by their sizes and parities."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for na, nb, x, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
-                # The longer one folds onto half as many places until both have as many.
-                short, long_ = sorted((x, y), key=len)
-                p, q, size = int.from_bytes(short, "little"), int.from_bytes(long_, "little"), 8 * len(long_)
-                while size > 8 * len(short):
-                    size //= 2
-                    q = (q >> size) ^ (q & ((1 << size) - 1))
-                keep.append(na + nb - (p ^ q).bit_count() >= 2 * (likeness / (1 + likeness) * (na + nb) - SLACK))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
-def _like(likeness: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(common >= likeness * (len(x) + len(y) - common) - SLACK)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
-def _room(likeness: float) -> Column:
-    """Whether two sets that meet at places pa and pb of their prefixes can be so like if they share nothing before.
-
-    The first key that two sets share passes if they are.
-    """
-    left = F.lit(1) + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
-    return left >= F.lit(likeness / (1 + likeness)) * (F.col("na") + F.col("nb")) - SLACK
-
-
-def _apart(keys: DataFrame, found: DataFrame, name: str) -> DataFrame:
-    """keys with the component of each node, where a key still holds several."""
-    placed = keys.join(components(found), "node", "left").select("key", "node", "n", "place", F.coalesce("label", "node").alias("label"))
-    several = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    return written(placed.join(several, "key", "left_semi"), name)
-
-
-def _components_of_keys(placed: DataFrame) -> DataFrame:
-    """key, main (the label with most nodes), n, cross (pairs of nodes of different components) of every key."""
-    parts = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
-    sums = parts.groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.max_by("label", F.struct("c", "label")).alias("main"))
-    return sums.select("key", "main", "n", ((F.col("n") * F.col("n") - F.col("squares")) / 2).alias("cross"))
-
-
-def _crowded(sums: DataFrame) -> bool:
-    """Whether pairs of different components under keys are many for the sets under them."""
-    n, cross = sums.agg(F.sum("n"), F.sum("cross")).first()
-    return bool(n) and cross > FEW * n
-
-
-def _late(keys: DataFrame, many: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, likeness: float) -> DataFrame:
-    """keys in an order that has the shingles of `many` after all others: sets with one in their prefix get another."""
-    moved = written(keys.join(many, "key", "left_semi").select("node").distinct().join(nodes.select("node", "doc_id", "n"), "node"), "like-moved")
-    if many.count() <= LATE_KEYS:
-        found = texts.join(moved, "doc_id").select("node", "n", "text")
-        own = found.mapInArrow(_late_prefixes(shingle, likeness, [r.key for r in many.collect()]), "key long, node long, n int, place int")
-    else:
-        # Hashes are compared without a sign, as in `_sets`.
-        order = Window.partitionBy("node").orderBy("late", F.col("key") < 0, "key")
-        own = texts.join(moved, "doc_id").select("node", "text").mapInArrow(_elements(shingle, likeness), "node long, n int, take int, key long")
-        own = own.join(many.withColumn("late", F.lit(True)), "key", "left").withColumn("late", F.coalesce("late", F.lit(False)))
-        own = own.withColumn("place", F.row_number().over(order) - 1).where("place < take").select("key", "node", "n", "place")
-    both = written(own.union(keys.join(moved.select("node"), "node", "left_anti").select("key", "node", "n", "place")), "like-late")
-    several = both.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("key")
-    return both.join(several, "key", "left_semi")
-
-
-def _like_links(nodes: DataFrame, rows: DataFrame, texts: DataFrame, shingle: int, likeness: float, cross: int, late: int) -> DataFrame:
-    """(a, b): pairs of nodes at least so like that connect all such pairs. nodes: node, doc_id, fp, n.
-
-    First sets meet that the fingerprints bring together. Then each set meets one set (hub) of those of its keys, the
-    one it shares most keys with, for a few turns: after that, copies with small edits are one component, at a pair a
-    set and turn. Last, all
-    sets of different components under a key meet, so only sets that stay apart cost pairs; shingles under which
-    these are more than `late` a set come last in the order first, so a passage in very many texts brings none of
-    them together that are otherwise different. Sets are compared only where a bound from their parities lets them be
-    so like.
-    """
-    bits = written(rows.select("doc_id", "bits").join(nodes.select("doc_id", "node", "n"), "doc_id").select("node", "n", "bits"), "like-bits")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-        bound = pairs.join(bits.toDF("a", "na", "x"), "a").join(bits.toDF("b", "nb", "y"), "b").select("a", "b", "na", "nb", "x", "y")
-        pairs = written(bound.mapInArrow(_may_be_like(likeness), "a long, b long"), "like-pairs")
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "doc_id"), "node")
-        sets = written(texts.join(wanted, "doc_id").select("node", "text").mapInArrow(_whole_sets(shingle), "node long, s binary"), "like-sets")
-        met = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
-        return written(met.select("a", "b", "x", "y").mapInArrow(_like(likeness), "a long, b long"), "like-links")
-
-    of_print = nodes.groupBy("fp").agg(F.min("node").alias("a"))
-    close = links(nodes.select("fp"), cross).toDF("fa", "fb").join(of_print.toDF("fa", "a"), "fa").join(of_print.toDF("fb", "b"), "fb").select("a", "b")
-    same = nodes.select("fp", F.col("node").alias("b")).join(of_print, "fp").select("a", "b")
-    found = verified(close.union(same))
-
-    taken = rows.select("doc_id", "prefix").join(nodes.select("doc_id", "node", "n"), "doc_id")
-    keys = taken.select("node", "n", F.posexplode("prefix").alias("place", "key"))
-    several = keys.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("key")
-    keys = written(keys.join(several, "key", "left_semi").select("key", "node", "n", "place"), "like-keys")
-    placed, turn = _apart(keys, found, "like-apart"), 0
-    sums = written(_components_of_keys(placed), "like-parts")
-    while turn < HUB_TURNS and _crowded(sums):
-        hub = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("r"), "node", "n", "place", "label")).alias("hub")
-        hubs = placed.groupBy("key").agg(hub).selectExpr("key", "hub.node", "hub.n", "hub.place", "hub.label").toDF("key", "a", "na", "pa", "la")
-        met = hubs.join(placed.toDF("key", "b", "nb", "pb", "lb"), "key").where("la <> lb").where(_room(likeness))
-        best = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a"))
-        new, turn = verified(best), turn + 1
-        if new.count() < nodes.count() / 1000:
-            found = found.union(new)
-            break
-        found = written(found.union(new), "like-found")
-        placed = _apart(placed.select("key", "node", "n", "place"), found, "like-apart")
-        sums = written(_components_of_keys(placed), "like-parts")
-
-    many = written(sums.where(F.col("cross") > late * F.col("n")).select("key"), "like-many")
-    if not many.isEmpty():
-        placed = _apart(_late(keys, many, nodes, texts, shingle, likeness), found, "like-apart")
-        sums = written(_components_of_keys(placed), "like-parts")
-    if placed.isEmpty():
-        return found
-    # One side without the largest component of a key: at most four times as many comparisons as pairs between components.
-    left = placed.join(sums.select("key", "main"), "key").where("label <> main").select("key", "node", "n", "place", "label").toDF("key", "a", "na", "pa", "la")
-    met = left.join(placed.toDF("key", "b", "nb", "pb", "lb"), "key").where("la <> lb").where(_room(likeness))
-    return found.union(verified(met.select("a", "b")))
-
-
-def _like_groups(rows: DataFrame, texts: DataFrame, shingle: int, likeness: float, cross: int, late: int) -> DataFrame:
-    """(row, group) of every row."""
-    parts = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp"), F.min("n").alias("n"))
-    nodes = written(parts, "like-nodes")
-    labels = components(_like_links(nodes, rows, texts, shingle, likeness, cross, late))
-    return rows.select("doc_id", "node").join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("group"))
+def _like_groups(rows: DataFrame, texts: DataFrame, shingle: int, percent: int, cross: int) -> DataFrame:
+    """(row, group) of every row: sets that the fingerprints bring together are tried first, then all others meet."""
+    join = Join(rows, texts, shingle, percent)
+    of_print = join.nodes.groupBy("fp").agg(F.min("node").alias("a"))
+    close = links(join.nodes.select("fp"), cross).toDF("fa", "fb").join(of_print.toDF("fa", "a"), "fa").join(of_print.toDF("fb", "b"), "fb").select("a", "b")
+    same = join.nodes.select("fp", F.col("node").alias("b")).join(of_print, "fp").select("a", "b")
+    labels = components(join.links(close.union(same)))
+    return join.rows.join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("group"))
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, likeness: float | None = None, cross: int = CROSS, late: int = LATE) -> DataFrame:
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int | None = None, cross: int = CROSS) -> DataFrame:
     """The rows of docs with one document kept of each group: that of the smallest id, one row of it if repeated.
 
-    Groups connect fingerprints within 3 bits, or, with a likeness, sets of shingles whose Jaccard index reaches it.
+    Groups connect fingerprints within 3 bits, or, with `percent`, sets of shingles whose Jaccard index reaches it.
     Rows with a null id stay only in a group that has no other, the first by text. All columns stay.
     """
     tagged = numbered(docs, "__row")
     ids = tagged.select(F.col("__row").alias("doc_id"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("h"))
     order = F.struct(F.col("id").isNull(), "id", "h", "doc_id")
-    if likeness is None:
+    if percent is None:
         prints = written(_printed(tagged, F.col("__row"), text_col, shingle, ROW), "simhash-rows")
         grouped = prints.join(_groups(prints, cross).withColumnRenamed("component_id", "group"), "fp")
     else:
         texts = tagged.select(F.col("__row").alias("doc_id"), F.col(text_col).alias("text"))
-        rows = written(texts.mapInArrow(_sets(shingle, likeness), f"doc_id {ROW}, node long, fp long, n int, prefix array<long>, bits binary"), "like-rows")
-        grouped = _like_groups(rows, texts, shingle, likeness, cross, late)
+        grouped = _like_groups(sets(texts, shingle, percent, True), texts, shingle, percent, cross)
     keep = grouped.join(ids, "doc_id").groupBy("group").agg(F.min(order).alias("best")).select(F.col("best.doc_id").alias("__row"))
     return tagged.join(keep, "__row", "left_semi").drop("__row")

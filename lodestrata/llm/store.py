@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -49,6 +50,23 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Deletes one written table that nothing reads any more."""
+    spark, files = table.sparkSession, table.inputFiles()
+    if files and files[0].rpartition("/")[0].rpartition("/")[0].endswith(_folder(spark).removeprefix("file://")):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0].rpartition("/")[0])
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of steps whose results are written and whose frames are gone.
+
+    The cleaner waits for the driver to collect its garbage, as `spark.cleaner.periodicGC.interval` makes it do by the clock.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Type of the row identity that `numbered` adds.
 ROW = "struct<file:bigint,at:bigint>"
 

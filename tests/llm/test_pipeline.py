@@ -60,7 +60,7 @@ def near_kept(docs):
     return sorted(set(group.values()))
 
 
-def test_near_dedup_against_all_pairs(spark, data, monkeypatch):
+def test_near_dedup_against_all_pairs(spark, data):
     r, docs = random.Random(4), []
     for base in range(30):
         words = [f"w{r.randrange(3000)}" for _ in range(r.choice([3, 5, 9, 30, 80, 200]))]
@@ -76,13 +76,11 @@ def test_near_dedup_against_all_pairs(spark, data, monkeypatch):
     passage = " ".join(f"p{k}" for k in range(40))
     shared = docs + [(len(docs) + k, " ".join(f"q{r.randrange(900)}" for _ in range(30)) + f" {passage}" + " x" * (k % 3)) for k in range(20)]
     table = spark.createDataFrame(shared, "doc_id long, text string")
-    assert sorted(x.doc_id for x in simhash.dedup(table, shingle=5, likeness=0.8, cross=0, late=0).collect()) == near_kept(shared)
-    monkeypatch.setattr(simhash, "LATE_KEYS", 0)
-    assert sorted(x.doc_id for x in simhash.dedup(table, shingle=5, likeness=0.8, cross=0, late=0).collect()) == near_kept(shared)
+    assert sorted(x.doc_id for x in simhash.dedup(table, shingle=5, percent=80, cross=0).collect()) == near_kept(shared)
 
 
 def test_every_operator_has_its_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries() if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries() if n.startswith("op")) == list(range(1, 14))
 
 
 def test_companion_queries_against_their_sql(spark, data):

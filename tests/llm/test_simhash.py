@@ -94,17 +94,3 @@ def test_odd_rows(spark):
     assert sorted(i for i in ids if i) == [1, 2, 3, 6, 7] or sorted(i for i in ids if i) == [1, 3, 6, 7]
     assert simhash.near_duplicates(empty_docs(spark)).count() == 0
     assert simhash.dedup(empty_docs(spark)).count() == 0
-
-
-def test_bound_never_drops_a_like_pair():
-    import pyarrow as pa
-
-    rng = np.random.default_rng(9)
-    for _ in range(300):
-        n = int(rng.integers(1, 400))
-        own = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
-        other = np.unique(np.concatenate([own[: int(len(own) * rng.random())], rng.integers(0, 2**63, int(rng.integers(0, 60))).astype(np.uint64)]))
-        like = len(np.intersect1d(own, other)) >= 0.8 * len(np.union1d(own, other)) - 1e-9
-        batch = pa.RecordBatch.from_pydict({"a": [1], "b": [2], "na": [len(own)], "nb": [len(other)], "x": [simhash._parity(own)], "y": [simhash._parity(other)]})
-        (kept,) = simhash._may_be_like(0.8)([batch])
-        assert kept.num_rows or not like
