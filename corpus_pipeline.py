@@ -17,8 +17,8 @@ from lodestrata.runtime import ship
 
 #: The table's columns, where a stage has to name them.
 TEXT, LENGTH = "text", "n_chars"
-#: What near-duplicates share: words of a shingle, Jaccard index.
-SHINGLE, LIKENESS = 5, 0.8
+#: What near-duplicates share: words of a shingle, Jaccard index in percent.
+SHINGLE, PERCENT = 5, 80
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     stay only in a group without any id. An empty table stays empty; extra columns stay.
     """
     ship(spark)
-    return simhash.dedup(docs, shingle=SHINGLE, likeness=LIKENESS)
+    return simhash.dedup(docs, shingle=SHINGLE, percent=PERCENT)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
