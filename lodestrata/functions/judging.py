@@ -141,6 +141,19 @@ def values_agree(a: Column, b: Column, percent: Column, policy: Policy) -> Colum
     return F.when(percent, gap <= policy.agree_points).otherwise((largest == 0) | (gap <= largest * F.lit(policy.agree_share)))
 
 
+def agreeing_values(value: Column, percent: Column, policy: Policy) -> tuple[Column, Column]:
+    """The least and the most figure, in hundredths, with which one agrees: `values_agree` as bounds.
+
+    With a share p of the larger of two, others agree from (1 - p) of a figure to 1 / (1 - p) of it; of one below zero
+    it is the other way round, and zero agrees with zero alone.
+    """
+    share = F.lit(1.0 - policy.agree_share)
+    inner, outer = value * share, value / share
+    low = F.when(percent, value - policy.agree_points).otherwise(F.least(inner, outer))
+    high = F.when(percent, value + policy.agree_points).otherwise(F.greatest(inner, outer))
+    return low, high
+
+
 def months_apart(a: Column, b: Column) -> Column:
     """Whole months between two days, whichever is earlier."""
     early, late = F.least(a, b), F.greatest(a, b)
@@ -148,11 +161,18 @@ def months_apart(a: Column, b: Column) -> Column:
 
 
 def succession(new: str, old: str, policy: Policy) -> Column:
-    """supersede, history or conflict of two claims (structs) for one place, by what is known of their validity."""
-    nf, nt, of, ot = F.col(f"{new}.valid_from"), F.col(f"{new}.valid_to"), F.col(f"{old}.valid_from"), F.col(f"{old}.valid_to")
-    close = (F.col(f"{new}.from_proxy") | F.col(f"{old}.from_proxy")) & (months_apart(nf, of) <= policy.proxy_months)
-    return (
-        F.when(ot <= nf, "supersede").when(nt <= of, "history").when(nf.isNull() | of.isNull(), "conflict").when(close, "conflict")
-        .when(F.coalesce(ot > nf, F.lit(False)) | F.coalesce(nt > of, F.lit(False)), "conflict")
-        .when(F.year(nf) > F.year(of), "supersede").when(F.year(nf) < F.year(of), "history").otherwise("conflict")
-    )
+    """supersede, history or conflict of two claims (structs) for one place, by what is known of their validity.
+
+    Each is a period with open ends. Where one has ended by the time the other begins, they are in that order. Otherwise
+    years of begin order them, if both are known, no end reaches past the other's begin, and no begin that was taken from
+    a date of publication is within the months that such a date may be off.
+    """
+    begin, end = {x: F.col(f"{x}.valid_from") for x in (new, old)}, {x: F.col(f"{x}.valid_to") for x in (new, old)}
+    ended = lambda x, y: F.coalesce(end[x] <= begin[y], F.lit(False))
+    reaches = lambda x, y: F.coalesce(end[x] > begin[y], F.lit(False))
+    proxy = F.col(f"{new}.from_proxy") | F.col(f"{old}.from_proxy")
+    unsure = proxy & (months_apart(begin[new], begin[old]) <= policy.proxy_months)
+    told = begin[new].isNotNull() & begin[old].isNotNull() & ~unsure & ~reaches(old, new) & ~reaches(new, old)
+    years = F.when(told, F.signum((F.year(begin[new]) - F.year(begin[old])).cast("double")))
+    later = F.when(ended(old, new), 1.0).when(ended(new, old), -1.0).otherwise(F.coalesce(years, F.lit(0.0)))
+    return F.element_at(F.array(F.lit("history"), F.lit("conflict"), F.lit("supersede")), (later + 2).cast("int"))

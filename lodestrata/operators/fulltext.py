@@ -55,6 +55,21 @@ def all_of(found: DataFrame, most: int) -> DataFrame:
     return covers.groupBy("question", "doc").agg(F.count(F.lit(1)).alias("covers"), F.round(F.sum(F.lit(WEIGHT) / (1 + others)), 6).alias("score"))
 
 
+def bm25(docs: DataFrame, doc: str, text: Column, terms: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(question, doc, score): Okapi BM25 of each question's terms, with figures over all texts.
+
+    Lengths and counts are one row a text; what all texts share is two numbers, and one row a term.
+    """
+    own = docs.select(F.col(doc).alias("doc"), words(text).alias("w"))
+    times = own.select("doc", F.size("w").alias("n"), F.explode("w").alias("term")).join(terms.select("term").distinct(), "term", "left_semi").groupBy("doc", "n", "term").agg(F.count(F.lit(1)).alias("tf"))
+    whole = own.agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size("w")).alias("mean"))
+    held = times.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighed = held.crossJoin(F.broadcast(whole)).select("term", idf.alias("idf"), "mean")
+    score = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
+    return times.join(weighed, "term").join(terms, "term").groupBy("question", "doc").agg(F.round(F.sum(score), 6).alias("score"))
+
+
 def best(scored: DataFrame, limit: int) -> DataFrame:
     """The `limit` best of each question with their rank, ties by id; a task keeps that many a question before the shuffle."""
     order = Window.partitionBy("question").orderBy(F.col("score").desc(), "doc")

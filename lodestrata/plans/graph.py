@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import judging as J
+from lodestrata.operators import fulltext, fusion, graphwalk
 from lodestrata.sources.claims import CLAIM_SQL, claims
 from lodestrata.sources.tables import table
 
@@ -91,6 +92,45 @@ def graph_route(spark: SparkSession, d: str) -> DataFrame:
     return kept.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("city_id", "claim_id", "rank")
 
 
+#: Every so manieth supplier is a centre; edges from it at most, results of a search.
+CENTRES, DEPTH, NEAR = 20, 3, 10
+
+
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    """Edges of the graph with ends that don't clash: subjects as they are, objects below zero; one for each pair and type."""
+    at = F.lit(AT).cast("date")
+    c = claims(spark, d, "claim_id", "kind", "status", "relation", "subject", "object", "valid_from", "valid_to").where("kind = 'relation' AND status <> 'insufficient' AND relation IN ('LEADS', 'GOVERNS')")
+    c = c.where((F.col("valid_from").isNull() | (F.col("valid_from") <= at)) & (F.col("valid_to").isNull() | (F.col("valid_to") > at)))
+    return c.groupBy("relation", "subject", "object").agg(F.min("claim_id").alias("edge")).select("edge", "relation", F.col("subject").alias("a"), (-F.col("object") - 1).alias("b"), "object")
+
+
+def _centres(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "supplier").where(F.col("s_suppkey") % CENTRES == 0).select(F.col("s_suppkey").alias("centre"))
+
+
+def graph_distances(spark: SparkSession, d: str) -> DataFrame:
+    """How many edges every entity is from each centre, up to three, over the edges that hold at a date."""
+    return graphwalk.distances(_edges(spark, d), "a", "b", _centres(spark, d), "centre", DEPTH)
+
+
+def edges_near_centre(spark: SparkSession, d: str) -> DataFrame:
+    """Search of edges around each centre: by words (BM25 over type and object's name) and by distance, fused by rank.
+
+    A centre's question is the type and object's name of its first edge. Each route gives its first edges, ties by id.
+    """
+    edges = _edges(spark, d)
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("object"), "p_name")
+    named = graphwalk.kept(edges.join(part, "object", "left").select("edge", "a", "b", F.concat_ws(" ", "relation", "p_name").alias("text")))
+    asked = named.join(_centres(spark, d), F.col("a") == F.col("centre")).groupBy("centre").agg(F.min_by("text", "edge").alias("question"))
+    terms = fulltext.questions(asked, "centre", F.col("question"), [], 1, 4)
+    words = fulltext.best(fulltext.bm25(named, "edge", F.col("text"), terms), NEAR).select(F.col("question").alias("centre"), F.col("doc").alias("edge"), "rank")
+    reached = graphwalk.distances(named, "a", "b", asked, "centre", DEPTH)
+    near = graphwalk.edges_by_distance(named, "a", "b", "edge", reached)
+    near = graphwalk.ranked(near, ["centre"], [F.col("distance"), F.col("edge")], NEAR).select("centre", "edge", "rank")
+    fused = fusion.reciprocal_rank_fusion(words.union(near).withColumn("item", F.struct("centre", "edge")), "item", "rank").select("item.centre", "item.edge", "score")
+    return graphwalk.ranked(fused, ["centre"], [F.col("score").desc(), F.col("edge")], NEAR).select("centre", "edge", "score", "rank")
+
+
 ALLOWED = [("LEADS", 0), ("LEADS", 1), ("GOVERNS", 1), ("FUNDS", 2), ("RUNS", 0), ("RUNS", 2)]
 
 
@@ -163,7 +203,7 @@ def search_texts(spark: SparkSession, d: str) -> DataFrame:
     return j.groupBy(F.concat_ws(" ", "s_name", F.lower("relation"), "p_name").alias("text")).agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (graph_edges, edges_at, newest_edges, claims_touching, edge_claims, whole_edges, neighbourhood, ranked_then_rest, graph_route, refused_edges, ended_edges, contest_pairs, resolved_entities, acronym_definitions, search_texts)}
+QUERIES = {f.__name__: f for f in (graph_edges, edges_at, newest_edges, claims_touching, edge_claims, whole_edges, neighbourhood, ranked_then_rest, graph_route, refused_edges, ended_edges, contest_pairs, resolved_entities, acronym_definitions, search_texts, graph_distances, edges_near_centre)}
 
 _W = f"WITH {CLAIM_SQL}"
 _REL = "kind = 'relation'"
@@ -172,7 +212,26 @@ _WORDS = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda w:
 _FORM = "CASE CAST(p_partkey % 6 AS INT) WHEN 0 THEN upper(p_name) WHEN 1 THEN split_part(p_name, ' ', -1) || ' ' || split_part(p_name, ' ', 1) WHEN 2 THEN upper(p_name[1] || split_part(p_name, ' ', -1)[1]) WHEN 3 THEN 'the other ' || substring(p_name, 1, 4) WHEN 4 THEN 'new ' || p_name ELSE p_name END"
 _INIT = "array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
 
+_TOKENS = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{N}}_]+'), lambda w: w <> '')"
+_EDGES = f"""e AS (SELECT min(claim_id) AS edge, relation, subject AS a, -object - 1 AS b, object FROM claim WHERE {_REL} AND status <> 'insufficient' AND relation IN ('LEADS', 'GOVERNS') AND {_AT} GROUP BY relation, subject, object),
+    ways AS (SELECT DISTINCT a AS node, b AS nxt FROM e UNION SELECT DISTINCT b, a FROM e)"""
+_WALK = f"""walk(centre, node, distance) AS (SELECT {{}}, 0 FROM {{}} UNION SELECT centre, nxt, distance + 1 FROM walk JOIN ways USING (node) WHERE distance < {DEPTH}),
+    reached AS (SELECT centre, node, CAST(min(distance) AS INT) AS distance FROM walk GROUP BY ALL)"""
+
 ORACLES = {
+    "graph_distances": f"WITH RECURSIVE {CLAIM_SQL}, {_EDGES}, {_WALK.format('s_suppkey, s_suppkey', f'supplier WHERE s_suppkey % {CENTRES} = 0')} SELECT centre, node, distance FROM reached",
+    "edges_near_centre": f"""WITH RECURSIVE {CLAIM_SQL}, {_EDGES}, named AS (SELECT edge, a, b, concat_ws(' ', relation, p_name) AS text FROM e LEFT JOIN part ON p_partkey = object),
+        asked AS (SELECT a AS centre, arg_min(text, edge) AS question FROM named WHERE a % {CENTRES} = 0 AND a IN (SELECT s_suppkey FROM supplier) GROUP BY ALL),
+        {_WALK.format('centre, centre', 'asked')},
+        own AS (SELECT edge, {_TOKENS.format('text')} AS w FROM named), tf AS (SELECT edge, n, term, count(*) AS tf FROM (SELECT edge, len(w) AS n, unnest(w) AS term FROM own) GROUP BY ALL),
+        df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL), whole AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM own),
+        terms AS (SELECT DISTINCT centre, unnest(list_distinct({_TOKENS.format('question')})[1:4]) AS term FROM asked),
+        bm AS (SELECT centre, edge, round(sum(ln(1 + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / mean))), 6) AS score FROM tf JOIN df USING (term) JOIN terms USING (term), whole GROUP BY ALL),
+        w AS (SELECT centre, edge, row_number() OVER (PARTITION BY centre ORDER BY score DESC, edge) AS rank FROM bm QUALIFY rank <= {NEAR}),
+        ends AS (SELECT edge, a AS node FROM named UNION ALL SELECT edge, b FROM named), touch AS (SELECT centre, edge, min(distance) AS distance FROM ends JOIN reached USING (node) GROUP BY ALL),
+        n AS (SELECT centre, edge, row_number() OVER (PARTITION BY centre ORDER BY distance, edge) AS rank FROM touch QUALIFY rank <= {NEAR}),
+        f AS (SELECT centre, edge, round(sum(1.0::DOUBLE / (60.0::DOUBLE + rank)), 6) AS score FROM (SELECT * FROM w UNION ALL SELECT * FROM n) GROUP BY ALL)
+        SELECT centre, edge, score, CAST(row_number() OVER (PARTITION BY centre ORDER BY score DESC, edge) AS INT) AS rank FROM f QUALIFY rank <= {NEAR}""",
     "graph_edges": f"""{_W}, e AS (SELECT relation, subject, object, valid_to FROM claim WHERE {_REL} AND status <> 'insufficient' UNION ALL SELECT 'MEASURED_IN', object, city_id, NULL FROM claim WHERE kind = 'statistic' AND unit <> 'count' AND status <> 'insufficient')
         SELECT relation, valid_to IS NOT NULL AS ended, count(*) AS edges, count(DISTINCT subject) AS subjects FROM e GROUP BY ALL""",
     "edges_at": f"{_W} SELECT claim_id, relation FROM claim WHERE {_REL} AND relation IN ('LEADS', 'FUNDS') AND subject % 10 < 4 AND {_AT}",

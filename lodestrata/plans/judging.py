@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import judging as J
 from lodestrata.functions import scoring as S
-from lodestrata.operators import ranking
+from lodestrata.operators import intervals, ranking
 from lodestrata.sources.claims import CLAIM_SQL, claims
 from lodestrata.sources.tables import table
 
@@ -104,27 +104,45 @@ def key_differences(spark: SparkSession, d: str) -> DataFrame:
     return pairs.groupBy(F.array_join(J.differing_parts("a", "b"), ", ").alias("parts")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _decided(c: DataFrame, scope: list[str]) -> DataFrame:
+    """claim_id and not_comparable, novel, agrees or conflicts of each figure against those of its key in its scope.
+
+    A sweep, not a join: the least and the most figure among those whose period overlaps say whether any differs too
+    much; where none does and there are others, it agrees with all of them.
+    """
+    keyed = c.withColumn("key", J.comparability_key())
+    cut = keyed.where("key IS NOT NULL").withColumn("begins", F.when(~F.col("proxy"), F.coalesce("ref_start", "ref_end"))).withColumn("ends", F.when(~F.col("proxy"), F.coalesce("ref_end", "ref_start")))
+    swept = intervals.extremes_of_overlapping(cut.select(*scope, "key", "claim_id", "begins", "ends", "hundredths", "unit"), [*scope, "key"], "begins", "ends", "hundredths", "claim_id")
+    low, high = J.agreeing_values(F.col("hundredths"), F.col("unit") == "percent", POLICY)
+    # Bounds of a share are doubles: a hair of room, as whole hundredths are compared.
+    differs = (F.col("least") < low - 1e-6) | (F.col("most") > high + 1e-6)
+    outcome = F.when(differs, "conflicts").when(F.col("first_id") < F.col("last_id"), "agrees").otherwise("novel")
+    j = keyed.select("claim_id", "key").join(swept.select("claim_id", outcome.alias("outcome")), "claim_id", "left")
+    return j.select("claim_id", F.when(F.col("key").isNull(), "not_comparable").otherwise(F.col("outcome")).alias("outcome"))
+
+
+_FIGURE = ("claim_id", "kind", "status", "ref_start", "ref_end", "proxy", "hundredths", *J.KEY_PARTS)
+
+
 def statistic_decisions(spark: SparkSession, d: str) -> DataFrame:
-    """not_comparable, novel, agrees or conflicts of each figure against those of its key in the same indicator."""
-    c = claims(spark, d, "claim_id", "kind", "status", "ref_start", "ref_end", "proxy", "hundredths", *J.KEY_PARTS).where("kind = 'statistic' AND status <> 'insufficient'").withColumn("key", J.comparability_key())
-    keyed = c.where("key IS NOT NULL").select("key", "claim_id", "ref_start", "ref_end", "proxy", "hundredths", "unit")
-    other = keyed.select("key", *[F.col(x).alias("o_" + x) for x in ("claim_id", "ref_start", "ref_end", "proxy", "hundredths")])
-    met = keyed.join(other, "key").where("claim_id <> o_claim_id")
-    overlap = J.periods_overlap(F.col("ref_start"), F.col("ref_end"), F.col("o_ref_start"), F.col("o_ref_end"), F.col("proxy") | F.col("o_proxy"))
-    agree = J.values_agree(F.col("hundredths"), F.col("o_hundredths"), F.col("unit") == "percent", POLICY)
-    seen = met.groupBy("claim_id").agg(F.bool_or(overlap & ~agree).alias("conflict"), F.bool_or(overlap & agree).alias("agree"))
-    j = c.select("claim_id", "key").join(seen, "claim_id", "left")
-    return j.select("claim_id", F.when(F.col("key").isNull(), "not_comparable").when(F.col("conflict"), "conflicts").when(F.col("agree"), "agrees").otherwise("novel").alias("outcome"))
+    """What becomes of each figure against the comparable ones of its run and city."""
+    return _decided(claims(spark, d, "city_id", "run_id", *_FIGURE).where("kind = 'statistic' AND status <> 'insufficient'"), ["city_id", "run_id"])
+
+
+def statistic_decisions_everywhere(spark: SparkSession, d: str) -> DataFrame:
+    """The same against all comparable figures, whatever the city: keys with very many figures."""
+    return _decided(claims(spark, d, *_FIGURE).where("kind = 'statistic' AND status <> 'insufficient'"), [])
 
 
 def relation_decisions(spark: SparkSession, d: str) -> DataFrame:
-    """agrees, novel, conflicts, history or supersedes of each relation against those of its object and type.
+    """agrees, novel, conflicts, history or supersedes of each relation against those of its object and type in its run and city.
 
-    Only LEADS and GOVERNS allow one subject at a time; of the others an equal edge agrees.
+    Only LEADS and GOVERNS allow one subject at a time; of the others an equal edge agrees. A run holds few claims of a
+    place, so they meet pair by pair.
     """
-    c = claims(spark, d, "claim_id", "kind", "status", "subject", "object", "relation", "valid_from", "valid_to", "from_proxy").where("kind = 'relation' AND status <> 'insufficient'")
+    c = claims(spark, d, "city_id", "run_id", "claim_id", "kind", "status", "subject", "object", "relation", "valid_from", "valid_to", "from_proxy").where("kind = 'relation' AND status <> 'insufficient'")
     side = F.struct("claim_id", "subject", "valid_from", "valid_to", "from_proxy")
-    edge = ["relation", "object"]
+    edge = ["city_id", "run_id", "relation", "object"]
     met = c.select(*edge, side.alias("a")).join(c.select(*edge, side.alias("b")), edge).where("a.claim_id <> b.claim_id")
     single, rival = F.col("relation").isin("LEADS", "GOVERNS"), F.col("a.subject") != F.col("b.subject")
     order = F.when(single & rival, J.succession("a", "b", POLICY))
@@ -133,7 +151,7 @@ def relation_decisions(spark: SparkSession, d: str) -> DataFrame:
     return j.select("claim_id", F.when(F.col("conflict"), "conflicts").when(F.col("history"), "history").when(F.col("supersede"), "supersedes").when(F.col("same"), "agrees").otherwise("novel").alias("outcome"))
 
 
-QUERIES = {f.__name__: f for f in (effective_levels, ranked_claims, claim_badges, claim_confidence, fact_cards, slot_statuses, coverage_rows, replan_slots, comparability_keys, key_differences, statistic_decisions, relation_decisions)}
+QUERIES = {f.__name__: f for f in (effective_levels, ranked_claims, claim_badges, claim_confidence, fact_cards, slot_statuses, coverage_rows, replan_slots, comparability_keys, key_differences, statistic_decisions, statistic_decisions_everywhere, relation_decisions)}
 
 _ORD = "list_position(['city_wide','sub_city_area','sub_city_population','metro_region','district','state_province','national','global'], {})"
 _EFF = f"""CASE WHEN fit = 'nearby' THEN CASE WHEN {_ORD.format('level')} < 5 THEN 'district' ELSE level END
@@ -172,6 +190,13 @@ _STATUS = f"""c AS (SELECT city_id, slot,
     coalesce(conflicting, false) AS conflicting FROM o LEFT JOIN c USING (city_id, slot))"""
 _RETRY = "slot_status IN ('answered_negative', 'blocked', 'unreachable')"
 
+_DECIDED = f"""WITH {CLAIM_SQL}, k AS (SELECT *, {_CKEY} AS key FROM claim WHERE kind = 'statistic' AND status <> 'insufficient'),
+        m AS (SELECT a.claim_id, (a.proxy OR b.proxy OR coalesce(a.ref_start, a.ref_end) IS NULL OR coalesce(b.ref_start, b.ref_end) IS NULL OR (coalesce(a.ref_start, a.ref_end) <= coalesce(b.ref_end, b.ref_start) AND coalesce(b.ref_start, b.ref_end) <= coalesce(a.ref_end, a.ref_start))) AS overlap,
+            CASE WHEN a.unit = 'percent' THEN abs(a.hundredths - b.hundredths) <= 50 ELSE greatest(abs(a.hundredths), abs(b.hundredths)) = 0 OR abs(a.hundredths - b.hundredths) <= greatest(abs(a.hundredths), abs(b.hundredths)) * CAST(0.02 AS DOUBLE) END AS agree
+          FROM k a JOIN k b ON {{}} AND a.claim_id <> b.claim_id),
+        s AS (SELECT claim_id, bool_or(overlap AND NOT agree) AS conflict, bool_or(overlap AND agree) AS agree FROM m GROUP BY ALL)
+        SELECT claim_id, CASE WHEN key IS NULL THEN 'not_comparable' WHEN conflict THEN 'conflicts' WHEN agree THEN 'agrees' ELSE 'novel' END AS outcome FROM k LEFT JOIN s USING (claim_id)"""
+
 ORACLES = {
     "effective_levels": f"{_WITH} SELECT level, fit, eff AS effective, count(*) AS n FROM e GROUP BY ALL",
     "ranked_claims": f"{_WITH}, r AS (SELECT *, CAST({_DIST} AS INT) AS distance, CAST(row_number() OVER (PARTITION BY city_id, slot ORDER BY {_KEY}) AS INT) AS rank FROM e WHERE slot < 8) SELECT city_id, slot, claim_id, distance, rank FROM r WHERE rank <= 2",
@@ -187,19 +212,15 @@ ORACLES = {
     "comparability_keys": f"WITH {CLAIM_SQL} SELECT {_CKEY} AS key, array_to_string({_GAPS}, '; ') AS gaps, count(*) AS n FROM claim WHERE kind = 'statistic' GROUP BY ALL",
     "key_differences": f"""WITH {CLAIM_SQL}, p AS (SELECT *, {', '.join(f'lag({c}) OVER w AS p_{c}' for c in J.KEY_PARTS)}, lag(claim_id) OVER w AS before FROM claim WHERE kind = 'statistic' WINDOW w AS (PARTITION BY source_id ORDER BY claim_id))
         SELECT array_to_string(list_filter([{', '.join(f"CASE WHEN {c} IS DISTINCT FROM p_{c} THEN '{c}' END" for c in J.KEY_PARTS)}], lambda x: x IS NOT NULL), ', ') AS parts, count(*) AS n FROM p WHERE before IS NOT NULL GROUP BY ALL""",
-    "statistic_decisions": f"""WITH {CLAIM_SQL}, k AS (SELECT *, {_CKEY} AS key FROM claim WHERE kind = 'statistic' AND status <> 'insufficient'),
-        m AS (SELECT a.claim_id, (a.proxy OR b.proxy OR a.ref_end IS NULL OR b.ref_end IS NULL OR (coalesce(a.ref_start, a.ref_end) <= b.ref_end AND coalesce(b.ref_start, b.ref_end) <= a.ref_end)) AS overlap,
-            CASE WHEN a.unit = 'percent' THEN abs(a.hundredths - b.hundredths) <= 50 ELSE greatest(abs(a.hundredths), abs(b.hundredths)) = 0 OR abs(a.hundredths - b.hundredths) <= greatest(abs(a.hundredths), abs(b.hundredths)) * CAST(0.02 AS DOUBLE) END AS agree
-          FROM k a JOIN k b ON a.key = b.key AND a.claim_id <> b.claim_id),
-        s AS (SELECT claim_id, bool_or(overlap AND NOT agree) AS conflict, bool_or(overlap AND agree) AS agree FROM m GROUP BY ALL)
-        SELECT claim_id, CASE WHEN key IS NULL THEN 'not_comparable' WHEN conflict THEN 'conflicts' WHEN agree THEN 'agrees' ELSE 'novel' END AS outcome FROM k LEFT JOIN s USING (claim_id)""",
+    "statistic_decisions": _DECIDED.format("a.key = b.key AND a.city_id = b.city_id AND a.run_id = b.run_id"),
+    "statistic_decisions_everywhere": _DECIDED.format("a.key = b.key"),
     "relation_decisions": f"""WITH {CLAIM_SQL}, k AS (SELECT * FROM claim WHERE kind = 'relation' AND status <> 'insufficient'),
         m AS (SELECT a.claim_id, a.subject = b.subject AS same, CASE WHEN a.subject = b.subject OR a.relation NOT IN ('LEADS', 'GOVERNS') THEN NULL
             WHEN b.valid_to <= a.valid_from THEN 'supersede' WHEN a.valid_to <= b.valid_from THEN 'history' WHEN a.valid_from IS NULL OR b.valid_from IS NULL THEN 'conflict'
             WHEN (a.from_proxy OR b.from_proxy) AND datediff('month', least(a.valid_from, b.valid_from), greatest(a.valid_from, b.valid_from)) - CASE WHEN day(greatest(a.valid_from, b.valid_from)) < day(least(a.valid_from, b.valid_from)) THEN 1 ELSE 0 END <= 12 THEN 'conflict'
             WHEN coalesce(b.valid_to > a.valid_from, false) OR coalesce(a.valid_to > b.valid_from, false) THEN 'conflict'
             WHEN year(a.valid_from) > year(b.valid_from) THEN 'supersede' WHEN year(a.valid_from) < year(b.valid_from) THEN 'history' ELSE 'conflict' END AS o
-          FROM k a JOIN k b ON a.relation = b.relation AND a.object = b.object AND a.claim_id <> b.claim_id),
+          FROM k a JOIN k b ON a.city_id = b.city_id AND a.run_id = b.run_id AND a.relation = b.relation AND a.object = b.object AND a.claim_id <> b.claim_id),
         s AS (SELECT claim_id, bool_or(same) AS same, bool_or(o = 'conflict') AS conflict, bool_or(o = 'history') AS history, bool_or(o = 'supersede') AS supersede FROM m GROUP BY ALL)
         SELECT claim_id, CASE WHEN conflict THEN 'conflicts' WHEN history THEN 'history' WHEN supersede THEN 'supersedes' WHEN same THEN 'agrees' ELSE 'novel' END AS outcome FROM k LEFT JOIN s USING (claim_id)""",
 }
