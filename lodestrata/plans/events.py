@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.operators.sequencing import running
 from lodestrata.sources.tables import table
+from lodestrata.streaming import runs
 
 
 def gapfree_seq(spark: SparkSession, d: str) -> DataFrame:
@@ -69,9 +72,52 @@ def payload_reasons(spark: SparkSession, d: str) -> DataFrame:
     return keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (gapfree_seq, rate_limit_window, budget_first_crossing, stale_runs, sessions, single_flight, turn_numbers, replay_after, payload_reasons)}
+#: Seconds without a sign of life after which a lease may be taken over.
+STALE_S = 6 * 3600
+
+
+def lease_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """What becomes of every claim, heartbeat and finish of every user's run, whose owners are three workers."""
+    kind = F.when(F.col("event_id") % 31 == 0, "finish").when(F.col("event_type").isin("click", "error"), "claim").otherwise("heartbeat")
+    e = table(spark, d, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("id"), F.col("ts").alias("at"), F.concat(F.lit("w"), F.col("event_id") % 3).alias("owner"), kind.alias("kind"))
+    return runs.leases(e, STALE_S).select("run", "id", "owner", "outcome")
+
+
+#: Limits of a user's counters: events, value in hundredths; the share at which one warning comes.
+LIMITS, WARN = {"calls": 60, "cost": 120_000}, 0.85
+
+
+def budget_crossings(spark: SparkSession, d: str) -> DataFrame:
+    """The event with which each user's counter first reaches its warning share, and its limit.
+
+    Counters run on in slices of a day, so a user with very many events isn't one window.
+    """
+    e = table(spark, d, "events").select("user_id", "event_id", "ts", F.lit(1).cast("long").alias("calls"), F.round(F.col("value") * 100).cast("long").alias("cost"))
+    order = [F.col("ts"), F.col("event_id")]
+    parts = []
+    for counter, limit in LIMITS.items():
+        used = running(e, ["user_id"], F.to_date("ts"), order, F.col(counter), "used")
+        for what, bound in (("warning", WARN * limit), ("refused", float(limit))):
+            first = used.where(F.col("used") >= bound).groupBy("user_id").agg(F.min(F.struct("ts", "event_id", "used")).alias("x"))
+            parts.append(first.select("user_id", F.lit(counter).alias("counter"), F.lit(what).alias("what"), "x.event_id", "x.used"))
+    return reduce(DataFrame.union, parts)
+
+
+QUERIES = {f.__name__: f for f in (gapfree_seq, rate_limit_window, budget_first_crossing, stale_runs, sessions, single_flight, turn_numbers, replay_after, payload_reasons, lease_outcomes, budget_crossings)}
+
+_KIND = "CASE WHEN event_id % 31 = 0 THEN 'finish' WHEN event_type IN ('click', 'error') THEN 'claim' ELSE 'heartbeat' END"
+_CROSSED = " UNION ALL ".join(f"SELECT user_id, '{c}' AS counter, '{w}' AS what, arg_min(event_id, (ts, event_id)) AS event_id, arg_min({c}, (ts, event_id)) AS used FROM u WHERE {c} >= {b} GROUP BY ALL" for c, limit in LIMITS.items() for w, b in (("warning", WARN * limit), ("refused", limit)))
 
 ORACLES = {
+    "lease_outcomes": f"""WITH RECURSIVE e AS (SELECT user_id AS run, event_id AS id, epoch_us(ts) AS t, 'w' || event_id % 3 AS owner, {_KIND} AS kind, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+        s AS (SELECT run, 0::BIGINT AS n, NULL::BIGINT AS id, ''::VARCHAR AS by, ''::VARCHAR AS holder, 0::BIGINT AS beat, false AS over, ''::VARCHAR AS outcome FROM e GROUP BY run
+          UNION ALL
+          SELECT run, n, id, owner, CASE WHEN outcome IN ('granted', 'taken over') THEN owner ELSE holder END, CASE WHEN outcome IN ('granted', 'taken over', 'renewed', 'finished') THEN t ELSE beat END, over OR outcome = 'finished', outcome
+          FROM (SELECT s.run, e.n, e.id, e.owner, s.holder, s.beat, s.over, e.t, CASE WHEN s.over THEN 'over' WHEN s.holder = e.owner THEN CASE WHEN e.kind = 'finish' THEN 'finished' ELSE 'renewed' END
+              WHEN e.kind <> 'claim' THEN 'refused' WHEN s.holder = '' THEN 'granted' WHEN e.t - s.beat > {STALE_S} * 1000000 THEN 'taken over' ELSE 'refused' END AS outcome
+            FROM s JOIN e ON e.run = s.run AND e.n = s.n + 1))
+        SELECT run, id, by AS owner, outcome FROM s WHERE n > 0""",
+    "budget_crossings": f"WITH u AS (SELECT user_id, event_id, ts, (count(*) OVER w)::BIGINT AS calls, (sum(CAST(round(value * 100) AS BIGINT)) OVER w)::BIGINT AS cost FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) {_CROSSED}",
     "gapfree_seq": "SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS seq FROM (SELECT user_id, event_type, ts, props, min(event_id) AS event_id FROM events GROUP BY ALL)",
     "rate_limit_window": "SELECT event_id, n, n > 3 AS refused FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS n FROM events)",
     "budget_first_crossing": "SELECT user_id, arg_min(event_id, (ts, event_id)) AS event_id FROM (SELECT user_id, event_id, ts, sum(CAST(value AS DECIMAL(18,4))) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS used FROM events) WHERE used >= 850 GROUP BY 1",
