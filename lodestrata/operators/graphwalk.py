@@ -2,22 +2,10 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def kept(df: DataFrame) -> DataFrame:
-    """df, computed once and stored in the cluster's checkpoint folder, so that later rounds neither repeat it nor grow its plan."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        named = context.getConf().get("spark.checkpoint.dir")
-        if not named and not re.match(r"local($|\[)", context.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestrata-"))
-    return df.checkpoint()
+from lodestrata.operators.steps import kept
 
 
 def distances(edges: DataFrame, a: str, b: str, centres: DataFrame, centre: str, depth: int) -> DataFrame:

@@ -110,13 +110,13 @@ _CROSSED = " UNION ALL ".join(f"SELECT user_id, '{c}' AS counter, '{w}' AS what,
 
 ORACLES = {
     "lease_outcomes": f"""WITH RECURSIVE e AS (SELECT user_id AS run, event_id AS id, epoch_us(ts) AS t, 'w' || event_id % 3 AS owner, {_KIND} AS kind, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
-        s AS (SELECT run, 0::BIGINT AS n, NULL::BIGINT AS id, ''::VARCHAR AS by, ''::VARCHAR AS holder, 0::BIGINT AS beat, false AS over, ''::VARCHAR AS outcome FROM e GROUP BY run
+        s AS (SELECT run, 0::BIGINT AS n, NULL::BIGINT AS id, ''::VARCHAR AS who, ''::VARCHAR AS holder, 0::BIGINT AS beat, false AS over, ''::VARCHAR AS outcome FROM e GROUP BY run
           UNION ALL
           SELECT run, n, id, owner, CASE WHEN outcome IN ('granted', 'taken over') THEN owner ELSE holder END, CASE WHEN outcome IN ('granted', 'taken over', 'renewed', 'finished') THEN t ELSE beat END, over OR outcome = 'finished', outcome
           FROM (SELECT s.run, e.n, e.id, e.owner, s.holder, s.beat, s.over, e.t, CASE WHEN s.over THEN 'over' WHEN s.holder = e.owner THEN CASE WHEN e.kind = 'finish' THEN 'finished' ELSE 'renewed' END
-              WHEN e.kind <> 'claim' THEN 'refused' WHEN s.holder = '' THEN 'granted' WHEN e.t - s.beat > {STALE_S} * 1000000 THEN 'taken over' ELSE 'refused' END AS outcome
+              WHEN e.kind <> 'claim' THEN 'refused' WHEN s.holder = '' THEN 'granted' WHEN e.t - s.beat > {STALE_S * 1_000_000}::BIGINT THEN 'taken over' ELSE 'refused' END AS outcome
             FROM s JOIN e ON e.run = s.run AND e.n = s.n + 1))
-        SELECT run, id, by AS owner, outcome FROM s WHERE n > 0""",
+        SELECT run, id, who AS owner, outcome FROM s WHERE n > 0""",
     "budget_crossings": f"WITH u AS (SELECT user_id, event_id, ts, (count(*) OVER w)::BIGINT AS calls, (sum(CAST(round(value * 100) AS BIGINT)) OVER w)::BIGINT AS cost FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) {_CROSSED}",
     "gapfree_seq": "SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS seq FROM (SELECT user_id, event_type, ts, props, min(event_id) AS event_id FROM events GROUP BY ALL)",
     "rate_limit_window": "SELECT event_id, n, n > 3 AS refused FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS n FROM events)",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import judging as J
-from lodestrata.operators import fulltext, fusion, graphwalk
+from lodestrata.operators import entities, fulltext, fusion, graphwalk, steps
 from lodestrata.sources.claims import CLAIM_SQL, claims
 from lodestrata.sources.tables import table
 
@@ -120,7 +120,7 @@ def edges_near_centre(spark: SparkSession, d: str) -> DataFrame:
     """
     edges = _edges(spark, d)
     part = table(spark, d, "part").select(F.col("p_partkey").alias("object"), "p_name")
-    named = graphwalk.kept(edges.join(part, "object", "left").select("edge", "a", "b", F.concat_ws(" ", "relation", "p_name").alias("text")))
+    named = steps.kept(edges.join(part, "object", "left").select("edge", "a", "b", F.concat_ws(" ", "relation", "p_name").alias("text")))
     asked = named.join(_centres(spark, d), F.col("a") == F.col("centre")).groupBy("centre").agg(F.min_by("text", "edge").alias("question"))
     terms = fulltext.questions(asked, "centre", F.col("question"), [], 1, 4)
     words = fulltext.best(fulltext.bm25(named, "edge", F.col("text"), terms), NEAR).select(F.col("question").alias("centre"), F.col("doc").alias("edge"), "rank")
@@ -185,6 +185,23 @@ def resolved_entities(spark: SparkSession, d: str) -> DataFrame:
     return out.select("p_partkey", "form", F.coalesce(*[F.col("of_" + n) for n, _, _ in rules], F.col("form")).alias("entity"), rule.alias("rule"))
 
 
+#: Forms and definitions that both engines read: names as parts have them, written in six ways; two places and two generic bodies.
+_INITIALS = "upper(concat(substring(p_name, 1, 1), substring({last}, 1, 1)))"
+_TITLE = "concat(upper(substring(p_name, 1, 1)), substring(p_name, 2))"
+_FORMS = """CASE CAST(p_partkey % 6 AS INT) WHEN 0 THEN {title} WHEN 1 THEN concat({last}, ' of  the ', {first}) WHEN 2 THEN {initials}
+    WHEN 3 THEN upper(p_name) WHEN 4 THEN CASE WHEN p_partkey % 5 = 0 THEN 'Department of Health' ELSE concat('The ', p_name) END ELSE p_name END"""
+
+
+def entities_in_order(spark: SparkSession, d: str) -> DataFrame:
+    """Entity and rule of each form in the order of the forms, with acronyms that sources define; see operators.entities."""
+    last, first = "substring_index(p_name, ' ', -1)", "substring_index(p_name, ' ', 1)"
+    initials = _INITIALS.format(last=last)
+    p = table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_size")
+    forms = p.selectExpr("CAST(p_size % 4 AS BIGINT) AS city", "p_partkey AS id", "p_brand AS source", _FORMS.format(title=_TITLE, last=last, first=first, initials=initials) + " AS form")
+    definitions = p.where("p_partkey % 5 = 0").selectExpr("p_brand AS source", initials + " AS acronym", _TITLE + " AS long")
+    return entities.resolve(forms, definitions)
+
+
 def acronym_definitions(spark: SparkSession, d: str) -> DataFrame:
     """Definitions `Long Name (LN)` in texts whose initials fit, kept where a source defines the acronym in one way."""
     text = F.expr("CASE WHEN p_partkey % 3 = 0 THEN concat('By ', initcap(p_name), ' (', upper(concat(substring(p_name, 1, 1), substring(substring_index(p_name, ' ', -1), 1, 1))), ') it says') WHEN p_partkey % 3 = 1 THEN concat(initcap(p_name), ' (XY)') ELSE p_name END")
@@ -203,7 +220,7 @@ def search_texts(spark: SparkSession, d: str) -> DataFrame:
     return j.groupBy(F.concat_ws(" ", "s_name", F.lower("relation"), "p_name").alias("text")).agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (graph_edges, edges_at, newest_edges, claims_touching, edge_claims, whole_edges, neighbourhood, ranked_then_rest, graph_route, refused_edges, ended_edges, contest_pairs, resolved_entities, acronym_definitions, search_texts, graph_distances, edges_near_centre)}
+QUERIES = {f.__name__: f for f in (graph_edges, edges_at, newest_edges, claims_touching, edge_claims, whole_edges, neighbourhood, ranked_then_rest, graph_route, refused_edges, ended_edges, contest_pairs, resolved_entities, acronym_definitions, search_texts, graph_distances, edges_near_centre, entities_in_order)}
 
 _W = f"WITH {CLAIM_SQL}"
 _REL = "kind = 'relation'"
@@ -218,7 +235,25 @@ _EDGES = f"""e AS (SELECT min(claim_id) AS edge, relation, subject AS a, -object
 _WALK = f"""walk(centre, node, distance) AS (SELECT {{}}, 0 FROM {{}} UNION SELECT centre, nxt, distance + 1 FROM walk JOIN ways USING (node) WHERE distance < {DEPTH}),
     reached AS (SELECT centre, node, CAST(min(distance) AS INT) AS distance FROM walk GROUP BY ALL)"""
 
+_NAME_WORDS = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda w: w <> '')"
+_KEPT = "list_filter({}, lambda w: w NOT IN ('the', 'of', 'and', 'for'))".format(_NAME_WORDS)
+_SQL_FORMS = dict(title=_TITLE, last="split_part(p_name, ' ', -1)", first="split_part(p_name, ' ', 1)", initials=_INITIALS.format(last="split_part(p_name, ' ', -1)"))
+
 ORACLES = {
+    "entities_in_order": f"""WITH RECURSIVE d AS (SELECT p_brand AS source, {_SQL_FORMS['initials']} AS acronym, min({_TITLE}) AS long FROM part WHERE p_partkey % 5 = 0 GROUP BY ALL),
+        g AS (SELECT p_size % 4 AS city, p_partkey AS id, p_brand AS source, trim(regexp_replace({_FORMS.format(**_SQL_FORMS)}, '\\s+', ' ', 'g')) AS form FROM part),
+        h AS (SELECT city, id, g.source, form, long IS NOT NULL AS defined, coalesce(long, form) AS name, row_number() OVER (PARTITION BY city ORDER BY id) AS n FROM g LEFT JOIN d ON d.source = g.source AND acronym = form),
+        k AS (SELECT *, array_to_string({_NAME_WORDS.format('name')}, '-') AS key, array_to_string(list_sort(list_distinct({_KEPT.format('name')})), '-') AS bag,
+          len(list_filter({_KEPT.format('name')}, lambda w: w NOT IN ('ministry', 'department', 'health', 'city', 'council', 'office'))) = 0 AS generic FROM h),
+        f AS (SELECT k.*, list_distinct([form, name] || coalesce((SELECT list(acronym) FROM d WHERE d.source = k.source AND array_to_string({_NAME_WORDS.format('long')}, '-') = k.key), [])) AS adds FROM k),
+        s AS (SELECT DISTINCT city, 0::BIGINT AS n, MAP {{}}::MAP(VARCHAR, BIGINT) AS alias, MAP {{}}::MAP(VARCHAR, BIGINT) AS bags, MAP {{}}::MAP(VARCHAR, VARCHAR) AS keys, NULL::BIGINT AS id, NULL::BIGINT AS entity, NULL::VARCHAR AS rule FROM k
+          UNION ALL
+          SELECT city, n, CASE WHEN rule = 'alias' OR generic THEN alias ELSE map_concat(map_from_entries(list_transform(adds, lambda x: {{'k': x, 'v': entity}})), alias) END,
+            CASE WHEN rule = 'alias' THEN bags ELSE map_concat(MAP {{mark: entity}}, bags) END, CASE WHEN rule = 'alias' THEN keys ELSE map_concat(MAP {{mark: key}}, keys) END, id, entity, rule
+          FROM (SELECT *, CASE WHEN hit IS NOT NULL THEN 'alias' WHEN entity = id THEN 'new' WHEN keys[mark] = key THEN 'key' ELSE 'words' END AS rule
+            FROM (SELECT *, coalesce(hit, bags[mark], id) AS entity
+              FROM (SELECT f.*, s.alias, s.bags, s.keys, CASE WHEN generic THEN key || '@' || source ELSE bag END AS mark, CASE WHEN NOT defined THEN s.alias[form] END AS hit FROM s JOIN f ON f.city = s.city AND f.n = s.n + 1))))
+        SELECT city::BIGINT AS city, id, entity, rule FROM s WHERE n > 0""",
     "graph_distances": f"WITH RECURSIVE {CLAIM_SQL}, {_EDGES}, {_WALK.format('s_suppkey, s_suppkey', f'supplier WHERE s_suppkey % {CENTRES} = 0')} SELECT centre, node, distance FROM reached",
     "edges_near_centre": f"""WITH RECURSIVE {CLAIM_SQL}, {_EDGES}, named AS (SELECT edge, a, b, concat_ws(' ', relation, p_name) AS text FROM e LEFT JOIN part ON p_partkey = object),
         asked AS (SELECT a AS centre, arg_min(text, edge) AS question FROM named WHERE a % {CENTRES} = 0 AND a IN (SELECT s_suppkey FROM supplier) GROUP BY ALL),
