@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.store import written
+from lodestrata.llm.store import discard, written
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -22,5 +22,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("least"))
         hop = labels.join(near, labels["node"] == near["a"]).select("node", F.col("label").alias("was"), F.least("label", "least").alias("label"))
         root = labels.select(F.col("node").alias("root"), F.col("label").alias("of_root"))
-        labels = written(hop.join(root, hop["label"] == root["root"], "left").select("node", F.least("label", "of_root").alias("label"), (F.least("label", "of_root") < F.col("was")).alias("moved")), "labels")
+        before, labels = labels, written(hop.join(root, hop["label"] == root["root"], "left").select("node", F.least("label", "of_root").alias("label"), (F.least("label", "of_root") < F.col("was")).alias("moved")), "labels")
+        discard(before)
+    discard(both)
     return labels.select("node", "label")

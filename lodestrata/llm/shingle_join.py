@@ -5,10 +5,10 @@ T = ceil(percent * n / 100) of them, so of the n inverted lists the T - 1 longes
 still hold every partner at least once. Those short lists are merged by heap, and what comes out is probed: each element
 of the one set is looked for in the other by binary search, until the required overlap is reached or out of reach.
 
-* Order of the elements: by hash, those with long lists last. Which are long is learnt from the lists themselves, in
-  turns: one with sets of more than `LATE` components goes last, and its sets take their next element instead. All sets
-  use one order, so nothing is lost, whatever is said of an element: what tells tasks is a bitmap of fixed size, in
-  which elements share bits.
+* Order of the elements: by hash, those with long lists last. Which are long is learnt from the lists themselves: one
+  with sets of more than `LATE` components goes last, and its sets take their next element instead. All sets use one
+  order, so nothing is lost, whatever is said of an element: what tells tasks is a bitmap of fixed size, in which
+  elements share bits.
 * Lists are cut by the length of sets, in steps of 1/16 of a natural logarithm. If the first element that two sets share
   has ra and rb elements of each from there on, at most min(ra, rb) are common, so sizes na <= nb fit only if na + nb <=
   min(ra, rb) * (100 + percent) / percent. The smaller set asks the lists of the lengths that this lets be, so it asks
@@ -39,15 +39,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.components import components
-from lodestrata.llm.shingles import SEED, majority, shingle_hashes
+from lodestrata.llm.shingles import SEED, majority, rolled_hashes
 from lodestrata.llm.store import ROW, discard, numbered, tidy, written
 
 SHINGLE, PERCENT = 5, 80
-#: Components of a list from which on it is long; turns at most in which long ones are looked for.
-LATE, LATE_TURNS = 32, 3
+#: Components of a list from which on it is long.
+LATE = 32
 #: First elements by which sets meet the least of those with the same; turns at most in which each set meets one other
 #: of its lists, and the pairs a set under which they aren't needed.
-FIRSTS, HUB_TURNS, FEW = 3, 2, 4
+FIRSTS, HUB_TURNS, FEW = 3, 1, 4
 #: Entries of a part of a list, on the average; bits of the number of a bitmap's place.
 PART, PLACE_BITS = 1024, 26
 
@@ -78,7 +78,7 @@ def _sets(shingle: int, percent: int, printed: bool):
         for batch in batches:
             nodes, prints, sizes, heads, bits = [], [], [], [], []
             for text in batch.column(1):
-                hashes = shingle_hashes(text.as_py(), shingle)
+                hashes = rolled_hashes(text.as_py(), shingle)
                 own = np.unique(hashes)
                 nodes.append(int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)).view("<i8")))
                 prints.append(majority(hashes) if printed else None)
@@ -98,14 +98,14 @@ def sets(texts: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, print
 def _heads(shingle: int, percent: int, late: pa.Table):
     """(row, text) → row, the n - T + 1 first elements in the order that has those of the bitmap last."""
     bitmap = np.zeros(1 << (PLACE_BITS - 6), np.uint64)
-    bitmap[late["word"].to_numpy()] = late["bits"].to_numpy().view(np.uint64)
+    bitmap[late["word"].to_numpy()] = late["held"].to_numpy().view(np.uint64)
     mask = np.uint64((1 << PLACE_BITS) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             heads = []
             for text in batch.column(1):
-                own = np.unique(shingle_hashes(text.as_py(), shingle))
+                own = np.unique(rolled_hashes(text.as_py(), shingle))
                 place = own & mask
                 last = (bitmap[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
                 heads.append(np.concatenate([own[~last], own[last]])[: len(own) - least_shared(len(own), percent) + 1].view("<i8"))
@@ -119,16 +119,17 @@ def _place(value: str) -> Column:
 
 
 def _bitmap(values: DataFrame, value: str) -> DataFrame:
-    """(word, bits): the places of the values in a bitmap of 2**PLACE_BITS bits, at most 2**20 rows."""
+    """(word, held): the places of the values in a bitmap of 2**PLACE_BITS bits, at most 2**20 rows."""
     places = values.select(_place(value).alias("place")).distinct()
     bit = F.expr("shiftleft(1L, CAST(place & 63 AS int))")
-    return places.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    return places.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(bit).alias("held"))
 
 
-def _picked(rows: DataFrame, value: str, bitmap: DataFrame) -> DataFrame:
-    """The rows whose value has its place in the bitmap: all with a value that went into it, and some others."""
+def _picked(rows: DataFrame, value: str, bitmap: DataFrame, inside: bool = True) -> DataFrame:
+    """The rows whose value has its place in the bitmap: all with a value that went into it, and some others. Or the rest."""
     placed = rows.withColumn("bit", _place(value)).withColumn("word", F.shiftright("bit", 6))
-    return placed.join(F.broadcast(bitmap), "word").where(F.expr("shiftrightunsigned(bits, CAST(bit & 63 AS int)) & 1L = 1L")).drop("word", "bit", "bits")
+    found = placed.join(F.broadcast(bitmap), "word", "left").withColumn("hit", F.expr("coalesce(shiftrightunsigned(held, CAST(bit & 63 AS int)) & 1L, 0L) = 1L"))
+    return found.where("hit" if inside else "NOT hit").select(*rows.columns)
 
 
 def _whole_sets(shingle: int):
@@ -136,7 +137,7 @@ def _whole_sets(shingle: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [np.unique(shingle_hashes(t.as_py(), shingle)).tobytes() for t in batch.column(1)]
+            own = [np.unique(rolled_hashes(t.as_py(), shingle)).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], names=["doc_id", "s"])
 
     return run
@@ -226,13 +227,12 @@ class Join:
         self.shingle, self.percent, self.late = shingle, percent, late
         self.texts = texts.select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
         first = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-        self.whole = written(rows.join(first, ["node", "doc_id"]).dropDuplicates(["node"]).withColumn("h", F.xxhash64("doc_id")), "like-nodes")
+        self.whole = written(rows.join(first, ["node", "doc_id"]).withColumn("h", F.xxhash64("doc_id")), "like-nodes")
         #: doc_id, node, n of every row.
         self.rows = written(rows.select("doc_id", "node", "n"), "like-members")
         discard(rows)
         self.nodes = self.whole.select("node", "n", "fp", "doc_id", "h")
-        #: Heads of the sets that a later order has given others than their first.
-        self.moved: DataFrame | None = None
+        tidy(rows.sparkSession)
         #: Whole sets made so far.
         self.known: DataFrame | None = None
 
@@ -254,21 +254,26 @@ class Join:
         own = written(made.join(of.select("doc_id", "node"), "doc_id").select("node", "s"), "like-sets")
         self.known = own if self.known is None else self.known.union(own)
         met = pairs.join(self.known.toDF("a", "x"), "a").join(self.known.toDF("b", "y"), "b")
-        return written(met.select("a", "b", "x", "y").mapInArrow(_probed(self.percent), "a long, b long"), "like-links")
+        found = written(met.select("a", "b", "x", "y").mapInArrow(_probed(self.percent), "a long, b long"), "like-links")
+        for done in (pairs, of):
+            discard(done)
+        tidy(self.texts.sparkSession)
+        return found
 
     def links(self, start: DataFrame | None = None) -> DataFrame:
         """(a, b): partners that connect all partners. start: pairs of nodes to try first."""
-        spark = self.texts.sparkSession
         found = self.verified(self._firsts() if start is None else self._firsts().union(start))
         keys = self._in_order(found)
         placed, sums = self._apart(keys, found)
         for turn in range(HUB_TURNS):
-            tidy(spark)
             n, cross = sums.agg(F.sum("n"), F.sum("cross")).first()
             if not n or cross <= FEW * n:
                 break
             found = found.union(self.verified(self._hubs(placed, turn)))
+            before = placed, sums
             placed, sums = self._apart(placed.select("key", "node", "n", "place"), found)
+            for done in before:
+                discard(done)
         return found if placed.isEmpty() else found.union(self.verified(self._searched(placed, sums)))
 
     def _firsts(self) -> DataFrame:
@@ -277,36 +282,30 @@ class Join:
         least = at.groupBy("place", "key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("times")).where("times > 1")
         return at.join(least, ["place", "key"]).select("a", F.col("node").alias("b"))
 
-    def _heads_now(self) -> DataFrame:
-        first = self.whole.select("node", "n", "heads")
-        return first if self.moved is None else self.moved.union(first.join(self.moved.select("node"), "node", "left_anti"))
-
     def _in_order(self, found: DataFrame) -> DataFrame:
         """(key, node, n, place) of the elements by which sets can meet, those with long lists last.
 
-        In a turn the lists are counted, by one set of each component, and sets with a long one among their elements get
-        their elements in the new order. Only those can change: an order that has more places last leaves the others' as
-        they are.
+        Lists are counted by one set of each component. Sets with a long one among their elements get their elements in
+        the new order, others have the same ones in either; so have those that a full bitmap picks besides.
         """
-        late: DataFrame | None = None
         others = written(components(found).where("node <> label").select("node"), "like-others")
-        for _ in range(LATE_TURNS):
-            postings = _postings(self._heads_now().join(others, "node", "left_anti"))
-            times = postings.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") > self.late)
-            places = times.select(_place("key").alias("key")).distinct()
-            new = written(places if late is None else places.join(late, "key", "left_anti"), "like-late")
-            if new.isEmpty():
-                break
-            late = new if late is None else late.union(new)
-            changed = _picked(_postings(self._heads_now()), "key", _bitmap(new, "key")).select("node").distinct()
-            changed = written(self.nodes.join(changed, "node", "left_semi").select("node", "n", "doc_id", "h"), "like-changed")
-            made = self._texts_of(changed).mapInArrow(_heads(self.shingle, self.percent, _bitmap(late, "key").toArrow()), f"doc_id {ROW}, heads array<long>")
-            own = written(made.join(changed.select("doc_id", "node", "n"), "doc_id").select("node", "n", "heads"), "like-heads")
-            self.moved = own if self.moved is None else own.union(self.moved.join(own.select("node"), "node", "left_anti"))
-            tidy(self.texts.sparkSession)
-        keys = _postings(self._heads_now())
-        several = keys.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("key")
-        return written(keys.join(several, "key", "left_semi").select("key", "node", "n", "place"), "like-keys")
+        first = self.whole.select("node", "n", "heads")
+        postings = _postings(first.join(others, "node", "left_anti"))
+        times = postings.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") > self.late)
+        late = written(_bitmap(times, "key"), "like-late")
+        changed = written(self.nodes.join(_picked(_postings(first), "key", late).select("node").distinct(), "node", "left_semi").select("h"), "like-changed")
+        tidy(self.texts.sparkSession)
+        rows = written(_bitmap(changed, "h"), "like-rows-changed")
+        made = _picked(self.texts, "h", rows).select("doc_id", "text").mapInArrow(_heads(self.shingle, self.percent, late.toArrow()), f"doc_id {ROW}, heads array<long>")
+        own = written(made.join(_picked(self.nodes, "h", rows), "doc_id").select("node", "n", "heads"), "like-heads")
+        keys = _postings(own.union(_picked(self.whole, "h", rows, inside=False).select("node", "n", "heads")))
+        several = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("key"), "like-several")
+        tidy(self.texts.sparkSession)
+        keys = written(_picked(keys, "key", _bitmap(several, "key")).join(several, "key").select("key", "node", "n", "place"), "like-keys")
+        for done in (own, several, others, changed):
+            discard(done)
+        tidy(self.texts.sparkSession)
+        return keys
 
     def _apart(self, keys: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
         """keys with the component of each node, where a key still holds several; and what each such key holds."""
