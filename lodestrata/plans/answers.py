@@ -29,6 +29,20 @@ def ask_bundle(spark: SparkSession, d: str) -> DataFrame:
     return _bundle(spark, d)
 
 
+def _bundle_items(spark: SparkSession, d: str) -> DataFrame:
+    """city_id, slot, claim_id, other, anchored: what a bundle chooses from, contested claims with the next of their slot."""
+    c = claims(spark, d, "city_id", "slot", "claim_id", "status", "scope_verified").where("status <> 'insufficient'")
+    w = Window.partitionBy("city_id", "slot").orderBy("claim_id")
+    nxt = F.lead("claim_id").over(Window.partitionBy("city_id").orderBy(F.col("claim_id") % 1000, "claim_id"))
+    return c.select("city_id", "slot", "claim_id", F.when(F.col("status") == "contested", nxt).alias("other"), ((F.row_number().over(w) == 1) & F.col("scope_verified") & (F.col("slot") % 5 == 0)).alias("anchored"))
+
+
+def diverse_bundles(spark: SparkSession, d: str) -> DataFrame:
+    """Each city's bundle: at most two claims a slot and eight in all, in order of their last digits; pairs whole or not at all."""
+    order = [F.col("claim_id") % 1000, F.col("claim_id")]
+    return fusion.diverse(_bundle_items(spark, d), "city_id", order, "slot", "claim_id", "other", "anchored", 2, 8).select("city_id", F.col("item").alias("claim_id"), "place")
+
+
 def evidence_lines(spark: SparkSession, d: str) -> DataFrame:
     """The lines of evidence that an answerer gets for each city, in order."""
     c = claims(spark, d, "claim_id", "level", "ref_end", "hundredths", "unit", "status")
@@ -221,7 +235,7 @@ def number_lines(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy("source").agg(F.sum(F.length(F.translate("f", "0", ""))).cast("long").alias("lines"), F.max(F.coalesce(F.array_max(runs), F.lit(0))).cast("long").alias("longest"))
 
 
-QUERIES = {f.__name__: f for f in (ask_bundle, evidence_lines, retrieval_traces, checked_answers, html_reports, redacted_traces, model_costs, bm25_route, care_items, full_gap_notes, read_order, stored_verdicts_win, budget_phases, followed_replays, plan_problems, hashed_vectors, catalogue_violations, flattened_codes, failure_figures, media_outcomes, number_lines)}
+QUERIES = {f.__name__: f for f in (ask_bundle, evidence_lines, retrieval_traces, checked_answers, html_reports, redacted_traces, model_costs, bm25_route, care_items, full_gap_notes, read_order, stored_verdicts_win, budget_phases, followed_replays, plan_problems, hashed_vectors, catalogue_violations, flattened_codes, failure_figures, media_outcomes, number_lines, diverse_bundles)}
 
 _W = f"WITH {CLAIM_SQL}"
 _S = "SELECT city_id, claim_id, row_number() OVER (PARTITION BY city_id ORDER BY sampling <> 'census', claim_id) AS rank, 's' AS route FROM claim WHERE (slot IN (2, 5) OR indicator IN (7, 21)) AND status <> 'insufficient'"
@@ -233,6 +247,17 @@ _B = f"""{_W}, gc AS (SELECT * FROM claim WHERE kind = 'relation' AND relation I
 _BM = ["thing", "und", "que", "nation", "with"]
 
 ORACLES = {
+    "diverse_bundles": f"""WITH RECURSIVE {CLAIM_SQL}, i AS (SELECT city_id, slot, claim_id, CASE WHEN status = 'contested' THEN lead(claim_id) OVER (PARTITION BY city_id ORDER BY claim_id % 1000, claim_id) END AS other,
+          row_number() OVER (PARTITION BY city_id, slot ORDER BY claim_id) = 1 AND scope_verified AND slot % 5 = 0 AS anchored, row_number() OVER (PARTITION BY city_id ORDER BY claim_id % 1000, claim_id) AS n FROM claim WHERE status <> 'insufficient'),
+        j AS (SELECT a.*, b.claim_id AS o_claim, b.slot AS o_slot, b.anchored AS o_anchored FROM i a LEFT JOIN i b ON a.city_id = b.city_id AND a.other = b.claim_id AND a.other <> a.claim_id),
+        s AS (SELECT DISTINCT city_id, 0::BIGINT AS n, []::BIGINT[] AS taken, []::INT[] AS slots FROM i
+          UNION ALL
+          SELECT city_id, n, CASE WHEN fits THEN taken || items ELSE taken END, CASE WHEN fits THEN slots || bound ELSE slots END
+          FROM (SELECT *, len(items) > 0 AND len(taken) + len(items) <= 8 AND len(list_filter(bound, lambda x: len(list_filter(slots || bound, lambda y: y = x)) > 2)) = 0 AS fits
+            FROM (SELECT s.city_id, j.n, s.taken, s.slots, CASE WHEN list_contains(taken, claim_id) THEN [] WHEN o_claim IS NULL OR list_contains(taken, o_claim) THEN [claim_id] ELSE [claim_id, o_claim] END AS items,
+                CASE WHEN anchored THEN [] ELSE [slot] END || CASE WHEN o_claim IS NULL OR list_contains(taken, o_claim) OR o_anchored THEN [] ELSE [o_slot] END AS bound
+              FROM s JOIN j ON j.city_id = s.city_id AND j.n = s.n + 1)))
+        SELECT city_id, unnest(taken) AS claim_id, CAST(generate_subscripts(taken, 1) AS INT) AS place FROM (SELECT city_id, arg_max(taken, n) AS taken FROM s GROUP BY ALL)""",
     "ask_bundle": f"{_B} SELECT city_id, claim_id, slot, score, place FROM b",
     "evidence_lines": f"""{_B}, l AS (SELECT b.city_id, place, concat_ws(' | ', 'F' || place, level, strftime(ref_end, '%Y'), concat_ws(' ', hundredths::VARCHAR, CASE WHEN hundredths IS NOT NULL THEN unit END), CASE WHEN status = 'contested' THEN 'sources disagree' END) AS line FROM b JOIN claim USING (claim_id))
         SELECT city_id, string_agg(line, chr(10) ORDER BY place) AS lines FROM l GROUP BY ALL""",

@@ -27,3 +27,17 @@ def test_diverse_keeps_pairs_whole(spark):
         got.setdefault(r.q, []).append((r.place, r.item))
     # c finds s1 full, f is anchored, g and h don't fit together.
     assert [i for _, i in sorted(got["q"])] == ["a", "b", "d", "e", "f"] and got["r"] == [(1, "a")]
+
+
+def test_diverse_looks_at_all_items(spark):
+    """Thirty items of one slot before ten of the next; a first item whose partner is the last of thirty-nine."""
+    schema = "q long, slot int, item long, pair long, anchored boolean"
+    rows = [(1, 1, i, None, False) for i in range(30)] + [(1, 2, i, None, False) for i in range(30, 40)]
+    rows += [(2, i, i, 38 if i == 0 else None, False) for i in range(39)]
+    # More than a double can tell apart.
+    rows += [(3, 1, (1 << 53) + 1, (1 << 53) + 2, None), (3, 2, (1 << 53) + 2, None, None), (3, 2, (1 << 53) + 3, 7, None), (None, 1, 1, None, False)]
+    df = spark.createDataFrame(rows, schema)
+    got = {}
+    for r in fusion.diverse(df, "q", [F.col("item")], "slot", "item", "pair", "anchored", 2, 4).collect():
+        got.setdefault(r.q, {})[r.place] = r.item
+    assert got == {1: {1: 0, 2: 1, 3: 30, 4: 31}, 2: {1: 0, 2: 38, 3: 1, 4: 2}, 3: {1: (1 << 53) + 1, 2: (1 << 53) + 2, 3: (1 << 53) + 3}}
