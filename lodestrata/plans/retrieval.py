@@ -148,8 +148,8 @@ def inherited_turns(spark: SparkSession, d: str) -> DataFrame:
 def passages_without_quote(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold none of the quoted passages of their own source (every benchmark item, dealt by id)."""
     docs = table(spark, d, "documents").select("doc_id", "source", "text")
-    quotes = table(spark, d, "benchmark").select(F.concat(F.lit("src"), F.col("item_id") % 20).alias("source"), F.col("text").alias("quote"))
-    pairs = passages.candidates(docs, quotes.withColumnRenamed("source", "of"), "text", "quote").where("source = of")
+    quotes = table(spark, d, "benchmark").select("item_id", F.concat(F.lit("src"), F.col("item_id") % 20).alias("of"), F.col("text").alias("quote"))
+    pairs = passages.candidates(docs, quotes, "text", "quote", "doc_id", "item_id").where("source = of")
     held = pairs.where(F.instr(F.col("text"), F.col("quote")) > 0).select("doc_id")
     return docs.join(held, "doc_id", "left_anti").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 

@@ -145,7 +145,7 @@ def quote_align(spark: SparkSession, d: str) -> DataFrame:
     bare = lambda c: F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}\s]+", ""))
     docs = table(spark, d, "documents").select("doc_id", "text", bare(F.col("text")).alias("flat"))
     quotes = table(spark, d, "benchmark").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("quote"), bare(F.col("text")).alias("flat_quote"))
-    pairs = passages.candidates(docs, quotes, "flat", "flat_quote").select("doc_id", "item_id", "text", "quote", F.lit(None).cast("string").alias("value"))
+    pairs = passages.candidates(docs, quotes, "flat", "flat_quote", "doc_id", "item_id").select("doc_id", "item_id", "text", "quote", F.lit(None).cast("string").alias("value"))
     return align_pairs(pairs).where("drop_reason IS NULL").drop("drop_reason")
 
 
@@ -159,7 +159,7 @@ def draft_claims(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "lang", "n_chars", "text", bare(F.col("text")).alias("flat"))
     words = F.array_join(F.slice(F.split("text", r"\s+"), 3, 12), " ")
     drafts = table(spark, d, "benchmark").select(F.col("item_id").cast("long").alias("item_id"), words.alias("quote"), bare(words).alias("flat_quote"), F.when(F.col("item_id") % 5 == 0, F.concat(F.col("item_id"), F.lit("%"))).alias("value"))
-    pairs = passages.candidates(docs, drafts, "flat", "flat_quote")
+    pairs = passages.candidates(docs, drafts, "flat", "flat_quote", "doc_id", "item_id")
     found = align_pairs(pairs.select("doc_id", "item_id", "text", "quote", "value"))
     gated = found.join(docs.select("doc_id", "lang", "n_chars"), "doc_id")
     why = F.coalesce("drop_reason", F.when(F.col("lang") == "es", "place_not_stated"), F.when(F.col("n_chars") % 7 == 0, "period_not_stated"))

@@ -61,7 +61,7 @@ def quote_locate(spark: SparkSession, d: str) -> DataFrame:
     """Benchmark passages found in documents word for word, with 0-based offsets."""
     b, docs = table(spark, d, "benchmark"), table(spark, d, "documents")
     at = F.instr(F.col("text"), F.col("quote"))
-    met = passages.candidates(docs.select("doc_id", "text"), b.select("item_id", F.col("text").alias("quote")), "text", "quote")
+    met = passages.candidates(docs.select("doc_id", "text"), b.select("item_id", F.col("text").alias("quote")), "text", "quote", "doc_id", "item_id")
     return met.where(at > 0).select("doc_id", "item_id", (at - 1).cast("long").alias("span_start"), (at - 1 + F.length("quote")).cast("long").alias("span_end"))
 
 

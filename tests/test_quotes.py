@@ -38,10 +38,25 @@ def test_reasons_markers_and_values():
 def test_quotes_meet_texts_by_a_key(spark):
     from lodestrata.operators import passages
 
-    docs = spark.createDataFrame([(1, "so it was one two three four five six seven"), (2, "one two three"), (3, "two three four alone")], "doc_id long, text string")
-    quotes = spark.createDataFrame([(1, "one two three four five"), (2, "was one"), (3, "nine two three four ten")], "item_id long, quote string")
-    met = {(r.doc_id, r.item_id) for r in passages.candidates(docs, quotes, "text", "quote").collect()}
-    assert met == {(1, 1), (3, 1), (1, 3), (3, 3), (1, 2), (2, 2), (3, 2)}
+    docs = spark.createDataFrame([(1, "so it was one two three four five six seven"), (2, "one two three"), (3, "two three four alone"), (4, None), (5, "")], "doc_id long, text string")
+    quotes = spark.createDataFrame([(1, "one two three four five"), (2, "was one"), (3, "nine two three four ten"), (4, "x three y"), (5, ""), (6, None), (7, "o")], "item_id long, quote string")
+    met = {(r.doc_id, r.item_id) for r in passages.candidates(docs, quotes, "text", "quote", "doc_id", "item_id").collect()}
+    assert met == {(1, 1), (3, 1), (1, 3), (3, 3), (1, 2), (1, 4), (2, 4), (3, 4), (1, 7), (2, 7), (3, 7)}
+    assert passages.candidates(docs, quotes.limit(0), "text", "quote", "doc_id", "item_id").count() == 0
+
+
+def test_no_quote_is_missed(spark):
+    """Quotes of all lengths cut anywhere from texts, within words too."""
+    import random
+
+    from lodestrata.operators import passages
+
+    r = random.Random(4)
+    texts = ["".join(r.choice("ab \t\u00e9") for _ in range(r.randrange(60))) for _ in range(40)]
+    quotes = [t[a : a + r.randrange(25)] for t in texts for a in (r.randrange(len(t) + 1), 0)]
+    docs, asked = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(quotes)), "item_id long, quote string")
+    met = {(x.doc_id, x.item_id) for x in passages.candidates(docs, asked, "text", "quote", "doc_id", "item_id").collect()}
+    assert {(i, k) for i, t in enumerate(texts) for k, q in enumerate(quotes) if q and q in t} <= met
 
 
 @given(TEXT)
