@@ -43,7 +43,9 @@ LEAST = 0.4
 DAMPING = 0.9
 DEPTH = 48
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S)
+#: The begin of a comment, a declaration, an end tag, a start tag without `<` in it, or the begin of some other; nothing is tried twice.
+_TAG = re.compile(r"""<!--|<[!?][^>]*+>|</([a-zA-Z][^\s/>]*+)[^>]*+>|<([a-zA-Z][^\s/>]*+)((?:[^"'<>]++|"[^"]*+"|'[^']*+')*+)>|<([a-zA-Z][^\s/>]*+)""")
+_REST = re.compile(r"""[^"'<>]*+""")
 _ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 #: HTML element kinds.
@@ -112,6 +114,10 @@ class Page:
         self.text: list[str] = []
         self.blank = True
         self.owner = self.stack[0]
+        #: Behind the last `>`, and the last places of quotes before it; begins of tags that are known not to end.
+        self.end = self.html.rfind(">") + 1
+        self.last = {q: self.html.rfind(q, 0, self.end) for q in "\"'"}
+        self.endless: set[int] = set()
         self._read()
 
     def _flush(self) -> None:
@@ -185,20 +191,59 @@ class Page:
                     self._flush()
                 self._cut(depth)
 
+    def _ends(self, start: int, at: int) -> int:
+        """Behind the end of the tag that begins at start and whose name ends at `at`; -1 if it has none.
+
+        What stands outside quotes goes on alike from wherever it was begun. So if a tag doesn't end, neither do those
+        that begin within it outside its quotes, and they aren't looked at again: each place is passed a few times at most.
+        """
+        html = self.html
+        passed = [start + k for k, c in enumerate(html[start:at]) if c == "<"]
+        while start not in self.endless:
+            at = _REST.match(html, at, self.end).end()
+            c = html[at] if at < self.end else ""
+            if c == ">":
+                return at + 1
+            if c == "<":
+                if at in self.endless:
+                    break
+                passed.append(at)
+                at += 1
+            elif c and at < self.last[c]:
+                at = html.index(c, at + 1, self.end) + 1
+            else:
+                break
+        self.endless.update(passed)
+        return -1
+
     def _read(self) -> None:
         html, at, size = self.html, 0, len(self.html)
         while at < size:
-            m = _TAG.search(html, at)
-            piece = html[at : m.start()] if m else html[at:]
-            if piece:
-                self._add(piece)
+            m = _TAG.search(html, at, self.end)
             if m is None:
+                # Behind the last `>` only an unclosed comment is none of the text.
+                open_ = html.find("<!--", at)
+                self._add(html[at : open_ if open_ >= 0 else size])
                 break
-            at = m.end()
+            if m[0] == "<!--":
+                self._add(html[at : m.start()])
+                close = html.find("-->", m.end())
+                at = close + 3 if close >= 0 else size
+                continue
+            name, attrs = m[2] or m[4], m[3]
+            ends = m.end() if m[4] is None else self._ends(m.start(), m.end())
+            if ends < 0:
+                self._add(html[at : m.start() + 1])
+                at = m.start() + 1
+                continue
+            if at < m.start():
+                self._add(html[at : m.start()])
+            at = ends
             if m[1]:
                 self._close(m[1].lower())
-            elif m[2]:
-                tag = m[2].lower()
+            elif name:
+                attrs = html[m.end() : ends - 1] if m[4] else attrs
+                tag = name.lower()
                 if tag == "hr":
                     self._flush()
                 elif tag == "br":
@@ -209,10 +254,10 @@ class Page:
                 if tag in RAW:
                     if tag not in INLINE:
                         self._flush()
-                    end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
+                    end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at, self.end)
                     at = end.end() if end else size
                 else:
-                    self._push(tag, _attributes(m[3]))
+                    self._push(tag, _attributes(attrs))
         self._flush()
         self._cut(1)
 

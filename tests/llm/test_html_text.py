@@ -132,6 +132,28 @@ def test_deep_and_broken_pages_in_linear_time():
     assert time.time() - start < 60
 
 
+def test_unclosed_tags_in_linear_time():
+    """Begins of tags that never end, with quotes in all states: ten times the page, about ten times the time."""
+    parts = ['<p class="x" ', "<a ", "<!x ", "</a ", "<a b='", '<a "', "<a <b ' \" ", "<script </script ", '<p class="x>', "<i '\">"]
+    for part in parts:
+        for tail in ("", ">", '">', "'>", "\"'>z"):
+            took = []
+            for n in (8_000, 80_000):
+                start = time.time()
+                main_text(part * n + tail)
+                took.append(time.time() - start)
+            assert took[0] < 2 and took[1] < 20, (part, tail, took)
+
+
+def test_odd_tags_as_before():
+    """A start tag may hold `<` outside quotes; what never ends is text."""
+    assert main_text('<p a <b c="d>">x</p>y') == "x\ny"
+    assert main_text('1 < 2 <p>a "b" <c</p>') == '1 < 2\na "b"'
+    assert main_text("<p>a</p><b 'open") == "a\n<b 'open"
+    assert main_text("<p>a</p>b <!-- c") == "a\nb"
+    assert main_text("<p>a <i 'x>b</i> c' >d</p>") == "a d"
+
+
 def test_article_keeps_what_names_no_noise():
     page = '<article><p>Let <math><mi>x</mi></math> be.</p><object>Chart: 5</object><p class="share-price">Up</p><div class="related-work">Older</div><div class="ad">Buy</div></article>'
     assert main_text(page) == "Let x be.\nChart: 5\nUp\nOlder"
