@@ -1,19 +1,25 @@
-"""Steps of an operator that are computed once."""
+"""Steps of an operator that are computed once, in the folder that the cluster shares."""
 
 from __future__ import annotations
 
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df, computed once and stored in the cluster's checkpoint folder, so that later rounds neither repeat it nor grow its plan."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The application's checkpoint folder: that of spark.checkpoint.dir, or a temporary one where all runs in one process."""
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         named = context.getConf().get("spark.checkpoint.dir")
         if not named and not re.match(r"local($|\[)", context.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestrata-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df, computed once and stored in the shared folder, so that later rounds neither repeat it nor grow its plan."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestrata.operators import steps
 from lodestrata.operators import writes as W
+from lodestrata.sources import versions
+from lodestrata.sources.claims import CLAIM_SQL, claims
 from lodestrata.sources.tables import table
 
 
@@ -86,12 +92,34 @@ def overlap_lookup(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").where(F.arrays_overlap(words, F.array(*map(F.lit, KEYS)))).orderBy(F.col("p_retailprice").desc(), "p_partkey").limit(20).select("p_partkey")
 
 
-QUERIES = {f.__name__: f for f in (first_write_wins, last_write_wins, cascade_dry_run, published_runs, tenant_list, contested_pairs, bundle_with_partners, answer_postcheck, in_given_order, overlap_lookup)}
+def committed_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Claims, statistics and relations of two runs' worth of writes, each committed as one version over three tables; counted by version.
+
+    The first commit inserts every claim of even runs with its statistic or relation; the second adds the odd runs' claims,
+    and drops the relations that are contested, in the same version.
+    """
+    c = steps.kept(claims(spark, d, "claim_id", "run_id", "kind", "status", "hundredths", "unit", "relation", "subject", "object"))
+    store = f"{steps.shared_folder(spark)}/versions-{uuid.uuid4().hex}"
+    parts = lambda x: {"claim": x.select("claim_id", "run_id", "status"), "statistic": x.where("kind = 'statistic'").select("claim_id", "hundredths", "unit"), "relation": x.where("kind = 'relation'").select("claim_id", "relation", "subject", "object")}
+    one = versions.commit(spark, store, parts(c.where("run_id % 2 = 0")), 0)
+    new, held = parts(c.where("run_id % 2 = 1")), {t: versions.read(spark, store, t, one) for t in ("claim", "statistic", "relation")}
+    both = {t: held[t].union(new[t]) for t in held}
+    contested = both["claim"].where("status = 'contested'").select("claim_id")
+    both["relation"] = both["relation"].join(contested, "claim_id", "left_anti")
+    two = versions.commit(spark, store, both, one)
+    counts = [versions.read(spark, store, t, v).select(F.lit(v).alias("version"), F.lit(t).alias("name"), "claim_id") for v in (one, two) for t in held]
+    return reduce(DataFrame.union, counts).groupBy("version", "name").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("claim_id") % 1000).alias("ids"))
+
+
+QUERIES = {f.__name__: f for f in (first_write_wins, last_write_wins, cascade_dry_run, published_runs, tenant_list, contested_pairs, bundle_with_partners, answer_postcheck, in_given_order, overlap_lookup, committed_versions)}
 
 _PAIRS = """SELECT least(o_orderkey, k) AS a, greatest(o_orderkey, k) AS b, CASE WHEN p > o_totalprice THEN k ELSE o_orderkey END AS headline FROM
     (SELECT *, lead(o_orderkey) OVER w AS k, lead(o_orderstatus) OVER w AS s, lead(o_totalprice) OVER w AS p FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) WHERE s <> o_orderstatus AND abs(p - o_totalprice) < 20000"""
 
 ORACLES = {
+    "committed_versions": f"""WITH {CLAIM_SQL}, v AS (SELECT 1 AS version UNION ALL SELECT 2), t AS (SELECT version, claim.* FROM v, claim WHERE version = 2 OR run_id % 2 = 0),
+        n AS (SELECT version, 'claim' AS name, claim_id FROM t UNION ALL SELECT version, kind, claim_id FROM t WHERE kind = 'statistic' OR (kind = 'relation' AND (version = 1 OR status <> 'contested')))
+        SELECT version, name, count(*) AS n, sum(claim_id % 1000)::BIGINT AS ids FROM n GROUP BY ALL""",
     "first_write_wins": "SELECT event_id, user_id, event_type FROM events WHERE event_type <> 'purchase'",
     "last_write_wins": "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN lower(c_mktsegment) ELSE c_mktsegment END AS c_mktsegment FROM customer",
     "cascade_dry_run": """WITH p AS (SELECT c_custkey FROM customer WHERE c_nationkey = 3), o AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT * FROM p))
