@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestrata.functions import redaction
 from lodestrata.operators import fusion
 from lodestrata.plans import graph as G
 from lodestrata.plans import upkeep as U
@@ -88,10 +89,12 @@ SECRET = "token|password|secret|k"
 
 
 def redacted_traces(spark: SparkSession, d: str) -> DataFrame:
-    """Traces with values of secret-named keys masked at any depth and texts cut to 20 characters."""
-    nested = F.concat(F.lit('{"a":{"token":"'), "event_id", F.lit('","n":['), "props", F.lit(']},"note":"'), F.repeat("event_type", 6), F.lit('"}'))
-    masked = F.regexp_replace(nested, rf'"({SECRET})": ?("[^"]*"|[0-9.]+)', '"$1":"***"')
-    return table(spark, d, "events").select("event_id", F.regexp_replace(masked, r'"note":"(.{20})[^"]*"', '"note":"$1..."').alias("trace"))
+    """Traces as lines of JSON, values of secret-named keys masked at any depth and texts cut to 20 characters.
+
+    The token of each trace holds an escaped quote, and the secret a list.
+    """
+    nested = F.concat(F.lit('{"a": {"token": "'), "event_id", F.lit('\\" leak", "n": ['), "props", F.lit('], "secret": ["leak", {"k": 1}]}, "note": "'), F.repeat("event_type", 6), F.lit('"}'))
+    return redaction.redacted(table(spark, d, "events").select("event_id", nested.alias("trace")), "event_id", "trace", SECRET, 20).withColumnsRenamed({"id": "event_id", "line": "trace"})
 
 
 def model_costs(spark: SparkSession, d: str) -> DataFrame:
@@ -267,8 +270,7 @@ ORACLES = {
         SELECT conv_id, turn, count(*) FILTER (WHERE why = 'too_long') AS too_long, count(*) FILTER (WHERE why = 'repeated') AS repeated, count(*) FILTER (WHERE why = 'uncited') AS uncited, round(count(*) FILTER (WHERE why IS NULL) / count(*), 6) AS survival FROM w GROUP BY ALL""",
     "html_reports": """WITH c AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS k FROM customer), i AS (SELECT c_nationkey, string_agg('<li>' || c_name || ' &lt;a&amp;b&gt;</li>', '' ORDER BY k) AS items FROM c WHERE k <= 3 GROUP BY ALL),
         s AS (SELECT n_regionkey, string_agg('<h2>' || n_name || '</h2><ol>' || items || '</ol>', '' ORDER BY n_nationkey) AS body FROM nation JOIN i ON c_nationkey = n_nationkey GROUP BY ALL) SELECT r_name, '<html><h1>' || r_name || '</h1>' || body || '</html>' AS html FROM region JOIN s ON n_regionkey = r_regionkey""",
-    "redacted_traces": r"""WITH n AS (SELECT event_id, '{"a":{"token":"' || event_id || '","n":[' || props || ']},"note":"' || repeat(event_type, 6) || '"}' AS t FROM events), m AS (SELECT event_id, regexp_replace(t, '"(token|password|secret|k)": ?("[^"]*"|[0-9.]+)', '"\1":"***"', 'g') AS t FROM n)
-        SELECT event_id, regexp_replace(t, '"note":"(.{20})[^"]*"', '"note":"\1..."', 'g') AS trace FROM m""",
+    "redacted_traces": """SELECT event_id, '{"a":{"token":"***","n":[' || regexp_replace(replace(props, ' ', ''), '"k":[^},]*', '"k":"***"') || '],"secret":"***"},"note":"' || substring(repeat(event_type, 6), 1, 20) || CASE WHEN length(event_type) > 3 THEN '..."}' ELSE '"}' END AS trace FROM events""",
     "model_costs": "SELECT p_partkey, CAST(round_even(CASE WHEN starts_with(p_type, 'ECONOMY') THEN 2 WHEN starts_with(p_type, 'STAND') THEN 5 WHEN starts_with(p_type, 'PROMO') THEN 7 WHEN starts_with(p_type, 'ECON') THEN 3 ELSE 7 END * (p_size * 20 + p_partkey % 40 * 2 + p_partkey % 6 * 25) / CAST(20 AS DOUBLE), 0) AS BIGINT) AS micro FROM part",
     "bm25_route": f"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: w <> '') AS w FROM documents), c AS (SELECT doc_id, len(w) AS n, {', '.join(f"len(list_filter(w, lambda x: x = '{t}'))::DOUBLE AS t{i}" for i, t in enumerate(_BM))} FROM t),
         s AS (SELECT count(*) AS docs, avg(n) AS avg_n, {', '.join(f'count(*) FILTER (WHERE t{i} > 0) AS d{i}' for i in range(5))} FROM c),
