@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import values as V
 from lodestrata.functions.quotes import align_pairs
-from lodestrata.operators import passages
+from lodestrata.operators import passages, robots
 from lodestrata.sources.tables import table
 
 #: Fixed values of the queries: path patterns (`*` any, `$` end), denied domains, and threshold rules in order.
@@ -31,6 +31,25 @@ def robots_decisions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", robots_rule(path, ROBOTS).alias("allowed"))
 
 
+#: Files of hosts, by the length of the host's name: what both engines read. Agent, and its product token.
+_FILES = [
+    "# all may\nUser-agent: *\nDisallow: /fr/\nAllow: /fr/1\n\nuser-agent: ResearchBot\nUSER-AGENT: other\nDisallow: /en/ # not here\nAllow: /en/1*5$\nCrawl-delay: 2\n",
+    "Disallow: /\nUser-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: /*7\nDisallow: /de\nAllow: /de/2\n",
+    "User-agent: researchbot\nDisallow: /es/\nUser-agent: third\nDisallow: /\nUser-agent: ResearchBot\nDisallow: /*9$\nAllow: /*9$\n",
+]
+AGENT, TOKEN = "ResearchBot/1.0 (+https://example.org/bot)", "researchbot"
+
+
+def robots_file_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each page's path may be fetched, by the robots file of its host: groups, agents, status, longest match."""
+    host, path = F.regexp_extract("url", r"^[^:]+://([^/?#]*)", 1), F.regexp_extract("url", r"^[^:]+://[^/?#]*([^#]*)", 1)
+    urls = table(spark, d, "pages").select("page_id", host.alias("site"), path.alias("path"))
+    n = F.length("site")
+    body, status = F.element_at(F.array(*map(F.lit, _FILES)), n % 3 + 1), F.element_at(F.array(*map(F.lit, (200, 200, 200, 404, 429, None, 503))), n % 7 + 1)
+    files = urls.select("site").distinct().select("site", status.alias("status"), body.alias("body"))
+    return robots.decisions(urls, files, AGENT).select("page_id", "why", "allowed")
+
+
 def denied_hosts(spark: SparkSession, d: str) -> DataFrame:
     """Pages whose host or one of its parent domains is denied."""
     host = V.url_host(F.col("url"))
@@ -166,9 +185,23 @@ def draft_claims(spark: SparkSession, d: str) -> DataFrame:
     return gated.select("doc_id", "item_id", "span_start", "span_end", why.alias("drop_reason"))
 
 
-QUERIES = {f.__name__: f for f in (robots_decisions, denied_hosts, geography_fit, entity_resolution, initials, numbers_gate, table_spans, top_windows, partial_dates, gap_notes, threshold_rules, vocabulary, domain_spacing, quote_align, draft_claims)}
+QUERIES = {f.__name__: f for f in (robots_decisions, robots_file_decisions, denied_hosts, geography_fit, entity_resolution, initials, numbers_gate, table_spans, top_windows, partial_dates, gap_notes, threshold_rules, vocabulary, domain_spacing, quote_align, draft_claims)}
+
+_BODY = "CASE length(site) % 3 " + " ".join("WHEN {} THEN '{}'".format(i, b.replace("\n", "' || chr(10) || '")) for i, b in enumerate(_FILES)) + " END"
 
 ORACLES = {
+    "robots_file_decisions": rf"""WITH u AS (SELECT page_id, regexp_extract(url, '^[^:]+://([^/?#]*)', 1) AS site, regexp_extract(url, '^[^:]+://[^/?#]*([^#]*)', 1) AS path FROM pages),
+        f AS (SELECT site, CASE length(site) % 7 WHEN 3 THEN 'unavailable' WHEN 4 THEN 'unreachable' WHEN 5 THEN 'unreachable' WHEN 6 THEN 'unreachable' ELSE 'parsed' END AS why, {_BODY} AS body FROM (SELECT DISTINCT site FROM u)),
+        l AS (SELECT site, generate_subscripts(x, 1) AS n, trim(split_part(unnest(x), '#', 1)) AS line FROM (SELECT site, string_split(body, chr(10)) AS x FROM f WHERE why = 'parsed')),
+        k AS (SELECT site, n, lower(trim(split_part(line, ':', 1))) AS field, trim(substring(line, instr(line, ':') + 1)) AS value FROM l WHERE contains(line, ':')),
+        b AS (SELECT *, field = 'user-agent' AND coalesce(lag(field) OVER (PARTITION BY site ORDER BY n), '') <> 'user-agent' AS begins FROM k),
+        g AS (SELECT *, sum(begins::INT) OVER (PARTITION BY site ORDER BY n) AS grp FROM b),
+        a AS (SELECT site, grp, max(CASE WHEN lower(value) = '{TOKEN}' THEN 2 WHEN value = '*' THEN 1 END) AS fit FROM g WHERE grp > 0 AND field = 'user-agent' GROUP BY ALL),
+        c AS (SELECT site, grp FROM a QUALIFY fit = max(fit) OVER (PARTITION BY site)),
+        r AS (SELECT site, field = 'allow' AS allows, length(replace(rtrim(value, '$'), '*', '')) AS weight, '^' || replace(regexp_replace(rtrim(value, '$'), '([.?+()])', '\\\1', 'g'), '*', '.*') || CASE WHEN ends_with(value, '$') THEN '$' ELSE '' END AS pattern
+          FROM g JOIN c USING (site, grp) WHERE field IN ('allow', 'disallow') AND value <> ''),
+        m AS (SELECT page_id, arg_max(allows, weight * 2 + allows::INT) AS allows FROM u JOIN r USING (site) WHERE regexp_matches(path, pattern) GROUP BY ALL)
+        SELECT page_id, why, CASE WHEN why = 'parsed' THEN coalesce(allows, true) ELSE why = 'unavailable' END AS allowed FROM u JOIN f USING (site) LEFT JOIN m USING (page_id)""",
     "robots_decisions": """SELECT page_id, CASE WHEN regexp_matches(p, '^/.*\\.html$') THEN false WHEN regexp_matches(p, '^/en/1') THEN true WHEN regexp_matches(p, '^/de/2') THEN true
         WHEN starts_with(p, '/en/') THEN false ELSE true END AS allowed FROM (SELECT page_id, regexp_extract(url, '^[^:]+://[^/?#]*([^#]*)', 1) AS p FROM pages)""",
     "denied_hosts": "SELECT page_id FROM (SELECT page_id, lower(regexp_extract(url, '^[^:]+://([^/?#:]*)', 1)) AS h FROM pages) WHERE " + " OR ".join(f"h = '{x}' OR h LIKE '%.{x}'" for x in DENIED),
