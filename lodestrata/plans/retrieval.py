@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import values as V
-from lodestrata.operators import fusion, passages, ranking, vectors
+from lodestrata.operators import fusion, passages, ranking, similar, vectors
 from lodestrata.operators import relational as R
 from lodestrata.sources.tables import table
 
@@ -90,13 +90,23 @@ def trigram_similarity(spark: SparkSession, d: str) -> DataFrame:
     Names are compared once each, however many parts bear them; the copies are counted, not expanded.
     """
     p = table(spark, d, "part").select("p_partkey", F.lower("p_name").alias("name"))
-    names = p.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("p_partkey") % EVERY == 0).alias("asked")).withColumn("g", V.trigrams(F.col("name")))
-    grams = names.select("name", "n", "asked", F.size("g").alias("size"), F.explode("g").alias("gram"))
-    q = grams.where("asked > 0").select(F.col("name").alias("q"), F.col("size").alias("q_size"), "gram")
-    met = grams.join(q, "gram").where("name <> q").groupBy("q", "name").agg(F.count(F.lit(1)).alias("common"), F.first("size").alias("size"), F.first("q_size").alias("q_size"), F.first("n").alias("n"))
-    near = met.where(F.col("common") / (F.col("size") + F.col("q_size") - F.col("common")) >= 0.5).groupBy("q").agg(F.sum("n").alias("fuzzy"))
-    asked = p.where(F.col("p_partkey") % EVERY == 0).join(names.select("name", (F.col("n") - 1).alias("exact")), "name")
-    return asked.join(near, F.col("name") == F.col("q"), "left").select("p_partkey", "exact", F.coalesce("fuzzy", F.lit(0)).cast("long").alias("fuzzy"))
+    names = p.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    asked = p.where(F.col("p_partkey") % EVERY == 0)
+    near = similar.similar(names, asked, "name", 50).join(names, "name").groupBy("asked").agg(F.sum("n").alias("fuzzy"))
+    same = asked.join(names.select("name", (F.col("n") - 1).alias("exact")), "name")
+    return same.join(near, F.col("name") == F.col("asked"), "left").select("p_partkey", "exact", F.coalesce("fuzzy", F.lit(0)).cast("long").alias("fuzzy"))
+
+
+#: Rows of the two arms of a search by name, and the likeness of the second.
+EXACT_ARM, FUZZY_ARM, ALIKE = 20, 10, 30
+
+
+def name_search(spark: SparkSession, d: str) -> DataFrame:
+    """Hosts as asked for by every twentieth page: those of the same key (without www.), then the most alike by trigrams."""
+    host = V.url_host(F.col("url"))
+    p = table(spark, d, "pages").select("page_id", F.lower(host).alias("name"))
+    key = F.regexp_replace("name", r"^(www\.|m\.)", "")
+    return similar.searched(p, p.where(F.col("page_id") % EVERY == 0), "name", "page_id", key, ALIKE, EXACT_ARM, FUZZY_ARM)
 
 
 def first_seen_citations(spark: SparkSession, d: str) -> DataFrame:
@@ -154,7 +164,7 @@ def passages_without_quote(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(held, "doc_id", "left_anti").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_filtered, nearest_pair_review, rrf_fuse, anchor_inject, bundle_cap, spread_domains, select_urls, keyword_match, trigram_similarity, first_seen_citations, budget_prefix, blocked_minus, keyset_page, offset_page, last_turn, prev_turn, inherited_turns, passages_without_quote)}
+QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_filtered, nearest_pair_review, rrf_fuse, anchor_inject, bundle_cap, spread_domains, select_urls, keyword_match, trigram_similarity, name_search, first_seen_citations, budget_prefix, blocked_minus, keyset_page, offset_page, last_turn, prev_turn, inherited_turns, passages_without_quote)}
 
 _SIM = f"SELECT q.vec_id AS query_id, e.vec_id, e.label, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score FROM embeddings e JOIN embeddings q ON q.vec_id % {EVERY} = 0 AND q.vec_id <> e.vec_id"
 _TOP = f"SELECT query_id, vec_id, label, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM ({_SIM})"
@@ -166,7 +176,15 @@ CANONICAL = f"""SELECT page_id, CASE WHEN regexp_matches(b, '^[A-Za-z][A-Za-z0-9
 _GRAMS = "SELECT lower(p_name) AS name, count(*) AS n, list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))) AS g FROM part GROUP BY 1, 3"
 _JACC = "len(list_intersect(a.g, b.g)) / greatest(len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)), 1)"
 
+_HOST_GRAMS = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array({0}, '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3)))))"
+
 ORACLES = {
+    "name_search": rf"""WITH p AS (SELECT page_id AS id, lower(regexp_extract(url, '^[^:]+://([^/?#:]*)', 1)) AS name FROM pages), k AS (SELECT id, name, regexp_replace(name, '^(www\.|m\.)', '') AS key FROM p),
+        n AS (SELECT DISTINCT name, key, {_HOST_GRAMS.format('name')} AS g FROM k), a AS (SELECT DISTINCT n.* FROM n JOIN k USING (name) WHERE k.id % {EVERY} = 0),
+        s AS (SELECT a.name AS asked, n.name, a.key <> n.key AS other, len(list_intersect(a.g, n.g)) AS common, len(a.g) + len(n.g) - len(list_intersect(a.g, n.g)) AS every FROM a, n WHERE a.name <> n.name),
+        e AS (SELECT a.name AS asked, k.id, 'exact' AS arm, CAST(1.0 AS DOUBLE) AS similarity FROM a JOIN k USING (key) QUALIFY row_number() OVER (PARTITION BY a.name ORDER BY k.id) <= {EXACT_ARM}),
+        f AS (SELECT asked, k.id, 'fuzzy' AS arm, round(common / every, 6) AS similarity FROM s JOIN k USING (name) WHERE other AND 100 * common >= {ALIKE} * every QUALIFY row_number() OVER (PARTITION BY asked ORDER BY round(common / every, 6) DESC, k.id) <= {FUZZY_ARM})
+        SELECT asked, id, arm, similarity, CAST(row_number() OVER (PARTITION BY asked ORDER BY arm, similarity DESC, id) AS INT) AS place FROM (SELECT * FROM e UNION ALL SELECT * FROM f)""",
     "vector_topk": f"SELECT * FROM ({_TOP}) WHERE rank <= 10",
     "vector_topk_filtered": f"SELECT query_id, vec_id, score, CAST(rk AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rk FROM ({_TOP}) WHERE rank <= 30 AND label < 7) WHERE rk <= 10",
     "nearest_pair_review": f"SELECT query_id, vec_id, score FROM ({_TOP}) WHERE rank = 1 AND score >= 0.3",
