@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions import values as V
+from lodestrata.functions import windows as token_budget
 from lodestrata.functions.chunking import chunk_documents
 from lodestrata.operators import passages
 from lodestrata.plans.retrieval import CANONICAL
@@ -52,6 +53,17 @@ def windows(spark: SparkSession, d: str) -> DataFrame:
     return w.select("doc_id", "start", (F.col("start") + F.length("piece")).cast("long").alias("end"), F.sha2("piece", 256).alias("digest"))
 
 
+#: Tokens of an extraction window, and tokens that two may share.
+TOKENS, SHARED = 120, 20
+
+
+def token_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Extraction windows of every document by tokens, cut between words, with spans and the digest of their text."""
+    w = table(spark, d, "documents").select("doc_id", "text", F.posexplode(token_budget.token_windows(F.col("text"), TOKENS, SHARED)).alias("no", "w"))
+    piece = F.substring(F.col("text"), F.col("w.begin") + 1, F.col("w.end") - F.col("w.begin"))
+    return w.select("doc_id", "no", F.col("w.begin").alias("span_start"), F.col("w.end").alias("span_end"), F.col("w.quarters").alias("quarters"), F.sha2(piece, 256).alias("digest"))
+
+
 def chunk_docs(spark: SparkSession, d: str) -> DataFrame:
     """Sentences packed into chunks; see functions.chunking."""
     return chunk_documents(table(spark, d, "documents").select("doc_id", "text"))
@@ -94,12 +106,27 @@ def repeated_names(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (parse_value, canonical_url, publisher_class, html_lang_date, token_estimate, windows, chunk_docs, quote_locate, entity_key, period_months, distances, stable_ids, repeated_names)}
+QUERIES = {f.__name__: f for f in (parse_value, canonical_url, publisher_class, html_lang_date, token_estimate, windows, token_windows, chunk_docs, quote_locate, entity_key, period_months, distances, stable_ids, repeated_names)}
 
 _WRITTEN = "CASE l_linenumber % 4 WHEN 0 THEN CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || ',5' WHEN 1 THEN CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || '.000' WHEN 2 THEN '0.' || CAST(round(l_discount * 100) AS INT) ELSE 'about ' || CAST(l_quantity AS BIGINT) END"
 _HOST = "lower(regexp_extract(url, '^[^:]+://([^/?#:]*)', 1))"
 
+_ASCII, _WIDE = r"[^\x{00}-\x{7F}]", r"[^\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{AC00}-\x{D7AF}]"
+
 ORACLES = {
+    "token_windows": rf"""WITH RECURSIVE p AS (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '\s*\S+|\s+$') AS x FROM documents),
+        q AS (SELECT doc_id, unnest(x) AS piece, generate_subscripts(x, 1) AS i FROM p),
+        c AS (SELECT doc_id, i, length(piece) AS size, 2 * length(piece) - length(regexp_replace(piece, '{_ASCII}', '', 'g')) + 2 * length(regexp_replace(piece, '{_WIDE}', '', 'g')) AS cost FROM q),
+        w AS MATERIALIZED (SELECT doc_id, i, cost, (sum(size) OVER o)::BIGINT AS ends, (sum(cost) OVER o)::BIGINT AS upto, max(i) OVER (PARTITION BY doc_id) AS words FROM c WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        r AS (SELECT doc_id, 0::BIGINT AS no, 1::BIGINT AS b, 0::BIGINT AS before, 0::BIGINT AS begins, words FROM w WHERE i = 1
+          UNION ALL
+          SELECT doc_id, no + 1, b2, upto, ends, words FROM (SELECT y.*, w.upto, w.ends FROM (
+              SELECT x.*, CASE WHEN m IS NOT NULL AND (SELECT upto FROM w WHERE w.doc_id = x.doc_id AND i = e + 1) - (SELECT upto FROM w WHERE w.doc_id = x.doc_id AND i = m) <= {4 * TOKENS} THEN m + 1 ELSE e + 1 END AS b2 FROM (
+                SELECT z.*, (SELECT min(i) FROM w WHERE w.doc_id = z.doc_id AND i BETWEEN b AND e AND upto - before >= {4 * (TOKENS - SHARED)}) AS m FROM (
+                  SELECT r.*, greatest(b, (SELECT max(i) FROM w WHERE w.doc_id = r.doc_id AND i >= b AND upto - before <= {4 * TOKENS})) AS e FROM r) z) x WHERE e < words) y
+            JOIN w ON w.doc_id = y.doc_id AND w.i = y.b2 - 1)),
+        e AS (SELECT r.doc_id, no, begins, before, greatest(b, (SELECT max(i) FROM w WHERE w.doc_id = r.doc_id AND i >= b AND upto - before <= {4 * TOKENS})) AS e FROM r)
+        SELECT e.doc_id, no::INT AS no, begins::INT AS span_start, ends::INT AS span_end, (upto - before)::INT AS quarters, sha256(substring(text, begins + 1, ends - begins)) AS digest FROM e JOIN w ON w.doc_id = e.doc_id AND w.i = e.e JOIN documents ON documents.doc_id = e.doc_id""",
     "parse_value": f"""SELECT l_orderkey, l_linenumber, w AS written, CASE WHEN l_linenumber % 4 = 3 THEN NULL WHEN l_linenumber % 4 = 0 THEN CAST(replace(w, ',', '.') AS DOUBLE)
         WHEN l_linenumber % 4 = 1 THEN CASE WHEN l_quantity >= 1 THEN CAST(replace(w, '.', '') AS DOUBLE) ELSE CAST(w AS DOUBLE) END ELSE CAST(w AS DOUBLE) END AS value FROM (SELECT *, {_WRITTEN} AS w FROM lineitem)""",
     "canonical_url": CANONICAL,
