@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import judging as J
 from lodestrata.plans import judging as PJ
+from lodestrata.plans import text as PT
 from lodestrata.sources.claims import CLAIM_SQL, claims
 from lodestrata.sources.tables import table
 
@@ -102,8 +103,11 @@ def evidence_panels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def index_points(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks as points of an index: key, tenant and payload as JSON."""
-    return table(spark, d, "documents").select("doc_id", F.to_json(F.struct(F.col("doc_id").alias("id"), F.col("lang"), F.col("source"), (F.col("doc_id") % 16).alias("slot"))).alias("payload"))
+    """Chunks of every document (its windows by tokens) as points of an index: key, digest of the text to embed, payload as JSON."""
+    whole = table(spark, d, "documents").select("doc_id", "lang", "source")
+    chunks = PT.token_windows(spark, d).join(whole, "doc_id")
+    payload = F.to_json(F.struct(F.col("doc_id").alias("id"), F.col("lang"), F.col("source"), F.col("span_start").alias("start"), F.col("span_end").alias("end")))
+    return chunks.select(F.concat_ws(":", "doc_id", "no").alias("point"), "digest", payload.alias("payload"))
 
 
 def wire_claims(spark: SparkSession, d: str) -> DataFrame:
@@ -186,7 +190,8 @@ ORACLES = {
     "labelled_levels": f"{_W} SELECT CASE level WHEN 'city_wide' THEN 'the whole city' WHEN 'national' THEN 'the country' WHEN 'global' THEN 'the world' WHEN 'district' THEN 'a district' ELSE level END AS label, format('{{:,}}', count(*) * 1000) AS n FROM claim GROUP BY 1",
     "entities_by_type": "WITH n AS (SELECT p_type, p_brand, count(l_partkey) AS n FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY ALL) SELECT p_type, string_agg(p_brand || '=' || n, ',' ORDER BY n DESC, p_brand) AS entities FROM n GROUP BY ALL",
     "evidence_panels": """WITH l AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY ALL) SELECT d.doc_id, substring(text, 11, 40) AS "window", CASE q WHEN 1 THEN 'supported' WHEN 0 THEN 'refuted' END AS verdict, substring(sha256(text), 1, 12) AS snapshot FROM documents d LEFT JOIN l USING (doc_id)""",
-    "index_points": """SELECT doc_id, '{"id":' || doc_id || ',"lang":"' || lang || '","source":"' || source || '","slot":' || (doc_id % 16) || '}' AS payload FROM documents""",
+    "index_points": f"""SELECT doc_id || ':' || no AS point, digest, '{{"id":' || doc_id || ',"lang":"' || lang || '","source":"' || source || '","start":' || span_start || ',"end":' || span_end || '}}' AS payload
+        FROM ({PT.ORACLES['token_windows']}) JOIN documents USING (doc_id)""",
     "wire_claims": f"""{_W}, c AS (SELECT claim_id, {_S} AS s, {_E} AS e FROM claim WHERE ref_start IS NOT NULL)
         SELECT claim_id, CASE WHEN s > e THEN NULL ELSE s END AS ref_start, CASE WHEN s > e THEN NULL ELSE e END AS ref_end, concat_ws(',', CASE WHEN s IS NULL THEN 'start_unreadable' END, CASE WHEN s > e THEN 'period_inverted' END) AS problems FROM c""",
     "official_claims": """WITH d AS (SELECT l_suppkey AS provider, l_partkey % 12 AS indicator, CAST(l_shipdate AS DATE) AS at_, count(*) AS n, max(l_extendedprice) AS value FROM lineitem GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY provider, indicator ORDER BY at_ DESC) AS rn FROM d)

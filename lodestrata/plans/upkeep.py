@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestrata.operators import steps
 from lodestrata.sources.claims import CLAIM_SQL, claims
 from lodestrata.sources.tables import table
 
@@ -26,16 +27,18 @@ def first_of_either_key(spark: SparkSession, d: str) -> DataFrame:
     """Sources by first write, where a row goes if its url or its text has come before (smaller page_id).
 
     Exactly: a row stays only if it is the first of its url and the first of its text among those that stay; rows that
-    lose by one key don't count for the other, so it takes turns until no row is left.
+    lose by one key don't count for the other, so it takes turns until no row is left. Texts go by the digest of the
+    whole; what a turn keeps and leaves is stored, so none repeats those before it.
     """
-    p = table(spark, d, "pages").select("page_id", F.regexp_replace("url", "[?#].*$", "").alias("url"), F.substring("html", 16, 60).alias("text"))
+    p = table(spark, d, "pages").select("page_id", F.regexp_replace("url", "[?#].*$", "").alias("url"), F.sha2("html", 256).alias("text"))
     left = p.where("url IS NOT NULL AND text IS NOT NULL")
     kept = left.limit(0)
     first = lambda key: F.min("page_id").over(Window.partitionBy(key))
     while not left.isEmpty():  # each turn keeps the smallest id left, and as a rule nearly all rows
         both = left.withColumn("u", first("url")).withColumn("t", first("text")).where("page_id = u AND page_id = t").drop("u", "t")
+        both = steps.kept(both)
         kept = kept.union(both)
-        left = left.join(both.select("url"), "url", "left_anti").join(both.select("text"), "text", "left_anti").select("page_id", "url", "text")
+        left = steps.kept(left.join(both.select("url"), "url", "left_anti").join(both.select("text"), "text", "left_anti").select("page_id", "url", "text"))
     return kept.select("page_id")
 
 
@@ -211,7 +214,7 @@ def whole_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_cursors(spark: SparkSession, d: str) -> DataFrame:
-    """Pages of 50 with an opaque cursor: the next one only if the page is full and more remain."""
+    """Pages of five with an opaque cursor: the next one only if the page is full and more remain."""
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate").withColumn("at", F.row_number().over(w) - 1)
     pages = o.groupBy("o_custkey", F.floor(F.col("at") / 5).alias("page")).agg(F.count(F.lit(1)).alias("rows"), F.min("o_orderkey").alias("first"))
@@ -280,5 +283,5 @@ ORACLES = {
         SELECT u, arg_max(page_id, (kind, ord)) AS page_id FROM b GROUP BY ALL""",
     "golden_scores": f"""{_W}, s AS (SELECT slot, count(*) AS expected, count(*) FILTER (WHERE claim_id % 10 <> 0) AS found, count(*) FILTER (WHERE claim_id % 10 <> 0 AND (claim_id % 7 <> 0 OR level = 'national')) AS lv FROM claim WHERE hundredths IS NOT NULL GROUP BY ALL)
         SELECT slot, round(found / expected, 6) AS recall, round((lv + found) / (2 * found), 6) AS fields, found / expected >= 0.85 AS passes FROM s""",
-    "first_of_either_key": f"WITH l0 AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS url, substring(html, 16, 60) AS text FROM pages WHERE url IS NOT NULL AND html IS NOT NULL), {_TURNS} r AS (SELECT page_id FROM f0 UNION ALL SELECT page_id FROM f1 UNION ALL SELECT page_id FROM f2 UNION ALL SELECT page_id FROM f3 UNION ALL SELECT page_id FROM f4 UNION ALL SELECT page_id FROM f5) FROM r",
+    "first_of_either_key": f"WITH l0 AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS url, sha256(html) AS text FROM pages WHERE url IS NOT NULL AND html IS NOT NULL), {_TURNS} r AS (SELECT page_id FROM f0 UNION ALL SELECT page_id FROM f1 UNION ALL SELECT page_id FROM f2 UNION ALL SELECT page_id FROM f3 UNION ALL SELECT page_id FROM f4 UNION ALL SELECT page_id FROM f5) FROM r",
 }
