@@ -13,9 +13,10 @@ of the one set is looked for in the other by binary search, until the required o
   has ra and rb elements of each from there on, at most min(ra, rb) are common, so sizes na <= nb fit only if na + nb <=
   min(ra, rb) * (100 + percent) / percent. The smaller set asks the lists of the lengths that this lets be, so it asks
   with a ninth of its elements at 80 percent, and mostly with fewer lengths. Lists are held in parts of `PART` entries.
+  Entries carry a sketch of 64 bytes (see below), so that those without a chance are pruned where list and set meet.
 * Equal sets are one node. Groups of near copies would fill each other's lists, so first each set meets the least of
-  those with the same first (second, third) element, and later, in turns while lists are full, one other of its lists,
-  the one it shares most of them with. What that links is one component from then on, and only sets of different
+  those with the same first (second, third) element, and later, while lists are full, the hub of one of its lists: the
+  set there whose own lists are the longest together. What that links is one component from then on, and only sets of different
   components meet. Links are those that connect the same documents as all links would.
 * Before a pair is probed, a bit string of the parities of its hashes bounds the overlap from above; it drops no pair
   that reaches it and leaves about one other in a thousand. Whole sets are made from the texts of these alone, once.
@@ -48,8 +49,8 @@ LATE = 32
 #: First elements by which sets meet the least of those with the same; turns at most in which each set meets one other
 #: of its lists, and the pairs a set under which they aren't needed.
 FIRSTS, HUB_TURNS, FEW = 3, 1, 4
-#: Entries of a part of a list, on the average; bits of the number of a bitmap's place.
-PART, PLACE_BITS = 1024, 26
+#: Entries of a part of a list, on the average; bits of the number of a bitmap's place; bytes of a sketch.
+PART, PLACE_BITS, SKETCH = 1024, 26, 64
 
 
 def least_shared(n: int, percent: int) -> int:
@@ -67,16 +68,24 @@ def parities(own: np.ndarray) -> bytes:
 
     Places in which two sets differ are at most as many as the elements that only one of them has.
     """
-    places = max(64, 1 << int(2 * len(own)).bit_length())
+    places = max(8 * SKETCH, 1 << int(2 * len(own)).bit_length())
     return np.packbits(np.bincount((own >> np.uint64(32)).astype(np.int64) % places, minlength=places) & 1, bitorder="little").tobytes()
 
 
+def sketch_of(parity: bytes) -> bytes:
+    """The parities of SKETCH bytes' places: the halves of a longer string laid upon each other."""
+    bits = np.frombuffer(parity, np.uint8)
+    while len(bits) > SKETCH:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits.tobytes()
+
+
 def _sets(shingle: int, percent: int, printed: bool):
-    """(row, text) → row, node (hash of the set), fp (SimHash, if wanted), n, the n - T + 1 smallest hashes, parities."""
+    """(row, text) → row, node (hash of the set), fp (SimHash, if wanted), n, the n - T + 1 smallest hashes, parities, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, prints, sizes, heads, bits = [], [], [], [], []
+            nodes, prints, sizes, heads, bits, sketches = [], [], [], [], [], []
             for text in batch.column(1):
                 hashes = rolled_hashes(text.as_py(), shingle)
                 own = np.unique(hashes)
@@ -85,14 +94,15 @@ def _sets(shingle: int, percent: int, printed: bool):
                 sizes.append(len(own))
                 heads.append(own[: len(own) - least_shared(len(own), percent) + 1].view("<i8"))
                 bits.append(parities(own))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), pa.array(heads, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["doc_id", "node", "fp", "n", "heads", "bits"])
+                sketches.append(sketch_of(bits[-1]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), pa.array(heads, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(sketches, pa.binary())], names=["doc_id", "node", "fp", "n", "heads", "bits", "sketch"])
 
     return run
 
 
 def sets(texts: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, printed: bool = False) -> DataFrame:
-    """texts: doc_id (as `numbered` names rows), text. One row each, written: node, fp, n, heads, bits."""
-    return written(texts.mapInArrow(_sets(shingle, percent, printed), f"doc_id {ROW}, node long, fp long, n int, heads array<long>, bits binary"), "like-rows")
+    """texts: doc_id (as `numbered` names rows), text. One row each, written: node, fp, n, heads, bits, sketch."""
+    return written(texts.mapInArrow(_sets(shingle, percent, printed), f"doc_id {ROW}, node long, fp long, n int, heads array<long>, bits binary, sketch binary"), "like-rows")
 
 
 def _heads(shingle: int, percent: int, late: pa.Table):
@@ -189,32 +199,54 @@ def _probed(percent: int):
     return run
 
 
-def _merged(percent: int):
-    """Rows of an asking set and a part of a list → pairs (a, b): the lists of a set merged by heap, each partner once.
+def _pruned(percent: int):
+    """Rows of an asking set and a part of a list → node, list: the entries that can be partners, in order.
 
-    Left out are those of its own component, smaller ones, and those that can't reach the overlap from here on.
+    Left out are those of its own component, smaller ones, those that can't reach the overlap from this element on, and
+    those whose sketch differs in too many places.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists, values = batch.column("list"), batch.column("list").flatten()
-            starts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
             node, n, room, label = (values.field(i).to_numpy() for i in range(4))
-            asked = batch.column("node").to_numpy()
-            own = {c: np.repeat(batch.column(c).to_numpy(), np.diff(starts)) for c in ("node", "n", "room", "label")}
-            fits = (own["label"] != label) & ((own["n"] < n) | ((own["n"] == n) & (own["node"] < node)))
-            fits &= (100 + percent) * np.minimum(own["room"], room).astype(np.int64) >= percent * (own["n"].astype(np.int64) + n)
-            left, right = [], []
-            for a, run_ in groupby(range(len(asked)), key=asked.__getitem__):
-                short = (node[starts[i] : starts[i + 1]][fits[starts[i] : starts[i + 1]]].tolist() for i in run_)
-                found = [b for b, _ in groupby(heapq.merge(*(x for x in short if x)))]
-                left += [a] * len(found)
-                right += found
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+            row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+            own = {c: batch.column(c).to_numpy() for c in ("node", "n", "room", "label")}
+            own_n = own["n"].astype(np.int64)[row]
+            fits = (own["label"][row] != label) & ((own_n < n) | ((own_n == n) & (own["node"][row] < node)))
+            fits &= (100 + percent) * np.minimum(own["room"][row], room).astype(np.int64) >= percent * (own_n + n)
+            left = np.flatnonzero(fits)
+            apart = np.bitwise_count(_sketches(values.field(4))[left] ^ _sketches(batch.column("sketch"))[row[left]]).sum(1, dtype=np.int64)
+            # A pair of enough common elements differs in no more places than elements are not common.
+            both = own_n[left] + n[left]
+            left = left[(100 + percent) * (both - apart) >= 2 * percent * both]
+            kept = np.bincount(row[left], minlength=batch.num_rows)
+            some = np.flatnonzero(kept)
+            offsets = np.concatenate([[0], np.cumsum(kept[some])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(some)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(node[left]))], names=["node", "list"])
 
     return run
 
 
+def _sketches(column: pa.BinaryArray) -> np.ndarray:
+    """Sketches of SKETCH bytes each as rows of 64-bit words, without copies."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(-1, SKETCH).view("<u8") if len(column) else np.zeros((0, SKETCH // 8), "<u8")
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Short lists by the set that asks → pairs (a, b): its lists merged by heap, each partner once."""
+    for batch in batches:
+        left, right = [], []
+        rows = zip(batch.column("node").to_pylist(), batch.column("list").to_pylist())
+        for a, lists in groupby(rows, key=lambda r: r[0]):
+            found = [b for b, _ in groupby(heapq.merge(*(x for _, x in lists)))]
+            left += [a] * len(found)
+            right += found
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+
 def _length(n: Column) -> Column:
     """The step of a set's size; never smaller for a larger size."""
     return F.floor(F.log(n.cast("double")) * 16).cast("int")
@@ -265,11 +297,11 @@ class Join:
         found = self.verified(self._firsts() if start is None else self._firsts().union(start))
         keys = self._in_order(found)
         placed, sums = self._apart(keys, found)
-        for turn in range(HUB_TURNS):
+        for _ in range(HUB_TURNS):
             n, cross = sums.agg(F.sum("n"), F.sum("cross")).first()
             if not n or cross <= FEW * n:
                 break
-            found = found.union(self.verified(self._hubs(placed, turn)))
+            found = found.union(self.verified(self._hubs(placed, sums)))
             before = placed, sums
             placed, sums = self._apart(placed.select("key", "node", "n", "place"), found)
             for done in before:
@@ -319,27 +351,32 @@ class Join:
     def _fits(self) -> Column:
         return (100 + self.percent) * F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= self.percent * (F.col("na") + F.col("nb"))
 
-    def _hubs(self, placed: DataFrame, turn: int) -> DataFrame:
-        """Each set with one of those drawn under its keys, the one drawn most often."""
-        hub = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("r"), "node", "n", "place", "label")).alias("hub")
-        hubs = placed.groupBy("key").agg(hub).selectExpr("key", "hub.node", "hub.n", "hub.place", "hub.label").toDF("key", "a", "na", "pa", "la")
+    def _hubs(self, placed: DataFrame, sums: DataFrame) -> DataFrame:
+        """Each set with the hub of one of its keys, the one of most of them.
+
+        The hub of a key is the set whose lists are the longest together: of copies with edits, one with few of its own.
+        """
+        weight = placed.join(sums.select("key", F.col("n").alias("held")), "key").groupBy("node").agg(F.sum("held").alias("weight"))
+        hub = F.max_by(F.struct("node", "n", "place", "label"), F.struct("weight", "node")).alias("hub")
+        hubs = placed.join(weight, "node").groupBy("key").agg(hub).selectExpr("key", "hub.node", "hub.n", "hub.place", "hub.label").toDF("key", "a", "na", "pa", "la")
         met = hubs.join(placed.toDF("key", "b", "nb", "pb", "lb"), "key").where("la <> lb").where(self._fits())
         return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a"))
 
     def _searched(self, placed: DataFrame, sums: DataFrame) -> DataFrame:
         """(a, b): sets of different components that share a short list, fit each other's length and may reach the overlap."""
         p = self.percent
-        rows = placed.join(sums.select("key", "main", F.ceil(F.col("n") / PART).alias("parts")), "key")
-        rows = rows.select("key", "node", "n", (F.col("n") - F.col("place")).alias("room"), "label", (F.col("label") == F.col("main")).alias("main"), "parts")
+        rows = placed.join(sums.select("key", "main", F.ceil(F.col("n") / PART).alias("parts")), "key").join(self.whole.select("node", "sketch"), "node")
+        rows = rows.select("key", "node", "n", (F.col("n") - F.col("place")).alias("room"), "label", "sketch", (F.col("label") == F.col("main")).alias("main"), "parts")
         part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
         listed = rows.groupBy("key", _length(F.col("n")).alias("length"), "main", part.alias("part"))
-        lists = listed.agg(F.sort_array(F.collect_list(F.struct("node", "n", "room", "label"))).alias("list"))
+        lists = listed.agg(F.sort_array(F.collect_list(F.struct("node", "n", "room", "label", "sketch"))).alias("list"))
         most = F.floor((100 + p) * F.col("room") / p).cast("int") - F.col("n")
-        asks = rows.where(most >= F.col("n")).select("key", "node", "n", "room", "label", F.explode(F.sequence(_length(F.col("n")), _length(most))).alias("length"), F.col("main").alias("own"))
+        asks = rows.where(most >= F.col("n")).select("key", "node", "n", "room", "label", "sketch", F.explode(F.sequence(_length(F.col("n")), _length(most))).alias("length"), F.col("main").alias("own"))
         # Sets of a list's largest component don't ask each other.
         asks = asks.withColumn("main", F.explode(F.when(F.col("own"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True))))).drop("own")
-        met = asks.join(lists, ["key", "length", "main"]).select("node", "n", "room", "label", "list")
-        return met.repartition("node").sortWithinPartitions("node").mapInArrow(_merged(p), "a long, b long")
+        met = asks.join(lists, ["key", "length", "main"]).select("node", "n", "room", "label", "sketch", "list")
+        short = met.mapInArrow(_pruned(p), "node long, list array<long>")
+        return short.repartition("node").sortWithinPartitions("node").mapInArrow(_merged, "a long, b long")
 
 
 def _postings(heads: DataFrame) -> DataFrame:
