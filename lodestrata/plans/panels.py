@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import judging as J
+from lodestrata.operators import passages
 from lodestrata.plans import judging as PJ
 from lodestrata.plans import text as PT
 from lodestrata.sources.claims import CLAIM_SQL, claims
@@ -96,10 +97,23 @@ def entities_by_type(spark: SparkSession, d: str) -> DataFrame:
     return j.groupBy("p_type").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "p_brand"))), lambda x: F.concat(x["p_brand"], F.lit("="), (-x["m"]).cast("string"))), ",").alias("entities"))
 
 
+#: Characters of context on each side of a quote.
+MARGIN = 60
+
+
 def evidence_panels(spark: SparkSession, d: str) -> DataFrame:
-    """Quote window, verdict and snapshot digest of every document that is labelled or not."""
-    j = table(spark, d, "documents").select("doc_id", "text").join(table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality")), "doc_id", "left")
-    return j.select("doc_id", F.substring("text", 11, 40).alias("window"), F.when(F.col("quality") == 1, "supported").when(F.col("quality") == 0, "refuted").alias("verdict"), F.substring(F.sha2("text", 256), 1, 12).alias("snapshot"))
+    """Panel of every quote that a document holds: the quote with its margins (clamped to the text), where it stands in them, verdict, digest.
+
+    Quotes are the benchmark's passages, found in whole texts by their keys; the first place counts.
+    """
+    docs, quotes = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))
+    met = passages.candidates(docs, quotes, "text", "quote", "doc_id", "item_id").withColumn("at", F.instr(F.col("text"), F.col("quote")) - 1).where("at >= 0")
+    begin = F.greatest(F.col("at") - MARGIN, F.lit(0))
+    end = F.least(F.col("at") + F.length("quote") + MARGIN, F.length("text"))
+    said = table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    j = met.join(said, "doc_id", "left")
+    verdict = F.when(F.col("quality") == 1, "supported").when(F.col("quality") == 0, "refuted")
+    return j.select("doc_id", "item_id", F.substring(F.col("text"), begin + 1, end - begin).alias("passage"), (F.col("at") - begin).alias("starts"), (F.col("at") - begin + F.length("quote")).alias("ends"), verdict.alias("verdict"), F.sha2("text", 256).alias("snapshot"))
 
 
 def index_points(spark: SparkSession, d: str) -> DataFrame:
@@ -189,7 +203,10 @@ ORACLES = {
         SELECT claim_id, 'One source says ' || hundredths || ', another ' || other || CASE WHEN unit = 'percent' THEN ' (hundredths of a percent).' ELSE '.' END AS text FROM p WHERE other <> hundredths""",
     "labelled_levels": f"{_W} SELECT CASE level WHEN 'city_wide' THEN 'the whole city' WHEN 'national' THEN 'the country' WHEN 'global' THEN 'the world' WHEN 'district' THEN 'a district' ELSE level END AS label, format('{{:,}}', count(*) * 1000) AS n FROM claim GROUP BY 1",
     "entities_by_type": "WITH n AS (SELECT p_type, p_brand, count(l_partkey) AS n FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY ALL) SELECT p_type, string_agg(p_brand || '=' || n, ',' ORDER BY n DESC, p_brand) AS entities FROM n GROUP BY ALL",
-    "evidence_panels": """WITH l AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY ALL) SELECT d.doc_id, substring(text, 11, 40) AS "window", CASE q WHEN 1 THEN 'supported' WHEN 0 THEN 'refuted' END AS verdict, substring(sha256(text), 1, 12) AS snapshot FROM documents d LEFT JOIN l USING (doc_id)""",
+    "evidence_panels": f"""WITH l AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY ALL),
+        f AS (SELECT d.doc_id, item_id, d.text, b.text AS quote, instr(d.text, b.text) - 1 AS p FROM documents d JOIN benchmark b ON contains(d.text, b.text)),
+        w AS (SELECT *, greatest(p - {MARGIN}, 0) AS b, least(p + length(quote) + {MARGIN}, length(text)) AS e FROM f)
+        SELECT doc_id, item_id, substring(text, b + 1, e - b) AS passage, (p - b)::INT AS starts, (p - b + length(quote))::INT AS ends, CASE q WHEN 1 THEN 'supported' WHEN 0 THEN 'refuted' END AS verdict, sha256(text) AS snapshot FROM w LEFT JOIN l USING (doc_id)""",
     "index_points": f"""SELECT doc_id || ':' || no AS point, digest, '{{"id":' || doc_id || ',"lang":"' || lang || '","source":"' || source || '","start":' || span_start || ',"end":' || span_end || '}}' AS payload
         FROM ({PT.ORACLES['token_windows']}) JOIN documents USING (doc_id)""",
     "wire_claims": f"""{_W}, c AS (SELECT claim_id, {_S} AS s, {_E} AS e FROM claim WHERE ref_start IS NOT NULL)
