@@ -113,3 +113,22 @@ def test_bound_never_drops_a_partner():
         (kept,) = J.may_reach(80)([batch])
         assert kept.num_rows or not like
         assert J.reaches(own, other, 80) == like
+
+
+def test_sketches_never_drop_a_partner():
+    """The smaller set of each pair asks a list that holds the other: partners stay, whatever the sizes."""
+    rng = np.random.default_rng(4)
+    dropped = 0
+    for _ in range(300):
+        n = int(rng.integers(5, 900))
+        own = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        other = np.unique(np.concatenate([own[: int(len(own) * rng.uniform(0.5, 1))], rng.integers(0, 2**63, int(rng.integers(1, 90))).astype(np.uint64)]))
+        a, b = sorted((own, other), key=len)
+        entry = {"node": 9, "n": len(b), "room": len(b), "label": 9, "sketch": J.sketch_of(J.parities(b))}
+        kind = pa.list_(pa.struct([("node", pa.int64()), ("n", pa.int32()), ("room", pa.int32()), ("label", pa.int64()), ("sketch", pa.binary())]))
+        batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([len(a)], pa.int32()), pa.array([len(a)], pa.int32()), pa.array([1]), pa.array([J.sketch_of(J.parities(a))], pa.binary()), pa.array([[entry]], kind)], names=["node", "n", "room", "label", "sketch", "list"])
+        (kept,) = J._pruned(80)([batch])
+        assert kept.to_pylist() in ([{"node": 1, "list": [9]}], [])
+        dropped += not kept.num_rows
+        assert kept.num_rows or not J.reaches(own, other, 80)
+    assert dropped > 30
