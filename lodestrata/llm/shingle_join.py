@@ -15,9 +15,8 @@ of the one set is looked for in the other by binary search, until the required o
   with a ninth of its elements at 80 percent, and mostly with fewer lengths. Lists are held in parts of `PART` entries.
   Entries carry a sketch of 64 bytes (see below), so that those without a chance are pruned where list and set meet.
 * Equal sets are one node. Groups of near copies would fill each other's lists, so first each set meets the least of
-  those with the same first (second, third) element, and later, while lists are full, the hub of one of its lists: the
-  set there whose own lists are the longest together. What that links is one component from then on, and only sets of different
-  components meet. Links are those that connect the same documents as all links would.
+  those with the same first (second, third) element. What that links is one component from then on, and only sets of
+  different components meet. Links are those that connect the same documents as all links would.
 * Before a pair is probed, a bit string of the parities of its hashes bounds the overlap from above; it drops no pair
   that reaches it and leaves about one other in a thousand. Whole sets are made from the texts of these alone, once.
 * Texts never move: those wanted are picked by a broadcast bitmap of their rows, of fixed size (2**26 bits), and what is
@@ -46,9 +45,8 @@ from lodestrata.llm.store import ROW, discard, numbered, tidy, written
 SHINGLE, PERCENT = 5, 80
 #: Components of a list from which on it is long.
 LATE = 32
-#: First elements by which sets meet the least of those with the same; turns at most in which each set meets one other
-#: of its lists, and the pairs a set under which they aren't needed.
-FIRSTS, HUB_TURNS, FEW = 3, 1, 4
+#: First elements by which sets meet the least of those with the same.
+FIRSTS = 3
 #: Entries of a part of a list, on the average; bits of the number of a bitmap's place; bytes of a sketch.
 PART, PLACE_BITS, SKETCH = 1024, 26, 64
 
@@ -297,15 +295,6 @@ class Join:
         found = self.verified(self._firsts() if start is None else self._firsts().union(start))
         keys = self._in_order(found)
         placed, sums = self._apart(keys, found)
-        for _ in range(HUB_TURNS):
-            n, cross = sums.agg(F.sum("n"), F.sum("cross")).first()
-            if not n or cross <= FEW * n:
-                break
-            found = found.union(self.verified(self._hubs(placed, sums)))
-            before = placed, sums
-            placed, sums = self._apart(placed.select("key", "node", "n", "place"), found)
-            for done in before:
-                discard(done)
         return found if placed.isEmpty() else found.union(self.verified(self._searched(placed, sums)))
 
     def _firsts(self) -> DataFrame:
@@ -348,20 +337,6 @@ class Join:
         sums = written(sums.where("cross > 0"), "like-parts")
         return written(labelled.join(sums.select("key"), "key", "left_semi"), "like-apart"), sums
 
-    def _fits(self) -> Column:
-        return (100 + self.percent) * F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= self.percent * (F.col("na") + F.col("nb"))
-
-    def _hubs(self, placed: DataFrame, sums: DataFrame) -> DataFrame:
-        """Each set with the hub of one of its keys, the one of most of them.
-
-        The hub of a key is the set whose lists are the longest together: of copies with edits, one with few of its own.
-        """
-        weight = placed.join(sums.select("key", F.col("n").alias("held")), "key").groupBy("node").agg(F.sum("held").alias("weight"))
-        hub = F.max_by(F.struct("node", "n", "place", "label"), F.struct("weight", "node")).alias("hub")
-        hubs = placed.join(weight, "node").groupBy("key").agg(hub).selectExpr("key", "hub.node", "hub.n", "hub.place", "hub.label").toDF("key", "a", "na", "pa", "la")
-        met = hubs.join(placed.toDF("key", "b", "nb", "pb", "lb"), "key").where("la <> lb").where(self._fits())
-        return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a"))
-
     def _searched(self, placed: DataFrame, sums: DataFrame) -> DataFrame:
         """(a, b): sets of different components that share a short list, fit each other's length and may reach the overlap."""
         p = self.percent

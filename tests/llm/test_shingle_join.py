@@ -72,7 +72,6 @@ def test_against_all_pairs(spark, late):
 
 def test_short_parts_of_lists(spark, monkeypatch):
     monkeypatch.setattr(J, "PART", 3)
-    monkeypatch.setattr(J, "HUB_TURNS", 0)
     rows = texts_of(6)
     assert found(J.joined(spark.createDataFrame(rows, "doc_id long, text string"))) == plain(rows)
 
