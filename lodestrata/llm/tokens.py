@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -12,6 +13,12 @@ import numpy as np
 CACHE_WORDS = 600_000
 #: Words encoded in one call. A mark that no such word holds, or the blank itself, shows where each begins.
 JOINED_WORDS, MARK = 2000, "\x01"
+#: Marks that may end a word: a token never joins them to the letters before. Not the apostrophe, which opens 's and others.
+TAIL = """!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"""
+#: Letters beyond ASCII that a simple word may hold.
+LATIN = "".join(map(chr, range(0xC0, 0x100))).replace("\u00d7", "").replace("\u00f7", "")
+LEAD = "\u00c3"
+SIMPLE = re.compile(f"[A-Za-z{LATIN}]+")
 #: Characters of text turned into ids at a time.
 SLICE_CHARS = 2_000_000
 
@@ -29,7 +36,7 @@ class Encoder:
 
     def __init__(self, path: str, keeps_space: bool):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -39,6 +46,12 @@ class Encoder:
         if keeps_space:
             self.opens[[i for word, i in vocab.items() if word.startswith("\u0120")]] = True
             self.mark, self.joint = "", " "
+            # The same model over words that are cut already: letters spelled as bytes, one piece between blanks.
+            spell = pre_tokenizers.ByteLevel(add_prefix_space=False)
+            self.spelled = {c: spell.pre_tokenize_str(c)[0][0] for c in LATIN}
+            self.pieces = Tokenizer.from_file(path)
+            self.pieces.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+            self.tails: dict = {}
         else:
             (mark_id,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
             self.opens[mark_id] = True
@@ -57,6 +70,56 @@ class Encoder:
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids, and their number for each word (with the blank before it, if the tokenizer keeps blanks).
 
+        Of the byte-level kind, a simple word is its letters and the marks at its end: only letters not known as a word
+        of their own are encoded, each once.
+        """
+        if not self.keeps_space:
+            return self._joined(words)
+        cut = [w.rstrip(TAIL) for w in words]
+        of = np.array([s.isalpha() and (s.isascii() or SIMPLE.fullmatch(s) is not None) for s in cut], bool)
+        rest_ids, rest_n = self._joined([words[i] for i in np.flatnonzero(~of).tolist()])
+        simple = np.flatnonzero(of).tolist()
+        stems = [cut[i] for i in simple]
+        ends = [words[i][len(cut[i]) :] for i in simple]
+        for tail in set(ends) - self.tails.keys():
+            self.tails[tail] = np.array(self.whole([tail])[0], np.uint32)
+        slot = np.fromiter(map(self.slots.get, stems, repeat(-1)), np.int64, len(stems))
+        unknown = np.flatnonzero(slot < 0).tolist()
+        new = dict.fromkeys(stems[i] for i in unknown)
+        new_ids, new_n = self._letters(list(new))
+        place = dict(zip(new, range(len(self.lens), len(self.lens) + len(new))))
+        slot[unknown] = np.fromiter((place[stems[i]] for i in unknown), np.int64, len(unknown))
+        tail_at = dict(zip(self.tails, range(len(self.tails))))
+        tail_n = np.array([len(x) for x in self.tails.values()], np.int64)
+        # Each word is two pieces of one array; that of the others is whole, its second empty.
+        flat = np.concatenate([self.flat, new_ids, rest_ids, *self.tails.values()])
+        known = np.concatenate([self.starts, len(self.flat) + np.cumsum(new_n) - new_n])
+        known_n = np.concatenate([self.lens, new_n])
+        rest_at, tails_at = len(self.flat) + len(new_ids), len(self.flat) + len(new_ids) + len(rest_ids)
+        starts, lens = np.zeros((len(words), 2), np.int64), np.zeros((len(words), 2), np.int64)
+        starts[of, 0], lens[of, 0] = known[slot], known_n[slot]
+        starts[~of, 0], lens[~of, 0] = rest_at + np.cumsum(rest_n) - rest_n, rest_n
+        tail = np.fromiter(map(tail_at.__getitem__, ends), np.int64, len(ends))
+        starts[of, 1], lens[of, 1] = (tails_at + np.cumsum(tail_n) - tail_n)[tail], tail_n[tail]
+        return _gather(flat, starts.reshape(-1), lens.reshape(-1)), lens.sum(axis=1)
+
+    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As `words`, of words of plain letters alone."""
+        texts = []
+        for i in range(0, len(words), JOINED_WORDS):
+            text = "\n".join(words[i : i + JOINED_WORDS])
+            used = set() if text.isascii() else set(text)
+            # The letter that spells the first byte of all is replaced before it is written.
+            for c in sorted(used & self.spelled.keys(), key=lambda c: c != LEAD):
+                text = text.replace(c, self.spelled[c])
+            texts.append("\u0120" + text.replace("\n", " \u0120"))
+        found = self.pieces.encode_batch_fast(texts, add_special_tokens=False)
+        ids = np.concatenate([np.array(x.ids, np.uint32) for x in found] or [np.zeros(0, np.uint32)])
+        return ids, np.diff(np.append(np.flatnonzero(self.opens[ids]), len(ids)))
+
+    def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As `words`, of any.
+
         Many words make one text: a blank always opens a token of the byte-level kind, and the mark is a token
         of its own in the other.
         """
@@ -81,7 +144,7 @@ class Encoder:
             return True
         if not self.keeps_space:
             return MARK in part
-        return (not word and not isinstance(part, tuple)) or word[:1].isspace() or word[-1:].isspace()
+        return (not word and not isinstance(part, tuple)) or word.strip() != word
 
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each slice of the texts: all their ids in one array, and the number of ids of each text."""
@@ -107,15 +170,17 @@ class Encoder:
             asked = [parts[i] for i in unknown.tolist()]
             missing = list(dict.fromkeys(asked))
             # One look at all new parts together tells whether any may hold an added token.
-            joined = "\n".join(p[0] if isinstance(p, tuple) else p for p in missing).lower()
+            first, plain = [p for p in missing if type(p) is tuple], [p for p in missing if type(p) is str]
+            joined = "\n".join([p[0] for p in first] + plain).lower()
             self.watch = any(t in joined for t in self.added_parts)
-            unsafe = list(map(self._unsafe, missing))
-            first = [p for p, u in zip(missing, unsafe) if not u and isinstance(p, tuple)]
-            plain = [p for p, u in zip(missing, unsafe) if not u and not isinstance(p, tuple)]
-            missing = [p for p, u in zip(missing, unsafe) if u] + first + plain
+            unsafe = [p for p in missing if self._unsafe(p)] if self.watch or not self.keeps_space else [p for p in first if p[0].strip() != p[0]] + [p for p in plain if not p or p.strip() != p]
+            if unsafe:
+                apart = set(unsafe)
+                first, plain = [p for p in first if p not in apart], [p for p in plain if p not in apart]
+            missing = unsafe + first + plain
             heads = self.whole([p[0] for p in first])
             ids, m = self.words(plain)
-            n = np.concatenate([np.full(sum(unsafe), -1), np.array([len(x) for x in heads], np.int64), m]).astype(np.int64)
+            n = np.concatenate([np.full(len(unsafe), -1), np.array([len(x) for x in heads], np.int64), m]).astype(np.int64)
             used = np.maximum(n, 0)
             starts = np.concatenate([starts, len(flat) + np.cumsum(used) - used])
             lens = np.concatenate([lens, n])

@@ -159,3 +159,24 @@ def test_search_of_many_underfull_bins():
 def test_search_empties_a_bin_that_best_fit_leaves():
     # Best-fit decreasing needs 4 bins of 10: 6+3, 6+3, 4+4+2, 2; exchanges reach 3.
     assert packing.pack(np.array([6, 6, 4, 4, 3, 3, 2, 2]), 10)[0].max() + 1 == 3
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(list("abZÀÃéÿñ×÷ªµßĠĥ,.$-'`_!? ") + [" the", "Ã\xa0", "'s", "<|endoftext|>"]), max_size=40).map("".join), max_size=6))
+def test_letters_and_marks_equal_whole_texts(texts):
+    enc, got = ENCODERS[BYTE], []
+    for flat, n in enc.encode(texts):
+        ends = np.cumsum(n)
+        got += [flat[a:b].tolist() for a, b in zip(ends - n, ends)]
+    assert got == [plain_of[BYTE](t) for t in texts]
+
+
+def test_letters_are_encoded_once(monkeypatch):
+    enc, asked = Encoder(BYTE, True), []
+    real = enc._letters
+    monkeypatch.setattr(enc, "_letters", lambda words: asked.append(list(words)) or real(words))
+    texts = ["x rétuana lomion", "x rétuana, lomion$$$ bruvel. bruvel, bruvel", "bruvel rétuana!? lomion"]
+    for text in texts:
+        ((flat, _),) = enc.encode([text])
+        assert flat.tolist() == plain_of[BYTE](text)
+    assert [sorted(x) for x in asked if x] == [["lomion", "rétuana"], ["bruvel"]]
