@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import places as P
+from lodestrata.operators.steps import counted, kept
 from lodestrata.sources.claims import LEVELS, _pick
 from lodestrata.sources.tables import table
 
 NEARBY_KM = 1500.0
+#: Parts in which the points of a name meet those asked about.
+SHARDS = 16
 _PLACE = {
     "place_id": "c_custkey", "name": "p_name", "country": "n_name", "region": "concat('Region ', c_custkey % 7)", "lat": "CAST(c_custkey * 37 % 160 - 80 AS DOUBLE)", "lon": "CAST(c_custkey * 53 % 340 - 170 AS DOUBLE)",
     "population": "CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE CAST(floor(c_acctbal) AS INT) END",
@@ -37,19 +40,31 @@ def area_relations(spark: SparkSession, d: str) -> DataFrame:
     asked = _places(spark, d).selectExpr("*", f"{_LABEL} AS label", f"{_LEVEL} AS level", "place_id % 2 = 0 AS city_named", "place_id % 3 = 0 AS region_named")
     head, tail = F.substring_index("label", ",", 1), F.when(F.contains("label", F.lit(",")), P.core(F.substring_index("label", ",", -1))).otherwise("")
     asked = asked.withColumn("full", P.place_key(head)).withColumn("core", P.core(head)).withColumn("tail", tail).withColumn("key", P.place_key(F.col("name")))
-    known = _places(spark, d).select(P.place_key(F.col("name")).alias("key"), F.struct("place_id", "region", "lat", "lon").alias("at"))
-    # Names that texts use are looked up, each once; places of one name come as rows, summed up at once.
-    keys = asked.select(F.col("full").alias("key")).union(asked.select("core")).distinct().join(known.select("key").distinct(), "key")
-    by = asked.join(keys.select(F.col("key").alias("full"), F.lit(True).alias("full_known")), "full", "left").join(keys.select(F.col("key").alias("core"), F.lit(True).alias("core_known")), "core", "left")
-    by = by.withColumn("hit", F.when(F.col("full_known"), F.col("full")).when(F.col("core_known"), F.col("core")))
-    by = by.withColumn("removed", F.when(F.col("full_known"), F.array().cast("array<string>")).otherwise(F.array_except(F.split("full", " "), F.split("core", " "))))
-    met = by.select("place_id", "lat", "lon", "region", F.col("hit").alias("key")).where("key IS NOT NULL").join(known, "key")
-    other, km = F.col("at.place_id") != F.col("place_id"), P.haversine(F.col("lat"), F.col("lon"), F.col("at.lat"), F.col("at.lon"))
-    sums = met.groupBy("place_id").agg(F.count_if(other).alias("others"), F.count_if(~other).alias("own"), F.count_if(other & (F.col("at.region") == F.col("region"))).alias("same_region"), F.count_if(other & (km <= NEARBY_KM)).alias("near"))
-    j = by.join(sums, "place_id", "left")
+    known = _places(spark, d).select("place_id", "region", "lat", "lon", P.place_key(F.col("name")).alias("key"))
+    # Places of one name are summed up by name, region and point, so no two of them meet.
+    summed = kept(known.groupBy("key", "region", "lat", "lon").agg(F.count(F.lit(1)).alias("n")))
+    names = counted(summed.groupBy("key").agg(F.sum("n").alias("named")))
+    full, core = (names.select(F.col("key").alias(c), F.col("named").alias(f"{c}_named")) for c in ("full", "core"))
+    by = asked.join(full, "full", "left").join(core, "core", "left").withColumn("named", F.coalesce("full_named", "core_named"))
+    by = by.withColumn("hit", F.when(F.col("full_named").isNotNull(), F.col("full")).when(F.col("core_named").isNotNull(), F.col("core")))
+    by = by.withColumn("removed", F.when(F.col("full_named").isNotNull(), F.array().cast("array<string>")).otherwise(F.array_except(F.split("full", " "), F.split("core", " "))))
+    own_keys = known.groupBy("place_id", "key").agg(F.count(F.lit(1)).alias("n")).groupBy("place_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "n"))).alias("keys"))
+    regions = counted(summed.groupBy(F.col("key").alias("hit"), "region").agg(F.sum("n").alias("in_region")))
+    # Near and far count only for names that aren't the place's own: each pair of different points once.
+    points = summed.select("key", "lat", "lon").distinct().withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(SHARDS - 1))))
+    foreign = by.where("hit IS NOT NULL AND hit <> key").select("hit", "lat", "lon").distinct().withColumn("shard", F.abs(F.hash("lat", "lon")) % SHARDS)
+    km = P.haversine(F.col("f.lat"), F.col("f.lon"), F.col("p.lat"), F.col("p.lon"))
+    met = foreign.alias("f").join(points.alias("p"), (F.col("f.hit") == F.col("p.key")) & (F.col("f.shard") == F.col("p.shard"))).select("f.hit", "f.lat", "f.lon", (km <= NEARBY_KM).alias("within"))
+    reach = counted(met.groupBy("hit", "lat", "lon").agg(F.bool_or("within").alias("near"), F.bool_or(~F.col("within")).alias("far")))
+    # A place's region follows from its id, so those of its own id are of its region.
+    j = by.join(regions, ["hit", "region"], "left").join(reach, ["hit", "lat", "lon"], "left").join(own_keys, "place_id")
+    place = Window.partitionBy("place_id")
+    own_n = F.when(F.col("hit").isNotNull(), F.coalesce(F.try_element_at("keys", "hit"), F.lit(0)))
+    j = j.withColumn("own", F.sum(own_n).over(place)).withColumn("others", F.sum(F.col("named") - own_n).over(place)).withColumn("same_region", F.sum(F.coalesce("in_region", F.lit(0)) - own_n).over(place))
+    j = j.withColumn("near", F.bool_or("near").over(place)).withColumn("far", F.bool_or("far").over(place))
     own = F.array(F.col("key"), P.core(F.col("region")), P.core(F.col("country")))
     settled = F.col("region_named") | ((F.col("tail") != "") & (F.col("tail") == P.core(F.col("region"))))
-    apart = F.when((F.col("near") > 0) & (F.col("near") < F.col("others")), "unresolved").when(F.col("near") > 0, "nearby").otherwise("elsewhere")
+    apart = F.when(F.col("near") & F.col("far"), "unresolved").when(F.col("near"), "nearby").otherwise("elsewhere")
     listed = F.when(F.col("own") == 0, apart).when((F.col("others") > 0) & (~settled | (F.col("same_region") > 0)), "unresolved").otherwise(P.city_fit(F.col("level"), P.word_class(F.col("removed"))))
     rest = P.word_class(F.array_except(F.split("full", " "), F.split("key", " ")))
     inside = F.when(rest.isNull() & F.col("city_named") & P.within_city(F.col("full"), F.col("key")), "city").otherwise(P.city_fit(F.col("level"), rest))
