@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import judging as J
 from lodestrata.functions import scoring as S
-from lodestrata.operators import intervals, ranking
+from lodestrata.operators import intervals, ranking, steps
 from lodestrata.sources.claims import CLAIM_SQL, claims
 from lodestrata.sources.tables import table
 
@@ -112,13 +112,24 @@ def _decided(c: DataFrame, scope: list[str]) -> DataFrame:
     """
     keyed = c.withColumn("key", J.comparability_key())
     cut = keyed.where("key IS NOT NULL").withColumn("begins", F.when(~F.col("proxy"), F.coalesce("ref_start", "ref_end"))).withColumn("ends", F.when(~F.col("proxy"), F.coalesce("ref_end", "ref_start")))
-    swept = intervals.extremes_of_overlapping(cut.select(*scope, "key", "claim_id", "begins", "ends", "hundredths", "unit"), [*scope, "key"], "begins", "ends", "hundredths", "claim_id")
+    rows = cut.select(*scope, "key", "claim_id", "begins", "ends", "hundredths", "unit")
+    if scope:
+        # In a scope most figures are alone with their key, and novel without a sweep: they never leave the count.
+        meet = rows.groupBy(*scope, "key").agg(F.min("claim_id").alias("first_id"), F.max("claim_id").alias("last_id")).where("first_id < last_id")
+        rows = steps.kept(rows.join(steps.counted(meet.select(*scope, "key")), [*scope, "key"], "left_semi"))
+    swept = intervals.extremes_of_overlapping(rows, [*scope, "key"], "begins", "ends", "hundredths", "claim_id")
     low, high = J.agreeing_values(F.col("hundredths"), F.col("unit") == "percent", POLICY)
     # Bounds of a share are doubles: a hair of room, as whole hundredths are compared.
     differs = (F.col("least") < low - 1e-6) | (F.col("most") > high + 1e-6)
-    outcome = F.when(differs, "conflicts").when(F.col("first_id") < F.col("last_id"), "agrees").otherwise("novel")
-    j = keyed.select("claim_id", "key").join(swept.select("claim_id", outcome.alias("outcome")), "claim_id", "left")
-    return j.select("claim_id", F.when(F.col("key").isNull(), "not_comparable").otherwise(F.col("outcome")).alias("outcome"))
+    agrees = F.coalesce(F.col("first_id") < F.col("last_id"), F.lit(False))
+    outcome = F.when(differs, "conflicts").when(agrees, "agrees").otherwise("novel")
+    told = swept.select("claim_id", outcome.alias("outcome"))
+    if scope:
+        # A claim in several groups (of an order that stands twice, say) has one outcome.
+        once = F.when(F.bool_or(differs), "conflicts").when(F.bool_or(agrees), "agrees").otherwise("novel")
+        told = steps.counted(swept.groupBy("claim_id").agg(once.alias("outcome")))
+    j = keyed.select("claim_id", "key").join(told, "claim_id", "left")
+    return j.select("claim_id", F.when(F.col("key").isNull(), "not_comparable").otherwise(F.coalesce("outcome", F.lit("novel")) if scope else F.col("outcome")).alias("outcome"))
 
 
 _FIGURE = ("claim_id", "kind", "status", "ref_start", "ref_end", "proxy", "hundredths", *J.KEY_PARTS)
