@@ -60,3 +60,67 @@ def test_edges_near_centres_grow_with_the_table(spark, tmp_path):
         rows.append(moved(spark, lambda d=d, got=got: got.extend(graph.edges_near_centre(spark, d).collect()))[0])
         assert sorted(map(tuple, got)) == sorted(con.sql(f"SELECT centre, edge, score, rank FROM ({graph.ORACLES['edges_near_centre']})").fetchall())
     assert rows[1] < 9 * rows[0], rows
+
+
+def test_distances_against_plain_walks(spark):
+    """Loops, parallel edges, null ends, centres that no edge touches, blocks of centres that aren't whole."""
+    r = random.Random(5)
+    edges = [(r.randrange(60), -1 - r.randrange(60)) for _ in range(70)] + [(0, i) for i in range(100, 140)] + [(5, 5), (None, 6), (6, None), (7, -3), (7, -3)]
+    ways = {}
+    for a, b in edges:
+        if a is not None and b is not None and a != b:
+            ways.setdefault(a, set()).add(b)
+            ways.setdefault(b, set()).add(a)
+    centres = [*range(0, 60, 2), 2, None, 900]
+    wanted = {}
+    for c in {*centres} - {None}:
+        at = {c}
+        for step in range(4):
+            wanted.update({(c, n): step for n in at if (c, n) not in wanted})
+            at = {m for n in at for m in ways.get(n, ())}
+    e, s = spark.createDataFrame(edges, "a long, b long"), spark.createDataFrame([(c,) for c in centres], "c long")
+    got = graphwalk.distances(e, "a", "b", s, "c", 3).select("centre", "node", "distance").collect()
+    assert len(got) == len(wanted) and {(c, n): k for c, n, k in got} == wanted
+    assert graphwalk.distances(e, "a", "b", s.limit(0), "c", 3).count() == 0
+
+
+def test_sets_in_batches():
+    """Short sets and bitmaps, and sets of one node in several batches."""
+    import numpy as np
+    import pyarrow as pa
+
+    from lodestrata.operators import marks
+
+    r = np.random.default_rng(2)
+    sets = [set(r.choice(marks.BLOCK, n, replace=False).tolist()) for n in (0, 1, 511, 512, 513, marks.BLOCK, 3, 3000, 40, 9)]
+    raw = [marks.packed(np.packbits(np.isin(np.arange(marks.BLOCK), list(s)), bitorder="little")) for s in sets]
+    back = np.unpackbits(marks.bitmaps(pa.array(raw, pa.binary())), axis=1, bitorder="little")
+    assert [set(np.flatnonzero(b).tolist()) for b in back] == sets and max(map(len, raw)) == marks.BYTES
+    nodes = [4, 4, 4, 5, 5, 6, 6, 6, 6, 7]
+    new = [True, False, True, True, True, False, True, True, True, False]
+    batch = pa.record_batch({"node": nodes, "block": pa.array([0] * 10, pa.int64()), "bits": pa.array(raw, pa.binary()), "new": new})
+    for size in (1, 3, 10):
+        cut = [batch.slice(i, size) for i in range(0, 10, size)]
+        fresh, joined = {}, {}
+        for n, s, is_new in zip(nodes, sets, new):
+            fresh.setdefault(n, [set(), set()])[not is_new].update(s)
+            joined.setdefault(n, set()).update(s)
+        for run, wanted in ((marks.news, {n: a - b for n, (a, b) in fresh.items() if a - b}), (marks.united, joined)):
+            got = {}
+            for out in run(iter(cut)):
+                for n, b in zip(out.column(0).to_pylist(), marks.bitmaps(out.column(2))):
+                    assert n not in got
+                    got[n] = set(np.flatnonzero(np.unpackbits(b, bitorder="little")).tolist())
+            assert got == wanted
+
+
+def test_distances_store_no_pairs(spark, tmp_path):
+    """What is moved grows with the table, while what comes out grows with centres times nodes."""
+    found = []
+    for n in (200, 1600):
+        d, con = _graph(tmp_path / str(n), n)
+        got = []
+        rows = moved(spark, lambda d=d, got=got: got.extend(graph.graph_distances(spark, d).collect()))[0]
+        assert sorted(map(tuple, got)) == sorted(con.sql(f"SELECT centre, node, distance FROM ({graph.ORACLES['graph_distances']})").fetchall())
+        found.append((rows, len(got)))
+    assert found[1][1] > 30 * found[0][1] and found[1][0] < 9 * found[0][0], found
