@@ -39,4 +39,4 @@ def test_sets_move_as_prefixes(spark, monkeypatch, late):
                 label = [new if x == old else x for x in label]
     assert {g.doc_id: (g.component_id, g.n_links) for g in got} == {i: (label[i], len(links[i])) for i in range(len(texts))}
     whole = spotsigs.with_signatures(docs, "text", "sigs").agg(F.sum(F.size("sigs"))).first()[0]
-    assert rows < 2 * whole, (rows, whole)
+    assert rows < whole, (rows, whole)
